@@ -1,0 +1,38 @@
+"""Connected components by repeated contraction."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from strandloom.llm.common import materialize
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """``node, root`` for every node of ``edges`` (columns ``a, b``, any order, repeats allowed); root is one node of its component.
+
+    In each round a node points to the smallest of itself and its neighbours, edges are moved to what their ends point
+    to, and loops and repeats go.  At least half of the nodes go in a round, so rounds are logarithmic in the longest
+    path, and later ones are small.  A hub with any number of neighbours is reduced by map-side minima; its edges meet
+    the pointers in a plain shuffle join, which adaptive skew handling can split.  Every round is written to the shared
+    folder, so lineage stays short.
+    """
+    edges = materialize(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    rounds: list[DataFrame] = []
+    while not edges.isEmpty():
+        both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        points = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("to")).withColumnRenamed("a", "node"), "points")
+        rounds.append(points)
+        moved = edges.join(points.select(F.col("node").alias("a"), F.col("to").alias("ta")), "a").join(points.select(F.col("node").alias("b"), F.col("to").alias("tb")), "b")
+        edges = materialize(moved.filter("ta <> tb").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct(), "edges")
+    if not rounds:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+
+    def follow(found: DataFrame, points: DataFrame) -> DataFrame:
+        """One more round behind what is known: nodes that are no more in it stay where they are."""
+        step = found.join(points.select(F.col("node").alias("root"), "to"), "root", "left")
+        return step.select("node", F.coalesce("to", "root").alias("root"))
+
+    return materialize(reduce(follow, rounds[1:], rounds[0].select("node", F.col("to").alias("root"))), "roots")
