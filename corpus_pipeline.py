@@ -2,25 +2,41 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from strandloom.llm import exact_dedup, source_mix
+from strandloom.llm import byte_bpe, exact_dedup, quality_model, simhash, source_mix
 from strandloom.llm.common import materialize, table
 
 
-def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with equal texts the one with the largest identifier stays."""
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier does not reject."""
+    return quality_model.keep(docs, table(spark, sf_dir, "labels"))
+
+
+def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents with equal texts the one with the largest identifier."""
     return exact_dedup.surviving(docs)
 
 
-def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix draws them, in shard order."""
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the smallest identifier."""
+    return simhash.representatives(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix draws them, in shards, shuffled inside each."""
     return source_mix.mixed(docs).drop("mix_shard", "mix_order")
 
 
-STAGES = [("exact dedup", exact_dedup_stage), ("source mix", mix_stage)]
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of ids and decoded bytes, one row for each row of the mix."""
+    return byte_bpe.digest(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+STAGES = [("quality classifier", quality), ("exact dedup", dedup), ("simhash near dedup", near_dedup), ("source mix", mix), ("byte bpe", encode)]
 
-#: A learned stage has no SQL; tests/llm/test_pipeline.py compares with a brute-force version.
+#: A learned stage has no SQL; tests/llm/test_pipeline.py compares each stage with a brute-force version.
 ORACLE_SQL = None
 
 
