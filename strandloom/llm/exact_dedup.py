@@ -64,7 +64,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sal
     """
     ids = digests(docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text")), "_text", norm=False).select("_id", "_sha")
     best = winners(docs, id_col, text, salts)
-    joined = ids.join(best, "_sha")
+    # The key is the binary digest on both sides, so both get an exchange of their own and a hot digest can be split.
+    joined = ids.withColumn("_key", F.unhex("_sha")).join(best.select(F.unhex("_sha").alias("_key"), "keep_id", "group_size"), "_key")
     return joined.groupBy("_id", "_sha").agg(F.max("keep_id").alias("keep_id"), F.max("group_size").alias("group_size")).select(
         F.col("_id").alias(id_col), "keep_id", "group_size", F.col("_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("_sha").alias("text_sha256")
     )
