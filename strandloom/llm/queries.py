@@ -10,7 +10,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from strandloom.llm import byte_bpe, chat_format, exact_dedup, quality_model, simhash, source_mix, token_count, url_filter
+from strandloom.llm import byte_bpe, chat_format, exact_dedup, license_scan, quality_model, quality_rules, simhash, source_mix, token_count, url_filter
 from strandloom.llm.common import read
 
 #: The rank file and the pattern of op8.
@@ -41,6 +41,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(read(spark, sf_dir, "documents", "doc_id", "text", "lang"))
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
     rows = rows.unionByName(spark.createDataFrame(HOSTILE, "conv_id long, turn long, role string, text string"))
@@ -51,6 +55,10 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digest(read(spark, sf_dir, "documents", "doc_id", "text"), RANKS, PATTERN)
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mixture(read(spark, sf_dir, "documents", "doc_id", "text", "source"))
 
@@ -61,8 +69,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_count": op3_token_count,
     "op4_url_filter": op4_url_filter,
     "op5_simhash": op5_simhash,
+    "op6_quality_rules": op6_quality_rules,
     "op7_chat_format": op7_chat_format,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_license_scan": op9_license_scan,
     "op10_source_mix": op10_source_mix,
 }
 
