@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.llm.common import materialize
-from strandloom.llm.components import components
+from strandloom.operators.graph import components
 
 SHINGLE, RADIUS, SEED, BLOCKS = 3, 3, 42, 4
 #: Bytes of a text that are split into words at a time.
