@@ -86,7 +86,10 @@ def failed(n_words: Column, n_repeat: Column) -> Column:
 
 
 def references(counted: DataFrame) -> dict[str, tuple[list[float], list[float]]]:
-    """Shares of character classes and of common words in each language, over all documents that pass the base rules."""
+    """Shares of character classes and of common words in each language, over all documents that pass the base rules.
+
+    ``counted`` has to be a table that was written: its arrays are read element by element.
+    """
     n_classes, n_words = 6, len(WORDS) + 1
     passed = counted.filter(F.col("_lang").isin(*COMMON) & ~failed(F.col("n_words"), F.col("n_repeat_words")))
     sums = [F.sum(F.get("classes", F.lit(i))).alias(f"c{i}") for i in range(n_classes)] + [F.sum(F.get("common", F.lit(i))).alias(f"w{i}") for i in range(n_words)]
