@@ -25,19 +25,34 @@ def most_length(n: Column, threshold: float) -> Column:
     return F.floor(n * ((2 - threshold) / threshold) + 1e-9).cast("int")
 
 
-def similar_pairs(df: DataFrame, key: str, sequence: str, threshold: float) -> DataFrame:
+#: Parts into which the sequences of one length are dealt: each is met by a copy of the other side.
+SALTS = 8
+
+
+def _dealt(left: DataFrame, band: Column, right: DataFrame, salts: int) -> tuple[DataFrame, DataFrame, Column]:
+    """Both sides with their keys, a length and a part of it, and the condition that they are equal.
+
+    Most sequences may have one length: its work is spread over ``salts`` tasks.
+    """
+    a = left.withColumn("_n", F.explode(band)).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    b = right.withColumn("b_salt", F.pmod(F.xxhash64("b_s"), F.lit(salts)).cast("int"))
+    return a, b, (F.col("_n") == F.col("b_n")) & (F.col("_salt") == F.col("b_salt"))
+
+
+def similar_pairs(df: DataFrame, key: str, sequence: str, threshold: float, salts: int = SALTS) -> DataFrame:
     """``a, b, similarity`` for pairs of distinct sequences with an Indel ratio of ``threshold`` or more, a < b.
 
     A sequence meets only lengths that can reach the threshold: one side is exploded over its band, so the join is an
-    equi-join by length, not a cross join.  Residue counts bound the common subsequence before it is computed.
-    Copies stand for themselves once: a key is the smallest of its sequence.
+    equi-join, not a cross join.  Residue counts bound the common subsequence before it is computed, and both tests are
+    part of the join's condition: only pairs that pass leave it.  Copies stand for themselves once: a key is the smallest
+    of its sequence.
     """
     left, right = _prepared(df, key, sequence, "a"), _prepared(df, key, sequence, "b")
-    longer = left.withColumn("_n", F.explode(F.sequence(F.greatest(F.lit(0), least_length(F.col("a_n"), threshold)), F.col("a_n"))))
-    hit = (F.col("_n") == F.col("b_n")) & ((F.col("a_n") > F.col("b_n")) | (F.col("a_s") < F.col("b_s")))
-    pairs = longer.join(right, hit).filter(2 * lcs_bound(F.col("a_counts"), F.col("b_counts")) >= threshold * (F.col("a_n") + F.col("b_n")))
-    scored = pairs.select("a_key", "b_key", indel_ratio(F.col("a_s"), F.col("b_s"), F.col("a_masks")).alias("similarity"))
-    return scored.filter(F.col("similarity") >= threshold).select(F.least("a_key", "b_key").alias("a"), F.greatest("a_key", "b_key").alias("b"), "similarity")
+    band = F.sequence(F.greatest(F.lit(0), least_length(F.col("a_n"), threshold)), F.col("a_n"))
+    longer, right, same = _dealt(left, band, right, salts)
+    ratio = indel_ratio(F.col("a_s"), F.col("b_s"), F.col("a_masks"))
+    hit = same & ((F.col("a_n") > F.col("b_n")) | (F.col("a_s") < F.col("b_s"))) & (2 * lcs_bound(F.col("a_counts"), F.col("b_counts")) >= threshold * (F.col("a_n") + F.col("b_n"))) & (ratio >= threshold)
+    return longer.join(right, hit).select(F.least("a_key", "b_key").alias("a"), F.greatest("a_key", "b_key").alias("b"), ratio.alias("similarity"))
 
 
 def nearest_reference(df: DataFrame, reference: DataFrame, key: str, sequence: str, ref_key: str, ref_sequence: str, window: float | None = 0.8) -> DataFrame:
@@ -53,7 +68,8 @@ def nearest_reference(df: DataFrame, reference: DataFrame, key: str, sequence: s
         band = F.array(*map(F.lit, lengths)) if lengths else F.array().cast("array<int>")
     else:
         band = F.sequence(F.greatest(F.lit(0), least_length(F.col("a_n"), window)), most_length(F.col("a_n"), window))
-    met = left.withColumn("_n", F.explode(band)).join(right, F.col("_n") == F.col("b_n"))
+    left, right, same = _dealt(left, band, right, SALTS)
+    met = left.join(right, same)
     scored = met.select("a_s", "b_key", indel_ratio(F.col("a_s"), F.col("b_s"), F.col("a_masks")).alias("sim"))
     best = scored.groupBy("a_s").agg(F.max("sim").alias("sim"), F.min_by("b_key", F.struct((-F.col("sim")).alias("far"), "b_key")).alias("ref"))
     out = df.join(best, F.col(sequence) == F.col("a_s"), "left")
