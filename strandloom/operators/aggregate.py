@@ -138,7 +138,7 @@ def leakage(df: DataFrame, cluster: str, split: str) -> DataFrame:
 def ingestion_audit(df: DataFrame, domain: str, sequence: str, reference_hit: Column, canonical: Column) -> DataFrame:
     n = F.length(sequence)
     return df.groupBy(domain).agg(
-        F.count(F.lit(1)).alias("rows"), F.count_distinct(sequence).alias("unique_sequences"), F.min(n).alias("shortest"), F.max(n).alias("longest"), F.every(canonical).alias("all_canonical"), F.count_if(reference_hit).alias("reference_matches"),
+        F.count(F.lit(1)).alias("rows"), F.count_distinct(sequence).alias("unique_sequences"), F.min(n).cast("long").alias("shortest"), F.max(n).cast("long").alias("longest"), F.every(canonical).alias("all_canonical"), F.count_if(reference_hit).alias("reference_matches"),
     )
 
 

@@ -80,7 +80,7 @@ def curation_summary(spark, sf_dir):
     canon = curate.canonicalize(_records(spark, sf_dir), "s")
     ref = derived(spark, sf_dir).filter("doc_id % 5 = 0").select(F.col("s").alias("sequence_normalized"))
     flagged = curate.flag_reference(canon, ref, "sequence_normalized")
-    return flagged.groupBy("source").agg(F.count(F.lit(1)).alias("n_sequences"), F.count_if("valid_for_challenge").alias("n_valid"), F.count_if("challenge_exact_overlap").alias("n_overlap"), F.min("length").alias("shortest"), F.max("length").alias("longest"))
+    return flagged.groupBy("source").agg(F.count(F.lit(1)).alias("n_sequences"), F.count_if("valid_for_challenge").alias("n_valid"), F.count_if("challenge_exact_overlap").alias("n_overlap"), F.min("length").cast("long").alias("shortest"), F.max("length").cast("long").alias("longest"))
 
 
 @query("""SELECT p_partkey, upper(regexp_replace(p_name, '\\s+', '', 'g')) AS normalized, 'seq_' || substring(sha256(upper(regexp_replace(p_name, '\\s+', '', 'g'))), 1, 16) AS sequence_id FROM part""")
@@ -93,7 +93,7 @@ def norm_and_id(spark, sf_dir):
     'l_or_unspecified' AS stereochemistry_status, CASE WHEN contains(lower(source), 'peg') THEN 'modified' ELSE 'none_known' END AS modification_status, {GOOD} AND length(s) BETWEEN 8 AND 50 AS valid_for_challenge FROM seq""")
 def validity_flags(spark, sf_dir):
     v = derived(spark, sf_dir).withColumn("v", sequence.validity(F.col("s"), F.col("source")))
-    return v.select("doc_id", "v.sequence_normalized", "v.length", "v.alphabet_valid", "v.length_valid", "v.stereochemistry_status", "v.modification_status", "v.valid_for_challenge")
+    return v.select("doc_id", "v.sequence_normalized", F.col("v.length").cast("long").alias("length"), "v.alphabet_valid", "v.length_valid", "v.stereochemistry_status", "v.modification_status", "v.valid_for_challenge")
 
 
 @query("""SELECT p_partkey, array_to_string(list_sort(list_distinct(regexp_extract_all(upper(replace(p_name, ' ', '')), '[^ACDEFGHIKLMNPQRSTVWY]'))), '') AS invalid_residues FROM part""")
@@ -149,7 +149,7 @@ def evidence_label(spark, sf_dir):
 @query(f"""WITH {SEQ} SELECT doc_id, {_count('KRH')} AS cationic_count, {_count('DE')} AS anionic_count, round({_count('VILMFW')} / nullif(length(s), 0)::DOUBLE, 4) AS hydrophobic_fraction, round({_count('FWY')} / nullif(length(s), 0)::DOUBLE, 4) AS aromatic_fraction FROM seq""")
 def composition_fractions(spark, sf_dir):
     c = derived(spark, sf_dir).withColumn("c", sequence.composition(F.col("s")))
-    return c.select("doc_id", "c.cationic_count", "c.anionic_count", "c.hydrophobic_fraction", "c.aromatic_fraction")
+    return c.select("doc_id", F.col("c.cationic_count").cast("long").alias("cationic_count"), F.col("c.anionic_count").cast("long").alias("anionic_count"), "c.hydrophobic_fraction", "c.aromatic_fraction")
 
 
 @query(f"""WITH {SEQ} SELECT doc_id, CASE WHEN {GOOD} THEN round({_linear(biophysics.MASS)} + 18.0153::DOUBLE, 4) END AS molecular_weight_da,
@@ -467,6 +467,36 @@ def clusters_80(spark, sf_dir):
     return graph.similarity_clusters(derived(spark, sf_dir), "doc_id", "s", (0.8,)).select("doc_id", "cluster_id", "cluster_size")
 
 
+@query("SELECT label, n, sum(n) OVER (ORDER BY n DESC, label ROWS UNBOUNDED PRECEDING)::BIGINT AS running FROM (SELECT event_type AS label, count(*) AS n FROM events GROUP BY event_type)")
+def family_balance(spark, sf_dir):
+    """Counts of a label with their running total, over one row a label."""
+    counts = aggregate.value_counts(table(spark, sf_dir, "events").select(F.col("event_type").alias("label")), "label")
+    return counts.withColumn("running", F.sum("n").over(Window.orderBy(F.desc("n"), "label").rowsBetween(Window.unboundedPreceding, 0)))
+
+
+@query("SELECT count(*) AS requests, count(*) FILTER (event_id % 7 <> 0 AND event_id % 3 <> 0) AS unique_calls, count(*) FILTER (event_id % 3 = 0) AS cache_hits, count(*) FILTER (event_id % 7 = 0) AS rejections, count(*) FILTER (value > 50) AS hits, round(count(*) FILTER (value > 50) / count(*)::DOUBLE, 4) AS hit_rate FROM events")
+def evaluation_ledger(spark, sf_dir):
+    e = F.col("event_id")
+    return aggregate.ledger(table(spark, sf_dir, "events"), e % 3 == 0, e % 7 != 0, F.col("value") > 50)
+
+
+@query("SELECT o_orderstatus, round(avg(o_totalprice), 4) AS mean_fitness, round(max(o_totalprice), 4) AS max_fitness, count(DISTINCT o_orderpriority) AS active_families FROM orders GROUP BY o_orderstatus")
+def generation_history(spark, sf_dir):
+    return aggregate.history(table(spark, sf_dir, "orders"), "o_orderstatus", "o_totalprice", "o_orderpriority")
+
+
+@query("SELECT doc_id, to_json({'doc_id': doc_id, 'lang': lang, 'source': source})::VARCHAR AS raw FROM documents")
+def row_json(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.to_json(F.struct("doc_id", "lang", "source")).alias("raw"))
+
+
+@query("WITH m AS (SELECT quality, min(n) OVER () AS k FROM (SELECT quality, count(*) AS n FROM labels WHERE quality IS NOT NULL GROUP BY quality)) SELECT quality, k AS n FROM m")
+def balanced_pairs(spark, sf_dir):
+    """As many rows of each label as the rarest has."""
+    out = ranking.balanced_sample(table(spark, sf_dir, "labels").filter("quality is not null"), "quality", "doc_id")
+    return out.groupBy("quality").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query()
 def split_and_leakage(spark, sf_dir):
     """Whole clusters to splits; then sizes of the splits and how many clusters leak (none)."""

@@ -7,16 +7,23 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders made for applications that name none, by application.
+_own: dict[str, str] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The session's ``spark.checkpoint.dir``; a temporary folder of its own only where that is unset (tests)."""
-    held = spark.conf.get("spark.checkpoint.dir", "")
+    held = spark.conf.get("spark.checkpoint.dir", "") or ""
     if not held:
-        held = tempfile.mkdtemp(prefix="strandloom-")
-        spark.conf.set("spark.checkpoint.dir", held)
+        app = spark.sparkContext.applicationId
+        held = _own.setdefault(app, _own.get(app) or tempfile.mkdtemp(prefix="strandloom-"))
     return held.rstrip("/")
 
 
+def _folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/strandloom/{spark.sparkContext.applicationId}"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A Parquet table of the input folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -26,9 +33,15 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
     This cuts lineage: what follows survives the loss of any executor, because the files are on storage that all
-    executors share.  Every call gets a folder of its own.
+    executors share.  Every call gets a folder of its own, below one folder for the application.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/strandloom/{label}-{uuid.uuid4().hex}"
+    path = f"{_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete what this application has written to the shared folder; call it when no result is read any more."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_folder(spark))
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

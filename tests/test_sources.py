@@ -91,3 +91,12 @@ def test_stream_screen(spark, tmp_path):
     run(spark.read.parquet(src), 0)  # a second run of the same batch changes nothing
     got = {r.s: r.passes_novelty_rule_le80 for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {"ACDEFGHI": False, "KKKKKKKK": True}
+
+
+def test_validator(spark, tmp_path):
+    from strandloom.validate import violations
+
+    cases = {">a\nACDEFGHI\n>b\nKKKKKKKK\n": set(), "": {"no_records"}, "ACDEFGHI\n": {"no_records", "malformed_lines"}, ">a\nACD\n>b\nACD\n": {"library_length", "library_repeats"}, ">a\nACDEFGHX\n": {"library_alphabet"}}
+    for i, (content, want) in enumerate(cases.items()):
+        (tmp_path / f"{i}.fa").write_text(content)
+        assert set(violations(spark, str(tmp_path / f"{i}.fa"))) == want, content
