@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandloom.operators.curate import running_sums
+
 
 def sorted_set(column: str) -> Column:
     """The distinct values, sorted; nulls are left out."""
@@ -165,11 +167,10 @@ def tail_risk(df: DataFrame, value: str, share: float = 0.10) -> DataFrame:
 def metrics(df: DataFrame, label: str, score: str, order: str) -> DataFrame:
     """Area under the ROC curve (ties half), average precision and Brier score.
 
-    Scores are first reduced to one row a distinct score, so what is ranked is bounded by the distinct scores.
+    Scores are reduced to one row a distinct score, which get running totals over range partitions.
     """
     by = df.groupBy(F.col(score).alias("s")).agg(F.sum(F.col(label).cast("double")).alias("p"), F.count(F.lit(1)).cast("double").alias("n"), F.sum(F.pow(F.col(score) - F.col(label), 2)).alias("b"))
-    w = Window.orderBy(F.desc("s"))
-    run = by.withColumn("tp", F.sum("p").over(w)).withColumn("all", F.sum("n").over(w)).withColumn("neg", F.col("n") - F.col("p"))
+    run = running_sums(by, F.desc("s"), {"tp": "p", "all": "n"}).withColumn("neg", F.col("n") - F.col("p"))
     run = run.withColumn("before", F.col("tp") - F.col("p"))
     out = run.agg(F.sum("p").alias("positives"), F.sum("neg").alias("negatives"), F.sum(F.col("neg") * (F.col("before") + F.col("p") / 2)).alias("pairs"), F.sum(F.col("p") * F.col("tp") / F.col("all")).alias("ap"), F.sum("b").alias("squares"), F.sum("n").alias("total"))
     return out.select(F.round(F.col("pairs") / (F.col("positives") * F.col("negatives")), 6).alias("roc_auc"), F.round(F.col("ap") / F.col("positives"), 6).alias("average_precision"), F.round(F.col("squares") / F.col("total"), 6).alias("brier"))

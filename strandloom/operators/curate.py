@@ -155,3 +155,17 @@ def number_rows(df: DataFrame, order: Sequence[Column], index: str) -> DataFrame
     shifts = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     out = held.join(F.broadcast(shifts.select("_p", "_from", "_before")), "_p")
     return out.withColumn(index, F.col("_before") + F.col("_i") - F.col("_from") + 1).drop("_p", "_i", "_from", "_before")
+
+
+def running_sums(df: DataFrame, order: Column, columns: dict[str, str]) -> DataFrame:
+    """``df`` with running totals ``columns`` (new name to summed column) in the order of one distinct column.
+
+    Totals run inside range partitions and are shifted by the totals of those before, so no task holds all rows.
+    """
+    held = materialize(df.repartitionByRange(order).withColumn("_p", F.spark_partition_id()), "ranged")
+    shifts = held.groupBy("_p").agg(*[F.sum(c).alias(f"_t_{n}") for n, c in columns.items()])  # one row a partition
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = shifts.select("_p", *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_b_{n}") for n in columns])
+    inside = Window.partitionBy("_p").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    out = held.withColumns({f"_w_{n}": F.sum(c).over(inside) for n, c in columns.items()}).join(F.broadcast(shifts), "_p")
+    return out.select(*df.columns, *[(F.col(f"_w_{n}") + F.col(f"_b_{n}")).alias(n) for n in columns])
