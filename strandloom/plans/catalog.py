@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from strandloom.functions import assay, biophysics, sequence, similarity
 from strandloom.operators import aggregate, curate, graph, models, ranking, search, select, similar, verify
-from strandloom.storage import table
+from strandloom.storage import materialize, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -663,7 +663,7 @@ def panel_scores(spark, sf_dir):
     UNION ALL SELECT 'top_not_in_library', count(*) FROM top WHERE s NOT IN (SELECT s FROM lib)
     UNION ALL SELECT 'reference_overlap', count(*) FROM lib WHERE s IN (SELECT s FROM ref)""")
 def submission_checks(spark, sf_dir):
-    seq = derived(spark, sf_dir).select("doc_id", "s")
+    seq = materialize(derived(spark, sf_dir).select("doc_id", "s"), "sequences")  # every rule reads it
     rules = verify.submission_rules(seq.filter("doc_id % 5 <> 0"), seq.filter("doc_id % 50 = 1"), seq.filter("doc_id % 5 = 0"), "s", 800, 20)
     return verify.rule_counts(rules)
 
