@@ -1,7 +1,8 @@
 """URL filters by a Bloom filter cascade.
 
-A rule is a host and the start of a path.  The keys of a url are its host and every parent domain, each with every
-start of its path whose length some rule has; a rule fits exactly if it is one of these keys.  The keys of all urls are
+A rule is a host and the start of a path.  The keys of a url are its host and every parent domain that has no more
+labels than some rule's host, each with every start of its path whose length some rule has; a rule fits exactly if it is
+one of these keys.  So a url has a few keys, however many labels its host has.  The keys of all urls are
 the complete key universe, and a cascade makes membership in the listed keys exact on it:
 
 * level 1 holds the listed keys;
@@ -121,10 +122,11 @@ def parts(url: Column) -> tuple[Column, Column]:
     return F.coalesce(host, F.lit("")), F.coalesce(path, F.lit(""))
 
 
-def _keys(host: Column, path: Column, lengths: Sequence[int]) -> Column:
-    """All keys of a url: parent domains by path starts.  A path that is shorter than a length has no such start."""
+def _keys(host: Column, path: Column, lengths: Sequence[int], most: int) -> Column:
+    """All keys of a url: its last 1 to ``most`` labels by path starts.  A path shorter than a length has no such start."""
     labels = F.split(host, r"\.", -1)
-    domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    first = F.greatest(F.lit(1), F.size(labels) - most + 1)
+    domains = F.transform(F.sequence(first, F.size(labels)), lambda i: F.array_join(F.slice(labels, i, most), "."))
     starts = F.filter(F.array(*[F.when(F.length(path) >= n, F.substring(path, 1, n)) for n in lengths]), lambda x: x.isNotNull())
     return F.flatten(F.transform(domains, lambda d: F.transform(starts, lambda p: F.concat(d, p))))
 
@@ -172,7 +174,9 @@ def judge(pages: DataFrame, id_col: str = "page_id", url: str = "url", rules: Se
     host, path = parts(F.col("_url"))
     split = named.select("_id", host.alias("host"), path.alias("path"))
     lengths = sorted({len(p) for _, _, p in rules})
-    universe = split.select(F.explode(F.concat(_keys(F.col("host"), F.col("path"), lengths), _keys(F.col("host"), F.lit(""), [0]))).alias("key"))
+    most = max((h.count(".") + 1 for h in [*(h for _, h, _ in rules), *blocked]), default=1)  # labels of a listed host
+    ruled, bare_hosts = _keys(F.col("host"), F.col("path"), lengths, most), _keys(F.col("host"), F.lit(""), [0], most)
+    universe = split.select(F.explode(F.concat(ruled, bare_hosts)).alias("key"))
     verdicts = {kind: build(universe, [h + p for k, h, p in rules if k == kind]) for kind in ("allow", "block")}
     hosts = build(universe, [x for x in blocked])
     held = spark.sparkContext.broadcast((verdicts, hosts))
@@ -195,7 +199,7 @@ def judge(pages: DataFrame, id_col: str = "page_id", url: str = "url", rules: Se
     def hashed(keys: Column) -> Column:
         return F.transform(keys, lambda k: F.struct(k.alias("key"), F.xxhash64(k).alias("a"), F.xxhash64(F.lit("second"), k).alias("b")))
 
-    keyed = split.select("_id", "host", "path", hashed(_keys(F.col("host"), F.col("path"), lengths)).alias("keys"), hashed(_keys(F.col("host"), F.lit(""), [0])).alias("bare"))
+    keyed = split.select("_id", "host", "path", hashed(ruled).alias("keys"), hashed(bare_hosts).alias("bare"))
     kind = dict(pages.dtypes)[id_col]
     return keyed.mapInArrow(decide, f"_id {kind}, host string, path string, rule string, verdict string").withColumnRenamed("_id", id_col)
 

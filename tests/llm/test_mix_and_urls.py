@@ -61,6 +61,24 @@ def test_mixed_rows_agree_with_the_plan(spark):
     assert all(r.n == 1 for r in parts)
 
 
+def test_blocks_follow_the_words(spark):
+    docs = corpus(spark, 300)
+    small, large = (source_mix.WORDS_A_BLOCK, 2)
+    held = {}
+    for words in (small, large):
+        source_mix.WORDS_A_BLOCK = words
+        try:
+            held[words] = source_mix.plan(docs)[3]
+        finally:
+            source_mix.WORDS_A_BLOCK = small
+    assert held[small] == source_mix.BLOCKS and held[large] > source_mix.BLOCKS
+
+
+def test_targets_of_many_sources_take_linear_time():
+    t = source_mix.targets([1 + i % 7 for i in range(200_000)])
+    assert sum(t) == pytest.approx(sum(1 + i % 7 for i in range(200_000)))
+
+
 def test_empty_mix(spark):
     docs = corpus(spark, 3).limit(0)
     assert source_mix.mixture(docs).count() == 0 and source_mix.mixed(docs).count() == 0
@@ -102,7 +120,8 @@ def decide(url, rules, blocked):
 
 
 URLS = [None, "", "no scheme", "http://", "http://EXAMPLE.com/en/x", "https://a.example.com/en/?q", "http://www.example.com/en/1", "http://deep.www.example.com/en/1#t", "http://x.net/es/1", "http://x.net/fr", "http://x.net/fr/", "ftp://notexample.com/en/",
-        "http://spam-farm.example.org/en/1", "http://a.spam-farm.example.org?x=http://example.com/en/", "http://com/", "http://x.com", "http://x.com#/en/", "http://É.net/es/", "http://a..net/fr/", "http://x.com/en/" + "p" * 50_000, "x://y://example.com/en/"]
+        "http://spam-farm.example.org/en/1", "http://a.spam-farm.example.org?x=http://example.com/en/", "http://com/", "http://x.com", "http://x.com#/en/", "http://É.net/es/", "http://a..net/fr/", "http://x.com/en/" + "p" * 50_000, "x://y://example.com/en/",
+        "http://" + "a." * 30_000 + "www.example.com/en/", "http://" + "." * 30_000 + "net/es/"]
 
 
 def test_verdicts(spark):
