@@ -22,8 +22,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pre-tokens that a task remembers before it forgets them all.
-MEMO = 400_000
+#: Pre-tokens that a task remembers before it forgets them all, and characters of one: longer ones are encoded anew.
+MEMO, MEMO_CHARS = 400_000, 64
 
 
 def load_ranks(path: str) -> list[bytes]:
@@ -139,9 +139,11 @@ class Memo(dict):
         self.codec = codec
 
     def __missing__(self, token: str) -> bytes:
-        if len(self) >= MEMO:
-            self.clear()
-        self[token] = out = np.array(self.codec.pieces(token.encode()), dtype="<u4").tobytes()
+        out = np.array(self.codec.pieces(token.encode()), dtype="<u4").tobytes()
+        if len(token) <= MEMO_CHARS:
+            if len(self) >= MEMO:
+                self.clear()
+            self[token] = out
         return out
 
 

@@ -14,8 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words that a task remembers before it forgets them all.
-MEMO = 400_000
+#: Words that a task remembers before it forgets them all, and bytes of one: longer ones are counted anew.
+MEMO, MEMO_BYTES = 400_000, 64
 CHUNK = 1 << 20
 
 
@@ -85,9 +85,11 @@ class Memo(dict):
         self.automaton, self.mark = automaton, mark
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMO:
-            self.clear()
-        self[word] = n = self.automaton.count(self.mark + word)
+        n = self.automaton.count(self.mark + word)
+        if len(word) <= MEMO_BYTES:
+            if len(self) >= MEMO:
+                self.clear()
+            self[word] = n
         return n
 
 

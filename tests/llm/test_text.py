@@ -165,3 +165,12 @@ def test_licence_held_out_variations(licences):
     named = lambda text: (lambda p: licences.classes[p.argmax()] if p.max() >= licences.least else license_scan.UNKNOWN)(licences.probabilities(text))
     right = [named(t) == f for t, f in examples]
     assert np.mean(right) > 0.9
+
+
+def test_memos_hold_short_words_only(codec, reference):
+    code = codec.encoder()
+    long = "x" * (byte_bpe.MEMO_CHARS + 1)
+    assert np.frombuffer(code(f"a {long}"), dtype="<u4").tolist() == reference.encode_ordinary(f"a {long}")
+    assert set(code.memo) == {"a"}
+    memo = token_count.Memo(token_count.Automaton([b" a"], [b"a"]), b" ")
+    assert memo[b"aa"] == 2 and memo[b"a" * 100] == 100 and set(memo) == {b"aa"}
