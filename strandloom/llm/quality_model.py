@@ -155,7 +155,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.binary())], ["_id", "_y", "bag"])
 
     known = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text")).join(chosen, "_id").select("_id", "_y", "_text")
-    rows = sorted(known.mapInArrow(run, f"_id {kind}, _y int, bag binary").collect(), key=lambda r: (r["_id"], r["bag"]))
+    bags = known.mapInArrow(run, f"_id {kind}, _y int, bag binary").groupBy("_id").agg(F.first("_y").alias("_y"), F.min("bag").alias("bag"))  # one row an identifier, so the bound holds
+    rows = sorted(bags.collect(), key=lambda r: r["_id"])
     return fit([np.frombuffer(r["bag"], dtype=np.float32).reshape(-1, N_FEATURES) for r in rows], [r["_y"] for r in rows])
 
 
