@@ -154,17 +154,28 @@ def _extra(key, left="_left", words="words", last="_last"):
     return F.coalesce((F.col(left) >= F.col(words)) & (F.col(left) > 0) | (F.col(left) > 0) & (key <= F.col(last)), F.lit(False))
 
 
-def mixture(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
+def mixture(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", shards: int | None = None, seed: int = SEED, blocks: int | None = None, **how) -> DataFrame:
     """One row a document: ``id_col, size, source_size, target, taken``.
 
     ``size`` is its number of words (null text: 0), ``target`` its source's share, ``taken`` the words of it that the
-    mix takes, each repeat counted, never over ``most`` times its size.  A null source is a source, the last in order.
-    Documents without words take nothing.  Rows that repeat an identifier are taken together.  Columns that are not
-    named are not read.  An empty table gives an empty result.  The same rows, weights and seed give the same answer.
+    mix takes, each repeat counted, never over ``most`` times its size.  The mix is made for it: rows are dealt to their
+    shards with their texts and shuffled there, and ``taken`` counts what arrives.  A null source is a source, the last
+    in order.  Documents without words or draws take nothing.  Rows that repeat an identifier are taken together.
+    Columns that are not named are not read.  An empty table gives an empty result.  The same rows, weights and seed give
+    the same answer.
     """
-    sizes, placed, _, _ = plan(docs, id_col, text, source, **how)
-    both = sizes.alias("a").join(placed.alias("b"), _same("a", "b", "_source", "_block"))
-    return both.select(F.col("a._id").alias(id_col), "size", "source_size", "target", (F.col("size") * (F.col("_passes") + _extra(F.col("_key")).cast("int"))).cast("long").alias("taken"))
+    docs = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text"), F.col(source).alias("_name"))
+    planned = plan(docs, "_id", "_text", "_name", blocks=blocks, seed=seed, **how)
+    sizes, placed, _, _ = planned
+    dealt = materialize(_dealt(docs, planned, "_id", "_name", shards, seed).select("_id", F.col("_name").alias("_source"), word_count(F.col("_text")).alias("size")), "mix-dealt")
+    # Rows with one identifier, source and size cannot be told apart: each takes an equal part of their draws.
+    same = ("_id", "_source", "size")
+    drawn, rows = dealt.groupBy(*same).agg(F.count(F.lit(1)).alias("_drawn")), sizes.groupBy(*same).agg(F.count(F.lit(1)).alias("_rows"))
+    each = rows.alias("r").join(drawn.alias("d"), _same("r", "d", *same), "left").select("r.*", F.coalesce("_drawn", F.lit(0)).alias("_drawn"))
+    each = each.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_rows")))
+    held = placed.select("_source", "source_size", "target").distinct()  # one row a source
+    both = each.alias("a").join(held.alias("b"), _same("a", "b", "_source"))
+    return both.select(F.col("a._id").alias(id_col), "size", "source_size", "target", (F.col("size") * F.col("_drawn") / F.col("_rows")).cast("long").alias("taken"))
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", shards: int | None = None, seed: int = SEED, blocks: int | None = None, **how) -> DataFrame:
@@ -174,8 +185,13 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: s
     tree says how long each run is.  Runs are disjoint and cover every draw.  Rows are partitioned by shard and ordered
     by a seeded hash inside it.  Without a number of ``shards`` it follows the words, so a shard's size has a bound.
     """
+    return _dealt(docs, plan(docs, id_col, text, source, blocks=blocks, seed=seed, **how), id_col, source, shards, seed)
+
+
+def _dealt(docs: DataFrame, planned: tuple[DataFrame, DataFrame, list[tuple], int], id_col: str, source: str, shards: int | None, seed: int) -> DataFrame:
+    """The rows of ``docs`` dealt to shards by what ``plan`` says of them."""
     spark = docs.sparkSession
-    _, placed, sources, blocks = plan(docs, id_col, text, source, blocks=blocks, seed=seed, **how)
+    _, placed, sources, blocks = planned
     shards = shards or max(SHARDS, sum(words for _, _, words in sources) // WORDS_A_SHARD)
     dealt = split_tree([k for _, k, _ in sources], shards, seed)
     runs = []

@@ -61,6 +61,32 @@ def test_mixed_rows_agree_with_the_plan(spark):
     assert all(r.n == 1 for r in parts)
 
 
+def test_mixture_counts_what_is_dealt(spark, monkeypatch):
+    docs = corpus(spark, 300)
+    whole = {r.doc_id: r.taken for r in source_mix.mixture(docs, shards=4, blocks=16).collect()}
+    tree = source_mix.split_tree
+
+    def without_first(*a):
+        out = tree(*a)
+        out[0] = 0
+        return out
+
+    monkeypatch.setattr(source_mix, "split_tree", without_first)
+    part = {r.doc_id: r.taken for r in source_mix.mixture(docs, shards=4, blocks=16).collect()}
+    assert part.keys() == whole.keys() and all(part[k] <= whole[k] for k in whole) and 0 < sum(part.values()) < sum(whole.values())
+
+
+def test_mixture_of_repeated_rows(spark):
+    docs = corpus(spark, 300).drop("size")
+    again = docs.filter("doc_id % 5 = 0").unionByName(docs.filter("doc_id % 10 = 0").withColumn("text", F.lit("w w")))
+    docs = docs.unionByName(again)
+    sizes, placed, _, _ = source_mix.plan(docs, blocks=16)
+    want = sizes.alias("a").join(placed.alias("b"), source_mix._same("a", "b", "_source", "_block"))
+    want = want.select("_id", "size", (F.col("size") * (F.col("_passes") + source_mix._extra(F.col("_key")).cast("int"))).cast("long").alias("taken"))
+    out = source_mix.mixture(docs, blocks=16).select("doc_id", "size", "taken")
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_blocks_follow_the_words(spark):
     docs = corpus(spark, 300)
     small, large = (source_mix.WORDS_A_BLOCK, 2)
