@@ -95,8 +95,17 @@ def local_screen(df: DataFrame, known: DataFrame, sequence: str, known_sequence:
     return df.join(close, F.col(sequence) == F.col("a_s"), "left_anti")
 
 
-def cosine_pairs(df: DataFrame, key: str, vector: str, queries: DataFrame, cosine) -> DataFrame:
-    """Similarity of each stated query row to every row: queries are broadcast, rows are not."""
-    q = queries.select(F.col(key).alias("query"), F.col(vector).alias("_q"))
-    return df.join(F.broadcast(q), F.col(key) != F.col("query")).select("query", F.col(key).alias("other"), cosine(F.col(vector), F.col("_q")).alias("similarity"))
+#: Query rows that a task of ``cosine_pairs`` meets at a time.
+QUERY_BLOCK = 1_000
+
+
+def cosine_pairs(df: DataFrame, key: str, vector: str, queries: DataFrame, cosine, block: int = QUERY_BLOCK) -> DataFrame:
+    """Similarity of each stated query row to every row.
 
+    Queries are dealt over blocks of about ``block`` rows; each task meets one part of the rows with one block, so no
+    task or executor holds the whole query side, however many queries there are.
+    """
+    q = queries.select(F.col(key).alias("query"), F.col(vector).alias("_q"))
+    blocks = max(1, -(-q.count() // block))
+    q = q.repartition(blocks, F.xxhash64("query")).hint("shuffle_replicate_nl")
+    return df.select(key, vector).join(q, F.col(key) != F.col("query")).select("query", F.col(key).alias("other"), cosine(F.col(vector), F.col("_q")).alias("similarity"))

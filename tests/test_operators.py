@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from strandloom.functions import sequence
+from strandloom.functions import sequence, similarity
 from strandloom.operators import aggregate, curate, graph, models, ranking, search, select, similar, verify
 
 
@@ -199,3 +199,16 @@ def test_draws_match_hypergeometric(spark):
     p = select.simulate_draws(df, "k", "q", "a", "t", "ok", 25, 20000).first()["prob_at_least_1"]
     want = aggregate.hypergeometric_tail(frame(spark, [(100, 8, 25, 1)], "n int, k int, d int, x int"), "n", "k", "d", "x").first()["tail_probability"]
     assert abs(p - want) < 4 * (want * (1 - want) / 20000) ** 0.5 + 1e-4
+
+
+def test_cosine_queries_are_met_in_blocks(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(60, 3))
+    df = frame(spark, [(i, v.tolist()) for i, v in enumerate(x)], "k long, v array<double>").repartition(3)
+    out = similar.cosine_pairs(df, "k", "v", df.filter("k % 2 = 0"), similarity.cosine, block=7)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "CartesianProduct" in plan
+    n = x / np.linalg.norm(x, axis=1)[:, None]
+    got = {(r.query, r.other): r.similarity for r in out.collect()}
+    assert got.keys() == {(a, b) for a in range(0, 60, 2) for b in range(60) if a != b}
+    assert all(abs(v - n[a] @ n[b]) < 1e-9 for (a, b), v in got.items())
