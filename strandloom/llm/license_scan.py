@@ -4,7 +4,8 @@ Multinomial logistic regression over word unigrams and bigrams is fitted on the
 ``TEMPLATES`` and seeded variations of them, against an unknown class of sentences that share their words.  A temperature
 and a least probability, fitted on variations kept apart, calibrate it: below that probability a paragraph is unknown.
 What remains has to be confirmed: a statement of the predicted family must be in the paragraph to four fifths, counted in
-bigrams.
+bigrams.  Paragraphs stand between blank lines, so a wrapped notice is one; each line of one is also judged by itself.
+A family that is not the most probable is confirmed where every bigram of one of its statements is in the paragraph.
 
 Scoring is one pass of DataFrame functions, without a shuffle: only paragraphs with an anchor term are tokenised, their
 n-grams are intersected with the vocabulary, and the weights of what is left are added up inside the row.
@@ -46,7 +47,11 @@ OTHERWISE = (
     "the foundation published general terms", "commons and public domain are old words", "conditions are met and the work is permitted", "all rights and duties of the tenants",
 )
 #: A paragraph without one of these is not looked at; every statement has one.
-ANCHORS = r"(?i)licen[cs]|copyright|permission|redistribut|public domain|rights reserved|at your option"
+ANCHORS = r"(?i)licen[cs]|copyright|permission|redistribut|public\W+domain|rights\W+reserved|at\W+your\W+option"
+#: Statements that notices of other families hold too, and the bigrams that tell such a notice.
+SHARED = {"either version 3 of the License, or (at your option) any later version": ("gnu lesser", "gnu affero")}
+#: What stands between paragraphs.
+BLANK = r"\n(?:[\x20\x09\x0B-\x0D]*\n)+"
 #: Share of a statement's bigrams that has to be in the paragraph.
 CONFIRM = 0.8
 SEED, VARIANTS, STEPS, RATE, DECAY = 5, 14, 200, 0.5, 2e-3
@@ -151,15 +156,20 @@ def _array(values) -> Column:
 
 
 def paragraphs(docs: DataFrame, id_col: str = "doc_id", text: str = "text", model: Model | None = None) -> DataFrame:
-    """``_id`` and ``found``: an array of (paragraph, family, probability, confirmed), one for each paragraph with an anchor.
+    """``_id`` and ``found``: an array of (paragraph, family, probability, confirmed, sure), one for each paragraph with an
+    anchor and for each such line of a paragraph of several lines.
 
-    Paragraphs are lines, numbered from zero.
+    Paragraphs stand between blank lines and are numbered from zero.  ``family`` is the most probable, ``sure`` holds
+    all confirmed families with their probabilities.
     """
     model = model or train()
     k = len(model.classes)
     weights = F.map_from_arrays(_array(model.vocabulary), F.array(*[_array(row.tolist()) for row in model.weights]))
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text"))
-    held = F.when(F.col("_text").rlike(ANCHORS), F.filter(F.transform(F.split("_text", "\n"), lambda p, i: F.struct(i.alias("at"), p.alias("p"))), lambda s: s["p"].rlike(ANCHORS)))
+    parts = F.transform(F.split("_text", BLANK), lambda p, i: F.struct(i.alias("at"), p.alias("p")))
+    lines = lambda s: F.when(s["p"].contains("\n"), F.transform(F.split(s["p"], "\n"), lambda p: F.struct(s["at"].alias("at"), p.alias("p")))).otherwise(F.array().cast("array<struct<at:int,p:string>>"))
+    anchored = lambda units: F.filter(units, lambda s: s["p"].rlike(ANCHORS))
+    held = F.when(F.col("_text").rlike(ANCHORS), anchored(F.flatten(F.transform(anchored(parts), lambda s: F.concat(F.array(s), lines(s))))))
     rows = rows.select("_id", F.coalesce(held, F.array().cast("array<struct<at:int,p:string>>")).alias("_held"))
     rows = rows.withColumn("_ws", F.transform("_held", lambda s: F.transform(F.regexp_extract_all(s["p"], F.lit("([A-Za-z0-9]+)"), F.lit(1)), F.lower)))
     two = F.transform("_ws", lambda ws: F.array_distinct(F.zip_with(ws, F.slice(ws, 2, F.greatest(F.size(ws) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))))
@@ -171,14 +181,20 @@ def paragraphs(docs: DataFrame, id_col: str = "doc_id", text: str = "text", mode
     rows = rows.withColumn("_e", F.transform("_z", lambda z: F.transform(z, lambda x: F.exp(x - F.array_max(z)))))
     best = F.transform("_e", lambda e: F.struct(F.element_at(_array(model.classes), F.array_position(e, F.array_max(e)).cast("int")).alias("family"), (F.array_max(e) / F.aggregate(e, F.lit(0.0), lambda a, x: a + x)).alias("probability")))
     rows = rows.withColumn("_best", best)
-    statements = F.array(*[F.struct(F.lit(f).alias("family"), _array(pairs(words(t))).alias("two")) for f, ts in TEMPLATES.items() for t in ts])
+    none = F.array().cast("array<string>")
+    statements = F.array(*[F.struct(F.lit(f).alias("family"), _array(pairs(words(t))).alias("two"), (_array(SHARED[t]) if t in SHARED else none).alias("unless")) for f, ts in TEMPLATES.items() for t in ts])
 
     def verdict(z: Column) -> Column:
         named = (z["_best"]["family"] != UNKNOWN) & (z["_best"]["probability"] >= model.least)
-        inside = F.exists(statements, lambda s: (s["family"] == z["_best"]["family"]) & (F.size(F.array_intersect(s["two"], z["_two"])) >= CONFIRM * F.size(s["two"])))
-        return F.struct(z["_held"]["at"].alias("paragraph"), F.when(named, z["_best"]["family"]).otherwise(UNKNOWN).alias("family"), z["_best"]["probability"].alias("probability"), (named & inside).alias("confirmed"))
-
-    zipped = F.arrays_zip(*[F.col(c).alias(c) for c in ("_held", "_two", "_best")])
+        top = lambda x: named & (x["family"] == z["_best"]["family"])
+        holds = lambda x: F.size(F.array_intersect(x["two"], z["_two"])) >= F.when(top(x), CONFIRM).otherwise(1.0) * F.size(x["two"])
+        mine = F.filter(statements, lambda x: holds(x) & (top(x) | ~F.arrays_overlap(x["unless"], z["_two"])))
+        share = lambda f: F.element_at(z["_e"], F.array_position(_array(model.classes), f).cast("int")) / F.aggregate(z["_e"], F.lit(0.0), lambda a, x: a + x)
+        sure = F.transform(F.array_distinct(F.transform(mine, lambda x: x["family"])), lambda f: F.struct(share(f).alias("p"), f.alias("f")))
+        family = F.when(named, z["_best"]["family"]).otherwise(UNKNOWN)
+        return F.struct(z["_held"]["at"].alias("paragraph"), family.alias("family"), z["_best"]["probability"].alias("probability"), (F.size(sure) > 0).alias("confirmed"), sure.alias("sure"))
+
+    zipped = F.arrays_zip(*[F.col(c).alias(c) for c in ("_held", "_two", "_e", "_best")])
     assert k == model.weights.shape[1]
     return rows.select("_id", F.transform(zipped, verdict).alias("found"))
 
@@ -194,11 +210,13 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", model: Mod
     found = paragraphs(docs, id_col, text, model)
     sure = F.filter("found", lambda x: x["confirmed"])
     rows = found.withColumn("_sure", sure)
-    top = F.array_max(F.transform("_sure", lambda x: F.struct(x["probability"].alias("p"), x["family"].alias("f"))))
+    all_ = F.flatten(F.transform("_sure", lambda x: x["sure"]))
+    top = F.array_max(all_)
+    places = lambda c: F.array_distinct(F.transform(c, lambda x: x["paragraph"]))
     return rows.select(
         F.col("_id").alias(id_col),
         F.when(F.size("_sure") > 0, top["f"]).when(F.size("found") > 0, F.lit(UNKNOWN)).otherwise(F.lit("none")).alias("family"),
-        F.array_sort(F.array_distinct(F.transform("_sure", lambda x: x["family"]))).alias("families"),
-        top["p"].alias("probability"), F.size("found").cast("long").alias("n_paragraphs"), F.size("_sure").cast("long").alias("n_confirmed"),
-        F.transform("_sure", lambda x: x["paragraph"]).alias("where"),
+        F.array_sort(F.array_distinct(F.transform(all_, lambda x: x["f"]))).alias("families"),
+        top["p"].alias("probability"), F.size(places("found")).cast("long").alias("n_paragraphs"), F.size(places("_sure")).cast("long").alias("n_confirmed"),
+        places("_sure").alias("where"),
     )

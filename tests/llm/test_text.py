@@ -151,6 +151,21 @@ def test_licences(spark, licences):
     assert license_scan.scan(docs.limit(0), model=licences).count() == 0
 
 
+GRANT = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction"
+CLAUSE = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:"
+NOTICE = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU {}General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version."
+WRAPPED = [
+    (GRANT, ["mit"], [0]), (f"some words\n\n{CLAUSE}\n\nmore", ["bsd"], [1]), ("# " + CLAUSE.replace("\n", "\r\n# "), ["bsd"], [0]), (NOTICE.format(""), ["gpl-3.0"], [0]), (NOTICE.format("Lesser "), ["lgpl"], [0]), (NOTICE.format("Affero "), ["agpl-3.0"], [0]),
+    ("Copyright of one.\nAll rights\nreserved.", ["reserved"], [0]), ("Released under the MIT License or licensed under the Apache License, Version 2.0", ["apache-2.0", "mit"], [0]), (f"{GRANT}\n \n{CLAUSE}", ["bsd", "mit"], [0, 1]), ("the license of the boat\nexpired", [], []),
+]
+
+
+def test_wrapped_and_double_notices(spark, licences):
+    docs = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(WRAPPED)], "doc_id long, text string")
+    got = {r.doc_id: (list(r.families), list(r.where)) for r in license_scan.scan(docs, model=licences).collect()}
+    assert [got[i] for i in range(len(WRAPPED))] == [(f, w) for _, f, w in WRAPPED]
+
+
 def test_licence_scores_equal_numpy(spark, licences):
     docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(CASES) if t and "\n" not in t], "doc_id long, text string")
     for r in license_scan.paragraphs(docs, model=licences).collect():
