@@ -1,7 +1,8 @@
 """The registered queries and their SQL.
 
 The test tables hold no biological sequences.  ``derived`` makes residue texts from documents, and events, parts and
-orders stand for assays, candidates and provenance.  Every query runs over its whole tables.
+orders stand for assays, candidates and provenance.  Every query runs over all rows of its tables,
+but ``derived`` keeps only the first fifty residues of each text.
 """
 
 from __future__ import annotations
