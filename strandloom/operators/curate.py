@@ -11,14 +11,23 @@ from strandloom.functions.sequence import sequence_id, validity
 from strandloom.storage import materialize
 
 
+def row_hash(df: DataFrame, names: Sequence[str], seed: int = 0) -> Column:
+    """A 64-bit hash of the named columns of a row; nulls count, and maps, which have no hash, are hashed as text."""
+    parts = []
+    for name in names:
+        kind, c = df.schema[name].dataType.simpleString(), F.col(f"`{name}`")
+        parts += [c.cast("string") if "map<" in kind or "variant" in kind else c, c.isNull()]
+    return F.xxhash64(F.lit(seed), *parts)
+
+
 def first_wins(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """One row a key: the first by ``order``.
 
     The least row is found by map-side minima, so a key that holds a third of all rows costs no more than another.
-    Nulls in ``order`` come first; a null key is a key.
+    Nulls in ``order`` come first; a null key is a key.  Rows that tie are settled by a hash of their columns.
     """
     rest = [c for c in df.columns if c not in keys]
-    by = F.struct(*[F.col(c) for c in order], F.xxhash64(*[F.col(c) for c in rest])) if rest else F.lit(0)
+    by = F.struct(*[F.col(c) for c in order], row_hash(df, rest)) if rest else F.lit(0)
     best = df.groupBy(*keys).agg(F.min_by(F.struct(*[F.col(c) for c in rest]), by).alias("_row"))
     return best.select(*[F.col(c) if c in keys else F.col("_row")[c].alias(c) for c in df.columns])
 

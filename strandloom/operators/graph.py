@@ -11,47 +11,64 @@ from pyspark.sql import functions as F
 
 from strandloom.operators.curate import number_rows
 from strandloom.operators.similar import similar_pairs
-from strandloom.storage import materialize
+from strandloom.storage import materialize, scratch
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """``node, root`` for every node of ``edges`` (columns ``a, b``, any order, repeats allowed); root is one node of its component.
+def _contract(edges: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
+    """Where every node of ``edges`` points to, and the edges between what is left.
 
-    In each round a node points to the smallest of itself and its neighbours, edges are moved to what their ends point
-    to, and loops and repeats go.  At least half of the nodes go in a round, so rounds are logarithmic in the longest
-    path, and later ones are small.  A hub with any number of neighbours is reduced by map-side minima; its edges meet
-    the pointers in a plain shuffle join, which adaptive skew handling can split.  Every round is written to the shared
-    folder, so lineage stays short.
+    A node points to the least of itself and its neighbours, in the natural order in turn 0 and in the order of a
+    hash of its own in every other turn.
     """
-    edges = materialize(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-    rounds: list[DataFrame] = []
-    while not edges.isEmpty():
-        both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        points = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("to")).withColumnRenamed("a", "node"), "points")
-        rounds.append(points)
-        moved = edges.join(points.select(F.col("node").alias("a"), F.col("to").alias("ta")), "a").join(points.select(F.col("node").alias("b"), F.col("to").alias("tb")), "b")
-        edges = materialize(moved.filter("ta <> tb").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct(), "edges")
-    if not rounds:
-        return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    if turn:
+        place = lambda c: F.struct(F.xxhash64(F.lit(turn), F.col(c)).alias("at"), F.col(c).alias("node"))
+        to = F.least(F.min(place("b")), F.min(place("a")))["node"]
+    else:
+        to = F.least(F.min("b"), F.min("a"))
+    points = materialize(both.groupBy(F.col("a").alias("node")).agg(to.alias("to")), "points")
+    moved = edges.join(points.select(F.col("node").alias("a"), F.col("to").alias("ta")), "a").join(points.select(F.col("node").alias("b"), F.col("to").alias("tb")), "b")
+    return points, materialize(moved.filter("ta <> tb").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct(), "edges")
 
-    def follow(found: DataFrame, points: DataFrame) -> DataFrame:
-        """One more round behind what is known: nodes that are no more in it stay where they are."""
-        step = found.join(points.select(F.col("node").alias("root"), "to"), "root", "left")
-        return step.select("node", F.coalesce("to", "root").alias("root"))
 
-    return materialize(reduce(follow, rounds[1:], rounds[0].select("node", F.col("to").alias("root"))), "roots")
+def components(edges: DataFrame) -> DataFrame:
+    """``node, root`` for every node of ``edges`` (columns ``a, b``, any order, repeats allowed); root is one node of its component.
+
+    In each turn a node points to the least of itself and its neighbours, edges move to what their ends point to, and
+    loops and repeats go.  The first turn takes the natural order, which settles stars around their smallest node; each
+    later turn orders nodes by a new hash.  In a random order about half of a path's nodes are nobody's least
+    neighbour, so the turns are logarithmic in the number of nodes, whatever their names; and the largest node of a
+    component always goes, so they end.  A hub is reduced by map-side minima; its edges meet the pointers, which come
+    from storage, in a plain shuffle join, which adaptive skew handling can split.
+
+    The pointers are then composed from the last turn to the first: each step is one join of two written tables, and
+    since tables shrink from turn to turn, all steps together cost about as much as the first.  Nulls are no nodes.
+    """
+    with scratch(edges.sparkSession):
+        edges = materialize(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+        turns: list[DataFrame] = []
+        while not edges.isEmpty():
+            points, edges = _contract(edges, len(turns))
+            turns.append(points)
+        roots = turns.pop().withColumnRenamed("to", "root") if turns else edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        while turns:
+            later = roots.select(F.col("node").alias("to"), F.col("root").alias("_root"))  # a node without edges stays where it is
+            roots = turns.pop().join(later, "to", "left").select("node", F.coalesce("_root", "to").alias("root"))
+            roots = materialize(roots, "roots") if turns else roots
+        return materialize(roots, "roots", outlives=True)
 
 
 def clusters(nodes: DataFrame, edges: DataFrame, key: str) -> DataFrame:
     """``key, root, cluster_size`` for every node; root is the smallest key of its cluster, a node without edges its own.
 
-    ``edges`` has columns ``a`` and ``b``.
+    ``edges`` has columns ``a`` and ``b``.  A cluster may hold a third of all nodes: what its nodes are joined to is
+    written first, so both sides of a join are exchanged and a hot root can be split.
     """
     found = components(edges.select("a", "b"))
-    least = found.groupBy("root").agg(F.min("node").alias("least"))
+    least = materialize(found.groupBy("root").agg(F.min("node").alias("least")), "least")
     named = found.join(least, "root").select(F.col("node").alias(key), F.col("least").alias("_least"))
-    out = nodes.select(key).distinct().join(named, key, "left").select(key, F.coalesce("_least", key).alias("root"))
-    sizes = out.groupBy("root").agg(F.count(F.lit(1)).alias("cluster_size"))
+    out = materialize(nodes.select(key).distinct().join(named, key, "left").select(key, F.coalesce("_least", key).alias("root")), "clustered")
+    sizes = materialize(out.groupBy("root").agg(F.count(F.lit(1)).alias("cluster_size")), "sizes")
     return out.join(sizes, "root").select(key, "root", "cluster_size")
 
 

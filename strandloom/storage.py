@@ -4,19 +4,31 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Folders made for applications that name none, by application.
+#: Folders made for local sessions that name none, by application.
 _own: dict[str, str] = {}
+#: What each open ``scratch`` of an application has to delete.
+_scopes: dict[str, list[list[str]]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a temporary folder of its own only where that is unset (tests)."""
+    """The session's ``spark.checkpoint.dir``.
+
+    Where that is unset, a session on one machine (a local master, as in tests) gets a folder of its own; on a cluster
+    it is an error, since executors could not read what others write to their own disks.
+    """
     held = spark.conf.get("spark.checkpoint.dir", "") or ""
     if not held:
-        app = spark.sparkContext.applicationId
-        held = _own.setdefault(app, _own.get(app) or tempfile.mkdtemp(prefix="strandloom-"))
+        context = spark.sparkContext
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        if context.applicationId not in _own:
+            _own[context.applicationId] = tempfile.mkdtemp(prefix="strandloom-")
+        held = _own[context.applicationId]
     return held.rstrip("/")
 
 
@@ -29,19 +41,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, outlives: bool = False) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
     This cuts lineage: what follows survives the loss of any executor, because the files are on storage that all
-    executors share.  Every call gets a folder of its own, below one folder for the application.
+    executors share.  Every call gets a folder of its own, below one folder for the application.  A table that
+    ``outlives`` the innermost ``scratch`` is left to the one around it.
     """
     spark = df.sparkSession
     path = f"{_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if scopes := _scopes.get(spark.sparkContext.applicationId):
+        if len(scopes) > outlives:
+            scopes[-1 - outlives].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def release(spark: SparkSession) -> None:
     """Delete what this application has written to the shared folder; call it when no result is read any more."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_folder(spark))
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    _delete(spark, _folder(spark))
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end what ``materialize`` has written inside it: for work whose result is written before."""
+    held = _scopes.setdefault(spark.sparkContext.applicationId, [])
+    held.append([])
+    try:
+        yield
+    finally:
+        for path in held.pop():
+            _delete(spark, path)

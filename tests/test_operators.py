@@ -19,6 +19,11 @@ def test_first_wins_and_best(spark):
     assert {(r.k, r.o) for r in curate.best_of(df, ["k"], "o").collect()} == {("a", 2), ("b", 3), (None, 1)}
 
 
+def test_first_wins_of_maps(spark):
+    df = spark.sql("select * from values (1, map('a', 1), named_struct('m', map('b', 2))), (1, map('a', 2), null), (2, null, null) as t(k, m, s)")
+    assert sorted(r.k for r in curate.first_wins(df, ["k"], ["k"]).collect()) == [1, 2]
+
+
 def test_merge_domains(spark):
     df = frame(spark, [("ACD", "vae", "v1", 2), ("ACD", "ar", "a1", 1), ("ACE", "ar", "a2", 3)], "s string, d string, i string, o int")
     rows = {r.s: r for r in aggregate.merge_domains(df, "s", "d", "i", None, ["o"]).collect()}
@@ -37,6 +42,45 @@ def test_clusters_and_split(spark):
     assert aggregate.leakage(split, "cluster_id", "split").count() == 0
 
 
+def united(edges):
+    """Groups by union-find."""
+    parent = {}
+
+    def find(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        parent[find(a)] = find(b)
+    return grouped({x: find(x) for x in parent})
+
+
+def grouped(roots):
+    out = {}
+    for k, v in roots.items():
+        out.setdefault(v, set()).add(k)
+    return {frozenset(x) for x in out.values()}
+
+
+def test_turns_of_components_are_logarithmic(spark, monkeypatch):
+    contract, turns = graph._contract, []
+    monkeypatch.setattr(graph, "_contract", lambda edges, turn: turns.append(turn) or contract(edges, turn))
+    rng = np.random.default_rng(3)
+    graphs = {
+        "path": [(i, i + 1) for i in range(9_999)], "star": [(0, i) for i in range(1, 3_000)],
+        "random": [(int(a), int(b)) for a, b in rng.integers(0, 2_000, (1_500, 2)) if a != b],
+    }
+    for name, edges in graphs.items():
+        turns.clear()
+        found = graph.components(frame(spark, edges, "a long, b long"))
+        assert grouped({r.node: r.root for r in found.collect()}) == united(edges), name
+        assert len(turns) <= {"path": 20, "star": 1, "random": 20}[name]
+        assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 0
+
+
 def test_components_against_union_find(spark):
     rng = np.random.default_rng(1)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(1000 + i, 1001 + i) for i in range(60)] + [(5000, 5001 + i) for i in range(40)]
