@@ -3,7 +3,8 @@
 Three combines, each of which groups by the whole normalised text beside its digest, so two texts are only ever
 merged when their contents are equal:
 
-1. locally, by the map-side half of the first aggregation;
+1. locally: every row of a task has the task's salt, so the map-side half of the first aggregation leaves one row for
+   each text of a task;
 2. by digest and salt: a group of copies, however large, is spread over ``salts`` reducers;
 3. by digest: at most ``salts`` winners a text are left to combine.
 
@@ -22,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strandloom.operators.curate import row_hash
+
 #: Reducers over which the copies of one text are spread.
 SALTS = 16
 
@@ -44,43 +47,51 @@ def digests(docs: DataFrame, text: str = "text", norm: bool = True) -> DataFrame
     return docs.mapInArrow(run, schema)
 
 
+def _salt(salts: int):
+    """The salt of a task: all its copies of a text have one, so they are combined before they are sent."""
+    return F.pmod(F.spark_partition_id(), F.lit(salts))
+
+
 def winners(docs: DataFrame, id_col: str = "doc_id", text: str = "text", salts: int = SALTS) -> DataFrame:
     """One row for each distinct text: ``_sha, keep_id, group_size``.  Fails if two different texts share a digest."""
     rows = digests(docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text")), "_text").drop("_text")
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(salts)).cast("int"))
-    merged = salted.groupBy("_sha", "_salt", "_norm").agg(F.max("_id").alias("_id"), F.count(F.lit(1)).alias("_n"))
+    merged = rows.withColumn("_salt", _salt(salts)).groupBy("_sha", "_salt", "_norm").agg(F.max("_id").alias("_id"), F.count(F.lit(1)).alias("_n"))
     whole = merged.groupBy("_sha", "_norm").agg(F.max("_id").alias("keep_id"), F.sum("_n").alias("group_size"))
     one = whole.groupBy("_sha").agg(F.max("keep_id").alias("keep_id"), F.max("group_size").alias("group_size"), F.count(F.lit(1)).alias("_texts"))
     return one.select("_sha", "keep_id", F.when(F.col("_texts") == 1, F.col("group_size")).otherwise(F.raise_error(F.lit("two texts share one digest"))).cast("long").alias("group_size"))
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", salts: int = SALTS) -> DataFrame:
-    """One row a document: ``id_col, keep_id, group_size, kept, text_sha256``.
+    """One row for each row of ``docs``: ``id_col, keep_id, group_size, kept, text_sha256``.
 
     Texts are equal when identical after lower-casing A-Z; null counts as empty, so null and empty texts are one
     group.  Of equal texts the row with the largest identifier stays; null identifiers come before all others.  Rows
-    that repeat both identifier and text are one document: one row comes out, and each copy counts in ``group_size``.
-    Other columns of ``docs`` are not read and may have any name.  An empty table gives an empty result.
+    that repeat both identifier and text come out repeated, each counts in ``group_size``, and all of them are kept if
+    theirs is the largest identifier.  Other columns of ``docs`` are not read and may have any name.  An empty table
+    gives an empty result.
     """
     ids = digests(docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text")), "_text", norm=False).select("_id", "_sha")
     best = winners(docs, id_col, text, salts)
     # The key is the binary digest on both sides, so both get an exchange of their own and a hot digest can be split.
     joined = ids.withColumn("_key", F.unhex("_sha")).join(best.select(F.unhex("_sha").alias("_key"), "keep_id", "group_size"), "_key")
-    return joined.groupBy("_id", "_sha").agg(F.max("keep_id").alias("keep_id"), F.max("group_size").alias("group_size")).select(
-        F.col("_id").alias(id_col), "keep_id", "group_size", F.col("_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("_sha").alias("text_sha256")
-    )
+    return joined.select(F.col("_id").alias(id_col), "keep_id", "group_size", F.col("_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("_sha").alias("text_sha256"))
 
 
 def surviving(docs: DataFrame, id_col: str = "doc_id", text: str = "text", salts: int = SALTS) -> DataFrame:
-    """The whole rows of ``docs`` that :func:`exact_dedup` keeps, one for each distinct text, with their own columns."""
+    """One whole row of ``docs`` for each distinct text, with all its own columns: that with the largest identifier.
+
+    Texts are equal as in :func:`exact_dedup`: null and empty texts are one group, of which one row stays, with its text
+    as it was.  Null identifiers come before all others.  Of rows that share identifier and text that with the largest
+    hash of its columns stays, so repeated rows leave one.  Columns may have any names and types.  An empty table gives
+    an empty result.
+    """
     names = docs.columns
     plain = docs.toDF(*[f"_c{i}" for i in range(len(names))])
     at, body = (f"_c{names.index(x)}" for x in (id_col, text))
     rows = digests(plain, body)
-    hashed = [f.name for f in plain.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
     row = F.struct(*[F.col(f"_c{i}") for i in range(len(names))])
-    order = F.struct(F.col(at).alias("id"), F.xxhash64(*hashed).alias("hash"))  # the hash settles rows that share an identifier
-    salted = rows.select("_sha", F.pmod(F.xxhash64(at), F.lit(salts)).cast("int").alias("_salt"), "_norm", row.alias("_row"), order.alias("_by"))
+    order = F.struct(F.col(at).alias("id"), row_hash(plain, plain.columns).alias("hash"))
+    salted = rows.select("_sha", _salt(salts).alias("_salt"), "_norm", row.alias("_row"), order.alias("_by"))
     merged = salted.groupBy("_sha", "_salt", "_norm").agg(F.max_by("_row", "_by").alias("_row"), F.max("_by").alias("_by"))
     whole = merged.groupBy("_sha", "_norm").agg(F.max_by("_row", "_by").alias("_row"))
     return whole.select(*[F.col(f"_row._c{i}").alias(n) for i, n in enumerate(names)])

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.llm.common import materialize
+from strandloom.operators.curate import row_hash
 from strandloom.operators.graph import components
 
 SHINGLE, RADIUS, SEED, BLOCKS = 3, 3, 42, 4
@@ -65,7 +66,7 @@ def fingerprint(text: str, shingle: int = SHINGLE, seed: int = SEED) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``_id`` and ``fp`` (the fingerprint's bits as a signed long) of each row; null text counts as empty."""
-    kind = dict(docs.dtypes)[id_col]
+    kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -152,19 +153,42 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     component is null.  Repeated rows come out repeated, other columns are not read, an empty table gives an empty result.
     """
     rows = materialize(fingerprints(docs, id_col, text), "fingerprints")
-    known = materialize(rows.groupBy("fp").agg(F.min("_id").alias("first")), "fingerprint-set")
-    found = variants(known.select("fp"), blocks).repartition("key").sortWithinPartitions("key").mapInArrow(_collide, "a long, b long")
-    roots = components(found)
-    own = known.join(roots.withColumnRenamed("node", "fp"), "fp")
-    least = own.groupBy("root").agg(F.min("first").alias("least"))
-    linked = materialize(own.join(least, "root").select("fp", "least"), "linked")
-    final = materialize(known.join(linked, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id")), "fingerprint-components")
+    final = _components(materialize(rows.groupBy("fp").agg(F.min("_id").alias("first")), "fingerprint-set"), blocks)
     out = rows.join(final, "fp")  # two tables on storage: both get an exchange, and a hot fingerprint can be split
-    return out.select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return out.select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("least").alias("component_id"))
+
+
+def _components(known: DataFrame, blocks: int) -> DataFrame:
+    """``fp, least`` for every fingerprint of ``known`` (``fp, first``): the smallest ``first`` of its component, written.
 
+    One row a fingerprint: a component may hold a third of them, so what they are joined to is written first and both
+    sides of each join are exchanged.
+    """
+    found = variants(known.select("fp"), blocks).repartition("key").sortWithinPartitions("key").mapInArrow(_collide, "a long, b long")
+    own = materialize(known.join(components(found).withColumnRenamed("node", "fp"), "fp"), "rooted")
+    least = materialize(own.groupBy("root").agg(F.min("first").alias("least")), "least")
+    linked = own.join(least, "root").select(F.col("fp").alias("_fp"), "least")
+    return materialize(known.join(linked, F.col("fp") == F.col("_fp"), "left").select("fp", F.when(F.col("_fp").isNull(), F.col("first")).otherwise(F.col("least")).alias("least")), "fingerprint-components")
 
-def representatives(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` without those whose component has a smaller identifier."""
-    groups = near_duplicates(docs, id_col, text)
-    gone = groups.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone"))
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text: str = "text", blocks: int = BLOCKS) -> DataFrame:
+    """One row of ``docs`` for each component of its fingerprints, with all its own columns: the smallest identifier's.
+
+    Null text counts as empty.  A null identifier comes after all others.  Rows that share the identifier but not the
+    fingerprint are judged by themselves; of rows that share both, that with the smallest hash of its columns stays, so
+    repeated rows leave one.  Columns may have any names and types.  An empty table gives an empty result.
+
+    A row is named by 128 bits of hash over all its columns.  Each fingerprint keeps its best row, each component the
+    best of those, and the rows are met by that name; copies of a row are combined before they are shuffled.
+    """
+    names = docs.columns
+    plain = docs.toDF(*[f"_c{i}" for i in range(len(names))])
+    at, body = (f"_c{names.index(x)}" for x in (id_col, text))
+    a, b = (row_hash(plain, plain.columns, seed) for seed in (1, 2))
+    named = plain.select(F.struct(F.col(at).isNull().alias("none"), F.col(at).alias("id"), a.alias("a"), b.alias("b")).alias("_by"), F.col(body).alias("_text"))
+    best = fingerprints(named, "_by", "_text").groupBy("fp").agg(F.min("_id").alias("first"))
+    final = _components(materialize(best, "fingerprint-set"), blocks)
+    stay = materialize(final.select("least.a", "least.b").distinct(), "representatives")
+    rows = plain.select(a.alias("_a"), b.alias("_b"), F.struct(*plain.columns).alias("_row")).groupBy("_a", "_b").agg(F.first("_row").alias("_row"))
+    kept = rows.join(stay, (F.col("_a") == F.col("a")) & (F.col("_b") == F.col("b")), "left_semi")
+    return kept.select(*[F.col(f"_row._c{i}").alias(n) for i, n in enumerate(names)])

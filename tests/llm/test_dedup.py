@@ -3,26 +3,54 @@
 import random
 import re
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
 
-from strandloom.llm import exact_dedup, simhash
+from strandloom.llm import exact_dedup, queries, simhash
 
 ROWS = [(1, "Hello World"), (2, "hello world"), (3, None), (4, ""), (5, "HELLO wörld"), (6, "hello wÖrld"), (None, "hello World"), (2, "hello world"), (7, "x " * 50_000)]
 
 
 def test_exact(spark):
     docs = spark.createDataFrame(ROWS, "doc_id long, text string").selectExpr("*", "'a' as _sha", "'b' as keep_id")
-    got = {(r.doc_id, r.text_sha256): r for r in exact_dedup.exact_dedup(docs).collect()}
-    by_id = {r.doc_id: r for r in got.values()}
-    assert len(got) == 8
-    assert (by_id[1].keep_id, by_id[1].group_size, by_id[1].kept) == (2, 4, False) and by_id[2].kept and by_id[None].keep_id == 2 and not by_id[None].kept
+    rows = exact_dedup.exact_dedup(docs).collect()
+    by_id = {r.doc_id: r for r in rows}
+    assert len(rows) == len(ROWS) and sum(r.doc_id == 2 and r.kept for r in rows) == 2  # repeated rows come out repeated
+    assert (by_id[1].keep_id, by_id[1].group_size, by_id[1].kept) == (2, 4, False) and by_id[None].keep_id == 2 and not by_id[None].kept
     assert (by_id[3].keep_id, by_id[4].kept, by_id[4].group_size) == (4, True, 2)
     assert by_id[5].kept and by_id[6].kept  # only A-Z are lower-cased
     assert exact_dedup.exact_dedup(docs.limit(0)).count() == 0
 
 
+def test_exact_rows_equal_the_sql(spark):
+    rows = [(1, "A"), (1, "a"), (2, "b"), (2, "b"), (3, None), (4, ""), (5, "É")]
+    duck = duckdb.connect()
+    duck.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    duck.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    want = sorted(duck.execute(f"SELECT doc_id, keep_id, group_size, kept, text_sha256 FROM ({queries.ORACLE_SQL['op1_exact_dedup']})").fetchall())
+    got = exact_dedup.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    assert sorted(map(tuple, got.collect())) == want
+
+
+def test_a_task_sends_one_row_a_text(spark):
+    docs = spark.range(1000).selectExpr("id as doc_id", "'same' as text").repartition(3)
+    merged = exact_dedup.digests(docs).withColumn("_salt", exact_dedup._salt(16)).groupBy("_sha", "_salt", "_norm").count()
+    assert merged.count() == 3
+
+
+def test_surviving_edges(spark):
+    docs = spark.sql("select * from values (1L, 'T', map('a', 1)), (1L, 't', map('a', 2)), (1L, 't', map('a', 2)), (cast(null as long), 'T', null), (2L, null, null), (3L, '', null) as t(doc_id, text, _row)")
+    got = sorted(exact_dedup.surviving(docs).collect(), key=lambda r: r.doc_id)
+    assert [r.doc_id for r in got] == [1, 3] and got[1].text == "" and got[0].text.lower() == "t" and docs.columns == list(got[0].asDict())
+    assert exact_dedup.surviving(docs.limit(0)).count() == 0
+    again = sorted(exact_dedup.surviving(docs.repartition(4)).collect(), key=lambda r: r.doc_id)
+    assert got == again
+    lone = spark.createDataFrame([(None, "x"), (None, "X")], "doc_id long, text string")
+    assert exact_dedup.surviving(lone).count() == 1 and {r.kept for r in exact_dedup.exact_dedup(lone).collect()} == {True}
+
+
 @pytest.mark.parametrize("salts", [1, 5])
 def test_exact_hot_group_and_whole_rows(spark, salts):
     rows = [(i, "Same TEXT" if i % 3 == 0 else f"text {i % 50}", f"s{i}") for i in range(900)]
@@ -89,10 +117,43 @@ def test_near_duplicates(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as fp", "2 as component_id")
     got = sorted((r.doc_id, r.component_id) for r in simhash.near_duplicates(docs).collect())
     assert got == [(2, 2), (3, 3), (4, 4), (4, 4), (5, 3), (8, 2), (9, 3)]
-    assert sorted(r.doc_id for r in simhash.representatives(docs).collect()) == [2, 3, 4, 4]
+    assert sorted(r.doc_id for r in simhash.representatives(docs).collect()) == [2, 3, 4]
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_representatives_lose_no_other_text(spark):
+    words = " ".join(f"word{i}" for i in range(200))
+    other = "completely other words stand in here and go on for a while"
+    rows = [(1, words), (5, words.upper()), (5, other), (None, words), (7, other), (7, other), (None, "alone with no number at all"), (None, "alone with no number at all")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "map('k', doc_id) as _a", "1 as fp", "2 as best")
+    got = simhash.representatives(docs)
+    assert got.columns == docs.columns and got.count() == 3
+    assert {(r.doc_id, r.text) for r in got.collect()} == {(1, words), (5, other), (None, "alone with no number at all")}
+    assert simhash.representatives(docs.limit(0)).count() == 0
+
+
+def test_near_duplicates_against_all_pairs(spark):
+    rng = random.Random(5)
+    rows = []
+    for i in range(60):
+        words = [f"{rng.choice('abcdefgh')}{rng.randrange(400)}" for _ in range(rng.choice([0, 1, 2, 3, 40, 150]))]
+        for _ in range(rng.randint(1, 3)):
+            if words and rng.random() < 0.7:
+                words[rng.randrange(len(words))] = "changed"
+            rows.append((len(rows), " ".join(words)))
+    fps = {i: brute_fingerprint(t) for i, t in rows}
+    group = {i: i for i in fps}
+    changed = True
+    while changed:
+        changed = False
+        for i in fps:
+            for j in fps:
+                if group[j] < group[i] and (fps[i] ^ fps[j]).bit_count() <= 3:
+                    group[i], changed = group[j], True
+    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert {r.doc_id: (r.fingerprint, r.component_id) for r in got} == {i: (f"{fps[i]:016x}", group[i]) for i in fps}
+
+
 def test_group_of_one_variant_is_linked_as_a_star():
     rng = np.random.default_rng(4)
     near = np.unique(np.uint64(7) ^ (np.uint64(1) << rng.integers(0, 64, 50).astype(np.uint64)))
