@@ -1,5 +1,8 @@
 """Source mixing and url filters."""
 
+import os
+
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -48,30 +51,146 @@ def test_mixture(spark):
     assert out.drop_duplicates("target").shape[0] == 4
 
 
+def counted(rows):
+    out = {}
+    for r in rows:
+        out[r.doc_id] = out.get(r.doc_id, 0) + 1
+    return out
+
+
 def test_mixed_rows_agree_with_the_plan(spark):
     docs = corpus(spark, 800)
     taken = {r.doc_id: r.taken // max(1, r["size"]) for r in source_mix.mixture(docs, blocks=16).collect() if r["size"]}
     rows = source_mix.mixed(docs, shards=8, blocks=16).collect()
-    count = {}
-    for r in rows:
-        count[r.doc_id] = count.get(r.doc_id, 0) + 1
-    assert {k: v for k, v in count.items() if k in taken} == {k: v for k, v in taken.items() if v}
+    assert {k: v for k, v in counted(rows).items() if k in taken} == {k: v for k, v in taken.items() if v}
     assert {r.mix_shard for r in rows} == set(range(8)) and rows[0].size == "x"
     parts = source_mix.mixed(docs, shards=8, blocks=16).withColumn("p", F.spark_partition_id()).groupBy("p").agg(F.count_distinct("mix_shard").alias("n")).collect()
     assert all(r.n == 1 for r in parts)
 
 
+def brute_mix(spark, rows, shards, blocks, seed=source_mix.SEED):
+    """Draws of each document and shard, from (id, text, source): every step of the method in plain Python."""
+    hashes = spark.createDataFrame([(i,) for i, _, _ in rows], "i long").select("i", *[F.xxhash64(F.lit(seed + k), "i").alias(f"h{k}") for k in (0, 2)]).collect()
+    by = {r.i: (r.h0 % blocks, (r.h2, r.i)) for r in hashes}
+    turn = {r.b: r.h for r in spark.range(blocks).select(F.col("id").alias("b"), F.xxhash64(F.lit(seed + 1), "id").alias("h")).collect()}
+    size = {i: len((t or "").split()) for i, t, _ in rows}
+    names = sorted({s for _, _, s in rows}, key=lambda s: (s is None, s or ""))
+    words = {n: sum(size[i] for i, _, s in rows if s == n) for n in names}
+    goal = dict(zip(names, source_mix.targets([words[n] for n in names]), strict=True))
+    draws = {}
+    for n in names:
+        held = {}
+        for i, _, s in rows:
+            if s == n:
+                held.setdefault(by[i][0], []).append(i)
+        passes = min(3, int(goal[n] // words[n])) if words[n] else 0
+        want = goal[n] - passes * words[n] if passes < 3 else 0
+        order = sorted(held, key=lambda b: (turn[b], b))
+        draws[n] = [list(held[b]) for _ in range(passes) for b in order]
+        for b in order:
+            if want <= 0:
+                break
+            mine, own = sorted(held[b], key=lambda i: by[i][1]), sum(size[i] for i in held[b])
+            if own > want:
+                ends = np.cumsum([0, *[size[i] for i in mine]])
+                fits = [k for k, i in enumerate(mine) if ends[k] + size[i] / 2 <= want]
+                mine = mine[: max(fits) + 1] if fits else []
+            draws[n].append(mine)
+            want -= own
+    tree = source_mix.split_tree([len(draws[n]) for n in names], shards, seed)
+    out = {}
+    for k, n in enumerate(names):
+        ends = np.cumsum(tree[:, k])
+        for at, block in enumerate(draws[n]):
+            for i in block:
+                out.setdefault((i, int(np.searchsorted(ends, at, side="right"))), []).append(1)
+    return {k: len(v) for k, v in out.items()}, size, words, goal
+
+
+def test_mix_against_brute_force(spark):
+    docs = corpus(spark, 900)
+    rows = [(r.doc_id, r.text, r.source) for r in docs.collect()]
+    named = {i: s for i, _, s in rows}
+    want, size, words, goal = brute_mix(spark, rows, 7, 32)
+    got = {}
+    for r in source_mix.mixed(docs, shards=7, blocks=32).collect():
+        got[r.doc_id, r.mix_shard] = got.get((r.doc_id, r.mix_shard), 0) + 1
+    assert got == want
+    times = {}
+    for (i, _), n in want.items():
+        times[i] = times.get(i, 0) + n
+    for r in source_mix.mixture(docs, shards=7, blocks=32).collect():
+        source = named[r.doc_id]
+        assert (r["size"], r.source_size, r.taken) == (size[r.doc_id], words[source], size[r.doc_id] * times.get(r.doc_id, 0)) and r.target == pytest.approx(goal[source])
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_sizes_and_targets_equal_sql(spark):
+    path = "/root/testdata/sf0.001/documents.parquet"
+    sql = rf"""WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM '{path}'),
+        s AS (SELECT source, sum(size) AS words, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM d GROUP BY source)
+        SELECT doc_id, size, words, CASE place % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight, source FROM d JOIN s USING (source)"""
+    want = duckdb.sql(sql).df()
+    by = want.drop_duplicates("source").sort_values("source")
+    total, free, goal = by.words.sum(), set(by.source), {}
+    while free:
+        rest = by[by.source.isin(free)]
+        share = {r.source: (total - sum(goal.values())) * r.weight / rest.weight.sum() for r in rest.itertuples()}
+        over = {r.source: 3.0 * r.words for r in rest.itertuples() if share[r.source] > 3 * r.words}
+        goal |= over or share
+        free = free - set(over) if over else set()
+    got = source_mix.mixture(spark.read.parquet(path)).toPandas().merge(want, on="doc_id", suffixes=("", "_sql"))
+    assert len(got) == len(want) and (got["size"] == got.size_sql).all() and (got.source_size == got.words).all()
+    assert got.target.tolist() == pytest.approx([goal[s] for s in got.source])
+    near = got.groupby("source").agg(taken=("taken", "sum"), target=("target", "first"), top=("size", "max"))
+    assert ((near.taken - near.target).abs() <= near.top / 2 + 1).all()
+
+
+def test_columns_may_have_any_names(spark):
+    names = ["words", "_last", "_key", "_block", "_source", "_at", "_id", "_name", "_text", "_shard", "_order", "mix_shard", "_c0", "_left", "_pass", "size", "target", "DOC.ID"]
+    docs = corpus(spark, 200).drop("size")
+    for n in names:
+        docs = docs.withColumn(n, F.struct(F.lit(n).alias("x"), F.create_map(F.lit("k"), F.col("doc_id")).alias("m")))
+    out = source_mix.mixed(docs, shards=3, blocks=8, places=False)
+    assert out.columns == docs.columns and out.count() > 0
+    assert out.filter(f"words.x <> 'words' or _key.m['k'] <> doc_id or `DOC.ID`.x <> 'DOC.ID'").count() == 0
+    assert source_mix.mixed(docs, shards=3, blocks=8).columns == [*docs.columns, "mix_shard", "mix_order"]
+    assert source_mix.mixture(docs, blocks=8).count() == docs.count()
+
+
+def test_wide_tree_holds_what_is_left_only():
+    import tracemalloc
+
+    quotas, shards = np.random.default_rng(2).integers(0, 700, 1_000).tolist(), 100_000
+    total = sum(quotas)
+    tracemalloc.start()
+    nodes = source_mix.top(source_mix.root(quotas, shards), total, shards, 1)
+    got, used = np.zeros(1_000, dtype=np.int64), 0
+    for leaf in source_mix.leaves(nodes[7], total, shards, 1):  # one task's subtree
+        got[leaf.source] += leaf.count
+        used += 1
+        assert (total * (leaf.lo + 1) // shards) - (total * leaf.lo // shards) == leaf.count.sum()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(nodes) == source_mix.TOP and used == nodes[7].hi - nodes[7].lo and peak < 20e6
+    assert got[nodes[7].source].tolist() == nodes[7].count.tolist() and got.sum() == nodes[7].count.sum()
+
+
+def test_subtrees_of_tasks_make_the_whole_tree(spark):
+    quotas = [0, 50, 1, 700, 33]
+    tree = source_mix.split_tree(quotas, 90)
+    assert source_mix.TOP < 90
+    rows = source_mix.runs(spark, quotas, 90).collect()
+    assert {(r._shard, r._at): r._count for r in rows} == {(i, k): tree[i, k] for i, k in zip(*np.nonzero(tree), strict=True)}
+    before = np.cumsum(tree, axis=0) - tree
+    assert all(r._from == before[r._shard, r._at] for r in rows) and source_mix.runs(spark, [0, 0], 4).count() == 0
+
+
 def test_mixture_counts_what_is_dealt(spark, monkeypatch):
     docs = corpus(spark, 300)
     whole = {r.doc_id: r.taken for r in source_mix.mixture(docs, shards=4, blocks=16).collect()}
-    tree = source_mix.split_tree
-
-    def without_first(*a):
-        out = tree(*a)
-        out[0] = 0
-        return out
-
-    monkeypatch.setattr(source_mix, "split_tree", without_first)
+    tree = source_mix.runs
+    monkeypatch.setattr(source_mix, "runs", lambda *a: tree(*a).filter("_shard > 0"))
     part = {r.doc_id: r.taken for r in source_mix.mixture(docs, shards=4, blocks=16).collect()}
     assert part.keys() == whole.keys() and all(part[k] <= whole[k] for k in whole) and 0 < sum(part.values()) < sum(whole.values())
 
@@ -80,24 +199,23 @@ def test_mixture_of_repeated_rows(spark):
     docs = corpus(spark, 300).drop("size")
     again = docs.filter("doc_id % 5 = 0").unionByName(docs.filter("doc_id % 10 = 0").withColumn("text", F.lit("w w")))
     docs = docs.unionByName(again)
-    sizes, placed, _, _ = source_mix.plan(docs, blocks=16)
-    want = sizes.alias("a").join(placed.alias("b"), source_mix._same("a", "b", "_source", "_block"))
-    want = want.select("_id", "size", (F.col("size") * (F.col("_passes") + source_mix._extra(F.col("_key")).cast("int"))).cast("long").alias("taken"))
-    out = source_mix.mixture(docs, blocks=16).select("doc_id", "size", "taken")
-    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, want.collect()))
-
-
-def test_blocks_follow_the_words(spark):
-    docs = corpus(spark, 300)
-    small, large = (source_mix.WORDS_A_BLOCK, 2)
-    held = {}
-    for words in (small, large):
-        source_mix.WORDS_A_BLOCK = words
-        try:
-            held[words] = source_mix.plan(docs)[3]
-        finally:
-            source_mix.WORDS_A_BLOCK = small
-    assert held[small] == source_mix.BLOCKS and held[large] > source_mix.BLOCKS
+    times = counted(source_mix.mixed(docs, blocks=16).collect())
+    rows = counted(docs.collect())
+    out = source_mix.mixture(docs, blocks=16).collect()
+    assert len(out) == docs.count() and all(r.taken == r["size"] * times.get(r.doc_id, 0) / rows[r.doc_id] for r in out)
+
+
+def test_blocks_follow_the_words_of_a_source(spark, monkeypatch):
+    docs = corpus(spark, 2000)
+    held = lambda: {r._name: (r._blocks, r.source_size) for r in source_mix.plan(docs.selectExpr("doc_id as _id", "text as _text", "source as _name")).sources.collect()}
+    monkeypatch.setattr(source_mix, "LEAST_BLOCKS", 2)
+    monkeypatch.setattr(source_mix, "BLOCKS", 100)
+    few = held()
+    assert sum(b for b, _ in few.values()) == pytest.approx(100, abs=5) and all(b == pytest.approx(100 * w / sum(x for _, x in few.values()), abs=2) for b, w in few.values())
+    monkeypatch.setattr(source_mix, "WORDS_A_BLOCK", 50)
+    assert all(b == w // 50 for b, w in held().values())
+    monkeypatch.setattr(source_mix, "MOST_BLOCKS", 30)
+    assert sum(b for b, _ in held().values()) <= 30
 
 
 def test_targets_of_many_sources_take_linear_time():
