@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from strandloom.llm import byte_bpe, exact_dedup, quality_model, simhash, source_mix
 from strandloom.llm.common import materialize, table
+from strandloom.storage import scratch
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,13 +21,13 @@ def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest identifier."""
+    """Of each group of near duplicates one row: the smallest identifier's."""
     return simhash.representatives(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix draws them, in shards, shuffled inside each."""
-    return source_mix.mixed(docs).drop("mix_shard", "mix_order")
+    return source_mix.mixed(docs, places=False)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,8 +42,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written to the shared folder and read again by the next."""
+    """All stages over ``documents``, each written to the shared folder and read again by the next.
+
+    What a stage has written for itself goes when its result is written.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        with scratch(spark):
+            docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}", outlives=True)
     return STAGES[-1][1](spark, docs, sf_dir)
