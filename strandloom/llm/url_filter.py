@@ -11,8 +11,12 @@ the complete key universe, and a cascade makes membership in the listed keys exa
 
 A key is listed if the first level that rejects it has an even number, or if it passes all of an odd number of levels.
 Level 1 is sized so that its false positives are about as many as the listed keys, whatever the universe's size; the
-levels together are a few bytes a listed key, and the list is a parameter with a stated bound.  So what is broadcast is
-bounded, and urls are judged without any join.
+levels together are a few bytes a listed key, and the list is a parameter with a stated bound.  Only levels travel to
+the tasks, never the list: keys that pass level 1 come to the driver as hashes, about twice as many as are listed, and
+the listed ones among them are taken away there.  Urls are judged without any join.
+
+Pages are read three times, for all lists together: to sketch the universe's size, to find what passes the first levels
+by mistake, and to judge.
 """
 
 from __future__ import annotations
@@ -116,7 +120,7 @@ def _pairs(a, b) -> np.ndarray:
 
 def parts(url: Column) -> tuple[Column, Column]:
     """Host and path of a url: empty where it is null or has no ``://``."""
-    rest = F.when(F.instr(url, "://") > 0, F.expr("substring({0}, instr({0}, '://') + 3)".format("_url")))
+    rest = F.when(F.instr(url, "://") > 0, F.substring(url, F.instr(url, "://") + 3, F.length(url)))
     host = ascii_lower(F.regexp_extract(rest, r"^([^/?#]*)", 1))
     path = F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
     return F.coalesce(host, F.lit("")), F.coalesce(path, F.lit(""))
@@ -131,76 +135,86 @@ def _keys(host: Column, path: Column, lengths: Sequence[int], most: int) -> Colu
     return F.flatten(F.transform(domains, lambda d: F.transform(starts, lambda p: F.concat(d, p))))
 
 
-def build(universe: DataFrame, listed: Sequence[str]) -> Cascade:
-    """The cascade of ``listed`` keys over ``universe`` (one column ``key``, repeats allowed).
+def build(universe: DataFrame, lists: Sequence[Sequence[str]]) -> list[Cascade]:
+    """A cascade for each list of keys, exact over ``universe`` (one column ``key``, repeats allowed).
 
-    Two passes over the universe: one sketches its size, one finds what passes level 1 by mistake.
+    Two passes over the universe serve all lists: one sketches its size, one finds what passes a first level.
     """
-    if len(listed) > MAX_LISTED:
-        raise ValueError(f"more than {MAX_LISTED} listed keys")
     spark = universe.sparkSession
-    keys = spark.createDataFrame([(x,) for x in listed], "key string").select(_hashes(F.col("key")).alias("h")).select("h.*").toPandas() if listed else pd.DataFrame({"a": [], "b": []})
-    inside = _pairs(keys["a"], keys["b"])
+    if any(len(x) > MAX_LISTED for x in lists):
+        raise ValueError(f"more than {MAX_LISTED} listed keys")
+    named = [(i, x) for i, keys in enumerate(lists) for x in keys]
+    found = spark.createDataFrame(named, "of int, key string").select("of", _hashes(F.col("key")).alias("h")).select("of", "h.*").toPandas() if named else pd.DataFrame({"of": [], "a": [], "b": []})
+    inside = [_pairs(part["a"], part["b"]) for part in (found[found["of"] == i] for i in range(len(lists)))]
     size = universe.agg(F.approx_count_distinct("key")).first()[0]
-    rate = min(0.5, max(1e-9, len(listed) / (math.sqrt(2) * max(1, size - len(listed)))))
-    first = Bloom.of(inside, rate, 1)
-    held = spark.sparkContext.broadcast((first, {tuple(x) for x in inside.tolist()}))
+    rate = lambda n: min(0.5, max(1e-9, n / (math.sqrt(2) * max(1, size - n))))
+    first = [Bloom.of(keys, rate(len(keys)), 1) for keys in inside]
+    held = spark.sparkContext.broadcast(first)
 
     def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level, own = held.value
         for batch in batches:
-            found = _pairs(batch.column(0), batch.column(1))
-            found = np.unique(found[level.holds(found)], axis=0)
-            found = found[[tuple(x) not in own for x in found.tolist()]] if len(found) else found
-            yield pa.RecordBatch.from_arrays([pa.array(found[:, i].view(np.int64).copy() if len(found) else [], pa.int64()) for i in (0, 1)], ["a", "b"])
-
-    wrong = universe.select(_hashes(F.col("key")).alias("h")).select("h.*").mapInArrow(passing, "a long, b long").distinct().toPandas()
-    return finish(inside, first, _pairs(wrong["a"], wrong["b"]))
+            every = _pairs(batch.column(0), batch.column(1))
+            for i, level in enumerate(held.value):
+                keys = np.unique(every[level.holds(every)], axis=0)
+                if len(keys):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), i), pa.int32()), *[pa.array(keys[:, j].view(np.int64).copy()) for j in (0, 1)]], ["of", "a", "b"])
+
+    passed = universe.select(_hashes(F.col("key")).alias("h")).select("h.*").mapInArrow(passing, "of int, a long, b long").distinct().toPandas()
+    out = []
+    for i, keys in enumerate(inside):
+        part = passed[passed["of"] == i]
+        every, own = _pairs(part["a"], part["b"]), {tuple(x) for x in keys.tolist()}
+        wrong = np.array([tuple(x) not in own for x in every.tolist()], dtype=bool)
+        out.append(finish(keys, first[i], every[wrong]))
+    return out
 
 
 def judge(pages: DataFrame, id_col: str = "page_id", url: str = "url", rules: Sequence[tuple[str, str, str]] = RULES, blocked: Sequence[str] = BLOCKED_HOSTS) -> DataFrame:
     """One row a page: ``id_col, host, path, rule, verdict``.
 
-    A rule (verdict, host, path start) fits its host and all subdomains; of those that fit, the longest wins, and
-    ``rule`` names it (host and path start together), else it is null.  Where no rule fits, the verdict is block if the
-    host or a parent domain is in ``blocked``, else allow.  A null url or one without ``://`` has empty host and path,
-    fits no rule and is allowed.  Repeated rows are judged one by one; other columns are not read; an empty table gives
-    an empty result.
+    A rule (verdict, host, path start) fits its host and all subdomains.  Of those that fit, the longest wins (host and
+    path start together), of equally long ones that with the longer host; a url has no two rules with the same host and
+    path start, so the order of ``rules`` never matters.  A path start that is neither empty nor begins with a slash fits
+    no url.  ``rule`` names the rule, else it is null.  Where no rule fits, the
+    verdict is block if the host or a parent domain is in ``blocked``, else allow.  A null url or one without ``://`` has
+    empty host and path, fits no rule and is allowed.  Repeated rows are judged one by one; other columns are not read;
+    an empty table gives an empty result.
     """
     spark = pages.sparkSession
     if len({h + p for _, h, p in rules}) != len(rules):
         raise ValueError("two rules have the same key")
-    named = pages.select(F.col(id_col).alias("_id"), F.col(url).alias("_url"))
+    rules = [(k, h, p) for k, h, p in rules if "/" not in h and p[:1] in ("", "/")]  # no url has another host or path
     host, path = parts(F.col("_url"))
-    split = named.select("_id", host.alias("host"), path.alias("path"))
+    split = pages.select(F.col(id_col).alias("_id"), F.col(url).alias("_url")).select("_id", host.alias("host"), path.alias("path"))
     lengths = sorted({len(p) for _, _, p in rules})
     most = max((h.count(".") + 1 for h in [*(h for _, h, _ in rules), *blocked]), default=1)  # labels of a listed host
     ruled, bare_hosts = _keys(F.col("host"), F.col("path"), lengths, most), _keys(F.col("host"), F.lit(""), [0], most)
     universe = split.select(F.explode(F.concat(ruled, bare_hosts)).alias("key"))
-    verdicts = {kind: build(universe, [h + p for k, h, p in rules if k == kind]) for kind in ("allow", "block")}
-    hosts = build(universe, [x for x in blocked])
-    held = spark.sparkContext.broadcast((verdicts, hosts))
+    kinds = ("allow", "block")
+    *verdicts, hosts = build(universe, [*[[h + p for k, h, p in rules if k == kind] for kind in kinds], list(blocked)])
+    held = spark.sparkContext.broadcast((dict(zip(kinds, verdicts, strict=True)), hosts))
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_kind, block_list = held.value
         for batch in batches:
             rule, verdict = np.full(batch.num_rows, None, dtype=object), np.full(batch.num_rows, "allow", dtype=object)
-            best = np.zeros(batch.num_rows, dtype=np.int64)
+            best = [(-1, -1)] * batch.num_rows
             bare = _flat(batch, "bare")
             verdict[bare[0][block_list.holds(bare[2])]] = "block"
             rows, keys, hashes = _flat(batch, "keys")
             for kind, cascade in by_kind.items():
                 for i in np.flatnonzero(cascade.holds(hashes)):
                     r, key = rows[i], keys[i].as_py()
-                    if len(key) > best[r]:
-                        best[r], rule[r], verdict[r] = len(key), key, kind
+                    size = (len(key), key.find("/") % (len(key) + 1))  # a host has no slash
+                    if size > best[r]:
+                        best[r], rule[r], verdict[r] = size, key, kind
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(rule, pa.string()), pa.array(verdict, pa.string())], ["_id", "host", "path", "rule", "verdict"])
 
     def hashed(keys: Column) -> Column:
         return F.transform(keys, lambda k: F.struct(k.alias("key"), F.xxhash64(k).alias("a"), F.xxhash64(F.lit("second"), k).alias("b")))
 
     keyed = split.select("_id", "host", "path", hashed(ruled).alias("keys"), hashed(bare_hosts).alias("bare"))
-    kind = dict(pages.dtypes)[id_col]
+    kind = pages.schema[id_col].dataType.simpleString()
     return keyed.mapInArrow(decide, f"_id {kind}, host string, path string, rule string, verdict string").withColumnRenamed("_id", id_col)
 
 

@@ -256,9 +256,9 @@ def decide(url, rules, blocked):
         host, tail = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in rest[:end]), rest[end:]
         stop = min((i for c in "?#" if (i := tail.find(c)) >= 0), default=len(tail))
         path = tail[:stop]
-    fits = [(len(h + p), h + p, v) for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    fits = [(len(h + p), len(h), h + p, v) for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
     if fits:
-        _, rule, verdict = max(fits)
+        *_, rule, verdict = max(fits)
         return host, path, rule, verdict
     return host, path, None, "block" if any(host == b or host.endswith("." + b) for b in blocked) else "allow"
 
@@ -279,6 +279,33 @@ def test_verdicts(spark):
         url_filter.judge(pages, rules=[("allow", "a", "/"), ("block", "a", "/")])
 
 
+@pytest.mark.parametrize("order", [1, -1])
+def test_of_equally_long_rules_the_longer_host_wins(spark, order):
+    rules = [("allow", "com", "/en"), ("block", "a.com", "/"), ("block", "b.com", "/"), ("allow", "net", "/x/y"), ("block", "q.net", "/x"), ("allow", "de", ""), ("block", "x.de", "/")][::order]
+    urls = ["http://a.com/en", "http://b.com/en/", "http://c.com/en", "http://q.net/x/y", "http://x.de", "http://y.x.de/", "http://a.com/"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    for r in url_filter.judge(pages, rules=rules).collect():
+        assert (r.host, r.path, r.rule, r.verdict) == decide(urls[r.page_id], rules, url_filter.BLOCKED_HOSTS)
+
+
+def test_parts_take_any_column(spark):
+    rows = spark.createDataFrame([("http://A.b/c?d", "x://y/z#"), (None, "none")], "one string, two string")
+    got = [tuple(r) for r in rows.select(*url_filter.parts(F.col("one")), *url_filter.parts(F.col("two"))).collect()]
+    assert got == [("a.b", "/c", "y", "/z"), ("", "", "", "")]
+
+
+def test_the_list_does_not_travel(spark, monkeypatch):
+    sent = []
+    send = type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, x: sent.append(x) or send(self, x))
+    pages = spark.createDataFrame([(i, f"http://h{i}.test/p/") for i in range(300)], "page_id long, url string")
+    rules = [("block", f"h{i}.test", "/p/") for i in range(0, 300, 7)]
+    got = {r.page_id: r.verdict for r in url_filter.judge(pages, rules=rules, blocked=()).collect()}
+    assert got == {i: "allow" if i % 7 else "block" for i in range(300)}
+    held = lambda x: [x] if isinstance(x, url_filter.Bloom) else [y for part in (x.values() if isinstance(x, dict) else x.levels if isinstance(x, url_filter.Cascade) else x if isinstance(x, list | tuple) else [None]) for y in held(part)] if not isinstance(x, str | bytes | set) and x is not None else [x]
+    assert len(sent) == 2 and all(isinstance(y, url_filter.Bloom) for x in sent for y in held(x))
+
+
 def test_many_rules_against_brute_force(spark):
     rng = np.random.default_rng(6)
     hosts = [f"{a}.{b}.test" for a in "abcdefgh" for b in "xyz"]
