@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 OPEN, CLOSE = "<s>", "</s>"
 #: What stands around a body, by role.
 WRAPS = {"user": ("[INST] ", " [/INST]"), "system": ("<<SYS>>\n", "\n<</SYS>>")}
+#: Roles whose bodies the loss mask covers.
+TAUGHT = ("assistant",)
 CONTROLS = ("<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
 
 _CONTROL = re.compile("|".join(map(re.escape, sorted(CONTROLS, key=len, reverse=True))) + r"|\\")
@@ -105,28 +107,32 @@ def parse(text: str) -> list[tuple[str, str]]:
 
 
 def format_turns(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """One row a turn: ``conv, turn, role, text, rendered, body_start, body_end`` (code points in ``rendered``).
+    """One row a turn: ``conv, turn, role, text, rendered, loss_start, loss_end`` (code points in ``rendered``).
 
-    A conversation's formatted text is its ``rendered`` values in order, by turn, then role, then text; the loss mask
-    covers the bodies of assistant turns.  Null role or text counts as empty.
+    A conversation's formatted text is its ``rendered`` values in order, by turn, then role, then text.  The loss mask
+    covers ``rendered`` from ``loss_start`` to ``loss_end``: the body of an assistant turn, nothing of any other, whose
+    ends are both 0.  Null role or text counts as empty.  Repeated rows are turns of their own; other columns are not
+    read; an empty table gives an empty result.
     """
     kinds = dict(rows.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            done = [render_turn(a or "", b or "") for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x[0] for x in done], pa.string()), pa.array([x[1] for x in done], pa.int64()), pa.array([x[2] for x in done], pa.int64())], ["_conv", "_turn", "_role", "_text", "rendered", "body_start", "body_end"])
+            roles = batch.column(2).to_pylist()
+            done = [render_turn(a or "", b or "") for a, b in zip(roles, batch.column(3).to_pylist(), strict=True)]
+            done = [(x, begin, end) if role in TAUGHT else (x, 0, 0) for role, (x, begin, end) in zip(roles, done, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x[0] for x in done], pa.string()), pa.array([x[1] for x in done], pa.int64()), pa.array([x[2] for x in done], pa.int64())], ["_conv", "_turn", "_role", "_text", "rendered", "loss_start", "loss_end"])
 
     plain = rows.select(F.col(conv).alias("_conv"), F.col(turn).alias("_turn"), F.coalesce(F.col(role), F.lit("")).alias("_role"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    out = plain.mapInArrow(run, f"_conv {kinds[conv]}, _turn {kinds[turn]}, _role string, _text string, rendered string, body_start long, body_end long")
-    return out.toDF(conv, turn, role, text, "rendered", "body_start", "body_end")
+    out = plain.mapInArrow(run, f"_conv {kinds[conv]}, _turn {kinds[turn]}, _role string, _text string, rendered string, loss_start long, loss_end long")
+    return out.toDF(conv, turn, role, text, "rendered", "loss_start", "loss_end")
 
 
 def digest(formatted: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """One row a conversation, read back from the formatted text.
 
-    ``n_turns``; ``turns_sha256`` over role, newline, text, newline of each turn; ``loss_chars`` and ``loss_sha256`` over
-    the unescaped text under the loss mask; ``formatted_chars``.  A conversation streams through one task turn by turn:
+    ``n_turns``; ``turns_sha256`` over role, newline, text, newline of each turn that the parser finds; ``loss_chars`` and
+    ``loss_sha256`` over what stands in ``rendered`` under the loss mask, unescaped; ``formatted_chars``.  A conversation streams through one task turn by turn:
     the digests are sequential by definition, and memory holds one turn, however long the conversation.  Null conversation
     identifiers are one conversation; repeated rows are turns of their own; an empty table gives an empty result.
     """
@@ -150,7 +156,7 @@ def digest(formatted: DataFrame, conv: str = "conv_id", turn: str = "turn", role
         kind_of = None
         for batch in batches:
             kind_of = batch.schema.field(0).type
-            for key, rendered in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for key, rendered, begin, end in zip(*[batch.column(i).to_pylist() for i in range(4)], strict=True):
                 if now is none or key != now:
                     if now is not none:
                         close()
@@ -160,9 +166,9 @@ def digest(formatted: DataFrame, conv: str = "conv_id", turn: str = "turn", role
                     who, body, _, _, at = parse_turn(rendered, at)
                     state[0] += 1
                     state[1].update(f"{who}\n{body}\n".encode())
-                    if who == "assistant":
-                        state[2] += len(body)
-                        state[3].update(body.encode())
+                taught = unescape(rendered[begin:end])
+                state[2] += len(taught)
+                state[3].update(taught.encode())
                 state[4] += len(rendered)
             if done:
                 yield flush(kind_of)
@@ -170,6 +176,6 @@ def digest(formatted: DataFrame, conv: str = "conv_id", turn: str = "turn", role
             close()
             yield flush(kind_of)
 
-    ordered = formatted.select(F.col(conv).alias("_conv"), "rendered", F.col(turn).alias("_turn"), F.col(role).alias("_role"), F.col(text).alias("_text"))
-    ordered = ordered.repartition("_conv").sortWithinPartitions("_conv", "_turn", "_role", "_text").select("_conv", "rendered")
+    ordered = formatted.select(F.col(conv).alias("_conv"), "rendered", "loss_start", "loss_end", F.col(turn).alias("_turn"), F.col(role).alias("_role"), F.col(text).alias("_text"))
+    ordered = ordered.repartition("_conv").sortWithinPartitions("_conv", "_turn", "_role", "_text").select("_conv", "rendered", "loss_start", "loss_end")
     return ordered.mapInArrow(run, f"conv {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long").withColumnRenamed("conv", conv)
