@@ -92,13 +92,13 @@ def _class(pattern: str) -> str:
     return f"length(j) - length(regexp_replace(j, '{pattern}', '', 'g'))"
 
 
-def _distances(counts: str, name: str) -> str:
-    """Distance of each document to each language's reference, from (doc_id, k, c): counts by item, zeros included."""
-    return f"""{name}_ref AS (SELECT lang, k, sum(c)::DOUBLE AS q FROM {counts} JOIN passed USING (doc_id) GROUP BY lang, k),
+def _distances(counts: str, name: str, langs: str) -> str:
+    """Distance of each document to its language's reference, from (doc_id, k, c): counts by item, zeros included."""
+    return f"""{name}_ref AS (SELECT lang, k, sum(c)::DOUBLE AS q FROM {counts} JOIN passed USING (doc_id) WHERE {langs} GROUP BY lang, k),
         {name}_q AS (SELECT lang, k, q / sum(q) OVER (PARTITION BY lang) AS q FROM {name}_ref),
-        {name}_p AS (SELECT doc_id, k, c / nullif(sum(c) OVER (PARTITION BY doc_id), 0)::DOUBLE AS p FROM {counts}),
-        {name}_js AS (SELECT doc_id, lang, sqrt(greatest(0, sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2)) AS js FROM {name}_p JOIN {name}_q USING (k) WHERE p IS NOT NULL GROUP BY doc_id, lang),
-        {name} AS (SELECT b.doc_id, coalesce(max(js) FILTER (js.lang = b.lang), min(js)) AS js FROM base b JOIN {name}_js js USING (doc_id) GROUP BY b.doc_id)"""
+        {name}_p AS (SELECT doc_id, lang, k, c / nullif(sum(c) OVER (PARTITION BY doc_id), 0)::DOUBLE AS p FROM {counts} JOIN base USING (doc_id)),
+        {name} AS (SELECT doc_id, sqrt(greatest(0, sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2)) AS js
+            FROM {name}_p a JOIN {name}_q b ON a.k = b.k AND a.lang IS NOT DISTINCT FROM b.lang WHERE p IS NOT NULL GROUP BY doc_id)"""
 
 
 ORACLE_SQL: dict[str, str] = {
@@ -110,14 +110,14 @@ ORACLE_SQL: dict[str, str] = {
         base AS (SELECT w.doc_id, lang, ws, array_to_string(ws, '') AS j, len(ws) AS n_words, coalesce(cover.n, 0) AS n_repeat_words,
                         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM w LEFT JOIN cover USING (doc_id)),
         judged AS (SELECT *, n_words < {_RULES.LEAST_WORDS} OR 100 * n_repeat_words > {_RULES.MOST_REPEATED} * n_words AS bad FROM base),
-        passed AS (SELECT doc_id, lang FROM judged WHERE NOT bad AND lang IN ({_LANGS})),
-        five AS (SELECT doc_id, {_class('[A-Z]')} AS u, {_class('[0-9]')} AS d, {_class(_PUNCT)} AS p, {_class('[#*$%&|<>]')} AS s, strlen(j) - length(j) AS x, length(j) AS n FROM base),
-        cls AS (SELECT doc_id, unnest(range(6)) AS k, unnest([u, d, p, s, x, greatest(0, n - u - d - p - s - x)]) AS c FROM five),
+        passed AS (SELECT doc_id, lang FROM judged WHERE NOT bad),
+        five AS (SELECT doc_id, {_class('[A-Z]')} AS u, {_class('[0-9]')} AS d, {_class(_PUNCT)} AS p, {_class('[#*$%&|<>]')} AS s, length(regexp_replace(j, '[\x00-\x7F]', '', 'g')) AS x, length(j) AS n FROM base),
+        cls AS (SELECT doc_id, unnest(range(6)) AS k, unnest([u, d, p, s, x, n - u - d - p - s - x]) AS c FROM five),
         seen AS (SELECT doc_id, k, count(*) AS c FROM (SELECT doc_id, unnest(ws) AS k FROM base) WHERE k IN ({_LISTED}) GROUP BY ALL),
         grid AS (SELECT doc_id, unnest([{_LISTED}]) AS k FROM base),
         listed AS (SELECT doc_id, k, coalesce(c, 0) AS c FROM grid LEFT JOIN seen USING (doc_id, k)),
         cw AS (SELECT * FROM listed UNION ALL SELECT b.doc_id, '', b.n_words - sum(c)::BIGINT FROM listed JOIN base b USING (doc_id) GROUP BY b.doc_id, b.n_words),
-        {_distances('cls', 'chars')}, {_distances('cw', 'words')},
+        {_distances('cls', 'chars', 'true')}, {_distances('cw', 'words', f'lang IN ({_LANGS})')},
         o AS (SELECT j.doc_id, n_words, length(j) AS word_chars, {_class('[#*$%&|<>]')} AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines, n_repeat_words, bad,
                      CASE WHEN length(j) >= {_RULES.GUARD_CHARS} THEN chars.js END AS cd, CASE WHEN n_words >= {_RULES.GUARD_WORDS} THEN words.js END AS wd
               FROM judged j LEFT JOIN chars ON chars.doc_id = j.doc_id LEFT JOIN words ON words.doc_id = j.doc_id)

@@ -77,13 +77,42 @@ def base(text):
 TEXTS = [None, "", " \n", "one", "a b c d e", "a b c d e a b c d e", "x " * 40, "l1\nl1\n \n \nl2\nl1", "a#b |c| <d> 5%\x0bz", "é ü " * 9, " ".join(map(str, range(300))), "\u00a0a b", "a b c d e f g a b c d e q r s t"]
 
 
-def test_base_counts(spark):
-    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(TEXTS)], "doc_id long, text string, lang string").withColumn("common", F.lit(1))
+LONG = " ".join(f"w{i * i % 40_009}" for i in range(120_000)) + "\n" + "日本語 😀 テスト。 " * 50
+
+
+@pytest.mark.parametrize("collide", [False, True])
+def test_base_counts(spark, monkeypatch, collide):
+    if collide:  # then words alone tell windows apart
+        monkeypatch.setattr(quality_rules, "_window_hash", lambda words: F.lit(7).cast("long"))
+    texts = [*TEXTS, "a b c d e f g h a b c d x e a b c d e q", *([] if collide else [LONG])]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string").withColumn("common", F.lit(1))
     got = {r.doc_id: (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in quality_rules.judge(docs).collect()}
-    assert got == {i: base(t) for i, t in enumerate(TEXTS)}
+    assert got == {i: base(t) for i, t in enumerate(texts)}
     assert quality_rules.judge(docs.limit(0)).count() == 0
 
 
+def test_classes_count_characters(spark):
+    text = "Ab9 日本語😀é x-y #!"
+    row = quality_rules.counts(spark.createDataFrame([(1, text, "ja"), (2, None, None)], "doc_id long, text string, lang string")).orderBy("_id").collect()
+    assert list(row[0].classes) == [1, 1, 2, 1, 5, 3] and sum(row[0].classes) == row[0].word_chars == 13
+    assert list(row[1].classes) == [0] * 6
+
+
+def test_every_language_has_its_classes(spark):
+    """Three hundred words of a language without a list, none repeated, are near their own language."""
+    ja = [" ".join(f"日本{chr(0x3042 + (i * k) % 80)}{chr(0x4E00 + i)}語。" for i in range(300)) for k in (1, 7, 11)]
+    odd = " ".join(f"#$%{i}&" for i in range(300))
+    rows = [(i, t, "ja") for i, t in enumerate(ja * 10)] + [(100, odd, "ja"), (101, ja[0], None), (102, ja[0], None), (103, odd, "xx")]
+    got = {r.doc_id: r for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert all(got[i].kept and got[i].word_distance is None and got[i].char_distance < 0.2 for i in range(30)), [(r.kept, r.base_failed, r.char_distance) for r in got.values()][:3]
+    assert not got[100].kept and got[101].kept and got[101].char_distance == pytest.approx(0) and got[103].kept
+
+
+def test_distance_is_linear_in_its_items(spark):
+    plan = quality_rules.judge(spark.createDataFrame([(1, "a", "en")], "doc_id long, text string, lang string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("aggregate(") == 2  # one a distance, and no sum inside of it
+
+
 def jensen_shannon(p, q):
     p, q = np.array(p, dtype=float) / sum(p), np.array(q, dtype=float)
     m = (p + q) / 2
@@ -95,7 +124,7 @@ def jensen_shannon(p, q):
 def test_rules_against_numpy(spark):
     docs = spark.read.parquet(f"{HERE}/documents.parquet")
     counted = quality_rules.materialize(quality_rules.counts(docs), "test-counts")
-    known = quality_rules.references(counted)
+    known = {r._of: (r._chars, r._words) for r in quality_rules.references(counted).collect()}
     rows = {r._id: r for r in counted.collect()}
     assert set(known) == set(quality_rules.COMMON)
     got = {r.doc_id: r for r in quality_rules.judge(docs).collect()}
@@ -110,10 +139,3 @@ def test_rules_against_numpy(spark):
     good = [got[i].kept for i, q in labels.items() if q == 1 and not got[i].base_failed]
     bad = [got[i].kept for i, q in labels.items() if q == 0]
     assert np.mean(good) > 0.98 and np.mean(bad) < 0.15
-
-
-def test_unlisted_language_takes_the_nearest(spark):
-    en = " ".join(quality_rules.COMMON["en"].split() * 8)
-    docs = spark.createDataFrame([(1, en, "en"), (2, en, None), (3, en, "xx")], "doc_id long, text string, lang string")
-    d = {r.doc_id: r.word_distance for r in quality_rules.judge(docs).collect()}
-    assert d[2] == pytest.approx(d[3])
