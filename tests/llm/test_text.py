@@ -1,6 +1,7 @@
 """Token counts, byte-level BPE, chat formats, licences."""
 
 import random
+import textwrap
 
 import numpy as np
 import public_tokenizers
@@ -127,6 +128,10 @@ def test_chat_frames(spark):
     assert all(len("".join(v)) == got[k].formatted_chars for k, v in rendered.items())
     assert chat_format.parse("".join(rendered[1])) == [("user", "hi"), ("assistant", "</s>[INST] ok [/INST]")]
     assert chat_format.digest(chat_format.format_turns(talk.limit(0))).count() == 0
+    masked = out.withColumn("loss_end", F.col("loss_start"))  # the digest reads the mask, not the role
+    assert {(r.loss_chars, r.loss_sha256) for r in chat_format.digest(masked).collect()} == {(0, sha(""))}
+    some = out.filter("conv_id = 1").withColumns({"loss_start": F.when(F.col("role") == "user", F.instr("rendered", "hi") - 1).otherwise(0), "loss_end": F.when(F.col("role") == "user", F.instr("rendered", "hi") + 1).otherwise(0)})
+    assert [(r.loss_chars, r.loss_sha256) for r in chat_format.digest(some).collect()] == [(2, sha("hi"))]
 
 
 @pytest.fixture(scope="module")
@@ -166,6 +171,48 @@ def test_wrapped_and_double_notices(spark, licences):
     assert [got[i] for i in range(len(WRAPPED))] == [(f, w) for _, f, w in WRAPPED]
 
 
+def wrapped(text, width, mark=""):
+    return "\n".join(mark + x for x in textwrap.wrap(text, width))
+
+
+def notices():
+    """Every statement alone and wrapped, and whole notices at their usual columns."""
+    out = [(wrapped(t, w, mark), f) for f, ts in license_scan.TEMPLATES.items() for t in ts for w, mark in ((60, ""), (76, " * "), (10_000, "// "))]
+    for family in ("mit", "bsd", "isc", "apache-2.0", "gpl-3.0", "lgpl", "agpl-3.0"):
+        parts = [t for t in license_scan.TEMPLATES[family] if len(t) > 80]
+        out.append(("Copyright (c) 2021 Somebody\n\n" + "\n\n".join(wrapped(t, 72) for t in parts) + "\n\nand then the file goes on", family))
+    return out
+
+
+def test_whole_notices_are_confirmed(spark, licences):
+    rows = notices()
+    got = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string"), model=licences).collect()}
+    missed = [(t, f, list(got[i].families)) for i, (t, f) in enumerate(rows) if f not in got[i].families]
+    assert not missed
+    others = [(t, f, list(got[i].families)) for i, (t, f) in enumerate(rows) if len(t) > 200 and list(got[i].families) != [f]]
+    assert not others
+
+
+def test_scan_equals_the_plain_one(spark, licences):
+    rng = random.Random(8)
+    statements = [t for ts in license_scan.TEMPLATES.values() for t in ts]
+    texts = [t for t, *_ in CASES] + [t for t, *_ in WRAPPED] + [t for t, _ in notices()[::5]]
+    for _ in range(60):
+        ws = [w for t in rng.sample([*statements, *license_scan.OTHERWISE], 3) for w in t.split()]
+        for _ in range(rng.randint(0, 12)):
+            ws[rng.randrange(len(ws))] = rng.choice(["blah", "\n", "\n\n", "License", "ü", "(c)"])
+        texts.append(" ".join(ws))
+    got = {r.doc_id: (list(r.families), list(r.where)) for r in license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model=licences).collect()}
+    assert got == {i: license_scan.plain_scan(t, licences) for i, t in enumerate(texts)}
+    assert sum(bool(f) for f, _ in got.values()) > 30 and sum(not f for f, _ in got.values()) > 10
+
+
+def test_model_is_sparse_and_trained_once(licences):
+    assert license_scan.train() is licences and (licences.weights == 0).mean() > 0.5
+    empty = licences.probabilities("nothing known")
+    assert licences.classes[empty.argmax()] == license_scan.UNKNOWN
+
+
 def test_licence_scores_equal_numpy(spark, licences):
     docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(CASES) if t and "\n" not in t], "doc_id long, text string")
     for r in license_scan.paragraphs(docs, model=licences).collect():
