@@ -1,12 +1,12 @@
 """Quality classifier: attention-based multiple-instance learning.
 
-A document is a bag of passages of 64 words.  Every passage is encoded (shares of character classes, repetition, word
-shapes) and sent through a small layer; a gated attention unit, learned from document labels alone, weighs the passages;
-the weighted sum of their representations is scored.  So a document whose junk is in one passage can be told by it.
+A document is a bag of passages of 64 words.  Every passage is encoded (shares of its words by hash bucket, of character
+classes, of word shapes, and its repetition) and sent through a small layer; a gated attention unit, learned from document
+labels alone, weighs the passages; the weighted sum of their representations is scored.  So a document whose junk is in
+one passage can be told by it.
 
-Fitting takes at most ``SAMPLE`` labelled documents of each class, those with the smallest hashes, and at most
-``FIT_PASSAGES`` evenly spaced passages of each; both are parameters, and what the driver holds is bounded by them.
-Scoring reads every word of every document, in one pass without a shuffle.
+Fitting takes at most ``sample`` labelled documents of each class (a parameter, ``SAMPLE``), those with the smallest
+hashes, with every passage of each.  Scoring reads every word of every document, in one pass without a shuffle.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from operator import eq
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +23,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 PASSAGE = 64
-#: Labelled documents of each class that the model is fitted on, and passages of one of them.
-SAMPLE, FIT_PASSAGES = 1500, 64
+#: Labelled documents of each class that the model is fitted on.
+SAMPLE = 1500
+#: Hash buckets of words.
+BUCKETS = 32
 THRESHOLD = 0.3
 #: Remainder of crc32(identifier) by HELD_OUT that is kept away from fitting.
 HELD_OUT = 5
@@ -36,12 +39,14 @@ for _i, _chars in enumerate(_CLASSES):
     _TABLE[np.frombuffer(_chars, dtype=np.uint8)] = _i + 1
 _TABLE[ord("a") : ord("z") + 1], _TABLE[ord("A") : ord("Z") + 1], _TABLE[128:] = len(_CLASSES) + 1, len(_CLASSES) + 2, len(_CLASSES) + 3
 N_CLASSES = len(_CLASSES) + 4
-N_FEATURES = N_CLASSES + 8
+N_SHAPES = N_CLASSES + 8
+N_FEATURES = N_SHAPES + BUCKETS
 
 
 def encode(text: str) -> np.ndarray:
     """One row of features for each passage; a text without words is one passage of zeros."""
-    words = text.encode().split()
+    raw = text.encode()
+    words = raw.split()
     if not words:
         return np.zeros((1, N_FEATURES), dtype=np.float32)
     n = len(words)
@@ -63,6 +68,9 @@ def encode(text: str) -> np.ndarray:
     out[:, N_CLASSES + 3] = np.add.reduceat(again, starts) / size
     for j, (lo, hi) in enumerate(((0, 1), (2, 3), (4, 8), (13, 1 << 60))):
         out[:, N_CLASSES + 4 + j] = np.add.reduceat((lengths >= lo) & (lengths <= hi), starts, dtype=np.int64) / size
+    bucket = np.fromiter(map(crc32, raw.lower().split()), dtype=np.int64, count=n) % BUCKETS
+    held = np.bincount(np.repeat(np.arange(len(starts)), ends - starts) * BUCKETS + bucket, minlength=len(starts) * BUCKETS)
+    out[:, N_SHAPES:] = held.reshape(-1, BUCKETS) / size[:, None]
     return out
 
 
@@ -75,28 +83,44 @@ class Model:
     weights: dict[str, np.ndarray]
     constant: float | None = None
 
-    def forward(self, x: np.ndarray, bag: np.ndarray, n: int) -> tuple[np.ndarray, dict[str, np.ndarray]]:
-        """Probability of label 1 for each of ``n`` bags, and what came before it."""
+    def forward(self, x: np.ndarray, starts: np.ndarray, bag: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+        """Probability of label 1 for each bag, and what came before it.  Rows of a bag follow each other from its start."""
         w = self.weights
         h = np.tanh(x @ w["w1"] + w["b1"])
         t, g = np.tanh(h @ w["v"]), 1 / (1 + np.exp(-(h @ w["u"])))
         s = (t * g) @ w["a"]
-        top = np.full(n, -np.inf)
-        np.maximum.at(top, bag, s)
-        e = np.exp(s - top[bag])
-        a = e / np.bincount(bag, e, n)[bag]
-        z = np.stack([np.bincount(bag, a * h[:, k], n) for k in range(h.shape[1])], axis=1)
+        e = np.exp(s - np.maximum.reduceat(s, starts)[bag])
+        a = e / np.add.reduceat(e, starts)[bag]
+        z = np.add.reduceat(a[:, None] * h, starts)
         p = 1 / (1 + np.exp(-np.clip(z @ w["c"] + w["d"][0], -40, 40)))
         return p, {"h": h, "t": t, "g": g, "a": a, "z": z}
 
+    def gradient(self, x: np.ndarray, starts: np.ndarray, bag: np.ndarray, y: np.ndarray, each: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the cross entropy, each bag weighted by ``each``."""
+        w = self.weights
+        p, m = self.forward(x, starts, bag)
+        d = (p - y) * each
+        dz = np.outer(d, w["c"])[bag]
+        da = (m["h"] * dz).sum(axis=1)
+        ds = m["a"] * (da - np.add.reduceat(m["a"] * da, starts)[bag])
+        dg = np.outer(ds, w["a"])
+        dt, du = dg * m["g"] * (1 - m["t"] ** 2), dg * m["t"] * m["g"] * (1 - m["g"])
+        dh = (m["a"][:, None] * dz + dt @ w["v"].T + du @ w["u"].T) * (1 - m["h"] ** 2)
+        return {"w1": x.T @ dh, "b1": dh.sum(axis=0), "v": m["h"].T @ dt, "u": m["h"].T @ du, "a": (m["t"] * m["g"]).T @ ds, "c": m["z"].T @ d, "d": np.array([d.sum()])}
+
     def scores(self, bags: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """Score of each bag and the largest attention weight in it."""
         sizes = np.array([len(b) for b in bags])
-        bag = np.repeat(np.arange(len(bags)), sizes)
         if self.constant is not None:
             return np.full(len(bags), self.constant), 1.0 / sizes
-        p, mid = self.forward((np.concatenate(bags).astype(np.float64) - self.mean) / self.scale, bag, len(bags))
-        return p, np.maximum.reduceat(mid["a"], np.concatenate(([0], np.cumsum(sizes)[:-1])))
+        starts, bag = places(sizes)
+        p, mid = self.forward((np.concatenate(bags).astype(np.float64) - self.mean) / self.scale, starts, bag)
+        return p, np.maximum.reduceat(mid["a"], starts)
+
+
+def places(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each bag starts, and the bag of each row."""
+    return np.concatenate(([0], np.cumsum(sizes)[:-1])), np.repeat(np.arange(len(sizes)), sizes)
 
 
 def fit(bags: list[np.ndarray], labels: list[int], steps: int = STEPS, seed: int = SEED) -> Model:
@@ -106,22 +130,15 @@ def fit(bags: list[np.ndarray], labels: list[int], steps: int = STEPS, seed: int
         return Model(np.zeros(N_FEATURES), np.ones(N_FEATURES), {}, (y.sum() + 1) / (len(y) + 2))
     x = np.concatenate(bags).astype(np.float64)
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-3
-    x, bag, n = (x - mean) / scale, np.repeat(np.arange(len(bags)), [len(b) for b in bags]), len(bags)
+    x, n = (x - mean) / scale, len(bags)
+    starts, bag = places(np.array([len(b) for b in bags]))
     rng = np.random.Generator(np.random.PCG64(seed))
     shapes = {"w1": (N_FEATURES, HIDDEN), "b1": (HIDDEN,), "v": (HIDDEN, GATE), "u": (HIDDEN, GATE), "a": (GATE,), "c": (HIDDEN,), "d": (1,)}
     w = {k: rng.normal(0, 0.3 if len(s) == 1 else s[0] ** -0.5, s) for k, s in shapes.items()}
     model, first, second = Model(mean, scale, w), {k: 0.0 for k in w}, {k: 0.0 for k in w}
     each = np.where(y == 1, 0.5 / y.sum(), 0.5 / (n - y.sum()))
     for step in range(1, steps + 1):
-        p, m = model.forward(x, bag, n)
-        d = (p - y) * each
-        dz = np.outer(d, w["c"])[bag]
-        da = (m["h"] * dz).sum(axis=1)
-        ds = m["a"] * (da - np.bincount(bag, m["a"] * da, n)[bag])
-        dg = np.outer(ds, w["a"])
-        dt, du = dg * m["g"] * (1 - m["t"] ** 2), dg * m["t"] * m["g"] * (1 - m["g"])
-        dh = (m["a"][:, None] * dz + dt @ w["v"].T + du @ w["u"].T) * (1 - m["h"] ** 2)
-        grad = {"w1": x.T @ dh, "b1": dh.sum(axis=0), "v": m["h"].T @ dt, "u": m["h"].T @ du, "a": (m["t"] * m["g"]).T @ ds, "c": m["z"].T @ d, "d": np.array([d.sum()])}
+        grad = model.gradient(x, starts, bag, y, each)
         for k, g in grad.items():
             g = g + DECAY * w[k] * (k != "d")
             first[k] = 0.9 * first[k] + 0.1 * g
@@ -136,7 +153,10 @@ def held_out(id_col: Column, of: int = HELD_OUT) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> Model:
-    """The model of the labelled documents that are not held out.  Documents with labels of both kinds are left out."""
+    """The model of labelled documents that are not held out: ``sample`` of each class, with all their passages.
+
+    Documents with labels of both kinds are left out.  Of rows that repeat an identifier one text is learned from.
+    """
     marks = labels.select(F.col(id_col).alias("_id"), F.col(label).cast("int").alias("_y")).filter(F.col("_y").isin(0, 1) & ~held_out(F.col("_id")))
     marks = marks.groupBy("_id").agg(F.min("_y").alias("_y"), F.max("_y").alias("_top")).filter("_y = _top").select("_id", "_y")
     order = (F.xxhash64("_id"), F.col("_id"))
@@ -148,10 +168,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for x in batch.column(2):
-                bag = encode(x.as_py() or "")
-                rows.append(bag[np.unique(np.linspace(0, len(bag) - 1, FIT_PASSAGES).astype(int))].tobytes())
+            rows = [encode(x.as_py() or "").tobytes() for x in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.binary())], ["_id", "_y", "bag"])
 
     known = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text")).join(chosen, "_id").select("_id", "_y", "_text")
@@ -207,7 +224,12 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: s
 
 
 def keep(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
-    """The rows of ``docs`` whose text is not rejected, with their own columns."""
+    """The rows of ``docs`` whose text is not rejected, with their own columns, of any names and types.
+
+    Null and empty texts are one passage without words and are judged as such, by the model or, without labels of both
+    classes, with all others by the smoothed share of label 1.  Null identifiers are never learned from.  Repeated rows
+    are judged alike; an empty table gives an empty result.
+    """
     names = docs.columns
     out = score(docs, train(docs, labels, id_col, text, label), id_col, text)
     positions = out.toDF(*[f"_c{i}" for i in range(len(names))], "_score", "_predicted", "_passages", "_top").filter("_predicted = 1")

@@ -1,7 +1,9 @@
 """Quality classifier and quality rules."""
 
+import math
 import os
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -29,13 +31,80 @@ def test_gradient_learns_the_odd_passage():
     assert (score == again).all()
 
 
-def test_attention_sums_to_one():
+def test_gradient_against_differences():
     rng = np.random.default_rng(1)
     bags = [rng.normal(0, 1, (k, quality_model.N_FEATURES)) for k in (1, 5, 3)]
     model = quality_model.fit(bags * 2, [0, 1, 0] * 2, steps=2)
-    bag = np.repeat(np.arange(3), [1, 5, 3])
-    _, mid = model.forward(np.concatenate(bags), bag, 3)
+    starts, bag = quality_model.places(np.array([1, 5, 3]))
+    x, y, each = np.concatenate(bags), np.array([0.0, 1.0, 0.0]), np.array([0.25, 0.5, 0.25])
+    _, mid = model.forward(x, starts, bag)
     assert np.bincount(bag, mid["a"]) == pytest.approx([1, 1, 1])
+    grad = model.gradient(x, starts, bag, y, each)
+
+    def loss():
+        p, _ = model.forward(x, starts, bag)
+        return -(each * (y * np.log(p) + (1 - y) * np.log(1 - p))).sum()
+
+    for name, w in model.weights.items():
+        for at in [tuple(rng.integers(0, n) for n in w.shape) for _ in range(4)]:
+            held = w[at]
+            w[at] = held + 1e-5
+            up = loss()
+            w[at] = held - 1e-5
+            assert grad[name][at] == pytest.approx((up - loss()) / 2e-5, abs=1e-7), name
+            w[at] = held
+
+
+def plain_passages(text):
+    """The features of each passage, a word and a character at a time."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    if not words:
+        return [[0.0] * quality_model.N_FEATURES]
+    cuts = [i for i in range(0, len(words), 64) if i == 0 or len(words) - i > 32]
+    out = []
+    for a, b in zip(cuts, [*cuts[1:], len(words)]):
+        part = [w.encode() for w in words[a:b]]
+        raw, n = b"".join(part), len(part)
+        groups = [*quality_model._CLASSES, bytes(range(97, 123)), bytes(range(65, 91)), bytes(range(128, 256))]
+        share = [sum(c in g for c in raw) / len(raw) for g in groups]
+        rest = 1 - sum(share)
+        again = sum(words[i] == words[i - 1] for i in range(max(a, 1), b))
+        shapes = [sum(lo <= len(w) <= hi for w in part) / n for lo, hi in ((0, 1), (2, 3), (4, 8), (13, 10**9))]
+        buckets = [sum(zlib.crc32(w.lower()) % quality_model.BUCKETS == k for w in part) / n for k in range(quality_model.BUCKETS)]
+        out.append([rest, *share, np.log1p(n), len(raw) / n / 10, len(set(part)) / n, again / n, *shapes, *buckets])
+    return out
+
+
+def plain_score(text, model):
+    sigmoid, w = lambda v: 1 / (1 + math.exp(-v)), {k: v.tolist() for k, v in model.weights.items()}
+    hidden, marks = [], []
+    for row in plain_passages(text):
+        x = [(v - m) / s for v, m, s in zip(row, model.mean, model.scale)]
+        h = [math.tanh(sum(v * r[k] for v, r in zip(x, w["w1"])) + w["b1"][k]) for k in range(len(w["b1"]))]
+        gate = [math.tanh(sum(v * r[k] for v, r in zip(h, w["v"]))) * sigmoid(sum(v * r[k] for v, r in zip(h, w["u"]))) for k in range(len(w["a"]))]
+        hidden.append(h)
+        marks.append(sum(a * g for a, g in zip(w["a"], gate)))
+    e = [math.exp(m - max(marks)) for m in marks]
+    z = [sum(a / sum(e) * h[k] for a, h in zip(e, hidden)) for k in range(len(w["c"]))]
+    return sigmoid(sum(c * v for c, v in zip(w["c"], z)) + w["d"][0])
+
+
+@needs_tables
+def test_scores_against_a_plain_version(spark):
+    docs, labels = spark.read.parquet(f"{HERE}/documents.parquet"), spark.read.parquet(f"{HERE}/labels.parquet")
+    model = quality_model.train(docs, labels)
+    texts = {r.doc_id: r.text for r in docs.filter("doc_id % 9 = 0").collect()} | {-1: "", -2: " \n", -3: "Ab ab !? ü", -4: "word " * 40_000 + "Junk $$$ " * 500}
+    got = quality_model.score(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), model).collect()
+    assert {r.doc_id: r.score for r in got} == pytest.approx({i: plain_score(t, model) for i, t in texts.items()}, abs=1e-5)
+
+
+def test_all_passages_are_learned_from(spark, monkeypatch):
+    seen = []
+    fit = quality_model.fit
+    monkeypatch.setattr(quality_model, "fit", lambda bags, labels: seen.extend(bags) or fit(bags, labels))
+    docs = spark.createDataFrame([(i, "word " * 64 * 100) for i in range(20)], "doc_id long, text string")
+    quality_model.train(docs, docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as quality"), sample=3)
+    assert [len(b) for b in seen] == [100] * 6
 
 
 def test_passages_cover_every_word():
