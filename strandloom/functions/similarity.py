@@ -9,37 +9,74 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.functions.sequence import RESIDUES, let
+from strandloom.functions.sequence import let
 
-#: Longest left side of the bit-parallel form: its bits have to fit into a signed long with room for one carry.
+#: Bits of a word of the bit-parallel form: a sum of two words and a carry has to fit into a signed long.
 WORD_BITS = 62
 
 
-def residue_masks(s: Column) -> Column:
-    """For each residue, the bits of its places in ``s``: precompute it where one sequence meets many."""
-    chars = F.filter(F.split(s, ""), lambda c: c != "")
-    bit = lambda r: F.aggregate(F.transform(chars, lambda c, i: F.when(c == r, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x))
-    return F.array(*[bit(F.lit(r)) for r in RESIDUES])
+def _chars(s: Column) -> Column:
+    return F.filter(F.split(s, ""), lambda c: c != "")
+
+
+def _zero() -> Column:
+    return F.lit(0).cast("long")
+
+
+def _ones(n: Column) -> Column:
+    """A word whose lowest ``n`` bits are set."""
+    return F.call_function("shiftleft", F.lit(1).cast("long"), n.cast("int")) - 1
+
+
+def place_masks(s: Column) -> Column:
+    """For each character of ``s``, the bits of its places, in words: precompute it where one text meets many."""
+
+    def build(chars: Column) -> Column:
+        words = F.sequence(F.lit(0), F.greatest(F.lit(1), F.ceil(F.size(chars) / WORD_BITS).cast("int")) - 1)
+        bit = lambda c, w: F.aggregate(
+            F.sequence(F.lit(0), F.lit(WORD_BITS - 1)), _zero(),
+            lambda acc, i: F.when(F.coalesce(F.get(chars, w * WORD_BITS + i) == c, F.lit(False)), acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))).otherwise(acc),
+        )
+        known = F.array_distinct(chars)
+        return F.map_from_arrays(known, F.transform(known, lambda c: F.transform(words, lambda w: bit(c, w))))
+
+    return let(_chars(s), build)
 
 
 def lcs_length(masks: Column, length: Column, other: Column) -> Column:
-    """Length of the longest common subsequence of a sequence, given by its masks and length (at most 62), and another."""
-    full = F.call_function("shiftleft", F.lit(1).cast("long"), length) - 1
+    """Length of the longest common subsequence of a text, given by its masks and length, and another: any lengths, any characters."""
+    chars = _chars(other)
+    full = _ones(F.least(length, F.lit(WORD_BITS)))
 
-    def step(v: Column, c: Column) -> Column:
-        m = F.coalesce(F.get(masks, F.instr(F.lit(RESIDUES), c) - 1), F.lit(0).cast("long"))
+    def one_word(v: Column, c: Column) -> Column:
+        m = F.coalesce(F.get(F.try_element_at(masks, c), F.lit(0)), _zero())
         hit = v.bitwiseAND(m)
         return (v + hit).bitwiseOR(v.bitwiseAND(F.bitwise_not(m))).bitwiseAND(full)
 
-    last = F.aggregate(F.filter(F.split(other, ""), lambda c: c != ""), full, step)
-    return length - F.bit_count(last)
+    words = F.ceil(length / WORD_BITS).cast("int")
+    tops = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(1), words) - 1), lambda w: _ones(F.least(F.greatest(length - w * WORD_BITS, F.lit(0)), F.lit(WORD_BITS))))
+    start = F.struct(_zero().alias("carry"), F.array().cast("array<bigint>").alias("out"))
+
+    def many_words(vs: Column, c: Column) -> Column:
+        def step(acc: Column, w: Column) -> Column:
+            v, m = F.get(vs, w), F.get(F.try_element_at(masks, c), w)
+            total = v + v.bitwiseAND(m) + acc["carry"]
+            kept = total.bitwiseOR(v.bitwiseAND(F.bitwise_not(m))).bitwiseAND(F.get(tops, w))
+            return F.struct(F.shiftright(total, WORD_BITS).alias("carry"), F.array_append(acc["out"], kept).alias("out"))
+
+        moved = F.aggregate(F.sequence(F.lit(0), F.size(vs) - 1), start, step, lambda acc: acc["out"])
+        return F.when(F.try_element_at(masks, c).isNull(), vs).otherwise(moved)  # a character without a place changes nothing
+
+    short = length - F.bit_count(F.aggregate(chars, full, one_word))
+    long = length - F.aggregate(F.aggregate(chars, tops, many_words), F.lit(0), lambda acc, v: acc + F.bit_count(v))
+    return F.when(length <= WORD_BITS, short).otherwise(long)
 
 
 def indel_ratio(a: Column, b: Column, masks: Column | None = None) -> Column:
-    """``2 * LCS / (len a + len b)`` of two residue sequences, ``a`` of 62 residues at most; 1 for two empty ones."""
+    """``2 * LCS / (len a + len b)`` of two texts; 1 for two empty ones."""
     n = F.length(a) + F.length(b)
-    ratio = let(residue_masks(a), lambda m: 2 * lcs_length(m, F.length(a), b) / n) if masks is None else 2 * lcs_length(masks, F.length(a), b) / n
-    return F.when(n == 0, 1.0).otherwise(ratio)
+    ratio = lambda m: 2 * lcs_length(m, F.length(a), b) / n
+    return F.when(n == 0, 1.0).otherwise(let(place_masks(a), ratio) if masks is None else ratio(masks))
 
 
 def lcs_bound(counts_a: Column, counts_b: Column) -> Column:
@@ -48,7 +85,7 @@ def lcs_bound(counts_a: Column, counts_b: Column) -> Column:
 
 
 def long_indel_ratio(a: Column, b: Column) -> Column:
-    """:func:`indel_ratio` for texts of any length and alphabet, by Python integers as bit vectors."""
+    """:func:`indel_ratio` in Python, by integers as bit vectors: for very long texts, where interpreted words are slow."""
 
     @F.pandas_udf("double")
     def run(left: pd.Series, right: pd.Series) -> pd.Series:

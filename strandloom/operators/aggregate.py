@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.operators.curate import running_sums
@@ -69,18 +69,20 @@ def label_agreement(df: DataFrame, key: str, label: str) -> DataFrame:
     return seen.select(key, F.when(agree, F.col("_lo")).alias(label), (~agree).alias("conflict"), "observations")
 
 
-def motif_library(df: DataFrame, key: str, motifs: Column, charge, least: int = 3) -> DataFrame:
-    """Motifs of at least ``least`` keys: occurrences, mean charge, number of keys and the first five of them.
+def motif_library(df: DataFrame, key: str, motifs: Column, charge, least: int = 3, salts: int = 32) -> DataFrame:
+    """Motifs of at least ``least`` keys, the most widespread first: occurrences, mean charge, number of keys and the first five of them.
 
-    Occurrences are counted for each motif and key first, so a key's repeats stay in its own task.  ``charge`` maps a
-    motif column to its charge, taken once a motif.
+    Occurrences are counted for each motif and key first, so a key's repeats stay in its own task.  Keys are then ranked
+    inside ``salts`` parts of a motif, and only the first five of a part are collected.  ``charge`` maps a motif column to
+    its charge, taken once a motif.  Order: falling number of keys, falling occurrences, motif.
     """
     pairs = df.select(key, F.explode(motifs).alias("motif_sequence")).groupBy("motif_sequence", key).agg(F.count(F.lit(1)).alias("n"))
-    five = lambda x: F.slice(F.array_sort(x), 1, 5)
-    part = pairs.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(32))).groupBy("motif_sequence", "_salt").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"), five(F.collect_list(key)).alias("ids"))
-    out = part.groupBy("motif_sequence").agg(F.sum("n").alias("frequency"), F.sum("k").alias("associated_seq_count"), five(F.flatten(F.collect_list("ids"))).alias("ids"))
-    out = out.filter(F.col("associated_seq_count") >= least)
-    return out.select("motif_sequence", "frequency", F.round(charge(F.col("motif_sequence")), 6).alias("mean_charge"), "associated_seq_count", F.array_join("ids", ";").alias("example_sequence_ids"))
+    part = pairs.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(salts)))
+    part = part.withColumn("_r", F.row_number().over(Window.partitionBy("motif_sequence", "_salt").orderBy(key)))
+    first = F.slice(F.array_sort(F.collect_list(F.when(F.col("_r") <= 5, F.col(key)))), 1, 5)  # five a part are collected
+    out = part.groupBy("motif_sequence").agg(F.sum("n").alias("frequency"), F.count(F.lit(1)).alias("associated_seq_count"), first.alias("ids")).filter(F.col("associated_seq_count") >= least)
+    out = out.select("motif_sequence", "frequency", F.round(charge(F.col("motif_sequence")), 6).alias("mean_charge"), "associated_seq_count", F.array_join("ids", ";").alias("example_sequence_ids"))
+    return out.orderBy(F.desc("associated_seq_count"), F.desc("frequency"), "motif_sequence")
 
 
 def descriptor_summary(df: DataFrame, columns: Sequence[str], digits: int = 6) -> DataFrame:
@@ -90,10 +92,30 @@ def descriptor_summary(df: DataFrame, columns: Sequence[str], digits: int = 6) -
     return long.groupBy("descriptor").agg(r(F.min("value")).alias("minimum"), r(F.max("value")).alias("maximum"), r(F.avg("value")).alias("mean"), r(F.stddev_pop("value")).alias("std"))
 
 
+def quantiles(df: DataFrame, group: str | None, value: str, shares: Sequence[float]) -> DataFrame:
+    """``group`` (if any) and an array ``q``: exact quantiles by linear interpolation, one for each of ``shares``.
+
+    Equal values are counted first, and their counts get running totals over range partitions, so no buffer holds a
+    group's values and a value that many rows share is one row.  Nulls are left out.
+    """
+    named = F.col(group) if group else F.lit(0)
+    by = df.filter(F.col(value).isNotNull()).groupBy(named.alias("_g"), F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    run = running_sums(by.withColumn("_o", F.struct("_g", "_v")), F.col("_o"), {"_upto": "_c"}).drop("_o")
+    run = run.withColumn("_from", F.col("_upto") - F.col("_c"))
+    whole = run.groupBy(F.col("_g").alias("_h")).agg(F.sum("_c").alias("_n"), F.min("_from").alias("_start"))  # one row a group
+    spots = F.array(*[F.struct(F.lit(i).alias("i"), (F.lit(float(p)) * (F.col("_n") - 1)).alias("at")) for i, p in enumerate(shares)])
+    met = run.join(whole, F.struct("_g") == F.struct("_h")).withColumn("_p", F.explode(F.filter(spots, lambda x: (F.floor(x["at"]) < F.col("_upto") - F.col("_start")) & (F.ceil(x["at"]) >= F.col("_from") - F.col("_start")))))
+    inside = lambda x: (x >= F.col("_from") - F.col("_start")) & (x < F.col("_upto") - F.col("_start"))
+    ends = met.groupBy("_g", F.col("_p.i").alias("i"), F.col("_p.at").alias("at")).agg(F.max(F.when(inside(F.floor("_p.at")), F.col("_v"))).alias("lo"), F.max(F.when(inside(F.ceil("_p.at")), F.col("_v"))).alias("hi"))
+    each = ends.select("_g", "i", (F.col("lo") + (F.col("at") - F.floor("at")) * (F.col("hi") - F.col("lo"))).alias("q"))
+    out = each.groupBy("_g").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "q"))), lambda x: x["q"]).alias("q"))  # a number for each share
+    return out.withColumnRenamed("_g", group) if group else out.select("q")
+
+
 def quantile_table(df: DataFrame, group: str, value: str) -> DataFrame:
     """Quartiles by linear interpolation for each group."""
-    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return df.groupBy(group).agg(q.alias("q")).select(group, *[F.round(F.col("q")[i], 4).alias(n) for i, n in enumerate(("q25", "q50", "q75"))])
+    q = quantiles(df, group, value, (0.25, 0.5, 0.75))
+    return q.select(group, *[F.round(F.col("q")[i], 4).alias(n) for i, n in enumerate(("q25", "q50", "q75"))])
 
 
 def group_summary(df: DataFrame, group: str, key: str, value: str, flag: Column) -> DataFrame:
@@ -160,7 +182,7 @@ def mean_pairwise_distance(df: DataFrame, sequence: str, order: str, sample: int
 
 def tail_risk(df: DataFrame, value: str, share: float = 0.10) -> DataFrame:
     """The ``share`` quantile and the mean of what is at or below it."""
-    q = df.agg(F.percentile(value, F.lit(share)).alias("q"))
+    q = quantiles(df, None, value, [share]).select(F.col("q")[0].alias("q"))  # one row
     return df.join(F.broadcast(q)).filter(F.col(value) <= F.col("q")).agg(F.round(F.max("q"), 4).alias("quantile"), F.round(F.avg(value), 4).alias("tail_mean"))
 
 
@@ -176,6 +198,24 @@ def metrics(df: DataFrame, label: str, score: str, order: str) -> DataFrame:
     return out.select(F.round(F.col("pairs") / (F.col("positives") * F.col("negatives")), 6).alias("roc_auc"), F.round(F.col("ap") / F.col("positives"), 6).alias("average_precision"), F.round(F.col("squares") / F.col("total"), 6).alias("brier"))
 
 
+def strategy_metrics(chosen: DataFrame, strategy: str, sequence: str = "sequence", domain: str = "primary_domain", quality: str = "lcb_quality", amp: str = "pred_amp_probability", tox: str = "pred_toxicity_risk", can_synthesize: str = "synthesizable", similarity: str = "max_reference_similarity", rank: str = "rank") -> DataFrame:
+    """One row for each selection strategy of ``chosen``: means, entropy of domains, distance and shares, by strategy.
+
+    The mean edit distance is over all pairs of the first fifty rows by ``rank``.
+    """
+    part = lambda c: F.avg(c.cast("double"))
+    whole = chosen.groupBy(strategy).agg(
+        F.round(F.avg(quality), 4).alias("mean_lcb_quality"), F.round(F.avg(amp), 4).alias("mean_amp_prob"), F.round(F.avg(tox), 4).alias("mean_toxicity_risk"),
+        F.round(part(F.col(can_synthesize)), 4).alias("synthesizable_fraction"), F.round(part(F.col(similarity) <= 0.80), 4).alias("novelty_le80_fraction"),
+    )
+    counts = chosen.groupBy(strategy, domain).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    mixed = counts.groupBy(strategy).agg((F.ln(F.sum("n")) - F.sum(F.col("n") * F.ln("n")) / F.sum("n")).alias("h")).select(strategy, F.round("h", 3).alias("domain_entropy"))
+    first = chosen.filter(F.col(rank) <= 50).groupBy(strategy).agg(F.array_sort(F.collect_list(F.struct(rank, sequence))).alias("x"))  # fifty rows a strategy
+    pairs = first.select(strategy, F.posexplode("x").alias("i", "a"), "x").select(strategy, "a", F.explode(F.slice("x", F.col("i") + 2, 50)).alias("b"))
+    apart = pairs.groupBy(strategy).agg(F.round(F.avg(F.levenshtein(F.col("a")[sequence], F.col("b")[sequence])), 2).alias("mean_pairwise_distance"))
+    return whole.join(mixed, strategy).join(apart, strategy, "left")
+
+
 def ledger(df: DataFrame, cached: Column, accepted: Column, hit: Column) -> DataFrame:
     """Counters of an evaluation log: requests, unique evaluations, cache hits, rejections, and hit rate."""
     out = df.agg(F.count(F.lit(1)).alias("requests"), F.count_if(accepted & ~cached).alias("unique_calls"), F.count_if(cached).alias("cache_hits"), F.count_if(~accepted).alias("rejections"), F.count_if(hit).alias("hits"))

@@ -51,10 +51,16 @@ def provenance(records: DataFrame, sequence: str = "sequence", columns: Sequence
     return records.select(sequence_id(s).alias("sequence_id"), s.alias("sequence_normalized"), F.col(sequence).alias("original_sequence"), *columns)
 
 
+def own_key(column: str) -> Column:
+    """Equal for equal values, and for two nulls.  No aggregate is partitioned by it: a join on it exchanges both of its
+    sides, so adaptive execution can split a hot key though the other side has one row a key."""
+    return F.struct(F.col(column).alias("k"))
+
+
 def flag_reference(df: DataFrame, reference: DataFrame, key: str, flag: str = "challenge_exact_overlap") -> DataFrame:
     """``df`` with whether its key is in ``reference``.  The reference is made distinct; Spark picks the join by size."""
     seen = reference.select(F.col(key).alias("_k")).filter("_k is not null").distinct().withColumn("_hit", F.lit(True))
-    return df.join(seen, F.col(key) == F.col("_k"), "left").withColumn(flag, F.coalesce("_hit", F.lit(False))).drop("_k", "_hit")
+    return df.join(seen, own_key(key) == own_key("_k"), "left").withColumn(flag, F.coalesce("_hit", F.lit(False))).drop("_k", "_hit")
 
 
 def eligible(df: DataFrame, valid: str = "valid_for_challenge", overlap: str = "challenge_exact_overlap") -> DataFrame:
@@ -62,28 +68,33 @@ def eligible(df: DataFrame, valid: str = "valid_for_challenge", overlap: str = "
 
 
 def quarantine(df: DataFrame, reference: DataFrame, key: str) -> DataFrame:
-    """Rows whose key is not in ``reference``."""
-    return df.join(reference.select(key).distinct(), key, "left_anti")
+    """Rows whose key is not in ``reference``; a row with a null key is in none."""
+    seen = reference.select(F.col(key).alias("_k")).filter("_k is not null").distinct()
+    return df.join(seen, own_key(key) == own_key("_k"), "left_anti")
 
 
 def link(observations: DataFrame, sequences: DataFrame, key: str, identifier: str = "sequence_id") -> DataFrame:
     """Observations with the identifier of their sequence, an empty one where there is none."""
-    known = first_wins(sequences.select(key, identifier), [key], [identifier])
-    return observations.join(known, key, "left").withColumn(identifier, F.coalesce(identifier, F.lit("")))
+    known = first_wins(sequences.select(F.col(key).alias("_k"), F.col(identifier).cast("string").alias("_i")).filter("_k is not null"), ["_k"], ["_i"])
+    joined = observations.drop(identifier).join(known, own_key(key) == own_key("_k"), "left")
+    return joined.withColumn(identifier, F.coalesce("_i", F.lit(""))).drop("_k", "_i")
 
 
 def fill_from(observations: DataFrame, lookup: DataFrame, key: str, value: str, order: str) -> DataFrame:
     """``value`` of each observation, from ``lookup`` by ``key`` where it is null or empty; the last duplicate there wins."""
-    last = lookup.groupBy(F.col(key).alias("_k")).agg(F.max_by(F.col(value), F.col(order)).alias("_v"))
-    joined = observations.join(last, F.col(key) == F.col("_k"), "left")
+    last = lookup.groupBy(F.col(key).alias("_k")).agg(F.max_by(F.col(value), F.col(order)).alias("_v")).filter("_k is not null")
+    joined = observations.join(last, own_key(key) == own_key("_k"), "left")
     return joined.withColumn(value, F.coalesce(F.nullif(F.col(value), F.lit("")), F.col("_v"))).drop("_k", "_v")
 
 
 def many_to_one(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
     """A join that fails if a key is repeated on the right."""
-    counted = right.join(right.groupBy(key).agg(F.count(F.lit(1)).alias("_n")), key)
-    checked = counted.withColumn(key, F.when(F.col("_n") == 1, F.col(key)).otherwise(F.raise_error(F.lit(f"{key} repeats on the right")).cast(dict(right.dtypes)[key]))).drop("_n")
-    return left.join(checked, key, how)
+    rest = [c for c in right.columns if c != key]
+    one = right.groupBy(F.col(key).alias("_k")).agg(F.count(F.lit(1)).alias("_n"), F.first(F.struct(*rest)).alias("_row")).filter("_k is not null")
+    fail = F.raise_error(F.lit(f"{key} repeats on the right")).cast(one.schema["_row"].dataType)
+    checked = one.select("_k", F.when(F.col("_n") == 1, F.col("_row")).otherwise(fail).alias("_row"))
+    joined = left.join(checked, own_key(key) == own_key("_k"), how)
+    return joined.select(*left.columns, *[F.col("_row")[c].alias(c) for c in rest])
 
 
 def with_defaults(df: DataFrame, other: DataFrame, key: str, defaults: dict[str, object]) -> DataFrame:

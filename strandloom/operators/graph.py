@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandloom.operators.aggregate import quantiles
 from strandloom.operators.curate import number_rows
 from strandloom.operators.similar import similar_pairs
 from strandloom.storage import materialize, scratch
@@ -175,6 +176,15 @@ def lineage_depth(nodes: DataFrame, node: str, parent: str) -> DataFrame:
     return state.select(F.col("n").alias(node), F.col("last").alias("ancestor"), F.col("d").alias("depth"), F.col("to").isNull().alias("complete"))
 
 
+def lineage_summary(depths: DataFrame) -> DataFrame:
+    """One row from :func:`lineage_depth`: broken chains, and the least, median, mean and largest depth of whole ones below the roots."""
+    below = depths.filter("complete and depth > 0")
+    whole = below.agg(F.count(F.lit(1)).alias("unbroken"), F.min("depth").alias("least"), F.round(F.avg("depth"), 4).alias("mean"), F.max("depth").alias("largest"))
+    middle = quantiles(below, None, "depth", [0.5]).select(F.round(F.col("q")[0], 4).alias("median"))
+    broken = depths.agg(F.count_if(~F.col("complete")).alias("broken"))
+    return whole.join(F.broadcast(broken)).join(F.broadcast(middle), how="left")  # single rows
+
+
 def ancestry_violations(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``rule, item`` for every breach of a lineage's rules; empty if it is sound.
 

@@ -56,15 +56,23 @@ def contiguous(df: DataFrame, index: str) -> DataFrame:
 
 
 def balanced_sample(df: DataFrame, label: str, key: str, seed: int = 42) -> DataFrame:
-    """As many rows of each label as the rarest has, those with the smallest seeded hashes."""
-    least = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).agg(F.min("n")).first()[0] or 0
-    by = F.xxhash64(F.lit(seed), F.col(key).cast("string"))
-    labels = [r[0] for r in df.select(label).distinct().collect()]  # one row a label
-    out = None
-    for value in labels:
-        part = df.filter(F.col(label).eqNullSafe(value)).orderBy(by, key).limit(least)
-        out = part if out is None else out.unionByName(part)
-    return df.limit(0) if out is None else out
+    """As many rows of each label as the rarest has, those with the smallest seeded hashes.
+
+    All rows are numbered at once, in range partitions by label and hash; a null label is a label.
+    """
+    order = [F.col(label), F.xxhash64(F.lit(seed), F.col(key).cast("string")), F.col(key)]
+    held = number_rows(df, order, "_at")
+    spans = held.groupBy(F.col(label).alias("_label")).agg(F.min("_at").alias("_from"), F.count(F.lit(1)).alias("_n"))  # one row a label
+    least = spans.agg(F.min("_n").alias("_least"))
+    near = held.join(spans.join(F.broadcast(least)), F.struct(label) == F.struct("_label")).filter(F.col("_at") - F.col("_from") < F.col("_least"))
+    return near.select(*df.columns)
+
+
+def first_of_largest(df: DataFrame, group: str, order: Sequence[Column], groups: int = 5, k: int = 4) -> DataFrame:
+    """The first ``k`` rows of each of the ``groups`` largest groups (ties by group)."""
+    sizes = df.groupBy(F.col(group).alias("_g")).agg(F.count(F.lit(1)).alias("_n"))
+    top = F.broadcast(top_k(sizes, [F.desc("_n"), F.asc("_g")], groups).select("_g"))  # ``groups`` rows
+    return top_k_per_group(df.join(top, F.col(group) == F.col("_g"), "left_semi"), [group], order, k)
 
 
 def coverage_gap(expected: DataFrame, found: DataFrame, key: str) -> DataFrame:

@@ -128,7 +128,7 @@ def evolve(seeds: DataFrame, evaluator: Evaluator, generations: int = 14, budget
         fresh = materialize(fresh.join(nodes.select(F.col("sequence").alias("child")), "child", "left_anti"), "children")
         made = fresh.select(F.col("child_id").alias("sequence_id"), F.col("child").alias("sequence"), "family", F.col("sequence_id").alias("parent_id"), "seed_id", F.lit(g).alias("generation"), "mutation_type", "position", "delta", "composite_fitness")
         step = fresh.select(F.col("sequence_id").alias("parent_id"), "child_id", "seed_id", F.lit(g).alias("generation"), "mutation_type", "position", "delta", F.round(F.col("composite_fitness") - F.col("parent_fitness"), 4).alias("fitness_delta"))
-        edges = step if edges is None else edges.unionByName(step)
+        edges = materialize(step if edges is None else edges.unionByName(step), "steps")
         nodes = materialize(nodes.unionByName(made), "nodes")
         pool = parents.select(*columns).unionByName(made)
         best = top_k_per_group(pool, ["family"], order, per_family, "_r").drop("_r")

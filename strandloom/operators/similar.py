@@ -6,14 +6,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.functions.sequence import RESIDUES, residue_count
-from strandloom.functions.similarity import indel_ratio, lcs_bound, local_similarity, residue_masks
+from strandloom.functions.similarity import indel_ratio, lcs_bound, local_similarity, place_masks
+from strandloom.operators.curate import own_key
+
+
+def _counts(s: Column) -> Column:
+    """Of each residue, then of all other characters together."""
+    return F.array(*[residue_count(s, r) for r in RESIDUES], F.length(F.translate(s, RESIDUES, "")))
 
 
 def _prepared(df: DataFrame, key: str, sequence: str, side: str) -> DataFrame:
     """Distinct sequences with what comparing them needs; each stands for its smallest key."""
     s = F.col("s")
     distinct = df.groupBy(F.col(sequence).alias("s")).agg(F.min(key).alias("key")).filter("s is not null")
-    return distinct.select(F.col("key").alias(f"{side}_key"), s.alias(f"{side}_s"), F.length(s).alias(f"{side}_n"), residue_masks(s).alias(f"{side}_masks"), F.array(*[residue_count(s, r) for r in RESIDUES]).alias(f"{side}_counts"))
+    return distinct.select(F.col("key").alias(f"{side}_key"), s.alias(f"{side}_s"), F.length(s).alias(f"{side}_n"), place_masks(s).alias(f"{side}_masks"), _counts(s).alias(f"{side}_counts"))
 
 
 def least_length(n: Column, threshold: float) -> Column:
@@ -72,7 +78,7 @@ def nearest_reference(df: DataFrame, reference: DataFrame, key: str, sequence: s
     met = left.join(right, same)
     scored = met.select("a_s", "b_key", indel_ratio(F.col("a_s"), F.col("b_s"), F.col("a_masks")).alias("sim"))
     best = scored.groupBy("a_s").agg(F.max("sim").alias("sim"), F.min_by("b_key", F.struct((-F.col("sim")).alias("far"), "b_key")).alias("ref"))
-    out = df.join(best, F.col(sequence) == F.col("a_s"), "left")
+    out = df.join(best, own_key(sequence) == own_key("a_s"), "left")
     return out.select(*df.columns, F.coalesce(F.col("sim"), F.lit(0.0)).alias("max_reference_similarity"), F.col("ref").alias("nearest_reference"))
 
 

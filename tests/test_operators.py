@@ -81,26 +81,47 @@ def test_turns_of_components_are_logarithmic(spark, monkeypatch):
         assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 0
 
 
-def test_components_against_union_find(spark):
-    rng = np.random.default_rng(1)
-    edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(1000 + i, 1001 + i) for i in range(60)] + [(5000, 5001 + i) for i in range(40)]
-    parent = {}
+def test_components_of_a_few_edges(spark):
+    found = graph.components(frame(spark, [(3, 1), (1, 3), (1, 1), (5, 4), (4, 2), (None, 2), (7, None)], "a long, b long")).collect()
+    assert grouped({r.node: r.root for r in found}) == {frozenset({1, 3}), frozenset({2, 4, 5})}
+    assert graph.components(frame(spark, [], "a long, b long")).count() == 0
 
-    def find(x):
-        parent.setdefault(x, x)
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
 
-    for a, b in edges:
-        if a != b:
-            parent[find(a)] = find(b)
-    found = {r.node: r.root for r in graph.components(frame(spark, edges, "a long, b long")).collect()}
-    assert set(found) == set(parent)
-    groups = lambda m: {frozenset(k for k in m if m[k] == v) for v in set(m.values())}
-    assert groups(found) == groups({k: find(k) for k in parent})
-    assert graph.components(frame(spark, [], "a long, b long")).count() == 0
+def common(a, b):
+    """Longest common subsequence, a cell at a time."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(max(new[j], row[j + 1], row[j] + (x == y)))
+        row = new
+    return row[-1]
+
+
+def test_indel_ratio_at_any_length(spark):
+    rng = np.random.default_rng(11)
+    make = lambda n, letters: "".join(rng.choice(list(letters), n))
+    pairs = [("", ""), ("", "A"), ("A" * 63, "K" * 63), ("A" * 64, "K" * 64), ("A" * 64, "A" * 64), ("B" * 70, "B" * 70), ("é😀x", "x😀é")]
+    pairs += [(make(n, letters), make(m, letters)) for n in (1, 61, 62, 63, 64, 124, 125, 200, 300) for m in (5, 62, 130, 300) for letters in ("AC", "ABCDEFJOUXZ-é")]
+    df = frame(spark, [(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, a string, b string")
+    got = {r.i: (r.x, r.y) for r in df.select("i", similarity.indel_ratio(F.col("a"), F.col("b")).alias("x"), similarity.long_indel_ratio(F.col("a"), F.col("b")).alias("y")).collect()}
+    for i, (a, b) in enumerate(pairs):
+        want = 2 * common(a, b) / (len(a) + len(b)) if a or b else 1.0
+        assert got[i] == (pytest.approx(want), pytest.approx(want)) and select.indel(a, b) == pytest.approx(want)
+
+
+def test_similarity_joins_of_long_and_foreign_texts(spark):
+    rng = np.random.default_rng(6)
+    rows = []
+    for i in range(40):
+        base = "".join(rng.choice(list("ACDEFGHBJOUXZ"), rng.integers(55, 140)))
+        rows += [(2 * i, base), (2 * i + 1, base[:20] + "W" + base[21:60] + base[63:])]
+    df = frame(spark, rows, "k long, s string")
+    want = {(i, j): select.indel(a, b) for i, a in rows for j, b in rows if i < j and a != b and select.indel(a, b) >= 0.8}
+    got = {(r.a, r.b): r.similarity for r in similar.similar_pairs(df, "k", "s", 0.8).collect()}
+    assert len(want) >= 40 and set(got) == set(want) and all(got[x] == pytest.approx(want[x]) for x in want)
+    near = {r.k: r.max_reference_similarity for r in similar.nearest_reference(df.filter("k % 2 = 1"), df.filter("k % 2 = 0"), "k", "s", "k", "s").collect()}
+    assert all(near[i] == pytest.approx(max(select.indel(a, b) for j, b in rows if j % 2 == 0)) for i, a in rows if i % 2)
 
 
 def test_similar_pairs_and_nearest(spark):
@@ -143,11 +164,52 @@ def candidates(n=30):
     })
 
 
+def weighed(pdf):
+    x = pdf[list(select.KERNEL_COLUMNS)].to_numpy(dtype=float)
+    spread = x.std(axis=0)
+    return select.Weighed.of(pdf, x.mean(axis=0), np.where(spread > 0, spread, 1))
+
+
 def test_kernel_is_positive_semidefinite():
-    s = select.kernel(*select._standard(candidates(40)))
+    x = weighed(candidates(40))
+    s = select.kernel(x.bio, x.mix)
     assert np.abs(s - s.T).max() < 1e-12 and np.linalg.eigvalsh(s).min() >= -1e-10
 
 
+def greedy(pdf, k, quota=(1, 60), required=(), most_cosine=1.1, most_indel=None):
+    """The determinantal choice by determinants, a candidate at a time."""
+    pdf = pdf.sort_values("sequence").reset_index(drop=True)
+    x = weighed(pdf)
+    e = np.exp(np.clip(pdf["lcb_quality"].to_numpy(), -2, 2))
+    L = np.outer(e, e) * select.kernel(x.bio, x.mix)
+    L[np.diag_indices(len(pdf))] = e**2 + 1e-4
+    log = lambda at: np.linalg.slogdet(L[np.ix_(at, at)])[1] if at else 0.0
+    taken, cov = [], np.zeros(4)
+    while len(taken) < k:
+        count = pdf.primary_domain.iloc[taken].value_counts().to_dict()
+        unmet = {d for d in required if count.get(d, 0) < quota[0]}
+        tight = k - len(taken) <= sum(quota[0] - count.get(d, 0) for d in unmet)
+        free = [
+            i for i in range(len(pdf)) if i not in taken and count.get(pdf.primary_domain[i], 0) < quota[1] and (not tight or pdf.primary_domain[i] in unmet)
+            and all(x.mix[i] @ x.mix[t] <= most_cosine and (most_indel is None or select.indel(pdf.sequence[i], pdf.sequence[t]) <= most_indel) for t in taken)
+        ]
+        best = max(free, key=lambda i: (round(pdf.lcb_quality[i] + 0.5 * (log([*taken, i]) - log(taken)) + 0.3 * (np.log1p(cov + x.use[i]) - np.log1p(cov)).sum(), 9), -i))
+        taken.append(best)
+        cov = cov + x.use[best]
+    return pdf.sequence.iloc[taken].tolist()
+
+
+@pytest.mark.parametrize("offered", [1, 32])
+def test_portfolio_against_determinants(spark, monkeypatch, offered):
+    monkeypatch.setattr(select, "OFFERED", offered)
+    pdf = candidates(40)
+    limits = {"most_cosine": 0.75, "most_indel": 0.5}
+    out = select.select_portfolio(spark.createDataFrame(pdf).repartition(4), 8, 4, quota=(1, 3), required=["ar", "vae"], **limits).orderBy("portfolio_rank").toPandas()
+    assert out.sequence.tolist() == greedy(pdf, 8, (1, 3), ("ar", "vae"), **limits)
+    out = select.select_portfolio(spark.createDataFrame(pdf), 6, 3, quota=(2, 60), required=["dif"], most_cosine=1.1, most_indel=None).orderBy("portfolio_rank").toPandas()
+    assert out.sequence.tolist() == greedy(pdf, 6, (2, 60), ("dif",))
+
+
 def test_portfolio(spark):
     df = spark.createDataFrame(candidates())
     out = select.select_portfolio(df, 8, 4, quota=(1, 3), required=["ar", "vae", "evo", "dif"]).toPandas()
@@ -158,22 +220,6 @@ def test_portfolio(spark):
         select.select_portfolio(df.drop("max_reference_similarity"), 8, 4)
 
 
-def test_determinantal_gain_matches_direct_computation():
-    pdf = candidates(12)
-    chosen = select.determinantal_choice(pdf, 5, most_cosine=1.1, most_indel=None)
-    bio, mix = select._standard(pdf)
-    e = np.exp(np.clip(pdf["lcb_quality"].to_numpy(), -2, 2))
-    L = np.outer(e, e) * select.kernel(bio, mix)
-    L[np.diag_indices(12)] = e**2 + 1e-4
-    use = np.clip(np.stack([pdf.pred_amp_probability, 1 - pdf.pred_toxicity_risk, pdf.net_charge_ph7 / 6, pdf.eisenberg_moment / 0.6], axis=1), 0, 1)
-    taken, cov = [], np.zeros(4)
-    for _ in range(5):
-        best = max((i for i in range(12) if i not in taken), key=lambda i: pdf.lcb_quality[i] + 0.5 * (np.linalg.slogdet(L[np.ix_([*taken, i], [*taken, i])])[1] - (np.linalg.slogdet(L[np.ix_(taken, taken)])[1] if taken else 0)) + 0.3 * (np.log1p(cov + use[i]) - np.log1p(cov)).sum())
-        taken.append(best)
-        cov = cov + use[best]
-    assert chosen == taken
-
-
 def test_mutation_keeps_bounds(spark):
     rng = np.random.default_rng(8)
     rows = [(i, "".join(rng.choice(list(sequence.RESIDUES), n))) for i, n in enumerate([8] * 20 + [50] * 20 + [25] * 20)]
@@ -236,6 +282,67 @@ def test_verification(spark):
 def test_farthest_points(spark):
     df = frame(spark, [(0, 0.0), (1, 1.0), (2, 10.0), (3, 5.0)], "k long, x double")
     assert [r.k for r in select.farthest_points(df, "k", ["x"], 3).orderBy("rank").collect()] == [0, 2, 3]
+    assert select.farthest_points(df, "k", ["x"], 9).count() == 4 and select.farthest_points(df.limit(0), "k", ["x"], 3).count() == 0
+    rng = np.random.default_rng(2)
+    x = rng.integers(0, 6, (60, 2)).astype(float)  # many ties
+    z = (x - x.mean(axis=0)) / x.std(axis=0)
+    near, chosen = np.linalg.norm(z - z[0], axis=1), [0]
+    while len(chosen) < 15:
+        at = max((i for i in range(60) if i not in chosen), key=lambda i: (round(near[i], 9), i))
+        chosen.append(at)
+        near = np.minimum(near, np.linalg.norm(z - z[at], axis=1))
+    df = frame(spark, [(i, *map(float, v)) for i, v in enumerate(x)], "k long, x double, y double").repartition(3)
+    assert [r.k for r in select.farthest_points(df, "k", ["x", "y"], 15, 4).orderBy("rank").collect()] == chosen
+
+
+def test_diverse_greedy_against_a_loop(spark):
+    from strandloom.functions.similarity import local_score
+
+    rng = np.random.default_rng(3)
+    rows = [("".join(rng.choice(list("ACDK"), 12)), int(rng.integers(0, 9))) for _ in range(70)]
+    taken = []
+    for s, v in sorted(rows, key=lambda r: (r[1], r[0])):
+        if all(local_score(s, t) / max(len(s), len(t)) <= 0.5 for t, _ in taken):
+            taken.append((s, v))
+    for block in (3, 512):
+        out = select.diverse_greedy(frame(spark, rows, "sequence string, v int"), min(8, len(taken)), "v", most=0.5, block=block)
+        assert [(r.sequence, r.v) for r in out.orderBy("rank").collect()] == taken[:8]
+    with pytest.raises(ValueError, match="can be chosen"):
+        select.diverse_greedy(frame(spark, rows, "sequence string, v int"), 71, "v", most=0.5)
+
+
+def test_quantiles_against_numpy(spark):
+    rng = np.random.default_rng(7)
+    rows = [("ab"[int(g)], float(v)) for g, v in zip(rng.integers(0, 2, 500), rng.integers(0, 30, 500))] + [("c", 2.5), (None, 1.0), (None, 4.0), ("a", None)]
+    df = frame(spark, rows, "g string, v double").repartition(5)
+    shares = [0, 0.1, 0.25, 0.5, 0.9, 1]
+    got = {r.g: r.q for r in aggregate.quantiles(df, "g", "v", shares).collect()}
+    for g in ("a", "b", "c", None):
+        assert got[g] == pytest.approx(np.quantile([v for k, v in rows if k == g and v is not None], shares).tolist())
+    assert aggregate.quantiles(df, None, "v", [0.3]).first()["q"][0] == pytest.approx(np.quantile([v for _, v in rows if v is not None], 0.3))
+    assert aggregate.quantiles(df.limit(0), "g", "v", shares).count() == 0
+
+
+def test_balanced_sample_takes_the_smallest_hashes(spark):
+    df = frame(spark, [(i, [0, 0, 0, 1, None][i % 5]) for i in range(60)], "k long, y int").repartition(4)
+    out = ranking.balanced_sample(df, "y", "k")
+    hashes = {r.k: (r.y, r.h) for r in df.select("k", "y", F.xxhash64(F.lit(42), F.col("k").cast("string")).alias("h")).collect()}
+    want = {k for y in (0, 1, None) for k in sorted((k for k in hashes if hashes[k][0] == y), key=lambda k: hashes[k][1])[:12]}
+    assert {r.k for r in out.collect()} == want and out.columns == ["k", "y"]
+
+
+def test_hot_keys_are_exchanged_on_both_sides(spark):
+    """Joins with one row a key on the right leave both sides to exchanges of their own, which adaptive execution may split."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        df, ref = frame(spark, [("a", 1)], "s string, v int"), frame(spark, [("a", "x")], "s string, i string")
+        frames = [curate.flag_reference(df, ref, "s"), curate.quarantine(df, ref, "s"), curate.link(df, ref, "s", "i"), curate.fill_from(df.withColumn("i", F.lit("")), ref.withColumn("o", F.lit(1)), "s", "i", "o"), curate.many_to_one(df, ref, "s")]
+        for out in frames:
+            plan = out._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("Exchange hashpartitioning") == 3 and "Join" in plan, plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
 
 
 def test_draws_match_hypergeometric(spark):
