@@ -119,13 +119,13 @@ def token_counts(docs: DataFrame, entries: list[bytes], mark: bytes = b" ", id_c
     """One row a document: ``id_col, n_words, n_tokens``; nothing is shuffled.
 
     Words end at ASCII white space and are matched with ``mark`` in front.  Null and empty texts have no words.  The
-    vocabulary is broadcast; its size is bounded by the tokenizer, not by the data.  Repeated rows come out repeated;
+    finished automaton is broadcast; its size is bounded by the tokenizer's vocabulary, not by the data.  Repeated rows come out repeated;
     other columns are not read; an empty table gives an empty result.
     """
-    held, kind = docs.sparkSession.sparkContext.broadcast((entries, mark)), dict(docs.dtypes)[id_col]
+    held, kind = docs.sparkSession.sparkContext.broadcast(Automaton(*split_vocabulary(entries, mark))), docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Memo(Automaton(*split_vocabulary(*held.value)), mark)
+        memo = Memo(held.value, mark)
         for batch in batches:
             words, tokens = [], []
             for x in batch.column(1):
