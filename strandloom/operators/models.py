@@ -11,7 +11,9 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandloom.functions.assay import perplexity
 from strandloom.operators.aggregate import metrics
+from strandloom.operators.curate import own_key
 
 
 def train_forest(df: DataFrame, features: str, label: str, trees: int = 50, depth: int = 12, balanced: bool = False, seed: int = 42) -> RandomForestClassificationModel:
@@ -126,3 +128,37 @@ def stub_panel(n: int = 11) -> Callable[[], Scorer]:
         return lambda seqs: pd.DataFrame({f"mic_{i}": [round(8.0 * (i + 1) * (1 + s.count("D") + s.count("E")) / (1 + s.count("K") + s.count("R")), 3) for s in seqs] for i in range(n)})
 
     return make
+
+
+def stub_likelihood() -> Callable[[], Scorer]:
+    """A stand-in for a language model: a mean negative log likelihood from the length, for tests."""
+
+    def make() -> Scorer:
+        return lambda seqs: pd.DataFrame({"mean_nll": [len(s) % 7 / 2 for s in seqs]})
+
+    return make
+
+
+def perplexity_job(df: DataFrame, key: str, sequence: str, scorer: Callable[[], Scorer], most: float, batch: int = 3000) -> DataFrame:
+    """``key, perplexity, passes`` from a plug-in that gives ``mean_nll``; each distinct sequence is scored once."""
+    distinct = df.select(F.col(sequence).alias("_s")).distinct().select("_s", F.col("_s").alias("_text"))
+    scored = score_in_batches(distinct, "_s", "_text", scorer, "mean_nll double", batch).select("_s", perplexity(F.col("mean_nll")).alias("perplexity"))
+    joined = df.select(key, F.col(sequence).alias("_q")).join(scored, own_key("_q") == own_key("_s"))
+    return joined.select(key, "perplexity", (F.col("perplexity") <= most).alias("passes"))
+
+
+#: Attempts and temperature of each tier of the first sampling run.  Fixed values.
+TIERS = ((1225, 0.85), (1400, 1.00), (875, 1.15))
+
+
+def sampling_schedule(spark, tiers: Sequence[tuple[int, float]] = TIERS, batch: int = 64, seed: int = 42, top_p: float = 0.90) -> DataFrame:
+    """``first_attempt, attempts, temperature, top_p, batch_seed``: a row for each batch of a sampler.
+
+    Attempts are numbered over all tiers; a batch belongs to one tier, and its seed is that of the run plus its first
+    attempt, so a batch can be drawn anew by itself.
+    """
+    starts = np.cumsum([0, *[n for n, _ in tiers]])
+    rows = spark.createDataFrame([(int(a), n, float(t)) for a, (n, t) in zip(starts, tiers, strict=False)], "start int, n int, temperature double")
+    each = rows.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(batch))))
+    at = F.col("start") + F.col("i")
+    return each.select(at.alias("first_attempt"), F.least(F.lit(batch), F.col("n") - F.col("i")).alias("attempts"), "temperature", F.lit(top_p).alias("top_p"), (at + seed).alias("batch_seed"))

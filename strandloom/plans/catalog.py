@@ -1,674 +1,8 @@
-"""The registered queries and their SQL.
-
-The test tables hold no biological sequences.  ``derived`` makes residue texts from documents, and events, parts and
-orders stand for assays, candidates and provenance.  Every query runs over all rows of its tables,
-but ``derived`` keeps only the first fifty residues of each text.
-"""
+"""All registered queries and their SQL."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
-
-from strandloom.functions import assay, biophysics, sequence, similarity
-from strandloom.operators import aggregate, curate, graph, models, ranking, search, select, similar, verify
-from strandloom.storage import materialize, table
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Registers a query under its function's name, with its SQL where there is any."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def derived(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``doc_id, lang, source, s``: up to fifty residues from each document."""
-    s = F.substring(F.upper(F.regexp_replace("text", "[^AC-IK-NP-TVWYac-ik-np-tvwy]", "")), 1, 50)
-    return table(spark, sf_dir, "documents").select("doc_id", "lang", "source", s.alias("s"))
-
-
-SEQ = "seq AS (SELECT doc_id, lang, source, substring(upper(regexp_replace(text, '[^AC-IK-NP-TVWYac-ik-np-tvwy]', '', 'g')), 1, 50) AS s FROM documents)"
-GOOD = "s <> ''"
-
-
-def _linear(scale: dict[str, float]) -> str:
-    return " + ".join(f"(length(s) - length(replace(s, '{r}', ''))) * ({v}::DOUBLE)" for r, v in scale.items() if v)
-
-
-def _count(residues: str) -> str:
-    return f"(length(s) - length(translate(s, '{residues}', '')))"
-
-
-def _charge(ph: str) -> str:
-    plus = f"1 / (1 + pow(10.0::DOUBLE, {ph} - 9.69::DOUBLE)) + " + " + ".join(f"{_count(r)} * (1 / (1 + pow(10.0::DOUBLE, {ph} - {p}::DOUBLE)))" for r, p in biophysics.POSITIVE.items())
-    minus = f"1 / (1 + pow(10.0::DOUBLE, 2.34::DOUBLE - {ph})) + " + " + ".join(f"{_count(r)} * (1 / (1 + pow(10.0::DOUBLE, {p}::DOUBLE - {ph})))" for r, p in biophysics.NEGATIVE.items())
-    return f"round({plus} - ({minus}), 4)"
-
-
-CHARGE = _charge("7.4::DOUBLE")
-_SCALE = "[" + ", ".join(f"{biophysics.CONSENSUS[r]}::DOUBLE" for r in sequence.RESIDUES) + "]"
-_SIDE = lambda f: f"list_sum(list_transform(range(0, w), lambda j: {_SCALE}[strpos('{sequence.RESIDUES}', substring(s, i + j, 1))] * {f}(radians(100.0 * j))))"
-#: Per sequence, the moment: the largest of its windows.
-MOMENTS = f"""win AS (SELECT DISTINCT s, least(length(s), 11) AS w FROM seq WHERE {GOOD}),
-    spots AS (SELECT s, w, unnest(range(1, length(s) - w + 2)) AS i FROM win),
-    moments AS (SELECT s, round(max(sqrt(pow({_SIDE('cos')}, 2) + pow({_SIDE('sin')}, 2)) / w), 6) AS moment FROM spots GROUP BY s)"""
-
-
-# Curation ------------------------------------------------------------------------------------------------------------
-
-
-def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derived(spark, sf_dir).withColumns({"source_ord": F.pmod("doc_id", F.lit(3)), "record_ord": F.col("doc_id")})
-
-
-@query(f"""WITH {SEQ}, c AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY doc_id % 3, doc_id) AS r FROM seq WHERE {GOOD})
-    SELECT source, count(*) AS n_sequences, count(*) FILTER (length(s) BETWEEN 8 AND 50) AS n_valid,
-           count(*) FILTER (EXISTS (SELECT 1 FROM seq x WHERE x.doc_id % 5 = 0 AND x.s = c.s)) AS n_overlap, min(length(s)) AS shortest, max(length(s)) AS longest
-    FROM c WHERE r = 1 GROUP BY source""")
-def curation_summary(spark, sf_dir):
-    """Flagship: records to canonical sequences, the first record of each winning; reference flags; summary by source."""
-    canon = curate.canonicalize(_records(spark, sf_dir), "s")
-    ref = derived(spark, sf_dir).filter("doc_id % 5 = 0").select(F.col("s").alias("sequence_normalized"))
-    flagged = curate.flag_reference(canon, ref, "sequence_normalized")
-    return flagged.groupBy("source").agg(F.count(F.lit(1)).alias("n_sequences"), F.count_if("valid_for_challenge").alias("n_valid"), F.count_if("challenge_exact_overlap").alias("n_overlap"), F.min("length").cast("long").alias("shortest"), F.max("length").cast("long").alias("longest"))
-
-
-@query("""SELECT p_partkey, upper(regexp_replace(p_name, '\\s+', '', 'g')) AS normalized, 'seq_' || substring(sha256(upper(regexp_replace(p_name, '\\s+', '', 'g'))), 1, 16) AS sequence_id FROM part""")
-def norm_and_id(spark, sf_dir):
-    n = sequence.norm(F.col("p_name"))
-    return table(spark, sf_dir, "part").select("p_partkey", n.alias("normalized"), sequence.sequence_id(n).alias("sequence_id"))
-
-
-@query(f"""WITH {SEQ} SELECT doc_id, s AS sequence_normalized, length(s) AS length, NOT regexp_matches(s, '[^ACDEFGHIKLMNPQRSTVWY]') AS alphabet_valid, length(s) BETWEEN 8 AND 50 AS length_valid,
-    'l_or_unspecified' AS stereochemistry_status, CASE WHEN contains(lower(source), 'peg') THEN 'modified' ELSE 'none_known' END AS modification_status, {GOOD} AND length(s) BETWEEN 8 AND 50 AS valid_for_challenge FROM seq""")
-def validity_flags(spark, sf_dir):
-    v = derived(spark, sf_dir).withColumn("v", sequence.validity(F.col("s"), F.col("source")))
-    return v.select("doc_id", "v.sequence_normalized", F.col("v.length").cast("long").alias("length"), "v.alphabet_valid", "v.length_valid", "v.stereochemistry_status", "v.modification_status", "v.valid_for_challenge")
-
-
-@query("""SELECT p_partkey, array_to_string(list_sort(list_distinct(regexp_extract_all(upper(replace(p_name, ' ', '')), '[^ACDEFGHIKLMNPQRSTVWY]'))), '') AS invalid_residues FROM part""")
-def invalid_residues(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", sequence.invalid_residues(sequence.norm(F.col("p_name"))).alias("invalid_residues"))
-
-
-@query("""SELECT p_partkey, regexp_replace(p_type || ' ' || p_brand, '[^A-Za-z0-9_-]', '_', 'g') AS token,
-    CASE WHEN lower(trim(p_type)) IN ('', 'nan', 'none') THEN 'x' ELSE p_type END AS given FROM part""")
-def identifiers(spark, sf_dir):
-    t = table(spark, sf_dir, "part")
-    return t.select("p_partkey", sequence.clean_id(F.concat_ws(" ", "p_type", "p_brand"), F.lit("x")).alias("token"), sequence.fallback_id(F.col("p_type"), F.col("p_name")).alias("given"))
-
-
-@query(f"WITH {SEQ}, r AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY doc_id % 3, doc_id) AS r FROM seq) SELECT s, doc_id, lang, source FROM r WHERE r = 1")
-def first_wins_canonical(spark, sf_dir):
-    return curate.first_wins(_records(spark, sf_dir), ["s"], ["source_ord", "record_ord"]).select("s", "doc_id", "lang", "source")
-
-
-@query(f"""WITH {SEQ} SELECT doc_id, CASE WHEN s = '' THEN 'empty' WHEN length(s) NOT BETWEEN 8 AND 50 THEN 'length' ELSE 'ok' END AS reason,
-    CASE WHEN s = '' THEN 'empty' WHEN length(s) < 8 THEN 'too_short_' || length(s) ELSE 'ok' END AS detail,
-    (CASE WHEN s = '' THEN 1 ELSE 0 END + CASE WHEN length(s) < 8 THEN 1 ELSE 0 END + CASE WHEN EXISTS (SELECT 1 FROM seq x WHERE x.doc_id % 5 = 0 AND x.s = seq.s) THEN 1 ELSE 0 END)::INTEGER AS n_errors FROM seq""")
-def rule_reasons(spark, sf_dir):
-    seq = derived(spark, sf_dir)
-    flagged = curate.flag_reference(seq, seq.filter("doc_id % 5 = 0"), "s", "hit")
-    s = F.col("s")
-    return flagged.select("doc_id", sequence.first_reason(s).alias("reason"), sequence.detailed_reason(s).alias("detail"), F.size(sequence.rule_errors(s, F.col("hit"))).alias("n_errors"))
-
-
-@query(f"WITH {SEQ} SELECT reason, count(*) AS n FROM (SELECT CASE WHEN length(s) NOT BETWEEN 8 AND 50 THEN 'invalid' WHEN doc_id % 7 = 0 THEN 'perplexity' WHEN EXISTS (SELECT 1 FROM seq x WHERE x.doc_id % 5 = 0 AND x.s = seq.s) THEN 'reference_overlap' ELSE 'accepted' END AS reason FROM seq) GROUP BY reason")
-def reject_reasons(spark, sf_dir):
-    seq = derived(spark, sf_dir)
-    flagged = curate.flag_reference(seq, seq.filter("doc_id % 5 = 0"), "s", "hit")
-    rules = [("invalid", ~F.length("s").between(8, 50)), ("perplexity", F.col("doc_id") % 7 == 0), ("reference_overlap", F.col("hit"))]
-    return curate.reject_reasons(flagged, rules).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("""SELECT p_partkey, CASE WHEN lower(p_name) LIKE 'e. coli%' THEN 'Escherichia coli' WHEN p_name = '' THEN 'unknown' ELSE array_to_string(string_split_regex(trim(p_name), '\\s+')[1:2], ' ') END AS canonical_species,
-    coalesce(nullif(array_to_string(string_split_regex(trim(p_name), '\\s+')[3:], ' '), ''), 'unknown') AS strain FROM part""")
-def organism_map(spark, sf_dir):
-    o = table(spark, sf_dir, "part").withColumn("o", sequence.organism(F.col("p_name")))
-    return o.select("p_partkey", "o.canonical_species", "o.strain")
-
-
-@query("""SELECT event_id, CASE WHEN contains(lower(event_type), 'inactive') THEN 'tested_inactive' WHEN event_type NOT IN ('', 'NA') THEN 'reported' ELSE 'unknown' END AS label FROM events""")
-def evidence_label(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", sequence.evidence_label(F.col("event_type"), F.col("event_type")).alias("label"))
-
-
-# Scalars -------------------------------------------------------------------------------------------------------------
-
-
-@query(f"""WITH {SEQ} SELECT doc_id, {_count('KRH')} AS cationic_count, {_count('DE')} AS anionic_count, round({_count('VILMFW')} / nullif(length(s), 0)::DOUBLE, 4) AS hydrophobic_fraction, round({_count('FWY')} / nullif(length(s), 0)::DOUBLE, 4) AS aromatic_fraction FROM seq""")
-def composition_fractions(spark, sf_dir):
-    c = derived(spark, sf_dir).withColumn("c", sequence.composition(F.col("s")))
-    return c.select("doc_id", F.col("c.cationic_count").cast("long").alias("cationic_count"), F.col("c.anionic_count").cast("long").alias("anionic_count"), "c.hydrophobic_fraction", "c.aromatic_fraction")
-
-
-@query(f"""WITH {SEQ} SELECT doc_id, CASE WHEN {GOOD} THEN round({_linear(biophysics.MASS)} + 18.0153::DOUBLE, 4) END AS molecular_weight_da,
-    CASE WHEN {GOOD} THEN {CHARGE} END AS net_charge_ph7, CASE WHEN {GOOD} THEN round({_linear(biophysics.HYDROPATHY)}, 1) END AS hydropathy_sum FROM seq""")
-def linear_descriptors(spark, sf_dir):
-    """Weight, charge, and mean hydropathy times length, which has one digit and so no ties in rounding."""
-    s = F.col("s")
-    return derived(spark, sf_dir).select("doc_id", biophysics.molecular_weight(s).alias("molecular_weight_da"), biophysics.net_charge(s).alias("net_charge_ph7"), F.round(biophysics.gravy(s) * F.length(s), 1).alias("hydropathy_sum"))
-
-
-@query(f"WITH {SEQ} SELECT doc_id, CASE WHEN {GOOD} THEN round(({_linear(biophysics.TRANSFER)}) / length(s), 1) END AS boman FROM seq")
-def boman(spark, sf_dir):
-    return derived(spark, sf_dir).select("doc_id", F.round(F.when(sequence.canonical(F.col("s")), biophysics._linear(F.col("s"), biophysics.TRANSFER) / F.length("s")), 1).alias("boman"))
-
-
-@query(f"WITH {SEQ}, {MOMENTS} SELECT doc_id, round(moment, 4) AS moment FROM seq LEFT JOIN moments USING (s)")
-def hydrophobic_moment(spark, sf_dir):
-    return derived(spark, sf_dir).select("doc_id", F.round(biophysics.hydrophobic_moment(F.col("s")), 4).alias("moment"))
-
-
-@query(f"""WITH RECURSIVE {SEQ}, d AS (SELECT DISTINCT s FROM seq WHERE {GOOD}), b(s, lo, hi, k) AS (
-        SELECT s, 0.0::DOUBLE, 14.0::DOUBLE, 0 FROM d
-        UNION ALL SELECT s, CASE WHEN up THEN mid ELSE lo END, CASE WHEN up THEN hi ELSE mid END, k + 1 FROM (SELECT *, {_charge('mid')} > 0 AS up FROM (SELECT *, (lo + hi) / 2 AS mid FROM b WHERE k < 50)))
-    SELECT doc_id, round((lo + hi) / 2, 4) AS isoelectric_point FROM seq LEFT JOIN (SELECT * FROM b WHERE k = 50) x USING (s)""")
-def isoelectric_point(spark, sf_dir):
-    return derived(spark, sf_dir).select("doc_id", biophysics.isoelectric_point(F.col("s")).alias("isoelectric_point"))
-
-
-_REPEAT4 = "|".join(f"{r}{{4,}}" for r in sequence.RESIDUES)
-_REPEAT3 = "|".join(f"{r}{{3}}" for r in sequence.RESIDUES)
-
-
-@query(f"""WITH {SEQ}, {MOMENTS}
-    SELECT doc_id, CASE WHEN s = '' THEN 'invalid_residue' WHEN length(s) NOT BETWEEN 8 AND 50 THEN 'length_out_of_range' WHEN regexp_matches(s, '[VILFWM]{{5,}}') THEN 'hydrophobic_run'
-        WHEN regexp_matches(s, '{_REPEAT4}') THEN 'polyrepeat' WHEN moment > 0.6 AND {CHARGE} < 1 THEN 'aggregation_risk' WHEN {CHARGE} < 1 THEN 'insufficient_charge'
-        WHEN {_count('C')} = 1 THEN 'warn_unpaired_cys' ELSE 'ok' END AS reason FROM seq LEFT JOIN moments USING (s)""")
-def synthesis_reason(spark, sf_dir):
-    return derived(spark, sf_dir).select("doc_id", biophysics.synthesis_reason(F.col("s")).alias("reason"))
-
-
-@query(f"""WITH {SEQ} SELECT doc_id, CASE WHEN contains(s, 'C') THEN 'contains_cysteine' WHEN regexp_matches(s, '{_REPEAT3}') THEN 'homopolymer_triplet'
-    WHEN length(s) >= 5 AND list_bool_or(list_transform(range(1, length(s) - 3), lambda i: length(translate(substring(s, i, 5), 'KRH', '')) <= 2)) THEN 'positive_cluster_5win' ELSE 'ok' END AS reason FROM seq""")
-def feasibility_screen(spark, sf_dir):
-    return derived(spark, sf_dir).select("doc_id", sequence.feasibility_reason(F.col("s")).alias("reason"))
-
-
-@query(f"""WITH {SEQ}, {MOMENTS}, f AS (SELECT doc_id, s, length(s) AS n, {CHARGE} AS charge, moment, ({_linear(biophysics.TRANSFER)}) / length(s) AS b FROM seq JOIN moments USING (s))
-    SELECT doc_id, CASE WHEN {_count('RW')} / n::DOUBLE >= 0.4 THEN 0 WHEN {_count('P')} / n::DOUBLE >= 0.15 THEN 1 WHEN moment >= 0.65 THEN 2 WHEN n <= 12 AND charge >= 3 THEN 3 WHEN moment >= 0.4 THEN 4
-        WHEN round(b, 2) >= 2.5 THEN 5 WHEN n >= 30 THEN 6 WHEN charge >= 5 THEN 7 WHEN {_count('C')} >= 2 THEN 8 ELSE 9 END AS family_id,
-        CASE WHEN n <= 25 AND moment >= 0.4 THEN 'all' WHEN n <= 25 THEN 'vae' WHEN charge >= 5 THEN 'ar' WHEN moment >= 0.45 THEN 'diffusion' ELSE 'evolution' END AS track FROM f""")
-def archetypes(spark, sf_dir):
-    s = F.col("s")
-    rows = derived(spark, sf_dir).filter("s <> ''").select("doc_id", "s", biophysics.net_charge(s).alias("q"), biophysics.hydrophobic_moment(s).alias("m"), biophysics.boman_index(s).alias("b"))
-    return rows.select("doc_id", sequence.archetype(s, F.col("q"), F.col("m"), F.col("b"))["family_id"].alias("family_id"), sequence.generator_track(F.length(s), F.col("m"), F.col("q")).alias("track"))
-
-
-_MIC_TEXT = "CASE event_id % 5 WHEN 0 THEN '<' || v WHEN 1 THEN '> ' || v WHEN 2 THEN v || ' - ' || v2 WHEN 3 THEN v ELSE 'NA' END"
-_UNIT = "CASE event_id % 4 WHEN 0 THEN 'µM' WHEN 1 THEN 'ug/ml' WHEN 2 THEN 'mg / ml' ELSE '' END"
-
-
-@query(f"""WITH e AS (SELECT event_id, (round(abs(value) * 10)::BIGINT) AS n, CASE event_id % 4 WHEN 0 THEN 'um' WHEN 1 THEN 'ug/ml' WHEN 2 THEN 'mg/ml' ELSE '' END AS u FROM events),
-    b AS (SELECT *, CASE event_id % 5 WHEN 0 THEN '<' WHEN 1 THEN '>' WHEN 2 THEN 'range' WHEN 3 THEN '=' ELSE '' END AS q, CASE u WHEN 'um' THEN 1.0::DOUBLE WHEN 'ug/ml' THEN 0.5::DOUBLE WHEN 'mg/ml' THEN 500.0::DOUBLE END AS f FROM e),
-    x AS (SELECT *, CASE WHEN q IN ('>', '=', 'range') THEN n::DOUBLE END AS lo, CASE WHEN q IN ('<', '=') THEN n::DOUBLE WHEN q = 'range' THEN (n + 7)::DOUBLE END AS hi FROM b)
-    SELECT event_id, q AS mic_qualifier, u AS mic_unit_normalized, lo AS mic_lower_bound, hi AS mic_upper_bound, CASE WHEN q = '=' THEN round(lo * f, 6) END AS "mic_value_uM",
-        CASE WHEN f IS NOT NULL THEN 'converted' WHEN q <> '' THEN 'unsupported_or_missing_unit' ELSE 'unparseable_value' END AS mic_conversion_status FROM x""")
-def mic_parse(spark, sf_dir):
-    n = F.round(F.abs("value") * 10).cast("long")
-    text = F.when(F.col("event_id") % 5 == 0, F.concat(F.lit("<"), n)).when(F.col("event_id") % 5 == 1, F.concat(F.lit("> "), n)).when(F.col("event_id") % 5 == 2, F.concat(n + 7, F.lit(" - "), n)).when(F.col("event_id") % 5 == 3, n.cast("string")).otherwise("NA")
-    unit = F.when(F.col("event_id") % 4 == 0, "µM").when(F.col("event_id") % 4 == 1, "ug/ml").when(F.col("event_id") % 4 == 2, "mg / ml").otherwise("")
-    m = table(spark, sf_dir, "events").withColumn("m", assay.parse_mic(text, unit, F.lit(2000.0)))
-    return m.select("event_id", "m.mic_qualifier", "m.mic_unit_normalized", "m.mic_lower_bound", "m.mic_upper_bound", "m.mic_value_uM", "m.mic_conversion_status")
-
-
-@query("""WITH e AS (SELECT event_id, round(abs(value))::BIGINT AS n, CASE event_id % 6 WHEN 0 THEN '' WHEN 1 THEN '<' WHEN 2 THEN '<=' WHEN 3 THEN '>' WHEN 4 THEN '>=' ELSE 'pm' END AS q FROM events)
-    SELECT event_id, CASE q WHEN '' THEN CASE WHEN n < 100 THEN 1 ELSE 0 END WHEN '<' THEN CASE WHEN n <= 100 THEN 1 END WHEN '<=' THEN CASE WHEN n < 100 THEN 1 END
-        WHEN 'pm' THEN CASE WHEN n + 5 < 100 THEN 1 WHEN n - 5 >= 100 THEN 0 END ELSE CASE WHEN n >= 100 THEN 0 END END AS label FROM e""")
-def hemolysis_label(spark, sf_dir):
-    n, k = F.round(F.abs("value")).cast("long").cast("string"), F.col("event_id") % 6
-    text = F.when(k == 0, n).when(k == 1, F.concat(F.lit("<"), n)).when(k == 2, F.concat(F.lit("<="), n)).when(k == 3, F.concat(F.lit("> "), n)).when(k == 4, F.concat(F.lit(">="), n)).otherwise(F.concat(n, F.lit(" ± 5")))
-    return table(spark, sf_dir, "events").select("event_id", assay.hemolysis_label(F.lit("50%  Hemolysis"), F.lit("Human erythrocytes"), text, F.lit("µM"), F.lit(2000.0)).alias("label"))
-
-
-@query(f"""WITH {SEQ}, {MOMENTS}, f AS (SELECT doc_id, {CHARGE} AS q, moment AS m, round(({_linear(biophysics.TRANSFER)}) / length(s), 2) AS b, round(({_linear(biophysics.HYDROPATHY)}) / length(s), 6) AS g FROM seq JOIN moments USING (s)),
-    t AS (SELECT *, least(1, greatest(0, greatest(0, m - 0.65) + greatest(0, g - 0.2)))::DOUBLE AS tox,
-        CASE WHEN q < 1 THEN greatest(0, q) * 0.2 WHEN q <= 6 THEN 0.2 + 0.16 * (q - 1) ELSE greatest(0.5, 1 - (q - 6) * 0.1) END::DOUBLE AS cs,
-        CASE WHEN g > 0.3 THEN (g - 0.3) * 1.5 ELSE greatest(0, (-0.8 - g) * 0.8) END::DOUBLE AS gp FROM f)
-    SELECT doc_id, round(least(1, greatest(0, 0.45 * cs + 0.45 / (1 + exp(-10 * (m - 0.45))) - 0.1 / (1 + exp(-3 * (b - 2.5))) - 0.1 * gp)), 4)::DOUBLE AS amp_score, round(tox, 4) AS toxicity_risk FROM t""")
-def search_fitness(spark, sf_dir):
-    s = F.col("s")
-    rows = derived(spark, sf_dir).filter("s <> ''").withColumn("f", search.default_score(s))
-    return rows.select("doc_id", "f.amp_score", "f.toxicity_risk")
-
-
-# Joins and aggregates ------------------------------------------------------------------------------------------------
-
-
-@query(f"""WITH {SEQ}, k AS (SELECT s, min(doc_id) AS sequence_id FROM seq GROUP BY s), o AS (SELECT event_id, user_id, s FROM events LEFT JOIN seq ON user_id = doc_id)
-    SELECT event_id, coalesce(sequence_id::VARCHAR, '') AS sequence_id FROM o LEFT JOIN k USING (s)""")
-def assay_link_left(spark, sf_dir):
-    seq = derived(spark, sf_dir)
-    obs = table(spark, sf_dir, "events").join(seq, F.col("user_id") == F.col("doc_id"), "left").select("event_id", "s")
-    ids = seq.select("s", F.col("doc_id").alias("sequence_id"))
-    return obs.join(ids.groupBy("s").agg(F.min("sequence_id").alias("sequence_id")), "s", "left").select("event_id", F.coalesce(F.col("sequence_id").cast("string"), F.lit("")).alias("sequence_id"))
-
-
-@query("SELECT user_id, round(min(value), 6) AS best_value, arg_min(event_type, (value, event_id)) AS best_event_type FROM events WHERE value IS NOT NULL GROUP BY user_id")
-def assay_argmin(spark, sf_dir):
-    out = aggregate.exact_minimum(table(spark, sf_dir, "events"), "user_id", "value", "event_type", "event_id")
-    return out.withColumn("best_value", F.round("best_value", 6))
-
-
-@query("SELECT user_id, count(*) FILTER (value > 100) AS high, count(*) FILTER (event_type = 'view') AS views FROM events GROUP BY user_id")
-def conditional_counts(spark, sf_dir):
-    return aggregate.conditional_counts(table(spark, sf_dir, "events"), "user_id", high=F.col("value") > 100, views=F.col("event_type") == "view")
-
-
-@query(f"WITH {SEQ} SELECT s, CASE WHEN min(toxic) = max(toxic) THEN min(toxic) END AS toxic, min(toxic) <> max(toxic) AS conflict, count(*) AS observations FROM seq JOIN labels USING (doc_id) WHERE toxic IS NOT NULL GROUP BY s")
-def label_agreement(spark, sf_dir):
-    return aggregate.label_agreement(derived(spark, sf_dir).join(table(spark, sf_dir, "labels"), "doc_id"), "s", "toxic")
-
-
-@query(f"WITH {SEQ} SELECT doc_id, EXISTS (SELECT 1 FROM seq x WHERE x.doc_id % 5 = 0 AND x.s = seq.s) AS overlap FROM seq")
-def reference_flag(spark, sf_dir):
-    seq = derived(spark, sf_dir)
-    return curate.flag_reference(seq, seq.filter("doc_id % 5 = 0"), "s", "overlap").select("doc_id", "overlap")
-
-
-@query(f"WITH {SEQ} SELECT doc_id FROM seq WHERE doc_id % 5 <> 0 AND s NOT IN (SELECT s FROM seq WHERE doc_id % 5 = 0)")
-def reference_anti(spark, sf_dir):
-    seq = derived(spark, sf_dir)
-    return curate.quarantine(seq.filter("doc_id % 5 <> 0"), seq.filter("doc_id % 5 = 0"), "s").select("doc_id")
-
-
-@query(f"""WITH {SEQ}, m AS (SELECT s, list_sort(list(DISTINCT lang)) AS d, count(DISTINCT doc_id) AS n_ids FROM seq GROUP BY s)
-    SELECT s, array_to_string(d, ';') AS domains, len(d)::INTEGER AS domain_count, d[1] AS primary_domain, n_ids::INTEGER AS n_ids FROM m""")
-def provenance_merge(spark, sf_dir):
-    m = aggregate.merge_domains(derived(spark, sf_dir), "s", "lang", "doc_id", None, ["doc_id"])
-    return m.select("s", F.array_join("contributing_domains", ";").alias("domains"), "domain_count", "primary_domain", F.size("contributing_candidate_ids").alias("n_ids"))
-
-
-@query(f"WITH {SEQ}, m AS (SELECT s, list(DISTINCT lang) AS d FROM seq GROUP BY s) SELECT domain, count(*) AS n_sequences, count(*) FILTER (one) AS n_exclusive FROM (SELECT unnest(d) AS domain, len(d) = 1 AS one FROM m) GROUP BY domain")
-def domain_overlap(spark, sf_dir):
-    return aggregate.domain_overlap(aggregate.merge_domains(derived(spark, sf_dir), "s", "lang", "doc_id", None, ["doc_id"]))
-
-
-@query(f"""WITH {SEQ}, d AS (SELECT DISTINCT source, s FROM seq), n AS (SELECT source, count(*) AS n FROM d GROUP BY source), b AS (SELECT x.source AS a, y.source AS b, count(*) AS c FROM d x JOIN d y USING (s) GROUP BY ALL)
-    SELECT p.source AS source_a, q.source AS source_b, coalesce(c, 0) AS shared, round(coalesce(c, 0) / (p.n + q.n - coalesce(c, 0))::DOUBLE, 6) AS jaccard FROM n p CROSS JOIN n q LEFT JOIN b ON p.source = b.a AND q.source = b.b""")
-def source_overlap_jaccard(spark, sf_dir):
-    return aggregate.source_overlap(derived(spark, sf_dir), "source", "s")
-
-
-@query("""SELECT 'events' AS table_name, unnest(['event_id', 'ts', 'user_id', 'event_type', 'value', 'props']) AS column_name, count(*) AS rows,
-    unnest([count(*) FILTER (event_id IS NULL), count(*) FILTER (ts IS NULL), count(*) FILTER (user_id IS NULL), count(*) FILTER (coalesce(trim(event_type), '') = ''), count(*) FILTER (value IS NULL), count(*) FILTER (coalesce(trim(props), '') = '')]) AS missing FROM events""")
-def missingness(spark, sf_dir):
-    return aggregate.missingness(table(spark, sf_dir, "events"), "events")
-
-
-@query(f"WITH {SEQ} SELECT residue, count(*) AS n FROM (SELECT unnest(string_split(s, '')) AS residue FROM seq) WHERE residue <> '' GROUP BY residue")
-def residue_histogram(spark, sf_dir):
-    return aggregate.residue_histogram(derived(spark, sf_dir), "s")
-
-
-@query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
-def label_histogram(spark, sf_dir):
-    return aggregate.value_counts(table(spark, sf_dir, "events"), "event_type")
-
-
-@query("SELECT l_returnflag, round(quantile_cont(l_quantity, 0.25), 4) AS q25, round(quantile_cont(l_quantity, 0.5), 4) AS q50, round(quantile_cont(l_quantity, 0.75), 4) AS q75 FROM lineitem GROUP BY l_returnflag")
-def quantile_table(spark, sf_dir):
-    return aggregate.quantile_table(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_quantity")
-
-
-@query("""SELECT * FROM (SELECT 'l_quantity' AS descriptor, round(min(l_quantity), 4) AS minimum, round(max(l_quantity), 4) AS maximum, round(avg(l_quantity), 4) AS mean, round(stddev_pop(l_quantity), 4) AS std FROM lineitem)
-    UNION ALL SELECT 'l_discount', round(min(l_discount), 4), round(max(l_discount), 4), round(avg(l_discount), 4), round(stddev_pop(l_discount), 4) FROM lineitem""")
-def descriptor_summary(spark, sf_dir):
-    return aggregate.descriptor_summary(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_discount"], 4)
-
-
-@query("SELECT o_orderpriority, count(*) AS rows, count(DISTINCT o_custkey) AS distinct_keys, round(avg(o_totalprice), 4) AS mean_value, count(*) FILTER (o_orderstatus = 'F') AS flagged FROM orders GROUP BY o_orderpriority")
-def group_summary(spark, sf_dir):
-    return aggregate.group_summary(table(spark, sf_dir, "orders"), "o_orderpriority", "o_custkey", "o_totalprice", F.col("o_orderstatus") == "F")
-
-
-@query("SELECT event_type, 'high' AS predicate, count(*) FILTER (value > 50) AS n FROM events GROUP BY event_type UNION ALL SELECT event_type, 'odd', count(*) FILTER (user_id % 2 = 1) FROM events GROUP BY event_type")
-def predicate_counts(spark, sf_dir):
-    return aggregate.predicate_counts(table(spark, sf_dir, "events"), "event_type", high=F.col("value") > 50, odd=F.col("user_id") % 2 == 1)
-
-
-@query(f"""WITH {SEQ} SELECT count(*) AS total, count(*) FILTER (length(s) BETWEEN 8 AND 50) AS valid, count(DISTINCT s) AS unique_sequences, count(*) - count(DISTINCT s) AS duplicates, round(count(*) FILTER (length(s) BETWEEN 8 AND 50) / count(*)::DOUBLE, 4) AS valid_rate FROM seq""")
-def validity_summary(spark, sf_dir):
-    return aggregate.validity_summary(derived(spark, sf_dir), "s", sequence.first_reason(F.col("s")))
-
-
-@query(f"""WITH {SEQ} SELECT lang, count(*) AS rows, count(DISTINCT s) AS unique_sequences, min(length(s)) AS shortest, max(length(s)) AS longest, bool_and(s <> '') AS all_canonical, count(*) FILTER (EXISTS (SELECT 1 FROM seq x WHERE x.doc_id % 5 = 0 AND x.s = seq.s)) AS reference_matches FROM seq GROUP BY lang""")
-def ingestion_audit(spark, sf_dir):
-    seq = derived(spark, sf_dir)
-    flagged = curate.flag_reference(seq, seq.filter("doc_id % 5 = 0"), "s", "hit")
-    return aggregate.ingestion_audit(flagged, "lang", "s", F.col("hit"), sequence.canonical(F.col("s")))
-
-
-@query("WITH c AS (SELECT source, count(*)::DOUBLE AS n FROM documents GROUP BY source), t AS (SELECT sum(n) AS t FROM c) SELECT round(-sum(n / t * ln(n / t)), 6) AS entropy FROM c, t")
-def shannon_entropy(spark, sf_dir):
-    return aggregate.shannon_entropy(table(spark, sf_dir, "documents"), "source")
-
-
-@query(f"WITH {SEQ}, f AS (SELECT * FROM seq ORDER BY doc_id LIMIT 50) SELECT count(*) AS n_pairs, round(avg(levenshtein(a.s, b.s)), 4) AS mean_distance FROM f a JOIN f b ON a.doc_id < b.doc_id")
-def edit_distance_mean(spark, sf_dir):
-    return aggregate.mean_pairwise_distance(derived(spark, sf_dir), "s", "doc_id")
-
-
-@query("WITH q AS (SELECT quantile_cont(o_totalprice, 0.1) AS q FROM orders) SELECT round(max(q), 4) AS quantile, round(avg(o_totalprice), 4) AS tail_mean FROM orders, q WHERE o_totalprice <= q")
-def tail_risk(spark, sf_dir):
-    return aggregate.tail_risk(table(spark, sf_dir, "orders"), "o_totalprice")
-
-
-@query("""WITH g AS (SELECT unnest(range(1, 31)) AS k), x AS (SELECT k, unnest(range(greatest(1, 25 + k - 100), least(k, 25) + 1)) AS x FROM g)
-    SELECT k, round(sum(exp(lgamma(k + 1) - lgamma(x + 1) - lgamma(k - x + 1) + lgamma(100 - k + 1) - lgamma(25 - x + 1) - lgamma(100 - k - 25 + x + 1) - (lgamma(101) - lgamma(26) - lgamma(76)))), 6) AS tail_probability FROM x GROUP BY k""")
-def hypergeometric_tail(spark, sf_dir):
-    df = spark.range(1, 31).select(F.col("id").cast("int").alias("k"), F.lit(100).alias("n"), F.lit(25).alias("d"), F.lit(1).alias("x"))
-    return aggregate.hypergeometric_tail(df, "n", "k", "d", "x").select(F.col("k").cast("long").alias("k"), "tail_probability")
-
-
-@query("""WITH d AS (SELECT doc_id, quality AS y, (doc_id * 37 % 101) / 101.0::DOUBLE AS s FROM labels WHERE quality IS NOT NULL), g AS (SELECT s, sum(y)::DOUBLE AS p, count(*)::DOUBLE AS n, sum(pow(s - y, 2)) AS b FROM d GROUP BY s),
-    w AS (SELECT *, sum(p) OVER (ORDER BY s DESC) AS tp, sum(n) OVER (ORDER BY s DESC) AS al FROM g)
-    SELECT round(sum((n - p) * (tp - p + p / 2)) / (sum(p) * sum(n - p)), 6) AS roc_auc, round(sum(p * tp / al) / sum(p), 6) AS average_precision, round(sum(b) / sum(n), 6) AS brier FROM w""")
-def score_metrics(spark, sf_dir):
-    df = table(spark, sf_dir, "labels").filter("quality is not null").select("doc_id", "quality", (F.col("doc_id") * 37 % 101 / 101.0).alias("s"))
-    return aggregate.metrics(df, "quality", "s", "doc_id")
-
-
-_MOTIF = "regexp_matches(m, '[KR].{0,2}[WFLIV]|[WFLIV].{0,2}[KR]')"
-
-
-@query(f"""WITH {SEQ}, k AS (SELECT doc_id, s, unnest(range(4, 9)) AS k FROM seq), o AS (SELECT doc_id, substring(s, i, k) AS m FROM (SELECT *, unnest(range(1, length(s) - k + 2)) AS i FROM k WHERE length(s) >= k))
-    SELECT m AS motif_sequence, count(*) AS frequency, count(DISTINCT doc_id) AS associated_seq_count, array_to_string(list_sort(list(DISTINCT doc_id))[1:5], ';') AS example_sequence_ids FROM o WHERE {_MOTIF} GROUP BY m HAVING count(DISTINCT doc_id) >= 3""")
-def motif_library(spark, sf_dir):
-    motifs = F.filter(sequence.substrings(F.col("s")), sequence.amphipathic)
-    return aggregate.motif_library(derived(spark, sf_dir), "doc_id", motifs, biophysics.net_charge).drop("mean_charge")
-
-
-# Ranking and sets ----------------------------------------------------------------------------------------------------
-
-
-@query("SELECT * FROM (SELECT o_custkey, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey)::INTEGER AS rank FROM orders) WHERE rank <= 3")
-def topk_per_group(spark, sf_dir):
-    return ranking.top_k_per_group(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice"), ["o_custkey"], [F.desc("o_totalprice"), F.asc("o_orderkey")], 3)
-
-
-@query("SELECT o_orderpriority, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders) WHERE r <= 20 ORDER BY o_totalprice DESC, o_orderkey LIMIT 50")
-def two_level_topk(spark, sf_dir):
-    return ranking.two_level_top_k(table(spark, sf_dir, "orders").select("o_orderpriority", "o_orderkey", "o_totalprice"), "o_orderpriority", [F.desc("o_totalprice"), F.asc("o_orderkey")], 20, 50).drop("rank")
-
-
-@query("SELECT p_partkey FROM (SELECT p_partkey, CASE WHEN p_size = 1 THEN 0 ELSE 1 END AS t FROM part ORDER BY t, p_partkey LIMIT 100)")
-def backfill_n(spark, sf_dir):
-    p = table(spark, sf_dir, "part").select("p_partkey", "p_size")
-    return ranking.backfill(p.filter("p_size = 1"), p, "p_partkey", 100, ["p_partkey"]).select("p_partkey")
-
-
-@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) + 100 AS rank FROM orders")
-def assigned_ranks(spark, sf_dir):
-    return ranking.assign_ranks(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), [F.desc("o_totalprice"), F.asc("o_orderkey")], 101).select("o_orderkey", "rank")
-
-
-@query("SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders) WHERE r = 1")
-def best_per_key(spark, sf_dir):
-    return curate.best_of(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice"), ["o_custkey"], "o_totalprice", ["o_orderkey"])
-
-
-@query("SELECT c_custkey, 'missing' AS problem FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) UNION ALL SELECT DISTINCT o_custkey, 'extra' FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)")
-def coverage_gap(spark, sf_dir):
-    return ranking.coverage_gap(table(spark, sf_dir, "customer").select("c_custkey"), table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
-
-
-@query("SELECT count(*) = 0 OR (min(event_id + 1 - (SELECT min(event_id) FROM events)) = 1 AND max(event_id + 1 - (SELECT min(event_id) FROM events)) = count(*) AND count(DISTINCT event_id) = count(*)) AS contiguous, count(*) AS rows FROM events")
-def contiguous_index(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    first = e.agg(F.min("event_id")).first()[0]
-    return ranking.contiguous(e.select((F.col("event_id") - first + 1).alias("i")), "i")
-
-
-# Similarity, clusters, graphs ----------------------------------------------------------------------------------------
-
-#: Bit-parallel common subsequence: a's masks by residue, and b's residues folded over them.
-_MASKS = f"list_transform(string_split('{sequence.RESIDUES}', ''), lambda r: coalesce(list_sum(list_transform(range(1, length(s) + 1), lambda i: CASE WHEN substring(s, i, 1) = r THEN (1::BIGINT << (i - 1)::BIGINT) ELSE 0::BIGINT END)), 0)::BIGINT)"
-_SEEN = f"d AS (SELECT s, min(doc_id) AS k, length(s) AS n, {_MASKS} AS masks, (1::BIGINT << length(s)) - 1 AS top, list_transform(string_split(s, ''), lambda c: strpos('{sequence.RESIDUES}', c)) AS spots FROM seq GROUP BY s)"
-_RATIO = "2 * (a.n - bit_count(list_reduce(list_prepend(a.top, list_transform(b.spots, lambda p: coalesce(a.masks[p], 0::BIGINT))), lambda v, m: ((v + (v & m)) | (v & ~m)) & a.top)))::DOUBLE / (a.n + b.n)"
-
-
-@query(f"""WITH {SEQ}, {_SEEN}, r AS (SELECT s FROM seq WHERE doc_id % 5 = 0 GROUP BY s), rk AS (SELECT s, min(doc_id) AS k FROM seq WHERE doc_id % 5 = 0 GROUP BY s),
-    p AS (SELECT a.s, rk.k AS ref, {_RATIO} AS sim FROM d a JOIN d b ON b.n BETWEEN ceil(a.n * (0.8 / 1.2) - 1e-9) AND floor(a.n * (1.2 / 0.8) + 1e-9) JOIN rk ON rk.s = b.s WHERE a.s IN (SELECT s FROM seq WHERE doc_id % 5 <> 0)),
-    m AS (SELECT s, max(sim) AS sim, arg_min(ref, (-sim, ref)) AS ref FROM p GROUP BY s)
-    SELECT doc_id, round(coalesce(sim, 0), 4)::DOUBLE AS max_reference_similarity, ref AS nearest_reference, coalesce(sim, 0) <= 0.8 AS passes_novelty_rule_le80 FROM seq LEFT JOIN m USING (s) WHERE doc_id % 5 <> 0""")
-def nearest_reference(spark, sf_dir):
-    """Each document's nearest reference by Indel ratio; the reference is a fifth of the documents."""
-    seq = derived(spark, sf_dir)
-    out = similar.nearest_reference(seq.filter("doc_id % 5 <> 0"), seq.filter("doc_id % 5 = 0"), "doc_id", "s", "doc_id", "s")
-    return similar.novelty_gate(out).select("doc_id", F.round("max_reference_similarity", 4).alias("max_reference_similarity"), "nearest_reference", "passes_novelty_rule_le80")
-
-
-_PAIRS = f"e AS (SELECT least(x, y) AS a, greatest(x, y) AS b, similarity FROM (SELECT a.k AS x, b.k AS y, {_RATIO} AS similarity FROM d a JOIN d b ON b.s < a.s AND 2 * least(a.n, b.n) >= 0.8 * (a.n + b.n)) WHERE similarity >= 0.8)"
-
-
-@query(f"WITH {SEQ}, {_SEEN}, {_PAIRS} SELECT a, b, round(similarity, 4) AS similarity FROM e")
-def pair_edges(spark, sf_dir):
-    """Pairs of derived sequences with an Indel ratio of 0.8 or more."""
-    out = similar.similar_pairs(derived(spark, sf_dir), "doc_id", "s", 0.8)
-    return out.withColumn("similarity", F.round("similarity", 4))
-
-
-@query(f"""WITH RECURSIVE {SEQ}, {_SEEN}, {_PAIRS}, l AS (SELECT a, b FROM e UNION SELECT b, a FROM e), t(n, r) AS (SELECT k, k FROM d UNION SELECT l.b, t.r FROM t JOIN l ON l.a = t.n),
-    c AS (SELECT n, min(r) AS root FROM t GROUP BY n), x AS (SELECT doc_id, root FROM seq JOIN d USING (s) JOIN c ON c.n = d.k), o AS (SELECT root, row_number() OVER (ORDER BY root) AS i, count(*) AS z FROM x GROUP BY root)
-    SELECT doc_id, 'indel_80_' || lpad(i::VARCHAR, 6, '0') AS cluster_id, z AS cluster_size FROM x JOIN o USING (root)""")
-def clusters_80(spark, sf_dir):
-    return graph.similarity_clusters(derived(spark, sf_dir), "doc_id", "s", (0.8,)).select("doc_id", "cluster_id", "cluster_size")
-
-
-@query("SELECT label, n, sum(n) OVER (ORDER BY n DESC, label ROWS UNBOUNDED PRECEDING)::BIGINT AS running FROM (SELECT event_type AS label, count(*) AS n FROM events GROUP BY event_type)")
-def family_balance(spark, sf_dir):
-    """Counts of a label with their running total, over one row a label."""
-    counts = aggregate.value_counts(table(spark, sf_dir, "events").select(F.col("event_type").alias("label")), "label")
-    return counts.withColumn("running", F.sum("n").over(Window.orderBy(F.desc("n"), "label").rowsBetween(Window.unboundedPreceding, 0)))
-
-
-@query("SELECT count(*) AS requests, count(*) FILTER (event_id % 7 <> 0 AND event_id % 3 <> 0) AS unique_calls, count(*) FILTER (event_id % 3 = 0) AS cache_hits, count(*) FILTER (event_id % 7 = 0) AS rejections, count(*) FILTER (value > 50) AS hits, round(count(*) FILTER (value > 50) / count(*)::DOUBLE, 4) AS hit_rate FROM events")
-def evaluation_ledger(spark, sf_dir):
-    e = F.col("event_id")
-    return aggregate.ledger(table(spark, sf_dir, "events"), e % 3 == 0, e % 7 != 0, F.col("value") > 50)
-
-
-@query("SELECT o_orderstatus, round(avg(o_totalprice), 4) AS mean_fitness, round(max(o_totalprice), 4) AS max_fitness, count(DISTINCT o_orderpriority) AS active_families FROM orders GROUP BY o_orderstatus")
-def generation_history(spark, sf_dir):
-    return aggregate.history(table(spark, sf_dir, "orders"), "o_orderstatus", "o_totalprice", "o_orderpriority")
-
-
-@query("SELECT doc_id, to_json({'doc_id': doc_id, 'lang': lang, 'source': source})::VARCHAR AS raw FROM documents")
-def row_json(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.to_json(F.struct("doc_id", "lang", "source")).alias("raw"))
-
-
-@query("WITH m AS (SELECT quality, min(n) OVER () AS k FROM (SELECT quality, count(*) AS n FROM labels WHERE quality IS NOT NULL GROUP BY quality)) SELECT quality, k AS n FROM m")
-def balanced_pairs(spark, sf_dir):
-    """As many rows of each label as the rarest has."""
-    out = ranking.balanced_sample(table(spark, sf_dir, "labels").filter("quality is not null"), "quality", "doc_id")
-    return out.groupBy("quality").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query()
-def split_and_leakage(spark, sf_dir):
-    """Whole clusters to splits; then sizes of the splits and how many clusters leak (none)."""
-    clustered = graph.similarity_clusters(derived(spark, sf_dir), "doc_id", "s", (0.8,))
-    split = graph.clustered_split(clustered.select("doc_id", "cluster_id"), "cluster_id")
-    leaks = aggregate.leakage(split, "cluster_id", "split").agg(F.count(F.lit(1)).alias("leaking_clusters"))
-    return split.groupBy("split").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(leaks))
-
-
-@query("""WITH e AS (SELECT conv_id, turn, conv_id * 1000 + turn AS node, CASE WHEN turn > min(turn) OVER (PARTITION BY conv_id) THEN conv_id * 1000 + lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) END AS parent FROM conversations)
-    SELECT node, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS depth, min(node) OVER (PARTITION BY conv_id) AS ancestor, true AS complete FROM e""")
-def lineage_depth(spark, sf_dir):
-    """Turns of a conversation as a chain of parents."""
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    c = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("node"), (F.col("conv_id") * 1000 + F.lag("turn").over(w)).alias("parent"))
-    return graph.lineage_depth(c, "node", "parent")
-
-
-@query("""WITH e AS (SELECT conv_id, turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS p FROM conversations), r AS (SELECT conv_id, turn, p FROM e)
-    SELECT 'root_not_generation_0' AS rule, (conv_id * 1000 + turn)::VARCHAR AS item FROM r WHERE p IS NULL AND turn <> 0
-    UNION ALL SELECT 'unknown_seed', (conv_id * 1000 + turn)::VARCHAR FROM r WHERE conv_id NOT IN (SELECT conv_id FROM r WHERE p IS NULL AND turn = 0)""")
-def ancestry_violations(spark, sf_dir):
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    c = table(spark, sf_dir, "conversations")
-    ident = lambda t: (F.col("conv_id") * 1000 + t).cast("string")
-    nodes = c.select(ident(F.col("turn")).alias("sequence_id"), ident(F.lag("turn").over(w)).alias("parent_id"), ident(F.lit(0)).alias("seed_id"), F.col("turn").alias("generation"))
-    edges = nodes.filter("parent_id is not null").select("parent_id", F.col("sequence_id").alias("child_id"), "seed_id", "generation")
-    return graph.ancestry_violations(nodes, edges)
-
-
-@query("""WITH q AS (SELECT vec_id AS query, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 100 = 0), p AS (SELECT query, vec_id AS other, list_dot_product(e, embedding::DOUBLE[]) / (sqrt(list_dot_product(e, e)) * sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS c FROM q JOIN embeddings ON vec_id <> query)
-    SELECT query, other, round(c, 4) AS similarity FROM p""")
-def composition_cosine(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings")
-    out = similar.cosine_pairs(e, "vec_id", "embedding", e.filter("vec_id % 100 = 0"), similarity.cosine)
-    return out.withColumn("similarity", F.round("similarity", 4))
-
-
-# Selection -----------------------------------------------------------------------------------------------------------
-
-
-def _bins(x: str, edges: tuple) -> str:
-    return " + ".join(f"CASE WHEN {x} >= {e} THEN 1 ELSE 0 END" for e in edges)
-
-
-_CELLS = f"SELECT p_partkey, ({_bins('p_size / 4.0', biophysics.CHARGE_EDGES)})::INTEGER AS c, ({_bins('(p_partkey % 100) / 100.0', biophysics.MOMENT_EDGES)})::INTEGER AS m, ({_bins('(8 + p_partkey % 43)', biophysics.LENGTH_EDGES)})::INTEGER AS l, p_retailprice FROM part"
-
-
-def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") / 4.0).alias("charge"), (F.col("p_partkey") % 100 / 100.0).alias("moment"), (8 + F.col("p_partkey") % 43).alias("length"), "p_retailprice")
-
-
-@query(_CELLS.replace(", p_retailprice FROM", " FROM"))
-def niche_bins(spark, sf_dir):
-    return _cells(spark, sf_dir).select("p_partkey", biophysics.niche(F.col("charge"), F.col("moment"), F.col("length")).alias("x")).select("p_partkey", "x.*")
-
-
-@query(f"SELECT c, m, l, p_partkey FROM (SELECT *, row_number() OVER (PARTITION BY c, m, l ORDER BY p_retailprice DESC, p_partkey) AS r FROM ({_CELLS})) WHERE r = 1")
-def niche_elites(spark, sf_dir):
-    return select.archive(_cells(spark, sf_dir), "charge", "moment", "length", "p_retailprice", "p_partkey").select("c", "m", "l", "p_partkey")
-
-
-@query(f"SELECT count(DISTINCT (c, m, l)) AS filled, round(100 * count(DISTINCT (c, m, l)) / 150.0::DOUBLE, 2) AS coverage_percent FROM ({_CELLS})")
-def archive_coverage(spark, sf_dir):
-    return select.archive_coverage(select.archive(_cells(spark, sf_dir), "charge", "moment", "length", "p_retailprice", "p_partkey"))
-
-
-@query("""SELECT p_partkey, round(p - 0.5 * t - s + CASE WHEN mic <= 32 THEN 0.2 * (1 - mic / 32) ELSE 0 END + CASE WHEN p_size % 3 > 1 THEN 0.05 ELSE 0 END - CASE WHEN p_partkey % 2 = 0 THEN 0 ELSE 0.2 END, 4) AS quality
-    FROM (SELECT *, (p_partkey % 97) / 97.0::DOUBLE AS p, (p_size % 10) / 10.0::DOUBLE AS t, (p_partkey % 7) / 70.0::DOUBLE AS s, (p_partkey % 64)::DOUBLE AS mic FROM part)""")
-def lcb_quality(spark, sf_dir):
-    p = table(spark, sf_dir, "part")
-    k = F.col("p_partkey")
-    return p.select("p_partkey", biophysics.bounded_quality(k % 97 / 97.0, F.col("p_size") % 10 / 10.0, k % 7 / 70.0, (k % 64).cast("double"), F.col("p_size") % 3, k % 2 == 0).alias("quality"))
-
-
-@query()
-def farthest_points(spark, sf_dir):
-    p = table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("double").alias("p_size"), "p_retailprice")
-    return select.farthest_points(p, "p_partkey", ["p_size", "p_retailprice"], 100)
-
-
-def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A candidate table from derived sequences, one row a sequence."""
-    rows = curate.first_wins(derived(spark, sf_dir).filter(F.length("s").between(8, 50)), ["s"], ["doc_id"])
-    s = F.col("s")
-    return rows.select(
-        F.col("doc_id"), s.alias("sequence"), F.col("lang").alias("primary_domain"), biophysics.net_charge(s).alias("net_charge_ph7"), biophysics.hydrophobic_moment(s).alias("eisenberg_moment"), F.length(s).alias("length"),
-        biophysics.isoelectric_point(s).alias("isoelectric_point"), biophysics.gravy(s).alias("gravy"), biophysics.boman_index(s).alias("boman_index"), F.lit(30.0).alias("instability_index"), (F.col("doc_id") % 97 / 97.0).alias("pred_amp_probability"),
-        (F.col("doc_id") % 89 / 89.0).alias("pred_toxicity_risk"), (F.col("doc_id") % 9 / 10.0).alias("max_reference_similarity"), F.round(F.col("doc_id") % 97 / 97.0 - F.col("doc_id") % 89 / 178.0, 4).alias("lcb_quality"), (F.col("doc_id") % 3 != 0).alias("synthesizable"),
-    )
-
-
-@query()
-def portfolio(spark, sf_dir):
-    """Determinantal selection with quotas and redundancy limits."""
-    return select.select_portfolio(_candidates(spark, sf_dir), 40, 20, most_cosine=0.97).select("sequence", "primary_domain", "portfolio_rank", "is_nested")
-
-
-@query()
-def monte_carlo_draws(spark, sf_dir):
-    return select.simulate_draws(_candidates(spark, sf_dir), "doc_id", "lcb_quality", "pred_amp_probability", "pred_toxicity_risk", "synthesizable")
-
-
-@query()
-def seed_panel(spark, sf_dir):
-    s = F.col("sequence")
-    rows = _candidates(spark, sf_dir).withColumn("family", sequence.archetype(s, F.col("net_charge_ph7"), F.col("eisenberg_moment"), F.col("boman_index"))["family_id"])
-    return select.seed_panel(rows.select("sequence", "family", "length"), "family", "length", "sequence").select("sequence", "family", "tier")
-
-
-@query(f"""WITH {SEQ}, a AS (SELECT s, min(doc_id) AS doc_id FROM seq WHERE doc_id % 10 = 0 GROUP BY s), b AS (SELECT s, min(doc_id) AS doc_id FROM seq WHERE doc_id % 10 <> 0 AND s NOT IN (SELECT s FROM a) GROUP BY s),
-    u AS (SELECT s, 0 AS t, doc_id::DOUBLE AS k, 'scored' AS source_tier FROM a UNION ALL SELECT s, 1, -(doc_id % 97)::DOUBLE, 'filler' FROM (SELECT s, arg_min(doc_id, (-(doc_id % 97), doc_id)) AS doc_id FROM seq WHERE doc_id % 10 <> 0 AND s NOT IN (SELECT s FROM a) GROUP BY s))
-    SELECT * FROM (SELECT s, source_tier, row_number() OVER (ORDER BY t, k, s) AS library_index FROM u) WHERE library_index <= 120""")
-def library_assembly(spark, sf_dir):
-    seq = derived(spark, sf_dir).select("s", "doc_id")
-    scored = curate.first_wins(seq.filter("doc_id % 10 = 0"), ["s"], ["doc_id"])
-    fillers = curate.best_of(seq.filter("doc_id % 10 <> 0").withColumn("score", F.col("doc_id") % 97), ["s"], "score", ["doc_id"])
-    return select.assemble_library(scored.withColumn("score", F.lit(0)), fillers, 120, "s", "doc_id", "score").select("s", "source_tier", "library_index")
-
-
-@query()
-def mutate_children(spark, sf_dir):
-    rows = curate.first_wins(derived(spark, sf_dir).filter(F.length("s").between(8, 50)), ["s"], ["doc_id"])
-    return search.mutate(rows.select("doc_id", "s"), "doc_id", "s", 4, 42, 1).select("doc_id", "child", "mutation_type", "position", "delta")
-
-
-@query()
-def genetic_search(spark, sf_dir):
-    """A short search: nodes with generation and fitness."""
-    s = F.col("sequence")
-    seeds = _candidates(spark, sf_dir).select(sequence.sequence_id(s).alias("sequence_id"), "sequence", F.col("primary_domain").alias("family"))
-    seeds = ranking.top_k_per_group(seeds, ["family"], [F.asc("sequence")], 5, "_r").drop("_r")
-    nodes, _, _ = search.evolve(seeds, search.Evaluator(), generations=2, budget=200, children=3, per_family=5)
-    return nodes.select("sequence_id", "sequence", "family", "generation", "composite_fitness")
-
-
-@query()
-def forest_spread(spark, sf_dir):
-    """A forest on residue fractions against a quality label: mean and deviation over trees."""
-    rows = derived(spark, sf_dir).join(table(spark, sf_dir, "labels").filter("quality is not null"), "doc_id").withColumn("x", sequence.residue_fractions(F.col("s")))
-    model = models.train_forest(rows, "x", "quality", trees=10, depth=5, balanced=True)
-    return models.forest_spread(rows.select("doc_id", "x"), model, "x").drop("x")
-
-
-@query()
-def panel_scores(spark, sf_dir):
-    """A plug-in panel scorer over distinct sequences, summarised by row."""
-    rows = _candidates(spark, sf_dir)
-    names = [f"mic_{i}" for i in range(11)]
-    scored = models.score_in_batches(rows, "doc_id", "sequence", models.stub_panel(), ", ".join(f"{n} double" for n in names))
-    return scored.withColumn("p", assay.panel_summary([F.col(n) for n in names])).select("doc_id", "p.mean_mic", "p.min_mic")
-
-
-# Verification --------------------------------------------------------------------------------------------------------
-
-
-@query(f"""WITH {SEQ}, lib AS (SELECT s FROM seq WHERE doc_id % 5 <> 0), top AS (SELECT s FROM seq WHERE doc_id % 50 = 1), ref AS (SELECT DISTINCT s FROM seq WHERE doc_id % 5 = 0)
-    SELECT 'library_size' AS rule, (CASE WHEN (SELECT count(*) FROM lib) = 800 THEN 0 ELSE 1 END)::BIGINT AS violations
-    UNION ALL SELECT 'library_repeats', count(*) FROM (SELECT s FROM lib GROUP BY s HAVING count(*) > 1)
-    UNION ALL SELECT 'library_alphabet', count(*) FROM lib WHERE s = ''
-    UNION ALL SELECT 'library_length', count(*) FROM lib WHERE length(s) NOT BETWEEN 8 AND 50
-    UNION ALL SELECT 'top_size', (CASE WHEN (SELECT count(*) FROM top) = 20 THEN 0 ELSE 1 END)::BIGINT
-    UNION ALL SELECT 'top_repeats', count(*) FROM (SELECT s FROM top GROUP BY s HAVING count(*) > 1)
-    UNION ALL SELECT 'top_not_in_library', count(*) FROM top WHERE s NOT IN (SELECT s FROM lib)
-    UNION ALL SELECT 'reference_overlap', count(*) FROM lib WHERE s IN (SELECT s FROM ref)""")
-def submission_checks(spark, sf_dir):
-    seq = materialize(derived(spark, sf_dir).select("doc_id", "s"), "sequences")  # every rule reads it
-    rules = verify.submission_rules(seq.filter("doc_id % 5 <> 0"), seq.filter("doc_id % 50 = 1"), seq.filter("doc_id % 5 = 0"), "s", 800, 20)
-    return verify.rule_counts(rules)
-
+from strandloom.plans import curation, files, joins, likeness, ranks, scalars, selections
+from strandloom.plans.registry import ORACLE_SQL, QUERIES
 
-@query()
-def value_fingerprint(spark, sf_dir):
-    return verify.fingerprint(table(spark, sf_dir, "part"), ["p_partkey"])
+__all__ = ["ORACLE_SQL", "QUERIES", "curation", "files", "joins", "likeness", "ranks", "scalars", "selections"]

@@ -5,14 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandloom.sources.text import file_groups, read_decoded
+
+
+def _raw(spark: SparkSession, path: str) -> DataFrame:
+    """``value, source_file, record_ord``: what stands between the starts of records; files in another encoding are decoded whole."""
+    out = None
+    for encoding, paths in file_groups(spark, path):
+        if encoding == "utf-8":
+            part = spark.read.option("wholetext", False).option("lineSep", "\n>").text(paths)
+            part = part.select("value", F.input_file_name().alias("source_file"), F.monotonically_increasing_id().alias("record_ord"))
+        else:
+            part = read_decoded(spark, paths).select(F.posexplode(F.split("text", "\n>")).alias("record_ord", "value"), F.col("path").alias("source_file"))
+            part = part.select("value", "source_file", F.col("record_ord").cast("long").alias("record_ord"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
 
 def _parsed(spark: SparkSession, path: str) -> DataFrame:
-    raw = spark.read.option("wholetext", False).option("lineSep", "\n>").text(path)
-    value = F.regexp_replace("value", r"\r", "")
+    raw = _raw(spark, path)
+    value = F.regexp_replace(F.regexp_replace("value", r"\r", ""), "^\ufeff", "")
     opened = F.startswith(value, F.lit(">"))
     body = F.when(opened, F.substring(value, 2, 2_000_000_000)).otherwise(value)
     parts = F.split(body, "\n", 2)
-    return raw.select(F.input_file_name().alias("source_file"), F.monotonically_increasing_id().alias("record_ord"), opened.alias("opened"), body.alias("body"), F.get(parts, F.lit(0)).alias("head"), F.coalesce(F.get(parts, F.lit(1)), F.lit("")).alias("tail"))
+    return raw.select("source_file", "record_ord", opened.alias("opened"), body.alias("body"), F.get(parts, F.lit(0)).alias("head"), F.coalesce(F.get(parts, F.lit(1)), F.lit("")).alias("tail"))
 
 
 def _first(df: DataFrame) -> DataFrame:
@@ -26,6 +42,7 @@ def read_fasta(spark: SparkSession, path: str, uppercase: bool = False) -> DataF
 
     The identifier is the first word of the header; sequence lines are joined without white space.  Lines before the
     first header belong to no record and are counted, by file, as ``malformed``; a file of such lines only has none.
+    Files that are not UTF-8 are read in the first encoding that fits.
     """
     rows = _first(_parsed(spark, path))
     stray = F.col("leads") & ~F.col("opened")

@@ -41,6 +41,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def new_path(spark: SparkSession, label: str) -> str:
+    """A path in the shared folder that nothing is written to yet; the innermost ``scratch`` deletes it."""
+    path = f"{_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    if scopes := _scopes.get(spark.sparkContext.applicationId):
+        scopes[-1].append(path)
+    return path
+
+
 def materialize(df: DataFrame, label: str, outlives: bool = False) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
