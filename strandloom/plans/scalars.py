@@ -72,6 +72,17 @@ def feature_vectors(spark, sf_dir):
     return rows.select("rec_id", F.size("x").alias("size"), *[F.col("x")[i].cast("double").alias(n) for i, n in names.items()])
 
 
+@query(f"""WITH {SEQ}, {MOMENTS}, f AS (SELECT rec_id, s, length(s) AS n, {CHARGE} AS charge, moment, {BOMAN} AS b FROM seq JOIN moments USING (s))
+    SELECT rec_id, CASE WHEN {count('RW')} / n::DOUBLE >= 0.4 THEN 0 WHEN {count('P')} / n::DOUBLE >= 0.15 THEN 1 WHEN moment >= 0.65 THEN 2 WHEN n <= 12 AND charge >= 3 THEN 3
+            WHEN moment >= 0.4 THEN 4 WHEN b >= 2.5 THEN 5 WHEN n >= 30 THEN 6 WHEN charge >= 5 THEN 7 WHEN {count('C')} >= 2 THEN 8 ELSE 9 END AS family_id,
+        CASE WHEN n <= 25 AND moment >= 0.4 THEN 'all' WHEN n <= 25 THEN 'vae' WHEN charge >= 5 THEN 'ar' WHEN moment >= 0.45 THEN 'diffusion' ELSE 'evolution' END AS track FROM f""")
+def archetypes(spark, sf_dir):
+    s = F.col("s")
+    rows = canonical_records(spark, sf_dir).select("rec_id", "s", biophysics.net_charge(s).alias("q"), biophysics.hydrophobic_moment(s).alias("m"), biophysics.boman_index(s).alias("b"))
+    family = sequence.archetype(s, F.col("q"), F.col("m"), F.col("b"))["family_id"]
+    return rows.select("rec_id", family.alias("family_id"), sequence.generator_track(F.length(s), F.col("m"), F.col("q")).alias("track"))
+
+
 _MIC_CASE = "CASE event_id % 7 WHEN 0 THEN '<' WHEN 1 THEN '>' WHEN 2 THEN 'range' WHEN 3 THEN '=' WHEN 5 THEN '<' WHEN 6 THEN '=' ELSE '' END"
 _MIC_TEXT = {0: "<{n}", 1: "> {n} (ref 3)", 2: "{m} - {n}", 3: "{n}", 4: "NA", 5: "<", 6: "MIC {n}e1"}
 _MIC_UNITS = {0: "µM", 1: "ug/ml", 2: "mg / ml", 3: "", 4: "MG/L."}
