@@ -14,10 +14,14 @@ from pyspark.sql import functions as F
 from strandloom.functions.sequence import RESIDUES, canonical, let, residue_count, residue_fractions
 
 # Published scales by residue.  Fixed values.
+#: Average masses of residues (IUPAC).
 MASS = dict(A=71.0788, C=103.1388, D=115.0886, E=129.1155, F=147.1766, G=57.0519, H=137.1411, I=113.1594, K=128.1741, L=113.1594, M=131.1926, N=114.1038, P=97.1167, Q=128.1307, R=156.1875, S=87.0782, T=101.1051, V=99.1326, W=186.2132, Y=163.1760)
 WATER = 18.0153
+#: Consensus hydrophobicity (Eisenberg et al. 1984).
 CONSENSUS = dict(A=0.62, C=0.29, D=-0.90, E=-0.74, F=1.19, G=0.48, H=-0.40, I=1.38, K=-1.50, L=1.06, M=0.64, N=-0.78, P=0.12, Q=-0.85, R=-2.53, S=-0.18, T=-0.05, V=1.08, W=0.81, Y=0.26)
+#: Hydropathy (Kyte and Doolittle 1982).
 HYDROPATHY = dict(A=1.8, C=2.5, D=-3.5, E=-3.5, F=2.8, G=-0.4, H=-3.2, I=4.5, K=-3.9, L=3.8, M=1.9, N=-3.5, P=-1.6, Q=-3.5, R=-4.5, S=-0.8, T=-0.7, V=4.2, W=-0.9, Y=-1.3)
+#: Transfer free energy from cyclohexane to water (Radzicka and Wolfenden 1988).
 TRANSFER = dict(A=-1.81, C=-1.28, D=8.72, E=6.81, F=-2.98, G=-0.94, H=4.66, I=-4.92, K=5.55, L=-4.92, M=-2.35, N=6.64, P=0.0, Q=5.54, R=9.38, S=3.40, T=2.57, V=-4.04, W=-2.33, Y=-0.14)
 #: Acid constants: the chain's ends, and side chains by sign.
 N_TERM, C_TERM = 9.69, 2.34

@@ -192,7 +192,7 @@ def tokens(s: Column, most: int = 52) -> Column:
 
 
 def archetype(s: Column, charge: Column, moment: Column, boman: Column) -> Column:
-    """Family number and name by the first rule that holds."""
+    """Family number and name by the first rule that holds.  Names and thresholds are fixed values."""
     n = F.length(s)
     rules = [
         (residue_count(s, "RW") / n >= 0.40, "Trp_Arg_Rich"), (residue_count(s, "P") / n >= 0.15, "Proline_Rich_Extended"), (moment >= 0.65, "High_Amphipathic_Helical"),

@@ -50,6 +50,35 @@ def test_csv_and_encodings(spark, tmp_path):
         text.safe_destination("/data", "../x")
 
 
+def test_foreign_files_in_readers(spark, tmp_path):
+    folder = tmp_path / "mixed"
+    folder.mkdir()
+    (folder / "a.csv").write_bytes('id,unit\n1,"µM, ""x""\nnext"\n'.encode("cp1252"))
+    (folder / "b.csv").write_bytes("id,unit\n2,µg\n".encode())
+    (folder / "c.csv").write_bytes(b"id,unit\n3,\x81\xb5\n")  # no cp1252
+    (folder / "d.csv").write_bytes(b"\xef\xbb\xbfid,unit\n4,plain\n")
+    assert sorted(text.foreign_files(spark, str(folder)).values()) == ["cp1252", "latin-1"]
+    got = {r.id: r.unit for r in text.read_csv(spark, str(folder)).collect()}
+    assert got == {"1": 'µM, "x"\nnext', "2": "µg", "3": "\x81µ", "4": "plain"}
+    fa = tmp_path / "fa"
+    fa.mkdir()
+    (fa / "a.fa").write_bytes(">µ one\nAC\nDE\n>two\nKK\n".encode("cp1252"))
+    (fa / "b.fa").write_bytes(">é\r\nRR\r\n".encode())
+    assert {(r.header, r.sequence) for r in fasta.read_fasta(spark, str(fa)).collect()} == {("µ one", "ACDE"), ("two", "KK"), ("é", "RR")}
+    assert fasta.read_fasta_strict(spark, str(fa)).count() == 3
+
+
+def test_chain_and_plan(spark):
+    found = spark.createDataFrame([("a", "1"), ("b", "2")], "path string, sha256 string")
+    links = [("a", "1", None, None), ("b", "2", "a", "1")]
+    schema = "path string, sha256 string, parent string, parent_sha256 string"
+    assert text.verify_chain(found, spark.createDataFrame(links, schema)).count() == 0
+    bad = text.verify_chain(found, spark.createDataFrame([("b", "2", "a", "9")], schema)).collect()
+    assert {r.problem for r in bad} == {"parent changed", "parent without a record"}
+    plan = text.fetch_plan(found.withColumn("url", F.lit("u")).withColumn("sha256", F.lit("1")), found).collect()
+    assert {(r.path, r.action) for r in plan} == {("a", "keep"), ("b", "fetch again")}
+
+
 def workbook():
     out = io.BytesIO()
     cell = lambda ref, value: f'<c r="{ref}" t="inlineStr"><is><t>{value}</t></is></c>'
