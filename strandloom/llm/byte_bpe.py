@@ -87,6 +87,7 @@ class Codec:
         self.entries, self.pattern = entries, pattern
         self.hashed = hashed or PerfectHash(entries)
         self.ranks = {x: i for i, x in enumerate(entries)}  # for the merges; whole pre-tokens go by the perfect hash
+        self.kept: Encoder | None = None
 
     def __reduce__(self):
         return Codec, (self.entries, self.pattern, self.hashed)
@@ -130,6 +131,12 @@ class Codec:
     def encoder(self) -> Encoder:
         return Encoder(self)
 
+    def shared_encoder(self) -> Encoder:
+        """One encoder for all tasks that a worker process runs with this codec: its memo, which is bounded, goes on."""
+        if self.kept is None:
+            self.kept = Encoder(self)
+        return self.kept
+
     def decode(self, ids) -> bytes:
         return b"".join(map(self.entries.__getitem__, ids))
 
@@ -165,7 +172,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     held, kind = _shared(docs, path, pattern), dict(docs.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = held.value.encoder()
+        code = held.value.shared_encoder()
         for batch in batches:
             raw = [code(x.as_py() or "") for x in batch.column(1)]
             ids = pa.array(np.frombuffer(b"".join(raw), dtype="<u4").astype(np.int64))
@@ -198,7 +205,7 @@ def digest(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = held.value
-        code = codec.encoder()
+        code = codec.shared_encoder()
         for batch in batches:
             n, ids, texts = [], [], []
             for x in batch.column(1):

@@ -84,6 +84,9 @@ class Memo(dict):
     def __init__(self, automaton: Automaton, mark: bytes):
         self.automaton, self.mark = automaton, mark
 
+    def __reduce__(self):
+        return Memo, (self.automaton, self.mark)
+
     def __missing__(self, word: bytes) -> int:
         n = self.automaton.count(self.mark + word)
         if len(word) <= MEMO_BYTES:
@@ -122,10 +125,10 @@ def token_counts(docs: DataFrame, entries: list[bytes], mark: bytes = b" ", id_c
     finished automaton is broadcast; its size is bounded by the tokenizer's vocabulary, not by the data.  Repeated rows come out repeated;
     other columns are not read; an empty table gives an empty result.
     """
-    held, kind = docs.sparkSession.sparkContext.broadcast(Automaton(*split_vocabulary(entries, mark))), docs.schema[id_col].dataType.simpleString()
+    held, kind = docs.sparkSession.sparkContext.broadcast(Memo(Automaton(*split_vocabulary(entries, mark)), mark)), docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Memo(held.value, mark)
+        memo = held.value  # one for all tasks of a worker process; it is bounded
         for batch in batches:
             words, tokens = [], []
             for x in batch.column(1):

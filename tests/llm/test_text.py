@@ -65,6 +65,14 @@ def test_memo_may_overflow(codec, monkeypatch):
     assert code(text) == codec.encoder()(text) and len(code.memo) <= 3
 
 
+def test_long_texts_are_coded_whole(codec, reference):
+    rng = random.Random(4)
+    text = "".join(rng.choice(["word", " ", "Ünï", "日本", "\n", "x1", "--", " the"]) for _ in range(120_000)) + "q" * 20_000
+    ids = np.frombuffer(codec.shared_encoder()(text), "<u4").tolist()
+    assert ids == reference.encode_ordinary(text) and codec.decode(ids) == text.encode()
+    assert codec.shared_encoder() is codec.shared_encoder() is not codec.encoder()
+
+
 def test_bpe_frames(spark, codec, reference):
     rows = [(1, "hello world"), (2, None), (3, ""), (3, ""), (None, "é" * 1000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("ids", F.lit(1))
