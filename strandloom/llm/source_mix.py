@@ -43,6 +43,8 @@ SEED = 20240
 MAX_SOURCES = 1_000_000
 #: The driver grows the tree to so many nodes, or until they hold so many counts.
 TOP, TOP_COUNTS = 64, 4_000_000
+#: A task grows so many shards at least: starting one costs more than a small subtree.
+SHARDS_A_TASK = 1024
 
 
 def targets(sizes: Sequence[int], weights: Sequence[float] = WEIGHTS, most: float = MOST) -> list[float]:
@@ -144,7 +146,8 @@ def runs(spark, quotas: Sequence[int], shards: int, seed: int = SEED) -> DataFra
                 for leaf in leaves(Node(lo, hi, *[np.frombuffer(x, dtype=np.int64) for x in held]), total, shards, seed):
                     yield pa.RecordBatch.from_arrays([pa.array(leaf.source), pa.array(np.full(len(leaf.source), leaf.lo)), pa.array(leaf.start), pa.array(leaf.count)], ["_at", "_shard", "_from", "_count"])
 
-    frame = spark.createDataFrame(rows, "lo long, hi long, source binary, count binary, start binary").repartition(len(rows), "lo")
+    tasks = min(len(rows), -(-shards // SHARDS_A_TASK))
+    frame = spark.createDataFrame(rows, "lo long, hi long, source binary, count binary, start binary").repartition(tasks)
     return frame.mapInArrow(grow, "_at long, _shard long, _from long, _count long")
 
 
