@@ -68,15 +68,19 @@ def test_mixed_rows_agree_with_the_plan(spark):
     assert all(r.n == 1 for r in parts)
 
 
-def brute_mix(spark, rows, shards, blocks, seed=source_mix.SEED):
+def brute_mix(spark, rows, shards=source_mix.SHARDS, blocks=None, seed=source_mix.SEED):
     """Draws of each document and shard, from (id, text, source): every step of the method in plain Python."""
     hashes = spark.createDataFrame([(i,) for i, _, _ in rows], "i long").select("i", *[F.xxhash64(F.lit(seed + k), "i").alias(f"h{k}") for k in (0, 2)]).collect()
-    by = {r.i: (r.h0 % blocks, (r.h2, r.i)) for r in hashes}
-    turn = {r.b: r.h for r in spark.range(blocks).select(F.col("id").alias("b"), F.xxhash64(F.lit(seed + 1), "id").alias("h")).collect()}
     size = {i: len((t or "").split()) for i, t, _ in rows}
     names = sorted({s for _, _, s in rows}, key=lambda s: (s is None, s or ""))
     words = {n: sum(size[i] for i, _, s in rows if s == n) for n in names}
     goal = dict(zip(names, source_mix.targets([words[n] for n in names]), strict=True))
+    total = sum(words.values())
+    a_block = max(1, min(source_mix.WORDS_A_BLOCK, total // source_mix.BLOCKS), total // source_mix.MOST_BLOCKS)
+    parts = {n: blocks or max(source_mix.LEAST_BLOCKS, words[n] // a_block) for n in names}
+    of = {i: s for i, _, s in rows}
+    by = {r.i: (r.h0 % parts[of[r.i]], (r.h2, r.i)) for r in hashes}
+    turn = {r.b: r.h for r in spark.range(max(parts.values())).select(F.col("id").alias("b"), F.xxhash64(F.lit(seed + 1), "id").alias("h")).collect()}
     draws = {}
     for n in names:
         held = {}

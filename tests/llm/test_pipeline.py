@@ -5,7 +5,9 @@ import os
 import pytest
 
 import corpus_pipeline
-from strandloom.llm import quality_model, queries, simhash, source_mix
+from strandloom.llm import quality_model, queries, simhash
+from test_mix_and_urls import brute_mix, counted
+from test_quality import plain_score
 
 HERE = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(HERE), reason="no test tables")
@@ -19,8 +21,10 @@ def test_stages(spark):
 
     good = stage["quality classifier"](spark, docs, HERE).cache()
     assert good.columns == docs.columns
-    scored = quality_model.classify(docs, spark.read.parquet(f"{HERE}/labels.parquet"))
-    assert {r.doc_id for r in good.collect()} == {r.doc_id for r in scored.filter("predicted = 1").collect()}
+    model = quality_model.train(docs, spark.read.parquet(f"{HERE}/labels.parquet"))
+    score = {i: plain_score(r.text or "", model) for i, r in rows.items()}
+    assert all(abs(p - quality_model.THRESHOLD) > 1e-5 for p in score.values())
+    assert {r.doc_id for r in good.collect()} == {i for i, p in score.items() if p >= quality_model.THRESHOLD}
 
     once = stage["exact dedup"](spark, good, HERE).cache()
     best = {}
@@ -43,11 +47,11 @@ def test_stages(spark):
     assert {r.doc_id for r in apart.collect()} == {i for i in fps if group[i] == i}
 
     mix = stage["source mix"](spark, apart, HERE).cache()
-    want = {r.doc_id: r.taken // r["size"] for r in source_mix.mixture(apart).collect() if r["size"]}
-    got = {}
-    for r in mix.collect():
-        got[r.doc_id] = got.get(r.doc_id, 0) + 1
-    assert mix.columns == docs.columns and got == {k: v for k, v in want.items() if v}
+    drawn, *_ = brute_mix(spark, [(r.doc_id, r.text, r.source) for r in apart.collect()])
+    want = {}
+    for (i, _), n in drawn.items():
+        want[i] = want.get(i, 0) + n
+    assert mix.columns == docs.columns and counted(mix.collect()) == want
 
     coded = stage["byte bpe"](spark, mix, HERE)
     assert coded.count() == mix.count() and coded.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
