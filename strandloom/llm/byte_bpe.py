@@ -13,6 +13,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -75,9 +76,11 @@ class PerfectHash:
 
     def find(self, key: bytes) -> int:
         """The id of ``key`` if it is a key; some other key's id if not."""
-        bucket, a, b = self._parts(key)
-        d = self.shift[bucket]
-        return self.slots[-d - 1 if d < 0 else self._slot(a, b, d)]
+        h = xxhash.xxh3_128_intdigest(key)
+        d = self.shift[(h & 0xFFFFFFFF) % self.buckets]
+        if d < 0:
+            return self.slots[-d - 1]
+        return self.slots[self._slot(h >> 32 & 0xFFFFFFFF, h >> 64, d)]
 
 
 class Codec:
@@ -99,27 +102,29 @@ class Codec:
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of ``piece`` by merging, always the pair of the lowest rank, of equal ones the leftmost."""
-        n, rank = len(piece), lambda x, of=self.ranks.get: of(x, -1)
+        n, rank, push, pop = len(piece), self.ranks.get, heapq.heappush, heapq.heappop
         end, before, after = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
-        heap = [(r, i, i + 2) for i in range(n - 1) if (r := rank(piece[i : i + 2])) >= 0]
+        heap = [(r, i, i + 2) for i in range(n - 1) if (r := rank(piece[i : i + 2])) is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, stop = heapq.heappop(heap)
+            _, i, stop = pop(heap)
             j = after[i] if end[i] else n
             if j >= n or end[j] != stop:  # one of the two has been merged since
                 continue
-            end[i], end[j], after[i] = stop, 0, after[j]
-            if after[i] < n:
-                before[after[i]] = i
-                if (r := rank(piece[i : end[after[i]]])) >= 0:
-                    heapq.heappush(heap, (r, i, end[after[i]]))
-            if (k := before[i]) >= 0 and (r := rank(piece[k:stop])) >= 0:
-                heapq.heappush(heap, (r, k, stop))
+            end[i], end[j] = stop, 0
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+                if (r := rank(piece[i : end[k]])) is not None:
+                    push(heap, (r, i, end[k]))
+            k = before[i]
+            if k >= 0 and (r := rank(piece[k:stop])) is not None:
+                push(heap, (r, k, stop))
         out, i = [], 0
         while i < n:
             out.append(rank(piece[i : end[i]]))
             i = after[i]
-        if -1 in out:
+        if None in out:
             raise ValueError("the vocabulary lacks a byte")
         return out
 
@@ -146,7 +151,8 @@ class Memo(dict):
         self.codec = codec
 
     def __missing__(self, token: str) -> bytes:
-        out = np.array(self.codec.pieces(token.encode()), dtype="<u4").tobytes()
+        ids = self.codec.pieces(token.encode())
+        out = struct.pack(f"<{len(ids)}I", *ids)
         if len(token) <= MEMO_CHARS:
             if len(self) >= MEMO:
                 self.clear()
