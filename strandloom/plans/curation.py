@@ -125,7 +125,8 @@ def organism_map(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", sequence.organism(raw).alias("o")).select("p_partkey", "o.*")
 
 
-@query("""SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'tested_inactive' WHEN event_id % 5 = 1 THEN 'unknown' WHEN event_id % 5 = 2 THEN 'tested_inactive' ELSE 'reported' END AS label FROM events""")
+@query("""SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'tested_inactive' WHEN event_id % 5 = 1 THEN 'unknown' WHEN event_id % 5 = 2 THEN 'tested_inactive'
+        ELSE 'reported' END AS label FROM events""")
 def evidence_label(spark, sf_dir):
     k = F.col("event_id") % 5
     raw = F.when(k == 0, "Not active at 100").when(k == 2, "INACTIVE").otherwise(F.col("event_type"))
@@ -137,7 +138,8 @@ def synthesis_reason(spark, sf_dir):
     return derived(spark, sf_dir).select("rec_id", biophysics.synthesis_reason(F.col("s")).alias("reason"))
 
 
-@query(f"WITH {SEQ}, {MOMENTS}, r AS (SELECT {SYNTHESIS} AS reason FROM seq LEFT JOIN moments USING (s)) SELECT reason, reason IN ('ok', 'warn_unpaired_cys') AS synthesizable, count(*) AS n FROM r GROUP BY ALL")
+@query(f"""WITH {SEQ}, {MOMENTS}, r AS (SELECT {SYNTHESIS} AS reason FROM seq LEFT JOIN moments USING (s)) SELECT reason,
+        reason IN ('ok', 'warn_unpaired_cys') AS synthesizable, count(*) AS n FROM r GROUP BY ALL""")
 def synthesis_batch(spark, sf_dir):
     """A batch filter: how many records each reason holds, and whether it lets them pass."""
     r = derived(spark, sf_dir).select(biophysics.synthesis_reason(F.col("s")).alias("reason"))
@@ -156,7 +158,8 @@ def feasibility_screen(spark, sf_dir):
     return rows.select("rec_id", sequence.feasibility_reason(F.col("s")).alias("reason"))
 
 
-@query(f"""WITH {SEQ} SELECT rec_id, array_to_string(list_transform(string_split(s, ''), lambda c: (strpos('{sequence.RESIDUES}', c) + 2)::VARCHAR), ' ') AS body, length(s) AS n FROM seq WHERE {VALID}""")
+@query(f"""WITH {SEQ} SELECT rec_id, array_to_string(list_transform(string_split(s, ''), lambda c: (strpos('{sequence.RESIDUES}', c) + 2)::VARCHAR), ' ') AS body,
+        length(s) AS n FROM seq WHERE {VALID}""")
 def token_ids(spark, sf_dir):
     """Model tokens of valid sequences: what stands between the start and the first end mark, and how many."""
     rows = derived(spark, sf_dir).filter(sequence.first_reason(F.col("s")) == "ok").select("rec_id", sequence.tokens(F.col("s")).alias("t"))
@@ -164,7 +167,8 @@ def token_ids(spark, sf_dir):
     return rows.select("rec_id", F.array_join(F.slice("t", 2, (end - 2).cast("int")), " ").alias("body"), (end - 2).alias("n"))
 
 
-@query("""WITH h AS (SELECT p_partkey, p_partkey + 1 AS rank, CASE p_partkey % 5 WHEN 0 THEN 'rank_001_ar_' || p_partkey WHEN 1 THEN 'rank_' || printf('%03d', p_partkey + 1) || '_vae_' || p_partkey
+@query("""WITH h AS (SELECT p_partkey, p_partkey + 1 AS rank, CASE p_partkey % 5 WHEN 0 THEN 'rank_001_ar_' || p_partkey WHEN 1 THEN 'rank_' || printf('%03d',
+        p_partkey + 1) || '_vae_' || p_partkey
             WHEN 2 THEN 'rank_' || printf('%03d', p_partkey + 1) || '_other_x' WHEN 3 THEN 'rank_' || printf('%03d', p_partkey + 1) || '_ar_a b' ELSE 'x' END AS h FROM part)
     SELECT p_partkey, p_partkey % 5 = 1 AND p_partkey < 999 OR h = 'rank_001_ar_0' AS good, replace('a\\b/' || p_partkey, '\\', '/') AS path FROM h""")
 def header_checks(spark, sf_dir):

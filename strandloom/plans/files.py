@@ -47,7 +47,8 @@ def csv_foreign_encoding(spark, sf_dir):
     return text.read_csv(spark, path).select("id", "note")
 
 
-@query("SELECT 'cp1252' AS encoding, 1::BIGINT AS files, string_agg('µ' || r_name, chr(10) ORDER BY r_regionkey) AS text FROM region UNION ALL SELECT 'utf-8-sig', 1, string_agg('µ' || r_name, chr(10) ORDER BY r_regionkey) FROM region")
+@query("""SELECT 'cp1252' AS encoding, 1::BIGINT AS files, string_agg('µ' || r_name, chr(10) ORDER BY r_regionkey) AS text FROM region UNION ALL
+        SELECT 'utf-8-sig', 1, string_agg('µ' || r_name, chr(10) ORDER BY r_regionkey) FROM region""")
 def decoded_files(spark, sf_dir):
     """Files decoded by the first encoding that fits."""
     path = new_path(spark, "decoded")
@@ -83,7 +84,8 @@ def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("p_partkey", F.concat_ws(" ", F.col("p_partkey").cast("string"), F.col("p_name")).alias("header"), F.replace("p_name", F.lit(" "), F.lit("\n")).alias("sequence"))
 
 
-@query("SELECT p_partkey::VARCHAR AS id, p_partkey || ' ' || p_name AS header, replace(p_name, ' ', '') AS sequence, upper(replace(p_name, ' ', '')) AS folded, 0::BIGINT AS malformed FROM part")
+@query("""SELECT p_partkey::VARCHAR AS id, p_partkey || ' ' || p_name AS header, replace(p_name, ' ', '') AS sequence,
+        upper(replace(p_name, ' ', '')) AS folded, 0::BIGINT AS malformed FROM part""")
 def fasta_round_trip(spark, sf_dir):
     """The tolerant reader: sequences over several lines, as they are and in upper case."""
     path = new_path(spark, "fasta")
@@ -92,7 +94,8 @@ def fasta_round_trip(spark, sf_dir):
     return fasta.read_fasta(spark, path).join(upper, "header").select("id", "header", "sequence", "folded", "malformed")
 
 
-@query("SELECT 'seq_' || printf('%05d', p_partkey) || '_' || p_brand AS indexed, 'rank_' || printf('%03d', p_partkey) || '_ar_' || p_brand AS ranked, upper(replace(p_name, ' ', '')) AS sequence FROM part")
+@query("""SELECT 'seq_' || printf('%05d', p_partkey) || '_' || p_brand AS indexed, 'rank_' || printf('%03d', p_partkey) || '_ar_' || p_brand AS ranked,
+        upper(replace(p_name, ' ', '')) AS sequence FROM part""")
 def fasta_headers(spark, sf_dir):
     """The strict reader, on indexed headers."""
     path = new_path(spark, "fasta")
@@ -175,7 +178,8 @@ def fetch_plan(spark, sf_dir):
     return text.fetch_plan(pinned.unionByName(more), found)
 
 
-@query("""SELECT * FROM (VALUES ('1.txt', 'changed'), ('3.txt', 'parent changed'), ('4.txt', 'parent without a record'), ('../x', 'unsafe path'), ('../x', 'missing'), ('9.txt', 'missing'), ('9.txt', 'parent missing'), ('9.txt', 'parent without a record')) AS t(path, problem)""")
+@query("""SELECT * FROM (VALUES ('1.txt', 'changed'), ('3.txt', 'parent changed'), ('4.txt', 'parent without a record'), ('../x', 'unsafe path'),
+        ('../x', 'missing'), ('9.txt', 'missing'), ('9.txt', 'parent missing'), ('9.txt', 'parent without a record')) AS t(path, problem)""")
 def manifest_chain(spark, sf_dir):
     """A chain of recorded artefacts: some changed, some lost, some made from what nobody recorded."""
     found = _pinned(spark, sf_dir, new_path(spark, "chain"))
@@ -203,7 +207,8 @@ def source_manifest(spark, sf_dir):
 
 
 @query("""SELECT source_database, count(*) AS record_count, max(malformed)::BIGINT AS malformed_count FROM (
-    SELECT 'customers' AS source_database, c_custkey AS k, c_custkey % 3 AS malformed FROM customer UNION ALL SELECT 'suppliers', s_suppkey, s_suppkey % 5 FROM supplier) GROUP BY source_database""")
+    SELECT 'customers' AS source_database, c_custkey AS k, c_custkey % 3 AS malformed FROM customer UNION ALL SELECT 'suppliers', s_suppkey, s_suppkey % 5
+        FROM supplier) GROUP BY source_database""")
 def tagged_inventory(spark, sf_dir):
     """Several sources under one another, tagged, and their inventory."""
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), (F.col("c_custkey") % 3).alias("malformed"))

@@ -13,7 +13,8 @@ from strandloom.storage import table
 # Joins ---------------------------------------------------------------------------------------------------------------
 
 
-@query(f"""WITH {SEQ}, k AS (SELECT s, min(rec_id::VARCHAR) AS i FROM seq GROUP BY s), o AS (SELECT event_id, s FROM events LEFT JOIN seq ON rec_id = user_id * 1000000 + event_id % 20)
+@query(f"""WITH {SEQ}, k AS (SELECT s, min(rec_id::VARCHAR) AS i FROM seq GROUP BY s), o AS (SELECT event_id, s FROM events LEFT
+        JOIN seq ON rec_id = user_id * 1000000 + event_id % 20)
     SELECT event_id, coalesce(i, '') AS sequence_id FROM o LEFT JOIN k USING (s)""")
 def assay_link_left(spark, sf_dir):
     """Observations with the identifier of their sequence; many have none, and many the empty one."""
@@ -23,7 +24,8 @@ def assay_link_left(spark, sf_dir):
     return curate.link(obs, seq.select("s", F.col("rec_id").alias("sequence_id")), "s").select("event_id", "sequence_id")
 
 
-@query(f"""WITH {SEQ}, o AS (SELECT event_id, user_id, CASE event_id % 3 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE 'GIVEN' END AS v FROM events), l AS (SELECT doc_id, arg_max(raw, pos) AS raw FROM seq GROUP BY doc_id)
+@query(f"""WITH {SEQ}, o AS (SELECT event_id, user_id, CASE event_id % 3 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE 'GIVEN' END AS v FROM events), l AS (SELECT doc_id,
+        arg_max(raw, pos) AS raw FROM seq GROUP BY doc_id)
     SELECT event_id, coalesce(nullif(v, ''), raw) AS v FROM o LEFT JOIN l ON user_id = doc_id""")
 def assay_fill(spark, sf_dir):
     """Sequences of observations, by peptide where they are null or empty; the last of a peptide wins."""
@@ -32,7 +34,8 @@ def assay_fill(spark, sf_dir):
     return curate.fill_from(obs, derived(spark, sf_dir).select("doc_id", F.col("raw").alias("v"), "pos"), "doc_id", "v", "pos").select("event_id", "v")
 
 
-@query("""SELECT event_id, p_name, canonical_species FROM events JOIN part ON p_partkey = user_id JOIN (SELECT DISTINCT p_name, array_to_string(string_split(p_name, ' ')[1:2], ' ') AS canonical_species FROM part) USING (p_name)""")
+@query("""SELECT event_id, p_name, canonical_species FROM events JOIN part ON p_partkey = user_id JOIN (SELECT DISTINCT p_name,
+        array_to_string(string_split(p_name, ' ')[1:2], ' ') AS canonical_species FROM part) USING (p_name)""")
 def organism_lookup(spark, sf_dir):
     """Assays with the mapped species of their organism: the mapping is made once a name and joined."""
     part = table(spark, sf_dir, "part")
@@ -48,7 +51,9 @@ def toxicity_join(spark, sf_dir):
     return curate.many_to_one(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber"), orders, "l_orderkey")
 
 
-@query("SELECT o_orderkey, coalesce(l.n, 0) AS n, o_orderpriority, 'v1' AS data_version, coalesce(l.k, '') AS cluster_id, coalesce(l.sp, 'unassigned') AS split FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n, min(l_suppkey)::VARCHAR AS k, CASE WHEN l_orderkey % 10 < 8 THEN 'train' ELSE 'test' END AS sp FROM lineitem WHERE l_orderkey % 3 > 0 GROUP BY l_orderkey) l ON o_orderkey = l_orderkey")
+@query("""SELECT o_orderkey, coalesce(l.n, 0) AS n, o_orderpriority, 'v1' AS data_version, coalesce(l.k, '') AS cluster_id, coalesce(l.sp, 'unassigned') AS split
+        FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n, min(l_suppkey)::VARCHAR AS k, CASE WHEN l_orderkey % 10 < 8 THEN 'train' ELSE 'test' END AS sp
+        FROM lineitem WHERE l_orderkey % 3 > 0 GROUP BY l_orderkey) l ON o_orderkey = l_orderkey""")
 def role_views(spark, sf_dir):
     """A projection with split, cluster and version; rows without them take defaults."""
     lines = table(spark, sf_dir, "lineitem").filter("l_orderkey % 3 > 0").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("n"), F.min("l_suppkey").cast("string").alias("cluster_id"))
@@ -69,7 +74,8 @@ def reference_anti(spark, sf_dir):
     return curate.quarantine(seq.filter("doc_id % 5 <> 0"), seq.filter("doc_id % 5 = 0"), "s").select("rec_id")
 
 
-@query(f"WITH {SEQ} SELECT sha256(m.s) AS sequence_sha256, seq.source, seq.rec_id FROM seq JOIN (SELECT DISTINCT 'seq_' || substring(sha256(s), 1, 16) AS i, s FROM seq WHERE doc_id % 4 = 0 AND {VALID}) m ON m.s = seq.s")
+@query(f"""WITH {SEQ} SELECT sha256(m.s) AS sequence_sha256, seq.source, seq.rec_id FROM seq JOIN (SELECT DISTINCT 'seq_' || substring(sha256(s), 1, 16) AS i, s
+        FROM seq WHERE doc_id % 4 = 0 AND {VALID}) m ON m.s = seq.s""")
 def membership_disclosure(spark, sf_dir):
     """Training members by digest, with every record they came from."""
     seq = derived(spark, sf_dir).withColumn("sequence_id", sequence.sequence_id(F.col("s")))
@@ -99,7 +105,8 @@ def row_filters(spark, sf_dir):
 
 
 @query(f"""WITH {SEQ}, {CANDIDATES}
-    SELECT count(*) FILTER ({CHARGE} BETWEEN 2 AND 8) AS seeds, count(*) FILTER (similarity BETWEEN 0 AND 0.8) AS novel, count(*) FILTER (lower(primary_domain) = 'en') AS of_domain FROM candidates""")
+    SELECT count(*) FILTER ({CHARGE} BETWEEN 2 AND 8) AS seeds, count(*) FILTER (similarity BETWEEN 0 AND 0.8) AS novel,
+        count(*) FILTER (lower(primary_domain) = 'en') AS of_domain FROM candidates""")
 def candidate_filters(spark, sf_dir):
     """Plain filters of candidates: charge of seeds, similarity, and a domain in any case."""
     return candidates(spark, sf_dir).agg(
@@ -121,12 +128,14 @@ def conditional_counts(spark, sf_dir):
     return aggregate.conditional_counts(table(spark, sf_dir, "events"), "user_id", high=F.col("value") > 100, views=F.col("event_type") == "view")
 
 
-@query("SELECT user_id, array_to_string(list_sort(list(DISTINCT event_type)), ';') AS event_type, array_to_string(list_sort(list(DISTINCT props)), ';') AS props FROM events GROUP BY user_id")
+@query("""SELECT user_id, array_to_string(list_sort(list(DISTINCT event_type)), ';') AS event_type, array_to_string(list_sort(list(DISTINCT props)), ';') AS props
+        FROM events GROUP BY user_id""")
 def joined_sets(spark, sf_dir):
     return aggregate.joined_sets(table(spark, sf_dir, "events"), "user_id", "event_type", "props")
 
 
-@query("SELECT p_brand, bool_or(contains(lower(p_name), 'ring') OR contains(lower(p_name), 'bolt')) AS is_metal, bool_or(contains(lower(p_name), 'red')) AS is_red FROM part GROUP BY p_brand")
+@query("""SELECT p_brand, bool_or(contains(lower(p_name), 'ring') OR contains(lower(p_name), 'bolt')) AS is_metal, bool_or(contains(lower(p_name), 'red')) AS is_red
+        FROM part GROUP BY p_brand""")
 def annotation_flags(spark, sf_dir):
     return curate.annotate(table(spark, sf_dir, "part"), {"is_metal": ["ring", "bolt"], "is_red": ["red"]}, "p_brand", "p_name")
 
@@ -152,7 +161,8 @@ def domain_overlap(spark, sf_dir):
     return aggregate.domain_overlap(aggregate.merge_domains(derived(spark, sf_dir).select("s", "lang", "rec_id"), "s", "lang", "rec_id", None, ["s"]))
 
 
-@query(f"""WITH {SEQ}, m AS (SELECT s, list(DISTINCT source) AS d FROM seq JOIN labels USING (doc_id) WHERE quality = 1 GROUP BY s), x AS (SELECT unnest(d) AS domain, len(d) = 1 AS one FROM m)
+@query(f"""WITH {SEQ}, m AS (SELECT s, list(DISTINCT source) AS d FROM seq JOIN labels USING (doc_id) WHERE quality = 1 GROUP BY s),
+        x AS (SELECT unnest(d) AS domain, len(d) = 1 AS one FROM m)
     SELECT domain, count(*) AS n_sequences, count(*) FILTER (one) AS n_exclusive FROM x GROUP BY domain""")
 def training_overlap(spark, sf_dir):
     """Sources of the training rows, which overlap, and what only one of them has."""
@@ -160,7 +170,8 @@ def training_overlap(spark, sf_dir):
     return aggregate.domain_overlap(aggregate.merge_domains(rows, "s", "source", "rec_id", None, ["s"]))
 
 
-@query(f"""WITH {SEQ}, d AS (SELECT DISTINCT source, s FROM seq), n AS (SELECT source, count(*) AS n FROM d GROUP BY source), b AS (SELECT x.source AS a, y.source AS b, count(*) AS c FROM d x JOIN d y USING (s) GROUP BY ALL)
+@query(f"""WITH {SEQ}, d AS (SELECT DISTINCT source, s FROM seq), n AS (SELECT source, count(*) AS n FROM d GROUP BY source), b AS (SELECT x.source AS a,
+        y.source AS b, count(*) AS c FROM d x JOIN d y USING (s) GROUP BY ALL)
     SELECT p.source AS source_a, q.source AS source_b, coalesce(c, 0) AS shared, round(coalesce(c, 0) / (p.n + q.n - coalesce(c, 0))::DOUBLE, 6) AS jaccard
     FROM n p CROSS JOIN n q LEFT JOIN b ON p.source = b.a AND q.source = b.b""")
 def source_overlap_jaccard(spark, sf_dir):
@@ -200,7 +211,8 @@ def descriptor_summary(spark, sf_dir):
     return aggregate.descriptor_summary(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_discount"], 4)
 
 
-@query("""SELECT o_orderpriority, count(*) AS rows, count(DISTINCT o_custkey) AS distinct_keys, round(avg(o_totalprice), 4) AS mean_value, count(*) FILTER (o_orderstatus = 'F') AS flagged
+@query("""SELECT o_orderpriority, count(*) AS rows, count(DISTINCT o_custkey) AS distinct_keys, round(avg(o_totalprice), 4) AS mean_value,
+        count(*) FILTER (o_orderstatus = 'F') AS flagged
     FROM orders GROUP BY o_orderpriority""")
 def group_summary(spark, sf_dir):
     return aggregate.group_summary(table(spark, sf_dir, "orders"), "o_orderpriority", "o_custkey", "o_totalprice", F.col("o_orderstatus") == "F")
@@ -218,7 +230,8 @@ def validity_summary(spark, sf_dir):
     return aggregate.validity_summary(derived(spark, sf_dir), "s", sequence.first_reason(F.col("s")))
 
 
-@query(f"""WITH {SEQ} SELECT lang, count(*) AS rows, count(DISTINCT s) AS unique_sequences, min(length(s)) AS shortest, max(length(s)) AS longest, bool_and({GOOD}) AS all_canonical,
+@query(f"""WITH {SEQ} SELECT lang, count(*) AS rows, count(DISTINCT s) AS unique_sequences, min(length(s)) AS shortest, max(length(s)) AS longest,
+        bool_and({GOOD}) AS all_canonical,
     count(*) FILTER ({HIT}) AS reference_matches FROM seq GROUP BY lang""")
 def ingestion_audit(spark, sf_dir):
     seq = derived(spark, sf_dir)
@@ -226,7 +239,8 @@ def ingestion_audit(spark, sf_dir):
     return aggregate.ingestion_audit(flagged, "lang", "s", F.col("hit"), sequence.canonical(F.col("s")))
 
 
-@query("WITH c AS (SELECT source, count(*)::DOUBLE AS n FROM documents GROUP BY source), t AS (SELECT sum(n) AS t FROM c) SELECT round(-sum(n / t * ln(n / t)), 6) AS entropy FROM c, t")
+@query("""WITH c AS (SELECT source, count(*)::DOUBLE AS n FROM documents GROUP BY source), t AS (SELECT sum(n) AS t FROM c)
+        SELECT round(-sum(n / t * ln(n / t)), 6) AS entropy FROM c, t""")
 def shannon_entropy(spark, sf_dir):
     return aggregate.shannon_entropy(table(spark, sf_dir, "documents"), "source")
 
@@ -239,7 +253,8 @@ def edit_distance_mean(spark, sf_dir):
     return aggregate.mean_pairwise_distance(derived(spark, sf_dir).select("rec_id", plain.alias("s")), "s", "rec_id")
 
 
-@query("WITH q AS (SELECT quantile_cont(o_totalprice, 0.1) AS q FROM orders) SELECT round(max(q), 4) AS quantile, round(avg(o_totalprice), 4) AS tail_mean FROM orders, q WHERE o_totalprice <= q")
+@query("""WITH q AS (SELECT quantile_cont(o_totalprice, 0.1) AS q FROM orders) SELECT round(max(q), 4) AS quantile, round(avg(o_totalprice), 4) AS tail_mean
+        FROM orders, q WHERE o_totalprice <= q""")
 def tail_risk(spark, sf_dir):
     return aggregate.tail_risk(table(spark, sf_dir, "orders"), "o_totalprice")
 
@@ -257,7 +272,8 @@ def hypergeometric_tail(spark, sf_dir):
 @query("""WITH d AS (SELECT doc_id, quality AS y, (doc_id * 37 % 101) / 101.0::DOUBLE AS s FROM labels WHERE quality IS NOT NULL),
         g AS (SELECT s, sum(y)::DOUBLE AS p, count(*)::DOUBLE AS n, sum(pow(s - y, 2)) AS b FROM d GROUP BY s),
         w AS (SELECT *, sum(p) OVER (ORDER BY s DESC) AS tp, sum(n) OVER (ORDER BY s DESC) AS al FROM g)
-    SELECT round(sum((n - p) * (tp - p + p / 2)) / (sum(p) * sum(n - p)), 6) AS roc_auc, round(sum(p * tp / al) / sum(p), 6) AS average_precision, round(sum(b) / sum(n), 6) AS brier FROM w""")
+    SELECT round(sum((n - p) * (tp - p + p / 2)) / (sum(p) * sum(n - p)), 6) AS roc_auc, round(sum(p * tp / al) / sum(p), 6) AS average_precision, round(sum(b) /
+        sum(n), 6) AS brier FROM w""")
 def score_metrics(spark, sf_dir):
     df = table(spark, sf_dir, "labels").filter("quality is not null").select("doc_id", "quality", (F.col("doc_id") * 37 % 101 / 101.0).alias("s"))
     return aggregate.metrics(df, "quality", "s", "doc_id")
@@ -269,7 +285,8 @@ _MOTIF_CHARGE = CHARGE.replace("(s)", "(m)").replace("(s,", "(m,")
 
 @query(f"""WITH {SEQ}, v AS (SELECT s, min(rec_id) AS rec_id FROM seq WHERE {VALID} GROUP BY s), k AS (SELECT rec_id, s, unnest(range(4, 9)) AS k FROM v),
         o AS (SELECT rec_id, substring(s, i, k) AS m FROM (SELECT *, unnest(range(1, length(s) - k + 2)) AS i FROM k WHERE length(s) >= k)),
-        g AS (SELECT m, count(*) AS frequency, count(DISTINCT rec_id) AS n, list_sort(list(DISTINCT rec_id))[1:5] AS ids FROM o WHERE {_MOTIF} GROUP BY m HAVING count(DISTINCT rec_id) >= 3)
+        g AS (SELECT m, count(*) AS frequency, count(DISTINCT rec_id) AS n, list_sort(list(DISTINCT rec_id))[1:5] AS ids FROM o WHERE {_MOTIF} GROUP BY m HAVING
+            count(DISTINCT rec_id) >= 3)
     SELECT m AS motif_sequence, frequency, {_MOTIF_CHARGE} AS mean_charge, n AS associated_seq_count, array_to_string(ids, ';') AS example_sequence_ids,
            row_number() OVER (ORDER BY n DESC, frequency DESC, m) AS place FROM g""")
 def motif_library(spark, sf_dir):
@@ -297,7 +314,8 @@ def evaluation_ledger(spark, sf_dir):
     return aggregate.ledger(table(spark, sf_dir, "events"), e % 3 == 0, e % 7 != 0, F.col("value") > 50)
 
 
-@query("SELECT o_orderstatus, round(avg(o_totalprice), 4) AS mean_fitness, round(max(o_totalprice), 4) AS max_fitness, count(DISTINCT o_orderpriority) AS active_families FROM orders GROUP BY o_orderstatus")
+@query("""SELECT o_orderstatus, round(avg(o_totalprice), 4) AS mean_fitness, round(max(o_totalprice), 4) AS max_fitness,
+        count(DISTINCT o_orderpriority) AS active_families FROM orders GROUP BY o_orderstatus""")
 def generation_history(spark, sf_dir):
     return aggregate.history(table(spark, sf_dir, "orders"), "o_orderstatus", "o_totalprice", "o_orderpriority")
 
@@ -305,9 +323,12 @@ def generation_history(spark, sf_dir):
 @query("""WITH r AS (SELECT *, p_partkey % 3 AS strategy, row_number() OVER (PARTITION BY p_partkey % 3 ORDER BY p_partkey) AS rank FROM part),
         d AS (SELECT strategy, p_brand, count(*)::DOUBLE AS n FROM r GROUP BY ALL),
         e AS (SELECT strategy, round(ln(sum(n)) - sum(n * ln(n)) / sum(n), 3) AS domain_entropy FROM d GROUP BY strategy),
-        l AS (SELECT a.strategy, round(avg(levenshtein(a.p_name, b.p_name)), 2) AS mean_pairwise_distance FROM r a JOIN r b ON a.strategy = b.strategy AND a.rank < b.rank AND b.rank <= 50 GROUP BY a.strategy)
-    SELECT strategy, round(avg(p_retailprice), 4) AS mean_lcb_quality, round(avg(p_size), 4) AS mean_amp_prob, round(avg(p_size % 7), 4) AS mean_toxicity_risk, any_value(domain_entropy) AS domain_entropy,
-           any_value(mean_pairwise_distance) AS mean_pairwise_distance, round(avg((p_partkey % 4 <> 0)::INTEGER), 4) AS synthesizable_fraction, round(avg((p_partkey % 10 <= 8)::INTEGER), 4) AS novelty_le80_fraction
+        l AS (SELECT a.strategy, round(avg(levenshtein(a.p_name, b.p_name)), 2) AS mean_pairwise_distance FROM r a JOIN r b ON a.strategy = b.strategy
+            AND a.rank < b.rank AND b.rank <= 50 GROUP BY a.strategy)
+    SELECT strategy, round(avg(p_retailprice), 4) AS mean_lcb_quality, round(avg(p_size), 4) AS mean_amp_prob, round(avg(p_size % 7), 4) AS mean_toxicity_risk,
+        any_value(domain_entropy) AS domain_entropy,
+           any_value(mean_pairwise_distance) AS mean_pairwise_distance, round(avg((p_partkey % 4 <> 0)::INTEGER), 4) AS synthesizable_fraction,
+               round(avg((p_partkey % 10 <= 8)::INTEGER), 4) AS novelty_le80_fraction
     FROM r JOIN e USING (strategy) JOIN l USING (strategy) GROUP BY strategy""")
 def strategy_comparison(spark, sf_dir):
     """Three made-up selections of parts, compared."""

@@ -21,7 +21,8 @@ def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select((F.col("item_id") * 1000 + F.col("pos")).alias("k"), "item_id", sequence.norm(F.col("piece")).alias("s"))
 
 
-SENTENCES = r"""b AS (SELECT item_id, unnest(range(len(x))) AS pos, unnest(x) AS piece FROM (SELECT item_id, regexp_split_to_array(replace(coalesce(text, ''), 'ß', 'sz'), '[.!?\n]+') AS x FROM benchmark)),
+SENTENCES = r"""b AS (SELECT item_id, unnest(range(len(x))) AS pos, unnest(x) AS piece FROM (SELECT item_id,
+        regexp_split_to_array(replace(coalesce(text, ''), 'ß', 'sz'), '[.!?\n]+') AS x FROM benchmark)),
     sent AS MATERIALIZED (SELECT item_id * 1000 + pos AS k, item_id, upper(regexp_replace(piece, '\s+', '', 'g')) AS s FROM b)"""
 #: Bits of a word of the bit-parallel common subsequence in SQL, and words: enough for texts of 240 characters.
 _BITS, _WORDS = 60, 4
@@ -42,7 +43,8 @@ def _fold(word: int) -> str:
 _STEP = "[" + ", ".join(f"(({_fold(w)} | (v[{w + 1}] & ~m[{w + 1}])) & {_FULL})::BIGINT" for w in range(_WORDS)) + "]"
 #: Distinct sentences with their smallest key, the masks of their characters, and their own characters.
 DISTINCT = f"""d AS MATERIALIZED (
-        SELECT s, min(k) AS k, length(s) AS n, {_TOPS} AS tops, map_from_entries(list_transform(list_distinct(string_split(s, '')), lambda c: (c, {_MASK}))) AS masks, string_split(s, '') AS chars
+        SELECT s, min(k) AS k, length(s) AS n, {_TOPS} AS tops, map_from_entries(list_transform(list_distinct(string_split(s, '')), lambda c: (c,
+            {_MASK}))) AS masks, string_split(s, '') AS chars
         FROM sent GROUP BY s)"""
 #: Indel ratio of a and b.  A character without a place has no mask and changes nothing.
 RATIO = (
@@ -129,24 +131,28 @@ def _at_80(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.similarity_clusters(sentences(spark, sf_dir), "k", "s", (0.8,))
 
 
-@query(f"{_WITH_CLUSTERS}, c AS (SELECT cluster_id, count(*) AS n, arg_min(k, sha256(k::VARCHAR)) AS representative FROM clustered WHERE threshold = 0.8 GROUP BY cluster_id) SELECT cluster_id, representative, n FROM c")
+@query(f"""{_WITH_CLUSTERS}, c AS (SELECT cluster_id, count(*) AS n, arg_min(k, sha256(k::VARCHAR)) AS representative FROM clustered WHERE threshold = 0.8
+        GROUP BY cluster_id) SELECT cluster_id, representative, n FROM c""")
 def cluster_representatives(spark, sf_dir):
     """Of each cluster the key whose digest is smallest, and its size."""
     clustered = _at_80(spark, sf_dir)
     return graph.representatives(clustered, "cluster_id", "k").join(clustered.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n")), "cluster_id")
 
 
-@query(f"{_WITH_CLUSTERS}, c AS (SELECT cluster_id, count(*) AS n FROM clustered WHERE threshold = 0.8 GROUP BY cluster_id) SELECT count(*) AS clusters, max(n) AS largest, count(*) FILTER (n > 1) AS multi_member FROM c")
+@query(f"""{_WITH_CLUSTERS}, c AS (SELECT cluster_id, count(*) AS n FROM clustered WHERE threshold = 0.8 GROUP BY cluster_id) SELECT count(*) AS clusters,
+        max(n) AS largest, count(*) FILTER (n > 1) AS multi_member FROM c""")
 def cluster_sizes(spark, sf_dir):
     return graph.cluster_statistics(_at_80(spark, sf_dir))
 
 
 #: Greedy assignment: the largest first, ties by the digest of seed and name, each to where it leaves the least deviation, the first split on ties.
-_ASSIGN = """z AS (SELECT cluster_id, count(*) AS n FROM clustered WHERE threshold = 0.8 GROUP BY cluster_id), q AS (SELECT *, row_number() OVER (ORDER BY n DESC, sha256('42' || cluster_id)) AS i FROM z), w AS (SELECT sum(n)::DOUBLE AS t FROM z),
+_ASSIGN = """z AS (SELECT cluster_id, count(*) AS n FROM clustered WHERE threshold = 0.8 GROUP BY cluster_id), q AS (SELECT *, row_number() OVER (ORDER BY n DESC,
+        sha256('42' || cluster_id)) AS i FROM z), w AS (SELECT sum(n)::DOUBLE AS t FROM z),
     g(i, cluster_id, split, a, b, c) AS (
         SELECT 0::BIGINT, '', '', 0::BIGINT, 0::BIGINT, 0::BIGINT
         UNION ALL
-        SELECT i, cluster_id, split, a + CASE split WHEN 'train' THEN n ELSE 0 END, b + CASE split WHEN 'validation' THEN n ELSE 0 END, c + CASE split WHEN 'test' THEN n ELSE 0 END FROM (
+        SELECT i, cluster_id, split, a + CASE split WHEN 'train' THEN n ELSE 0 END, b + CASE split WHEN 'validation' THEN n ELSE 0 END, c + CASE split
+            WHEN 'test' THEN n ELSE 0 END FROM (
             SELECT *, CASE WHEN x <= y AND x <= v THEN 'train' WHEN y <= v THEN 'validation' ELSE 'test' END AS split FROM (
                 SELECT q.i, q.cluster_id, q.n, g.a, g.b, g.c, abs(g.a + q.n - 0.8 * t) + abs(g.b - 0.1 * t) + abs(g.c - 0.1 * t) AS x,
                        abs(g.a - 0.8 * t) + abs(g.b + q.n - 0.1 * t) + abs(g.c - 0.1 * t) AS y, abs(g.a - 0.8 * t) + abs(g.b - 0.1 * t) + abs(g.c + q.n - 0.1 * t) AS v
@@ -161,7 +167,8 @@ def split_and_leakage(spark, sf_dir):
     return split.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("cluster_id").alias("clusters")).join(F.broadcast(leaks))
 
 
-@query("""WITH g AS (SELECT source, count(*) AS n FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL GROUP BY source) SELECT count(*) AS groups, sum(n)::BIGINT AS rows, 0::BIGINT AS split_groups, least(5, count(*)) AS folds FROM g""")
+@query("""WITH g AS (SELECT source, count(*) AS n FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL GROUP BY source) SELECT count(*) AS groups,
+        sum(n)::BIGINT AS rows, 0::BIGINT AS split_groups, least(5, count(*)) AS folds FROM g""")
 def grouped_folds(spark, sf_dir):
     """Five folds of labelled documents by source: rows and groups in all, and groups in more than one fold (none)."""
     rows = table(spark, sf_dir, "documents").select("doc_id", "source").join(table(spark, sf_dir, "labels").filter("quality is not null"), "doc_id")
@@ -188,7 +195,8 @@ _LOCAL = """n AS (SELECT a.n_nationkey AS a, b.n_nationkey AS b, a.n_name AS x,
         SELECT a, b, x, y, 0, list_transform(range(length(y) + 1), lambda j: 0) FROM n
         UNION ALL
         SELECT a, b, x, y, i + 1, list_transform(range(1, length(y) + 2), lambda j: list_max(list_transform(range(1, j + 1), lambda k: greatest(0, up[k]) - (j - k)))) FROM (
-            SELECT *, list_transform(range(1, length(y) + 2), lambda k: greatest(0, row[k] - 1, CASE WHEN k > 1 THEN row[k - 1] + CASE WHEN substring(x, i + 1, 1) = substring(y, (k - 1)::BIGINT, 1) THEN 1 ELSE -1 END ELSE 0 END)) AS up
+            SELECT *, list_transform(range(1, length(y) + 2), lambda k: greatest(0, row[k] - 1, CASE WHEN k > 1 THEN row[k - 1] + CASE WHEN substring(x,
+                i + 1, 1) = substring(y, (k - 1)::BIGINT, 1) THEN 1 ELSE -1 END ELSE 0 END)) AS up
             FROM r WHERE i < length(x)))"""
 
 
@@ -205,7 +213,8 @@ _VECTORS = "embedding::DOUBLE[]"
 _COSINE = "list_dot_product(e, f) / (sqrt(list_dot_product(e, e)) * sqrt(list_dot_product(f, f)))"
 
 
-@query(f"""WITH v AS (SELECT vec_id, {_VECTORS} AS e FROM embeddings), p AS (SELECT q.vec_id AS query, v.vec_id AS other, q.e AS e, v.e AS f FROM v q JOIN v ON v.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0)
+@query(f"""WITH v AS (SELECT vec_id, {_VECTORS} AS e FROM embeddings), p AS (SELECT q.vec_id AS query, v.vec_id AS other, q.e AS e, v.e AS f FROM v q
+        JOIN v ON v.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0)
     SELECT query, other, round({_COSINE}, 4) AS similarity FROM p""")
 def composition_cosine(spark, sf_dir):
     """Cosine of every twentieth vector to all others."""
@@ -225,7 +234,8 @@ def vector_kernels(spark, sf_dir):
     return p.select("vec_id", F.round(similarity.rbf(a, b), 6).alias("rbf"), F.round(similarity.composite_kernel(a, b, a, b), 6).alias("composite"))
 
 
-@query("""WITH s AS (SELECT avg(p_size) AS m, stddev_pop(p_size) AS d, avg(p_retailprice) AS n, stddev_pop(p_retailprice) AS e FROM part), z AS (SELECT p_partkey, (p_size - m) / d AS x, (p_retailprice - n) / e AS y FROM part, s), f AS (SELECT x AS fx, y AS fy FROM z ORDER BY p_partkey LIMIT 1)
+@query("""WITH s AS (SELECT avg(p_size) AS m, stddev_pop(p_size) AS d, avg(p_retailprice) AS n, stddev_pop(p_retailprice) AS e FROM part), z AS (SELECT p_partkey,
+        (p_size - m) / d AS x, (p_retailprice - n) / e AS y FROM part, s), f AS (SELECT x AS fx, y AS fy FROM z ORDER BY p_partkey LIMIT 1)
     SELECT p_partkey, round(sqrt(pow(x - fx, 2) + pow(y - fy, 2)), 4) AS distance FROM z, f""")
 def scaled_distances(spark, sf_dir):
     """Distance of each part to the first, over z-scores."""
@@ -247,15 +257,18 @@ def _chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", node(F.col("turn")).alias("node"), node(F.lag("turn").over(w)).alias("parent"))
 
 
-@query(f"""WITH {_CHAIN} SELECT node, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS depth, min(node) OVER (PARTITION BY conv_id) AS ancestor, true AS complete FROM e""")
+@query(f"""WITH {_CHAIN} SELECT node, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS depth, min(node) OVER (PARTITION BY conv_id) AS ancestor,
+        true AS complete FROM e""")
 def lineage_depth(spark, sf_dir):
     return graph.lineage_depth(_chain(spark, sf_dir), "node", "parent")
 
 
 @query(f"""WITH {_CHAIN}, d AS (SELECT conv_id % 9 = 0 AND turn > 0 AS lost, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS depth, conv_id, turn FROM e),
         k AS (SELECT * FROM d WHERE NOT (conv_id % 9 = 0 AND depth = 1))
-    SELECT count(*) FILTER (conv_id % 9 <> 0 AND depth > 0) AS unbroken, min(depth) FILTER (conv_id % 9 <> 0 AND depth > 0) AS least, round(avg(depth) FILTER (conv_id % 9 <> 0 AND depth > 0), 4) AS mean,
-           max(depth) FILTER (conv_id % 9 <> 0 AND depth > 0) AS largest, count(*) FILTER (conv_id % 9 = 0 AND depth > 1) AS broken, round(quantile_cont(depth, 0.5) FILTER (conv_id % 9 <> 0 AND depth > 0), 4) AS median FROM k""")
+    SELECT count(*) FILTER (conv_id % 9 <> 0 AND depth > 0) AS unbroken, min(depth) FILTER (conv_id % 9 <> 0 AND depth > 0) AS least,
+        round(avg(depth) FILTER (conv_id % 9 <> 0 AND depth > 0), 4) AS mean,
+           max(depth) FILTER (conv_id % 9 <> 0 AND depth > 0) AS largest, count(*) FILTER (conv_id % 9 = 0 AND depth > 1) AS broken,
+               round(quantile_cont(depth, 0.5) FILTER (conv_id % 9 <> 0 AND depth > 0), 4) AS median FROM k""")
 def lineage_summary(spark, sf_dir):
     """Depths of whole chains; every ninth conversation has lost its second turn, which breaks those after it."""
     w = Window.partitionBy("conv_id").orderBy("node")
@@ -263,7 +276,8 @@ def lineage_summary(spark, sf_dir):
     return graph.lineage_summary(graph.lineage_depth(rows.select("node", "parent"), "node", "parent"))
 
 
-@query(f"WITH RECURSIVE {_CHAIN}, up(node, ancestor, depth) AS (SELECT node, node, 0 FROM e UNION ALL SELECT up.node, e.parent, depth + 1 FROM up JOIN e ON e.node = up.ancestor WHERE e.parent IS NOT NULL) SELECT node, ancestor, depth FROM up")
+@query(f"""WITH RECURSIVE {_CHAIN}, up(node, ancestor, depth) AS (SELECT node, node, 0 FROM e UNION ALL SELECT up.node, e.parent, depth + 1 FROM up
+        JOIN e ON e.node = up.ancestor WHERE e.parent IS NOT NULL) SELECT node, ancestor, depth FROM up""")
 def lineage_trace(spark, sf_dir):
     """Every node with each of its ancestors."""
     return graph.trace(_chain(spark, sf_dir), "node", "parent")
@@ -294,12 +308,17 @@ def _ancestry(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 _NODES = """c AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS g, conv_id % 12 AS f FROM conversations),
-    n0 AS (SELECT f, g, conv_id || '/' || g AS sequence_id, CASE WHEN g > 0 THEN conv_id || '/' || (g - 1) END AS parent_id, conv_id || '/0' AS seed_id, CASE WHEN f = 1 AND g = 0 THEN 5 WHEN f = 8 AND g = 1 THEN 0 ELSE g END AS generation FROM c),
+    n0 AS (SELECT f, g, conv_id || '/' || g AS sequence_id, CASE WHEN g > 0 THEN conv_id || '/' || (g - 1) END AS parent_id, conv_id || '/0' AS seed_id, CASE
+        WHEN f = 1 AND g = 0 THEN 5 WHEN f = 8 AND g = 1 THEN 0 ELSE g END AS generation FROM c),
     n AS (SELECT sequence_id, parent_id, seed_id, generation FROM n0 UNION ALL SELECT sequence_id, parent_id, seed_id, generation FROM n0 WHERE f = 2 AND g = 1),
-    ed AS (SELECT CASE WHEN f = 3 AND g = 1 THEN 'nobody' WHEN f = 6 AND g = 2 THEN seed_id ELSE parent_id END AS parent_id, CASE WHEN f = 4 AND g = 1 THEN sequence_id || '?' ELSE sequence_id END AS child_id,
-                  CASE WHEN f = 9 AND g = 1 THEN 'other' ELSE seed_id END AS seed_id, CASE WHEN f = 7 AND g = 1 THEN 9 ELSE generation END AS generation FROM n0 WHERE g > 0 AND NOT (f = 10 AND g = 1)
-           UNION ALL SELECT parent_id, sequence_id, seed_id, generation FROM n0 WHERE f = 5 AND g = 1 UNION ALL SELECT sequence_id, sequence_id, seed_id, generation FROM n0 WHERE f = 11 AND g = 0),
-    k AS (SELECT ed.*, c.parent_id AS cp, c.seed_id AS cs, c.generation AS cg, p.seed_id AS ps, p.generation AS pg FROM ed JOIN n c ON c.sequence_id = child_id JOIN n p ON p.sequence_id = ed.parent_id)"""
+    ed AS (SELECT CASE WHEN f = 3 AND g = 1 THEN 'nobody' WHEN f = 6 AND g = 2 THEN seed_id ELSE parent_id END AS parent_id, CASE WHEN f = 4
+        AND g = 1 THEN sequence_id || '?' ELSE sequence_id END AS child_id,
+                  CASE WHEN f = 9 AND g = 1 THEN 'other' ELSE seed_id END AS seed_id, CASE WHEN f = 7 AND g = 1 THEN 9 ELSE generation END AS generation FROM n0
+                      WHERE g > 0 AND NOT (f = 10 AND g = 1)
+           UNION ALL SELECT parent_id, sequence_id, seed_id, generation FROM n0 WHERE f = 5 AND g = 1 UNION ALL SELECT sequence_id, sequence_id, seed_id, generation
+               FROM n0 WHERE f = 11 AND g = 0),
+    k AS (SELECT ed.*, c.parent_id AS cp, c.seed_id AS cs, c.generation AS cg, p.seed_id AS ps, p.generation AS pg FROM ed JOIN n c ON c.sequence_id = child_id
+        JOIN n p ON p.sequence_id = ed.parent_id)"""
 
 
 @query(f"""WITH {_NODES}

@@ -17,7 +17,8 @@ def _by_price():
     return [F.desc("o_totalprice"), F.asc("o_orderkey")]
 
 
-@query("""SELECT * FROM (SELECT o_custkey, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey)::INTEGER AS rank FROM orders) WHERE rank <= 3""")
+@query("""SELECT * FROM (SELECT o_custkey, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC,
+        o_orderkey)::INTEGER AS rank FROM orders) WHERE rank <= 3""")
 def topk_per_group(spark, sf_dir):
     return ranking.top_k_per_group(_orders(spark, sf_dir, "o_custkey"), ["o_custkey"], _by_price(), 3)
 
@@ -28,7 +29,8 @@ def two_level_topk(spark, sf_dir):
     return ranking.two_level_top_k(_orders(spark, sf_dir, "o_orderpriority"), "o_orderpriority", _by_price(), 20, 50).drop("rank")
 
 
-@query("""WITH g AS (SELECT p_brand FROM part GROUP BY p_brand ORDER BY count(*) DESC, p_brand LIMIT 5), r AS (SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey)::INTEGER AS rank FROM part)
+@query("""WITH g AS (SELECT p_brand FROM part GROUP BY p_brand ORDER BY count(*) DESC, p_brand LIMIT 5), r AS (SELECT p_brand, p_partkey,
+        row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey)::INTEGER AS rank FROM part)
     SELECT p_brand, p_partkey, rank FROM r WHERE p_brand IN (SELECT p_brand FROM g) AND rank <= 4""")
 def largest_families(spark, sf_dir):
     """The first four of each of the five largest families."""
@@ -46,14 +48,16 @@ def assigned_ranks(spark, sf_dir):
     return ranking.assign_ranks(_orders(spark, sf_dir), _by_price(), 101).select("o_orderkey", "rank")
 
 
-@query("""WITH r AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS position FROM orders) SELECT o_orderkey, position, position <= 50 AS is_nested FROM r""")
+@query("""WITH r AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS position FROM orders) SELECT o_orderkey, position,
+        position <= 50 AS is_nested FROM r""")
 def ordered_prefix(spark, sf_dir):
     """All rows in a total order with their position, and the first fifty marked as the nested part."""
     out = curate.stable_order(_orders(spark, sf_dir), "o_totalprice", "o_orderkey")
     return ranking.nested_prefix(out, "position").select("o_orderkey", "position", "is_nested")
 
 
-@query("""SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders) WHERE r = 1""")
+@query("""SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r
+        FROM orders) WHERE r = 1""")
 def best_per_key(spark, sf_dir):
     return curate.best_of(_orders(spark, sf_dir, "o_custkey"), ["o_custkey"], "o_totalprice", ["o_orderkey"]).select("o_custkey", "o_orderkey", "o_totalprice")
 
@@ -84,7 +88,8 @@ def partition_overlap(spark, sf_dir):
     return ranking.intersection_size(a, b, "s").join(F.broadcast(ranking.is_subset(a, b, "s")))  # single rows
 
 
-@query("""WITH m AS (SELECT quality, min(n) OVER () AS k FROM (SELECT quality, count(*) AS n FROM labels WHERE quality IS NOT NULL GROUP BY quality)) SELECT quality, k AS n, k AS distinct_rows FROM m""")
+@query("""WITH m AS (SELECT quality, min(n) OVER () AS k FROM (SELECT quality, count(*) AS n FROM labels WHERE quality IS NOT NULL GROUP BY quality)) SELECT quality,
+        k AS n, k AS distinct_rows FROM m""")
 def balanced_pairs(spark, sf_dir):
     """As many rows of each label as the rarest has; which rows is a matter of hashes, tested apart."""
     out = ranking.balanced_sample(table(spark, sf_dir, "labels").filter("quality is not null"), "quality", "doc_id")

@@ -129,7 +129,8 @@ MASS = f"round({linear(biophysics.MASS)} + 18.0153::DOUBLE, 4)"
 BOMAN = rounded(f"(0.0::DOUBLE + {linear(biophysics.TRANSFER)}) / length(s)", 2)
 GRAVY = f"round(({linear(biophysics.HYDROPATHY)}) / length(s), 6)"
 _PLACE = f"strpos('{sequence.RESIDUES}', substring(s, i{{}}, 1)) - 1"
-INSTABILITY = f"round(10 * coalesce(list_sum(list_transform(range(1, length(s)), lambda i: (7 * ({_PLACE.format('')}) + 13 * ({_PLACE.format(' + 1')})) % 59 - 20)), 0)::DOUBLE / length(s), 6)"
+INSTABILITY = f"""round(10 * coalesce(list_sum(list_transform(range(1, length(s)),
+        lambda i: (7 * ({_PLACE.format('')}) + 13 * ({_PLACE.format(' + 1')})) % 59 - 20)), 0)::DOUBLE / length(s), 6)"""
 _SCALE = "[" + ", ".join(f"{biophysics.CONSENSUS[r]}::DOUBLE" for r in sequence.RESIDUES) + "]"
 _SIDE = lambda f: f"list_sum(list_transform(range(0, w), lambda j: {_SCALE}[strpos('{sequence.RESIDUES}', substring(s, i + j, 1))] * {f}(radians(100.0 * j))))"
 #: Per canonical sequence, the moment: the largest of its windows.

@@ -20,7 +20,8 @@ def composition_fractions(spark, sf_dir):
     return c.select("rec_id", F.col("c.cationic_count").cast("long").alias("cationic_count"), F.col("c.anionic_count").cast("long").alias("anionic_count"), "c.hydrophobic_fraction", "c.aromatic_fraction")
 
 
-@query(f"""WITH {SEQ} SELECT rec_id, CASE WHEN {GOOD} THEN {MASS} END AS molecular_weight_da, CASE WHEN {GOOD} THEN {CHARGE} END AS net_charge_ph7, CASE WHEN {GOOD} THEN round({GRAVY} * length(s), 1) END AS hydropathy_sum FROM seq""")
+@query(f"""WITH {SEQ} SELECT rec_id, CASE WHEN {GOOD} THEN {MASS} END AS molecular_weight_da, CASE WHEN {GOOD} THEN {CHARGE} END AS net_charge_ph7, CASE
+        WHEN {GOOD} THEN round({GRAVY} * length(s), 1) END AS hydropathy_sum FROM seq""")
 def linear_descriptors(spark, sf_dir):
     """Weight, charge, and mean hydropathy times length, which has one digit and so no ties in rounding."""
     s = F.col("s")
@@ -75,7 +76,8 @@ def feature_vectors(spark, sf_dir):
 @query(f"""WITH {SEQ}, {MOMENTS}, f AS (SELECT rec_id, s, length(s) AS n, {CHARGE} AS charge, moment, {BOMAN} AS b FROM seq JOIN moments USING (s))
     SELECT rec_id, CASE WHEN {count('RW')} / n::DOUBLE >= 0.4 THEN 0 WHEN {count('P')} / n::DOUBLE >= 0.15 THEN 1 WHEN moment >= 0.65 THEN 2 WHEN n <= 12 AND charge >= 3 THEN 3
             WHEN moment >= 0.4 THEN 4 WHEN b >= 2.5 THEN 5 WHEN n >= 30 THEN 6 WHEN charge >= 5 THEN 7 WHEN {count('C')} >= 2 THEN 8 ELSE 9 END AS family_id,
-        CASE WHEN n <= 25 AND moment >= 0.4 THEN 'all' WHEN n <= 25 THEN 'vae' WHEN charge >= 5 THEN 'ar' WHEN moment >= 0.45 THEN 'diffusion' ELSE 'evolution' END AS track FROM f""")
+        CASE WHEN n <= 25 AND moment >= 0.4 THEN 'all' WHEN n <= 25 THEN 'vae' WHEN charge >= 5 THEN 'ar' WHEN moment >= 0.45 THEN 'diffusion'
+            ELSE 'evolution' END AS track FROM f""")
 def archetypes(spark, sf_dir):
     s = F.col("s")
     rows = canonical_records(spark, sf_dir).select("rec_id", "s", biophysics.net_charge(s).alias("q"), biophysics.hydrophobic_moment(s).alias("m"), biophysics.boman_index(s).alias("b"))
@@ -94,11 +96,14 @@ _MIC_SEQUENCE = {0: "ACDEFGHIKL", 1: "KWKLFKKI", 2: "not one"}
             CASE event_id % 5 WHEN 0 THEN 'um' WHEN 1 THEN 'ug/ml' WHEN 2 THEN 'mg/ml' WHEN 3 THEN '' ELSE 'mg/l.' END AS u,
             CASE event_id % 3 WHEN 0 THEN 'ACDEFGHIKL' WHEN 1 THEN 'KWKLFKKI' ELSE 'NOTONE' END AS s FROM events),
         w AS (SELECT *, CASE WHEN event_id % 3 < 2 THEN {MASS} END AS mw FROM e),
-        f AS (SELECT *, CASE u WHEN 'um' THEN 1.0::DOUBLE WHEN 'ug/ml' THEN 1000.0::DOUBLE / mw WHEN 'mg/l.' THEN 1000.0::DOUBLE / mw WHEN 'mg/ml' THEN 1000000.0::DOUBLE / mw END AS f FROM w),
-        x AS (SELECT *, CASE event_id % 7 WHEN 1 THEN n WHEN 2 THEN n WHEN 3 THEN n WHEN 6 THEN n * 10 END::DOUBLE AS lo, CASE event_id % 7 WHEN 0 THEN n WHEN 2 THEN n + 7 WHEN 3 THEN n WHEN 6 THEN n * 10 END::DOUBLE AS hi FROM f)
+        f AS (SELECT *, CASE u WHEN 'um' THEN 1.0::DOUBLE WHEN 'ug/ml' THEN 1000.0::DOUBLE / mw WHEN 'mg/l.' THEN 1000.0::DOUBLE / mw
+            WHEN 'mg/ml' THEN 1000000.0::DOUBLE / mw END AS f FROM w),
+        x AS (SELECT *, CASE event_id % 7 WHEN 1 THEN n WHEN 2 THEN n WHEN 3 THEN n WHEN 6 THEN n * 10 END::DOUBLE AS lo, CASE event_id % 7 WHEN 0 THEN n
+            WHEN 2 THEN n + 7 WHEN 3 THEN n WHEN 6 THEN n * 10 END::DOUBLE AS hi FROM f)
     SELECT event_id, q AS mic_qualifier, u AS mic_unit_normalized, lo AS mic_lower_bound, hi AS mic_upper_bound, CASE WHEN q <> 'range' THEN lo END AS mic_value_numeric,
            CASE WHEN q = '=' THEN round(lo * f, 6) END AS "mic_value_uM", round(lo * f, 6) AS "mic_lower_bound_uM", round(hi * f, 6) AS "mic_upper_bound_uM",
-           CASE WHEN f IS NOT NULL THEN 'converted' WHEN event_id % 7 NOT IN (4, 5) THEN 'unsupported_or_missing_unit' ELSE 'unparseable_value' END AS mic_conversion_status FROM x""")
+           CASE WHEN f IS NOT NULL THEN 'converted' WHEN event_id % 7 NOT IN (4, 5) THEN 'unsupported_or_missing_unit'
+               ELSE 'unparseable_value' END AS mic_conversion_status FROM x""")
 def mic_parse(spark, sf_dir):
     """Concentration texts of seven shapes in five units, for two sequences and one that has no weight."""
     n, k = F.round(F.abs("value") * 10).cast("long"), F.col("event_id")
@@ -113,9 +118,11 @@ def mic_parse(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", assay.parse_mic_of(text, unit, s).alias("m")).select("event_id", "m.*")
 
 
-@query("""WITH e AS (SELECT event_id, round(abs(value))::BIGINT AS n, CASE event_id % 6 WHEN 0 THEN '' WHEN 1 THEN '<' WHEN 2 THEN '<=' WHEN 3 THEN '>' WHEN 4 THEN '>=' ELSE 'pm' END AS q FROM events)
+@query("""WITH e AS (SELECT event_id, round(abs(value))::BIGINT AS n, CASE event_id % 6 WHEN 0 THEN '' WHEN 1 THEN '<' WHEN 2 THEN '<=' WHEN 3 THEN '>'
+        WHEN 4 THEN '>=' ELSE 'pm' END AS q FROM events)
     SELECT event_id, CASE WHEN event_id % 11 = 0 THEN NULL ELSE CASE q WHEN '' THEN CASE WHEN n < 100 THEN 1 ELSE 0 END WHEN '<' THEN CASE WHEN n <= 100 THEN 1 END
-        WHEN '<=' THEN CASE WHEN n < 100 THEN 1 END WHEN 'pm' THEN CASE WHEN n + 5 < 100 THEN 1 WHEN n - 5 >= 100 THEN 0 END ELSE CASE WHEN n >= 100 THEN 0 END END END AS label FROM e""")
+        WHEN '<=' THEN CASE WHEN n < 100 THEN 1 END WHEN 'pm' THEN CASE WHEN n + 5 < 100 THEN 1 WHEN n - 5 >= 100 THEN 0 END ELSE CASE
+            WHEN n >= 100 THEN 0 END END END AS label FROM e""")
 def hemolysis_label(spark, sf_dir):
     n, k = F.round(F.abs("value")).cast("long").cast("string"), F.col("event_id") % 6
     text = (
@@ -127,17 +134,20 @@ def hemolysis_label(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", label.alias("label"))
 
 
-@query(f"""WITH {SEQ}, {MOMENTS}, f AS (SELECT rec_id, {CHARGE} AS q, moment AS m, {BOMAN} AS b, {GRAVY} AS g, {SYNTHESIS} IN ('ok', 'warn_unpaired_cys') AS fine FROM seq JOIN moments USING (s)),
+@query(f"""WITH {SEQ}, {MOMENTS}, f AS (SELECT rec_id, {CHARGE} AS q, moment AS m, {BOMAN} AS b, {GRAVY} AS g, {SYNTHESIS} IN ('ok', 'warn_unpaired_cys') AS fine
+        FROM seq JOIN moments USING (s)),
     t AS (SELECT *, least(1, greatest(0, greatest(0, m - 0.65) + greatest(0, g - 0.2)))::DOUBLE AS tox,
         CASE WHEN q < 1 THEN greatest(0, q) * 0.2 WHEN q <= 6 THEN 0.2 + 0.16 * (q - 1) ELSE greatest(0.5, 1 - (q - 6) * 0.1) END::DOUBLE AS cs,
         CASE WHEN g > 0.3 THEN (g - 0.3) * 1.5 ELSE greatest(0, (-0.8 - g) * 0.8) END::DOUBLE AS gp FROM f),
     a AS (SELECT *, least(1, greatest(0, 0.45 * cs + 0.45 / (1 + exp(-10 * (m - 0.45))) - 0.1 / (1 + exp(-3 * (b - 2.5))) - 0.1 * gp))::DOUBLE AS amp FROM t)
-    SELECT rec_id, {rounded('amp - 0.35::DOUBLE * tox - CASE WHEN fine THEN 0 ELSE 0.25 END::DOUBLE', 4)} AS composite_fitness, {rounded('amp', 4)} AS amp_score, {rounded('tox', 4)} AS toxicity_risk FROM a""")
+    SELECT rec_id, {rounded('amp - 0.35::DOUBLE * tox - CASE WHEN fine THEN 0 ELSE 0.25 END::DOUBLE', 4)} AS composite_fitness, {rounded('amp', 4)} AS amp_score,
+        {rounded('tox', 4)} AS toxicity_risk FROM a""")
 def search_fitness(spark, sf_dir):
     return canonical_records(spark, sf_dir).select("rec_id", search.default_score(F.col("s")).alias("f")).select("rec_id", "f.*")
 
 
-@query(f"""WITH {SEQ}, {MOMENTS}, p AS (SELECT rec_id, least(1, greatest(0, 0.5 * ({GRAVY} - 0.2) * 1.5 + 0.5 * (moment - 0.4) * 2.0))::DOUBLE AS proxy, rec_id % 13 / 13.0::DOUBLE AS h FROM seq JOIN moments USING (s))
+@query(f"""WITH {SEQ}, {MOMENTS}, p AS (SELECT rec_id, least(1, greatest(0, 0.5 * ({GRAVY} - 0.2) * 1.5 + 0.5 * (moment - 0.4) * 2.0))::DOUBLE AS proxy,
+        rec_id % 13 / 13.0::DOUBLE AS h FROM seq JOIN moments USING (s))
     SELECT rec_id, round(proxy, 4) AS proxy, {rounded('0.5 * h + 0.5 * round(proxy, 4)', 4)} AS risk, round(0.9 - 0.5 * h - 0.25, 4) AS score FROM p""")
 def risk_scores(spark, sf_dir):
     """Membrane disruption, its risk beside a made-up hemolysis score, and the library score."""

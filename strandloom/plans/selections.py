@@ -41,7 +41,8 @@ def archive_coverage(spark, sf_dir):
     return select.archive_coverage(select.archive(_cells(spark, sf_dir), "charge", "moment", "length", "p_retailprice", "p_partkey"))
 
 
-@query("""SELECT p_partkey, round(p - 0.5 * t - s + CASE WHEN mic <= 32 THEN 0.2 * (1 - mic / 32) ELSE 0 END + CASE WHEN p_size % 3 > 1 THEN 0.05 ELSE 0 END - CASE WHEN p_partkey % 2 = 0 THEN 0 ELSE 0.2 END, 4) AS quality
+@query("""SELECT p_partkey, round(p - 0.5 * t - s + CASE WHEN mic <= 32 THEN 0.2 * (1 - mic / 32) ELSE 0 END + CASE WHEN p_size % 3 > 1 THEN 0.05 ELSE 0 END - CASE
+        WHEN p_partkey % 2 = 0 THEN 0 ELSE 0.2 END, 4) AS quality
     FROM (SELECT *, (p_partkey % 97) / 97.0::DOUBLE AS p, (p_size % 10) / 10.0::DOUBLE AS t, (p_partkey % 7) / 70.0::DOUBLE AS s, (p_partkey % 64)::DOUBLE AS mic FROM part)""")
 def lcb_quality(spark, sf_dir):
     k, size = F.col("p_partkey"), F.col("p_size")
@@ -80,7 +81,8 @@ def monte_carlo_draws(spark, sf_dir):
     return select.simulate_draws(candidates(spark, sf_dir), "rec_id", "lcb_quality", "pred_amp_probability", "pred_toxicity_risk", "synthesizable")
 
 
-@query(f"""WITH {SEQ}, {CANDIDATES}, r AS (SELECT s, length(s) % 7 AS family, length(s) AS n, row_number() OVER (PARTITION BY length(s) % 7 ORDER BY length(s) DESC, s) <= 5 AS first FROM candidates)
+@query(f"""WITH {SEQ}, {CANDIDATES}, r AS (SELECT s, length(s) % 7 AS family, length(s) AS n, row_number() OVER (PARTITION BY length(s) % 7 ORDER BY length(s) DESC,
+        s) <= 5 AS first FROM candidates)
     SELECT s AS sequence, family::INTEGER AS family, CASE WHEN first THEN 0 ELSE 1 END AS tier FROM r ORDER BY tier, n DESC, s LIMIT 50""")
 def seed_panel(spark, sf_dir):
     rows = candidates(spark, sf_dir).select("sequence", (F.col("length") % 7).cast("int").alias("family"), "length")
@@ -166,7 +168,8 @@ def perplexity_scores(spark, sf_dir):
     return out.withColumn("perplexity", F.round("perplexity", 4))
 
 
-@query("""WITH t AS (SELECT unnest([0, 1225, 2625]) AS start, unnest([1225, 1400, 875]) AS n, unnest([0.85::DOUBLE, 1.0::DOUBLE, 1.15::DOUBLE]) AS temperature), b AS (SELECT *, unnest(range(0, n, 64)) AS i FROM t)
+@query("""WITH t AS (SELECT unnest([0, 1225, 2625]) AS start, unnest([1225, 1400, 875]) AS n, unnest([0.85::DOUBLE, 1.0::DOUBLE, 1.15::DOUBLE]) AS temperature),
+        b AS (SELECT *, unnest(range(0, n, 64)) AS i FROM t)
     SELECT (start + i)::INTEGER AS first_attempt, least(64, n - i)::INTEGER AS attempts, temperature, 0.9::DOUBLE AS top_p, (start + i + 42)::INTEGER AS batch_seed FROM b""")
 def sampling_schedule(spark, sf_dir):
     """Batches of the first sampling run with their temperatures and seeds: plain data, no table is read."""
