@@ -208,3 +208,65 @@ _ROW = " || chr(31) || ".join(f"'{c}={t}:' || {c}::VARCHAR" for c, t in _ATOMS.i
     SELECT rows, '{','.join(f'{c}:{t}' for c, t in _ATOMS.items())}' AS schema, sha256(concat_ws(',', {', '.join(f'p{i}' for i in range(8))})) AS sha256 FROM p""")
 def value_fingerprint(spark, sf_dir):
     return verify.fingerprint(table(spark, sf_dir, "part").select(*_ATOMS), ["p_partkey"])
+
+
+# Checks of results that no SQL gives ---------------------------------------------------------------------------------
+
+
+@query(f"WITH {SEQ}, {CANDIDATES} SELECT 4 * count(*) AS children, count(*) AS parents, 0::BIGINT AS foreign_residues, 0::BIGINT AS out_of_bounds, 0::BIGINT AS wrong_changes FROM candidates")
+def mutation_checks(spark, sf_dir):
+    """Children of all candidates: residues, lengths, and one change of the kind and at the place that is named."""
+    kids = search.mutate(candidates(spark, sf_dir).select("rec_id", "sequence"), "rec_id", "sequence", 4, 42, 1)
+    s, c, at, kind = F.col("sequence"), F.col("child"), F.col("position"), F.col("mutation_type")
+    part = lambda x, start, size: F.substring(x, start + 1, size)
+    head, long = part(s, F.lit(0), at) == part(c, F.lit(0), at), F.lit(100)
+    right = (
+        F.when(kind == "sub", head & (part(s, at, F.lit(1)) != part(c, at, F.lit(1))) & (part(s, at + 1, long) == part(c, at + 1, long)))
+        .when(kind == "ins", head & (part(s, at, long) == part(c, at + 1, long))).otherwise(head & (part(s, at + 1, long) == part(c, at, long)))
+    )
+    return kids.agg(
+        F.count(F.lit(1)).alias("children"), F.count_distinct("rec_id").alias("parents"), F.count_if(~sequence.canonical(c)).alias("foreign_residues"),
+        F.count_if(~F.length(c).between(8, 50)).alias("out_of_bounds"), F.count_if(~right).alias("wrong_changes"),
+    )
+
+
+@query(f"""WITH {SEQ}, {CANDIDATES} SELECT 100::BIGINT AS chosen, 50::BIGINT AS nested, 100::BIGINT AS ranks, 0::BIGINT AS unknown, 0::BIGINT AS too_near,
+        (SELECT count(*) FROM (SELECT primary_domain FROM candidates GROUP BY primary_domain)) AS domains, true AS within_quota""")
+def portfolio_checks(spark, sf_dir):
+    """A portfolio's sizes and ranks, where it comes from, its quotas, and that no two of it are too near."""
+    from strandloom.operators.similar import similar_pairs
+
+    rows = candidates(spark, sf_dir)
+    out = materialize(select.select_portfolio(rows, 100, 50), "portfolio")
+    near = similar_pairs(out, "sequence", "sequence", 0.8).filter("similarity > 0.8").agg(F.count(F.lit(1)).alias("too_near"))
+    lost = out.join(rows.filter("max_reference_similarity <= 0.8").select("sequence"), "sequence", "left_anti").agg(F.count(F.lit(1)).alias("unknown"))
+    most = out.groupBy("primary_domain").agg(F.count(F.lit(1)).alias("n")).agg((F.max("n") <= 60).alias("within_quota"))
+    domains = rows.agg(F.count_distinct("primary_domain").alias("domains"))
+    whole = out.agg(F.count(F.lit(1)).alias("chosen"), F.count_if("is_nested").alias("nested"), F.count_distinct("portfolio_rank").alias("ranks"))
+    for part in (lost, near, domains, most):
+        whole = whole.join(F.broadcast(part))  # single rows
+    return whole
+
+
+@query("SELECT 10000::BIGINT AS n_draws, true AS as_expected, true AS means_agree FROM (SELECT 1)")
+def draw_checks(spark, sf_dir):
+    """Random draws against what draws without replacement have to give: the hit probability within four deviations."""
+    import math
+
+    rows = candidates(spark, sf_dir)
+    hit = (F.col("pred_amp_probability") >= 0.70) & F.col("synthesizable")
+    known = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(hit).alias("k"), F.avg("lcb_quality").alias("q"), F.stddev_pop("lcb_quality").alias("d")).first()
+    n, k = known["n"], known["k"]
+    none = math.exp(sum(math.log((n - k - i) / (n - i)) for i in range(25))) if n - k >= 25 else 0.0
+    out = select.simulate_draws(rows, "rec_id", "lcb_quality", "pred_amp_probability", "pred_toxicity_risk", "synthesizable")
+    spread = 4 * math.sqrt(none * (1 - none) / 10_000) + 1e-4
+    near = F.abs(F.col("prob_at_least_1") - (1 - none)) <= spread
+    return out.select("n_draws", near.alias("as_expected"), (F.abs(F.col("mean_quality") - known["q"]) <= 4 * known["d"] / math.sqrt(250_000) + 1e-4).alias("means_agree"))
+
+
+@query("SELECT least(100, count(*)) AS chosen, min(p_partkey) AS first, least(100, count(*)) AS distinct_rows FROM part")
+def farthest_checks(spark, sf_dir):
+    """How many points are chosen, and where the choice begins."""
+    p = table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("double").alias("p_size"), "p_retailprice")
+    out = select.farthest_points(p, "p_partkey", ["p_size", "p_retailprice"], 100)
+    return out.agg(F.count(F.lit(1)).alias("chosen"), F.min_by("p_partkey", "rank").alias("first"), F.count_distinct("p_partkey").alias("distinct_rows"))
