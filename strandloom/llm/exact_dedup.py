@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -88,10 +89,55 @@ def surviving(docs: DataFrame, id_col: str = "doc_id", text: str = "text", salts
     names = docs.columns
     plain = docs.toDF(*[f"_c{i}" for i in range(len(names))])
     at, body = (f"_c{names.index(x)}" for x in (id_col, text))
-    rows = digests(plain, body)
-    row = F.struct(*[F.col(f"_c{i}") for i in range(len(names))])
+    rest = [c for c in plain.columns if c != body]
     order = F.struct(F.col(at).alias("id"), row_hash(plain, plain.columns).alias("hash"))
-    salted = rows.select("_sha", _salt(salts).alias("_salt"), "_norm", row.alias("_row"), order.alias("_by"))
+    rows = _without_capitals(plain.withColumn("_by", order), body)
+    salted = rows.select("_sha", _salt(salts).alias("_salt"), "_norm", F.struct("_caps", *rest).alias("_row"), "_by")
     merged = salted.groupBy("_sha", "_salt", "_norm").agg(F.max_by("_row", "_by").alias("_row"), F.max("_by").alias("_by"))
     whole = merged.groupBy("_sha", "_norm").agg(F.max_by("_row", "_by").alias("_row"))
-    return whole.select(*[F.col(f"_row._c{i}").alias(n) for i, n in enumerate(names)])
+    back = _with_capitals(whole.select("_norm", "_row.*"), body, plain.schema)
+    return back.select(*[F.col(f"_c{i}").alias(n) for i, n in enumerate(names)])
+
+
+def _without_capitals(docs: DataFrame, text: str) -> DataFrame:
+    """``docs`` without ``text``, but with ``_sha, _norm`` and ``_caps``, a bit for each byte of the text that was lowered.
+
+    So a text goes through a shuffle once, as what it is compared by.  ``_caps`` is empty where nothing was lowered, and
+    null for a null text.
+    """
+    kept = [f for f in docs.schema.fields if f.name != text]
+    schema = T.StructType([*kept, T.StructField("_sha", T.StringType()), T.StructField("_norm", T.StringType()), T.StructField("_caps", T.BinaryType())])
+
+    def caps(raw: pa.Scalar, low: pa.Scalar) -> bytes | None:
+        if not raw.is_valid:
+            return None
+        changed = np.frombuffer(raw.as_buffer(), dtype=np.uint8) != np.frombuffer(low.as_buffer(), dtype=np.uint8)
+        return np.packbits(changed).tobytes() if changed.any() else b""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = batch.column(batch.schema.get_field_index(text))
+            lowered = pc.ascii_lower(pc.fill_null(raw, ""))
+            sha = pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in lowered], pa.string())
+            bits = pa.array([caps(x, y) for x, y in zip(raw, lowered, strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in kept], sha, lowered, bits], schema.fieldNames())
+
+    return docs.mapInArrow(run, schema)
+
+
+def _with_capitals(rows: DataFrame, text: str, schema: T.StructType) -> DataFrame:
+    """The columns of ``schema``, with ``text`` made again from ``_norm`` and ``_caps``."""
+
+    def whole(low: pa.Scalar, bits: pa.Scalar) -> bytes | None:
+        if not bits.is_valid:
+            return None
+        out = np.frombuffer(low.as_buffer(), dtype=np.uint8)
+        mask = np.frombuffer(bits.as_buffer(), dtype=np.uint8)
+        return (out - 32 * np.unpackbits(mask, count=len(out))).tobytes() if len(mask) else out.tobytes()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = pa.array([whole(x, y) for x, y in zip(batch.column("_norm"), batch.column("_caps"), strict=True)], pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([texts if f.name == text else batch.column(f.name) for f in schema.fields], schema.fieldNames())
+
+    return rows.mapInArrow(run, schema)
