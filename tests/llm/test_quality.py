@@ -208,3 +208,18 @@ def test_rules_against_numpy(spark):
     good = [got[i].kept for i, q in labels.items() if q == 1 and not got[i].base_failed]
     bad = [got[i].kept for i, q in labels.items() if q == 0]
     assert np.mean(good) > 0.98 and np.mean(bad) < 0.15
+
+
+def test_few_small_files_are_dealt_over_the_cores(spark, tmp_path, monkeypatch):
+    from strandloom.llm import common
+
+    monkeypatch.setattr(common, "SMALL", 1)
+    cores = spark.sparkContext.defaultParallelism
+    rows = spark.range(1000).selectExpr("id as doc_id", "cast(id as string) as text")
+    rows.coalesce(1).write.parquet(str(tmp_path / "one.parquet"))
+    rows.repartition(2 * cores).write.parquet(str(tmp_path / "many.parquet"))
+    exchanges = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange RoundRobin")
+    one = common.read(spark, str(tmp_path), "one", "doc_id", "text")
+    assert exchanges(one) == 1 and one.count() == 1000 and exchanges(common.read(spark, str(tmp_path), "many", "doc_id")) == 0
+    monkeypatch.setattr(common, "SPLIT", 10)  # a file of many splits is read as it is
+    assert exchanges(common.read(spark, str(tmp_path), "one", "doc_id")) == 0
