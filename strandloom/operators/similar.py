@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.functions.sequence import RESIDUES, residue_count
-from strandloom.functions.similarity import lcs_bound, local_similarity, long_indel_ratio
+from strandloom.functions.sequence import RESIDUES, let, residue_count
+from strandloom.functions.similarity import dot, lcs_bound, local_similarity, long_indel_ratio
 from strandloom.operators.curate import own_key
 
 
@@ -109,13 +109,16 @@ def local_screen(df: DataFrame, known: DataFrame, sequence: str, known_sequence:
 QUERY_BLOCK = 1_000
 
 
-def cosine_pairs(df: DataFrame, key: str, vector: str, queries: DataFrame, cosine, block: int = QUERY_BLOCK) -> DataFrame:
-    """Similarity of each stated query row to every row.
+def cosine_pairs(df: DataFrame, key: str, vector: str, queries: DataFrame, block: int = QUERY_BLOCK) -> DataFrame:
+    """Cosine of each stated query row to every row; null where a vector is all zero.
 
-    Queries are dealt over blocks of about ``block`` rows; each task meets one part of the rows with one block, so no
-    task or executor holds the whole query side, however many queries there are.
+    Vectors are brought to unit length first, so a pair costs one product.  Queries are dealt over blocks of about
+    ``block`` rows; each task meets one part of the rows with one block, so no task or executor holds the whole query
+    side, however many queries there are.
     """
-    q = queries.select(F.col(key).alias("query"), F.col(vector).alias("_q"))
+    unit = lambda rows, name: rows.select(F.col(key).alias(name), let(F.sqrt(dot(F.col(vector), F.col(vector))), lambda n: F.when(n > 0, F.transform(F.col(vector), lambda x: x / n))).alias(f"_{name}"))
+    q = unit(queries, "query")
     blocks = max(1, -(-q.count() // block))
     q = q.repartition(blocks, F.xxhash64("query")).hint("shuffle_replicate_nl")
-    return df.select(key, vector).join(q, F.col(key) != F.col("query")).select("query", F.col(key).alias("other"), cosine(F.col(vector), F.col("_q")).alias("similarity"))
+    met = unit(df, "other").join(q, F.col("other") != F.col("query"))
+    return met.select("query", "other", dot(F.col("_other"), F.col("_query")).alias("similarity"))

@@ -219,7 +219,7 @@ _COSINE = "list_dot_product(e, f) / (sqrt(list_dot_product(e, e)) * sqrt(list_do
 def composition_cosine(spark, sf_dir):
     """Cosine of every twentieth vector to all others."""
     e = table(spark, sf_dir, "embeddings")
-    out = similar.cosine_pairs(e, "vec_id", "embedding", e.filter("vec_id % 20 = 0"), similarity.cosine)
+    out = similar.cosine_pairs(e, "vec_id", "embedding", e.filter("vec_id % 20 = 0"))
     return out.withColumn("similarity", F.round("similarity", 4))
 
 

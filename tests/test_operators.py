@@ -356,7 +356,7 @@ def test_cosine_queries_are_met_in_blocks(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(60, 3))
     df = frame(spark, [(i, v.tolist()) for i, v in enumerate(x)], "k long, v array<double>").repartition(3)
-    out = similar.cosine_pairs(df, "k", "v", df.filter("k % 2 = 0"), similarity.cosine, block=7)
+    out = similar.cosine_pairs(df, "k", "v", df.filter("k % 2 = 0"), block=7)
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan and "CartesianProduct" in plan
     n = x / np.linalg.norm(x, axis=1)[:, None]
