@@ -1,7 +1,9 @@
 """The pipeline's stages against plain versions of what they decide."""
 
+import glob
 import os
 
+import duckdb
 import pytest
 
 import corpus_pipeline
@@ -60,3 +62,16 @@ def test_stages(spark):
 def test_run_and_names(spark):
     assert corpus_pipeline.run(spark, HERE).count() > 0
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_queries_equal_their_sql(spark, name):
+    duck = duckdb.connect()
+    for path in glob.glob(f"{HERE}/*.parquet"):
+        duck.execute(f"CREATE VIEW {os.path.basename(path)[:-8]} AS SELECT * FROM '{path}'")
+    got = queries.QUERIES[name](spark, HERE).toPandas()
+    want = duck.execute(queries.ORACLE_SQL[name]).df()
+    columns = sorted(got.columns)
+    assert columns == sorted(want.columns)
+    text = lambda df: sorted("|".join("null" if v is None or v != v else repr(round(float(v), 4)) if isinstance(v, float) else str(v) for v in row) for row in df[columns].astype(object).itertuples(index=False))
+    assert text(got) == text(want)
