@@ -7,33 +7,22 @@ from pyspark.sql import functions as F
 
 from strandloom.storage import materialize, shared_dir, table
 
-__all__ = ["SPACE", "WORD", "ascii_lower", "materialize", "read", "shared_dir", "spread", "table", "word_count"]
+__all__ = ["SPACE", "WORD", "ascii_lower", "materialize", "read", "shared_dir", "table", "word_count"]
 
 #: The white space that ends a word, and a word, as Java regular expressions.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-#: A table below so many bytes is not dealt anew; one file of fewer than a split's bytes may be a single task's work.
-SMALL, SPLIT = 1 << 20, 128 << 20
+#: A session setting: into how many partitions ``read`` deals a table, by a full shuffle; unset, tables are read as they are.
+#: For many cores over few files of one row group each, which no split divides.
+DEAL = "strandloom.read.partitions"
 
 
 def read(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
-    """The named columns of an input table, dealt over all cores where its files are fewer than those."""
-    return spread(table(spark, sf_dir, name).select(*columns))
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """``df``; where it is read from fewer files than the session has cores, all of them together less than a split a core, dealt over the cores.
-
-    Such files often have one row group, which no split divides.  A table of many or large files, as on a cluster, is
-    read as it is, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if not SMALL <= size <= cores * SPLIT or len(df.inputFiles()) >= cores:
-        return df
-    return df.repartition(cores)
+    """The named columns of an input table, dealt over partitions only where the session asks for it (``DEAL``)."""
+    rows, parts = table(spark, sf_dir, name).select(*columns), spark.conf.get(DEAL, None)
+    return rows.repartition(int(parts)) if parts else rows
 
 
 def ascii_lower(text: Column) -> Column:
