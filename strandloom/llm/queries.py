@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm import byte_bpe, chat_format, exact_dedup, fill_middle, license_scan, quality_model, quality_rules, simhash, source_mix, token_count, url_filter
+from strandloom.llm import byte_bpe, chat_format, exact_dedup, fill_middle, lexical_search, license_scan, quality_model, quality_rules, simhash, source_mix, token_count, url_filter
 from strandloom.llm.common import read
 
 #: The rank file and the pattern of op8.
@@ -69,6 +69,11 @@ def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_middle.digest(fill_middle.fill_middle(read(spark, sf_dir, "documents", "doc_id", "text")))
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = lexical_search.build(read(spark, sf_dir, "documents", "doc_id", "text"))
+    return lexical_search.search(index, read(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_quality_model": op2_quality_model,
@@ -81,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_license_scan": op9_license_scan,
     "op10_source_mix": op10_source_mix,
     "op11_fill_middle": op11_fill_middle,
+    "op12_lexical_search": op12_lexical_search,
 }
 
 #: Lower-cases A-Z only: upper-case letters outside ASCII stay.
@@ -106,6 +112,9 @@ def _distances(counts: str, name: str, langs: str) -> str:
             FROM {name}_p a JOIN {name}_q b ON a.k = b.k AND a.lang IS NOT DISTINCT FROM b.lang WHERE p IS NOT NULL GROUP BY doc_id)"""
 
 
+#: The terms of a text, as a list.
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
 ORACLE_SQL: dict[str, str] = {
     "op6_quality_rules": rf"""
         WITH w AS (SELECT doc_id, lang, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
@@ -172,4 +181,14 @@ ORACLE_SQL: dict[str, str] = {
                sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
                sha256(p || m || s) AS restored_sha256
         FROM c""",
+    "op12_lexical_search": f"""
+        WITH t AS (SELECT doc_id, len(x) AS n, x FROM (SELECT doc_id, {_TERMS} AS x FROM documents) WHERE len(x) > 0),
+        size AS (SELECT count(*) AS docs, sum(n)::BIGINT AS total FROM t),
+        p AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, n, unnest(x) AS term FROM t) GROUP BY ALL),
+        q AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark),
+        w AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM p, size WHERE term IN (SELECT term FROM q) GROUP BY term, docs),
+        s AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // total))))::BIGINT AS score
+              FROM q JOIN w USING (term) JOIN p USING (term), size GROUP BY item_id, doc_id),
+        r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM s WHERE score > 0)
+        SELECT item_id, rank::INT AS rank, doc_id, score FROM r WHERE rank <= 10""",
 }
