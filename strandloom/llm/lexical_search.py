@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import materialize
+from strandloom.llm.common import materialize, pack, unpack
 from strandloom.operators.ranking import top_k_per_group
 from strandloom.storage import scratch
 
@@ -58,13 +58,26 @@ def split_terms(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
     return owner[there.to_numpy(zero_copy_only=False)], flat.filter(there)
 
 
-def _lists(values: pa.Array | np.ndarray, kind: pa.DataType) -> pa.Array:
+def _list(values: pa.Array) -> pa.Array:
     """One row that holds all values."""
-    values = pa.array(values, kind) if isinstance(values, np.ndarray) else values.cast(kind)
     return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
 
-_BLOCK = "ids array<long>, lengths array<long>, terms array<string>, ends array<int>, places array<int>, tfs array<int>"
+def _packed(values: np.ndarray) -> pa.Array:
+    """One row of packed 32-bit integers."""
+    return pa.array([pack(values.astype(np.int32))], pa.binary())
+
+
+def _ints(column: pa.Array, row: int) -> np.ndarray:
+    return unpack(column[row].as_py(), np.int32)
+
+
+def _words(column: pa.Array, row: int) -> pa.Array:
+    raw = unpack(column[row].as_py(), np.uint8).tobytes()
+    return pa.array(raw.split(b"\n"), pa.binary()).cast(pa.string())
+
+
+_BLOCK = "ids array<long>, lengths array<long>, terms binary, ends binary, places binary, tfs binary"
 
 
 def _block(ids: pa.Array, texts: pa.Array) -> pa.RecordBatch | None:
@@ -78,8 +91,9 @@ def _block(ids: pa.Array, texts: pa.Array) -> pa.RecordBatch | None:
     n, coded = int(having.sum()), flat.dictionary_encode()
     keys, tfs = np.unique(coded.indices.to_numpy().astype(np.int64) * n + owner, return_counts=True)
     ends = np.cumsum(np.bincount(keys // n, minlength=len(coded.dictionary)))
-    columns = [(ids.filter(pa.array(having)), pa.int64()), (lengths[having], pa.int64()), (coded.dictionary, pa.string()), (ends, pa.int32()), (keys % n, pa.int32()), (tfs, pa.int32())]
-    return pa.RecordBatch.from_arrays([_lists(*c) for c in columns], ["ids", "lengths", "terms", "ends", "places", "tfs"])
+    names = pa.array([pack(np.frombuffer(b"\n".join(coded.dictionary.cast(pa.large_binary()).to_pylist()), dtype=np.uint8))], pa.binary())
+    columns = [_list(ids.filter(pa.array(having))), _list(pa.array(lengths[having], pa.int64())), names, *map(_packed, (ends, keys % n, tfs))]
+    return pa.RecordBatch.from_arrays(columns, ["ids", "lengths", "terms", "ends", "places", "tfs"])
 
 
 def blocks(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -103,7 +117,7 @@ def blocks(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataF
 
 
 _TIERS = len(CUTS) + 1
-_INDEX = "ids array<long>, terms array<string>, " + ", ".join(f"ends{k} array<int>, places{k} array<int>, factors{k} array<int>, rest{k} array<int>" for k in range(_TIERS))
+_INDEX = "ids array<long>, terms binary, " + ", ".join(f"{x}{k} binary" for k in range(_TIERS) for x in ("ends", "places", "factors", "rest"))
 
 
 @dataclass(frozen=True)
@@ -129,10 +143,10 @@ def _tiered(n: int, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                ids, lengths, terms, ends, places, tfs = (c[row].values for c in batch.columns)
+                ids, lengths, terms = batch.column("ids")[row].values, batch.column("lengths")[row].values, batch.column("terms").slice(row, 1)
                 # Python integers: the product can leave 64 bits on a large corpus
                 m = np.array([10 + 90 * x * n // length for x in lengths.to_pylist()], dtype=np.int64)
-                ends, places, tfs = (x.to_numpy().astype(np.int64) for x in (ends, places, tfs))
+                ends, places, tfs = (_ints(batch.column(x), row).astype(np.int64) for x in ("ends", "places", "tfs"))
                 factors = 1_000_000_000 * tfs // (1000 * tfs + 8 * m[places])
                 sizes = np.diff(ends, prepend=0)
                 term = np.repeat(np.arange(len(sizes)), sizes)
@@ -142,11 +156,11 @@ def _tiered(n: int, length: int):
                 rank = np.arange(len(term)) - starts[term]
                 cuts = [np.minimum(sizes, np.maximum(LEAST, -(-sizes // part))) for part in CUTS] + [sizes]
                 tier = sum((rank >= c[term]).astype(np.int8) for c in cuts)
-                out = [_lists(ids, pa.int64()), _lists(terms, pa.string())]
+                out = [_list(ids), terms]
                 for k, cut in enumerate(cuts):
                     here = tier == k
                     below = np.where(cut < sizes, factors[np.minimum(starts + cut, len(factors) - 1)], 0)
-                    out += [_lists(x, pa.int32()) for x in (np.cumsum(np.bincount(term[here], minlength=len(sizes))), places[here], factors[here], below)]
+                    out += [_packed(x) for x in (np.cumsum(np.bincount(term[here], minlength=len(sizes))), places[here], factors[here], below)]
                 yield pa.RecordBatch.from_arrays(out, [x.split()[0] for x in _INDEX.split(", ")])
 
     return run
@@ -162,17 +176,22 @@ class Items:
 
 
 class Block:
-    """A block of the index, with what ``items`` ask of it."""
+    """A block of the index, with what ``items`` ask of it.  A tier is unpacked when it is first read."""
 
-    def __init__(self, row: dict[str, pa.Array], items: Items):
-        self.ids, self.at = row["ids"], pc.index_in(items.vocabulary, row["terms"])
-        self.at = pc.fill_null(self.at, -1).to_numpy(zero_copy_only=False)
-        self.weights = items.weights
-        self.tiers = [tuple(row[f"{x}{k}"].to_numpy(zero_copy_only=False) for x in ("ends", "places", "factors", "rest")) for k in range(_TIERS) if f"ends{k}" in row]
+    def __init__(self, batch: pa.RecordBatch, row: int, items: Items):
+        self.batch, self.row, self.ids = batch, row, batch.column("ids")[row].values
+        self.at = pc.fill_null(pc.index_in(items.vocabulary, _words(batch.column("terms"), row)), -1).to_numpy(zero_copy_only=False)
+        self.weights, self.read = items.weights, {}
+
+    def tier(self, k: int) -> tuple[np.ndarray, ...]:
+        """End of each term's postings, their documents and factors, and each term's residual bound."""
+        if k not in self.read:
+            self.read[k] = tuple(_ints(self.batch.column(f"{x}{k}"), self.row) for x in ("ends", "places", "factors", "rest"))
+        return self.read[k]
 
     def _add(self, tier: int, terms: np.ndarray, into: np.ndarray, less: np.ndarray | None = None) -> None:
         """Add the weighted impacts of a tier, each less its term's residual bound."""
-        ends, places, factors, _ = self.tiers[tier]
+        ends, places, factors, _ = self.tier(tier)
         for t in terms:
             at = self.at[t]
             start, end = ends[at - 1] if at else 0, ends[at]
@@ -189,7 +208,7 @@ class Block:
         """Exact scores, or None where no document reaches ``least``, and how many tiers that took."""
         terms = terms[self.at[terms] >= 0]
         for tier in range(_TIERS - 1):
-            rest = self.tiers[tier][3]
+            rest = self.tier(tier)[3]
             most = np.full(len(self.ids), int((self.weights[terms] * rest[self.at[terms]].astype(np.int64)).sum()), dtype=np.int64)
             for k in range(tier + 1):
                 self._add(k, terms, most, rest)
@@ -201,11 +220,6 @@ class Block:
         return out, _TIERS
 
 
-def _rows(batch: pa.RecordBatch) -> Iterator[dict[str, pa.Array]]:
-    for i in range(batch.num_rows):
-        yield {name: column[i].values for name, column in zip(batch.schema.names, batch.columns, strict=True)}
-
-
 def _best(scores: np.ndarray, ids: pa.Array, k: int, least: int) -> tuple[np.ndarray, list[int | None]]:
     """The ``k`` largest scores of ``least`` or more, and whose they are; equal ones by identifier, null last."""
     at = np.flatnonzero(scores >= max(least, 1))
@@ -225,8 +239,8 @@ def thresholds(index: Index, items: Items, k: int = K) -> DataFrame:
         items = held.value
         best = np.zeros((len(items.of), k), dtype=np.int64)
         for batch in batches:
-            for row in _rows(batch):
-                block = Block(row, items)
+            for row in range(batch.num_rows):
+                block = Block(batch, row, items)
                 for i, terms in enumerate(items.of):
                     found = block.first(terms)
                     found = found[found > best[i, 0]]
@@ -249,8 +263,8 @@ def ranked(index: Index, items: Items, least: dict[int, int], k: int = K) -> Dat
         items, bar = held.value
         bar, found = bar.copy(), [(np.zeros(0, dtype=np.int64), [])] * len(items.of)
         for batch in batches:
-            for row in _rows(batch):
-                block = Block(row, items)
+            for row in range(batch.num_rows):
+                block = Block(batch, row, items)
                 for i, terms in enumerate(items.of):
                     scores, _ = block.scores(terms, bar[i])
                     if scores is None:
@@ -278,10 +292,10 @@ def weigh(index: Index, of: list[list[str]]) -> Items:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = np.zeros(len(held.value), dtype=np.int64)
         for batch in batches:
-            for row in _rows(batch):
-                at = pc.index_in(held.value, row["terms"])
+            for row in range(batch.num_rows):
+                at = pc.index_in(held.value, _words(batch.column("terms"), row))
                 here = np.flatnonzero(at.is_valid().to_numpy(zero_copy_only=False))
-                sizes = sum(np.diff(row[f"ends{k}"].to_numpy(), prepend=0) for k in range(_TIERS))
+                sizes = sum(np.diff(_ints(batch.column(f"ends{k}"), row), prepend=0) for k in range(_TIERS))
                 count[here] += sizes[at.drop_null().to_numpy()]
         term = np.flatnonzero(count)
         yield pa.RecordBatch.from_arrays([pa.array(term, pa.int32()), pa.array(count[term], pa.int64())], ["term", "df"])

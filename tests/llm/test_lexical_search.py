@@ -80,14 +80,14 @@ def test_a_block_without_an_answer_is_proven_so_and_others_fall_through():
     texts = pa.array([" ".join(["common"] * rng.randint(1, 9) + [f"f{rng.randint(0, 50)}"] * 3) for _ in range(500)] + ["rare common"])
     raw = lexical_search._block(pa.array(range(501)), texts)
     (row,) = lexical_search._tiered(501, sum(len(terms(t)) for t in texts.to_pylist()))(iter([raw]))
-    fields = {n: c[0].values for n, c in zip(row.schema.names, row.columns, strict=True)}
     items = lexical_search.Items(pa.array(["common", "rare"]), [np.array([0]), np.array([0, 1])], np.array([5, 6000]))
-    block = lexical_search.Block(fields, items)
+    block = lexical_search.Block(row, 0, items)
     exact, tiers = block.scores(items.of[1], 1)
     assert tiers == 3 and int(exact.argmax()) == 500
     top = int(exact.max())
     assert block.scores(items.of[1], top)[1] == 3  # a tie with the threshold is no proof
-    assert block.scores(items.of[1], top + 10_000_000) == (None, 1)  # more than the residual bounds could add
+    block.read.clear()
+    assert block.scores(items.of[1], top + 10_000_000) == (None, 1) and list(block.read) == [0]  # more than the residual bounds could add
     assert block.scores(items.of[0], top) == (None, 1)
     assert (block.first(items.of[1]) <= exact).all()
 
