@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm import byte_bpe, chat_format, exact_dedup, fill_middle, lexical_search, license_scan, quality_model, quality_rules, simhash, source_mix, token_count, url_filter
+from strandloom.llm import backoff_lm, byte_bpe, chat_format, exact_dedup, fill_middle, lexical_search, license_scan, quality_model, quality_rules, simhash, source_mix, token_count, url_filter
 from strandloom.llm.common import read
 
 #: The rank file and the pattern of op8.
@@ -74,6 +74,10 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.search(index, read(spark, sf_dir, "benchmark", "item_id", "text"))
 
 
+def op13_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backoff_lm.score(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_quality_model": op2_quality_model,
@@ -87,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_source_mix": op10_source_mix,
     "op11_fill_middle": op11_fill_middle,
     "op12_lexical_search": op12_lexical_search,
+    "op13_backoff_lm": op13_backoff_lm,
 }
 
 #: Lower-cases A-Z only: upper-case letters outside ASCII stay.
