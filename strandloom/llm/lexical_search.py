@@ -343,7 +343,7 @@ def search(index: Index, queries: DataFrame, id_col: str = "item_id", text: str
     for chunk in _chunks(queries, id_col, text):
         items = weigh(index, [terms for _, terms in chunk])
         least = {r[0]: r[1] for r in thresholds(index, items, k).collect()}  # one row an item of the chunk
-        found = materialize(ranked(index, items, least, k), "search-answers")
+        found = materialize(ranked(index, items, least, k), "search-answers", outlives=True)
         named = spark.createDataFrame([(i, x) for i, (x, _) in enumerate(chunk)], f"item int, _id {kind}")
         parts.append(found.join(F.broadcast(named), "item").select(F.col("_id").alias(id_col), "rank", "doc_id", "score"))
     return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], f"`{id_col}` {kind}, rank int, doc_id long, score long")

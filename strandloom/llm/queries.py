@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from strandloom.llm import backoff_lm, byte_bpe, chat_format, exact_dedup, fill_middle, lexical_search, license_scan, quality_model, quality_rules, simhash, source_mix, token_count, url_filter
 from strandloom.llm.common import read
+from strandloom.storage import scratch
 
 #: The rank file and the pattern of op8.
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
@@ -70,8 +71,9 @@ def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = lexical_search.build(read(spark, sf_dir, "documents", "doc_id", "text"))
-    return lexical_search.search(index, read(spark, sf_dir, "benchmark", "item_id", "text"))
+    with scratch(spark):  # the index goes when all items are answered
+        index = lexical_search.build(read(spark, sf_dir, "documents", "doc_id", "text"))
+        return lexical_search.search(index, read(spark, sf_dir, "benchmark", "item_id", "text"))
 
 
 def op13_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
