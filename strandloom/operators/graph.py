@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Sequence
+from fractions import Fraction
 from functools import reduce
+from math import prod
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -65,7 +66,11 @@ def clusters(nodes: DataFrame, edges: DataFrame, key: str) -> DataFrame:
     ``edges`` has columns ``a`` and ``b``.  A cluster may hold a third of all nodes: what its nodes are joined to is
     written first, so both sides of a join are exchanged and a hot root can be split.
     """
-    found = components(edges.select("a", "b"))
+    return named_clusters(nodes, components(edges.select("a", "b")), key)
+
+
+def named_clusters(nodes: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """:func:`clusters` from components that are known: ``found`` has ``node, root``."""
     least = materialize(found.groupBy("root").agg(F.min("node").alias("least")), "least")
     named = found.join(least, "root").select(F.col("node").alias(key), F.col("least").alias("_least"))
     out = materialize(nodes.select(key).distinct().join(named, key, "left").select(key, F.coalesce("_least", key).alias("root")), "clustered")
@@ -76,16 +81,18 @@ def clusters(nodes: DataFrame, edges: DataFrame, key: str) -> DataFrame:
 def similarity_clusters(df: DataFrame, key: str, sequence: str, thresholds: Sequence[float] = (0.8, 0.7, 0.6)) -> DataFrame:
     """Single-linkage clusters at each threshold: ``key, cluster_id, threshold, cluster_size, cluster_method``.
 
-    Pairs are computed once, at the lowest threshold.  Equal sequences are always together.  Clusters are numbered by
-    their smallest key.
+    Pairs are computed once, at the lowest threshold, and one spanning forest of them is cut at all thresholds.  Equal
+    sequences are always together.  Clusters are numbered by their smallest key.
     """
-    pairs = materialize(similar_pairs(df, key, sequence, min(thresholds)), "pairs")
+    from strandloom.operators.forest import cuts, spanning_forest
+
     first = df.groupBy(sequence).agg(F.min(key).alias("b"))
-    copies = df.select(F.col(key).alias("a"), sequence).join(first, sequence).filter("a <> b").select("a", "b")
+    copies = df.select(F.col(key).alias("a"), sequence).join(first, sequence).filter("a <> b").select("a", "b", F.lit(1.0).alias("similarity"))
+    forest = spanning_forest(similar_pairs(df, key, sequence, min(thresholds)).unionByName(copies))
     out = None
-    for t in thresholds:
-        part = clusters(df, pairs.filter(F.col("similarity") >= t).select("a", "b").unionByName(copies), key)
-        part = number_clusters(part, f"indel_{round(t * 100)}").withColumn("threshold", F.lit(float(t))).withColumn("cluster_method", F.lit("indel_single_linkage"))
+    for t, found in cuts(forest, thresholds).items():
+        part = number_clusters(named_clusters(df, found, key), f"indel_{round(t * 100)}")
+        part = part.withColumn("threshold", F.lit(float(t))).withColumn("cluster_method", F.lit("indel_single_linkage"))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -107,53 +114,107 @@ def representatives(df: DataFrame, cluster: str, key: str) -> DataFrame:
     return df.groupBy(cluster).agg(F.min_by(key, F.sha2(text, 256)).alias("representative"))
 
 
-def assign_splits(sizes: list[tuple[str, int]], shares: dict[str, float], seed: int) -> dict[str, str]:
-    """Greedy assignment: largest groups first, each to the split that leaves the smallest total deviation from the targets."""
-    total = sum(n for _, n in sizes)
-    want, have = {k: total * s for k, s in shares.items()}, dict.fromkeys(shares, 0)
-    out = {}
-    for cid, n in sorted(sizes, key=lambda x: (-x[1], hashlib.sha256(f"{seed}{x[0]}".encode()).hexdigest())):
-        off = {k: sum(abs(have[j] + (n if j == k else 0) - want[j]) for j in want) for k in want}
-        best = min(off, key=off.get)
-        have[best] += n
-        out[cid] = best
-    return out
-
+def split_runs(runs: list[tuple[int, int]], shares: dict[str, float]) -> list[list[tuple[str, int]]]:
+    """Greedy assignment of clusters to splits, for runs of equal ones: ``runs`` has size and number, the largest size first.
 
-#: The driver assigns at most so many clusters: it is a sequential rule over one number for each.
-MAX_CLUSTERS = 5_000_000
+    Each cluster goes to the split that leaves the smallest total deviation from the targets, the first one on ties.  That
+    is a closed form: a split stays the choice as long as one more cluster fits below its target, and once all targets are
+    reached the first split takes the rest; in between, each split is the choice at most once.  So a run takes a few
+    steps, however many clusters it has.  Sums are exact.  Returns, for each run, splits and how many clusters each takes, in order.
+    """
+    total = sum(n * m for n, m in runs)
+    want = {k: total * Fraction(str(x)) for k, x in shares.items()}
+    have, out = dict.fromkeys(shares, 0), []
+    for n, left in runs:
+        parts: list[tuple[str, int]] = []
+        while left:
+            best = min(want, key=lambda k: abs(have[k] + n - want[k]) - abs(have[k] - want[k]))  # noqa: B023
+            if have[best] + n <= want[best]:
+                taken = min(left, int((want[best] - have[best]) // n))
+            else:
+                taken = left if all(have[k] >= want[k] for k in want) else 1
+            have[best] += taken * n
+            left -= taken
+            parts.append((best, taken))
+        out.append(parts)
+    return out
 
 
 def clustered_split(df: DataFrame, cluster: str, seed: int = 42, shares: dict[str, float] | None = None) -> DataFrame:
-    """``df`` with ``split``: whole clusters, by default eight tenths train, one validation, one test."""
-    shares = shares or {"train": 0.8, "validation": 0.1, "test": 0.1}
-    sizes = [(r[0], r[1]) for r in df.groupBy(cluster).agg(F.count(F.lit(1)).alias("n")).limit(MAX_CLUSTERS + 1).collect()]
-    if len(sizes) > MAX_CLUSTERS:
-        raise ValueError(f"more than {MAX_CLUSTERS} clusters")
-    plan = assign_splits(sizes, shares, seed)
-    named = df.sparkSession.createDataFrame(list(plan.items()), f"{cluster} {dict(df.dtypes)[cluster]}, split string")
+    """``df`` with ``split``: whole clusters, by default eight tenths train, one validation, one test.
+
+    Clusters are taken by falling size, those of one size in the order of a hash.  The driver holds one row a distinct
+    size (at most the root of twice the rows); a cluster's place in its run is a global row number.
+    """
+    sizes = df.groupBy(cluster).agg(F.count(F.lit(1)).alias("_n"))
+    placed = number_rows(sizes, [F.desc("_n"), F.sha2(F.concat(F.lit(str(seed)), F.col(cluster).cast("string")), 256), F.col(cluster)], "_at")
+    placed = materialize(placed, "placed")
+    runs = [(r[0], r[1]) for r in placed.groupBy("_n").count().orderBy(F.desc("_n")).collect()]
+    rows, at = [], 1
+    for (n, _), parts in zip(runs, split_runs(runs, shares or {"train": 0.8, "validation": 0.1, "test": 0.1}), strict=True):
+        for split, m in parts:
+            rows.append((n, at, at + m - 1, split))
+            at += m
+    plan = df.sparkSession.createDataFrame(rows, "_n long, _from long, _to long, split string")
+    named = placed.join(plan, (placed["_n"] == plan["_n"]) & F.col("_at").between(F.col("_from"), F.col("_to"))).select(cluster, "split")
     return df.join(named, cluster)
 
 
+def fold_runs(runs: list[tuple[tuple[int, ...], int]], folds: int) -> list[list[tuple[list[int], int]]]:
+    """Greedy assignment of groups to folds, for runs of groups with equal label counts: ``runs`` has counts and number.
+
+    A group goes to the fold where the squared shares of its labels grow least, the first one on ties.  For equal groups
+    that is the fold of the least potential, which then rises by a constant: folds within that constant of the lowest take
+    turns in a fixed order until they reach the next one.  Returns, for each run, cycles of folds and how many groups each
+    cycle serves, in order; exact integers throughout.
+    """
+    width = len(runs[0][0]) if runs else 0
+    totals = [sum(v[y] * m for v, m in runs) for y in range(width)]
+    scale = [prod(t * t for z, t in enumerate(totals) if z != y and t) for y in range(width)]
+    have, out = [[0] * width for _ in range(folds)], []
+    for vector, left in runs:
+        at = [(sum(h * g * w for h, g, w in zip(have[i], vector, scale, strict=True)), i) for i in range(folds)]
+        step = sum(g * g * w for g, w in zip(vector, scale, strict=True))
+        parts: list[tuple[list[int], int]] = []
+        while left:
+            at.sort()
+            turn = [x for x in at if x < (at[0][0] + step, at[0][1])] or at
+            last, others = turn[-1], at[len(turn):]
+            cycles = -(-left // len(turn))
+            for o in others:  # the last of the cycle still comes before the fold outside
+                gap = o[0] - last[0]
+                cycles = min(cycles, gap // step + (1 if gap % step or last[1] < o[1] else 0))
+            taken = min(left, cycles * len(turn))
+            parts.append(([i for _, i in turn], taken))
+            for j, (p, i) in enumerate(turn):
+                n = taken // len(turn) + (j < taken % len(turn))
+                at[j] = (p + n * step, i)
+                have[i] = [h + n * g for h, g in zip(have[i], vector, strict=True)]
+            left -= taken
+        out.append(parts)
+    return out
+
+
 def grouped_folds(df: DataFrame, group: str, label: str, folds: int = 5, seed: int = 42) -> DataFrame:
-    """``df`` with ``fold``: no group is in two folds, and each label's rows are spread as evenly as groups allow."""
-    rows = df.groupBy(group, label).agg(F.count(F.lit(1)).alias("n")).limit(MAX_CLUSTERS + 1).collect()
-    if len(rows) > MAX_CLUSTERS:
-        raise ValueError(f"more than {MAX_CLUSTERS} groups")
-    by: dict = {}
-    for g, y, n in rows:
-        by.setdefault(g, {})[y] = n
-    labels = sorted({y for ys in by.values() for y in ys}, key=str)
-    totals = {y: sum(ys.get(y, 0) for ys in by.values()) for y in labels}
-    have = [dict.fromkeys(labels, 0.0) for _ in range(folds)]
-    fold = {}
-    for g in sorted(by, key=lambda g: (-sum(by[g].values()), hashlib.sha256(f"{seed}{g}".encode()).hexdigest())):
-        cost = lambda i: sum(((have[i][y] + by[g].get(y, 0)) / totals[y]) ** 2 - (have[i][y] / totals[y]) ** 2 for y in labels)  # noqa: E731, B023
-        best = min(range(folds), key=lambda i: (cost(i), i))
-        for y, n in by[g].items():
-            have[best][y] += n
-        fold[g] = best
-    named = df.sparkSession.createDataFrame(list(fold.items()), f"{group} {dict(df.dtypes)[group]}, fold int")
+    """``df`` with ``fold``: no group is in two folds, and each label's rows are spread as evenly as groups allow.
+
+    Groups are taken by falling size, then by their label counts, then by a hash.  The driver holds the labels and one row
+    for each distinct vector of label counts; a group's place in its run is a global row number.
+    """
+    labels = [r[0] for r in df.select(label).distinct().orderBy(label).collect()]
+    counts = F.array(*[F.count_if(F.col(label).eqNullSafe(F.lit(y))) for y in labels]) if labels else F.array(F.count(F.lit(1)))
+    rows = df.groupBy(group).agg(counts.alias("_v"), F.count(F.lit(1)).alias("_n"))
+    order = [F.desc("_n"), F.col("_v"), F.sha2(F.concat(F.lit(str(seed)), F.col(group).cast("string")), 256), F.col(group)]
+    placed = materialize(number_rows(rows, order, "_at"), "placed")
+    runs = [(tuple(r["_v"]), r["count"]) for r in placed.groupBy("_n", "_v").count().orderBy(F.desc("_n"), "_v").collect()]
+    plan, at = [], 1
+    for (vector, _), parts in zip(runs, fold_runs(runs, folds), strict=True):
+        for cycle, m in parts:
+            plan.append((list(vector), at, at + m - 1, cycle))
+            at += m
+    plan = df.sparkSession.createDataFrame(plan, "_v array<long>, _from long, _to long, _cycle array<int>")
+    fold = F.get("_cycle", ((F.col("_at") - F.col("_from")) % F.size("_cycle")).cast("int"))
+    named = placed.join(plan, (placed["_v"] == plan["_v"]) & F.col("_at").between(F.col("_from"), F.col("_to"))).select(group, fold.alias("fold"))
     return df.join(named, group)
 
 
@@ -213,14 +274,41 @@ def ancestry_violations(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def trace(nodes: DataFrame, node: str, parent: str, most: int = 100) -> DataFrame:
-    """All ancestors of every node with their distance, by a recursive query of at most ``most`` steps."""
-    view = "strandloom_trace_nodes"
-    nodes.select(F.col(node).alias("n"), F.col(parent).alias("p")).createOrReplaceTempView(view)
-    return nodes.sparkSession.sql(f"""
-        WITH RECURSIVE up(n, ancestor, depth) AS (
-            SELECT n, n, 0 FROM {view}
-            UNION ALL
-            SELECT up.n, v.p, depth + 1 FROM up JOIN {view} v ON v.n = up.ancestor WHERE v.p IS NOT NULL AND depth < {most})
-        SELECT n AS {node}, ancestor, depth FROM up""")
+def trace(nodes: DataFrame, node: str, parent: str) -> DataFrame:
+    """All ancestors of every node with their distance: ``node, ancestor, depth``, from the node itself at 0 upwards.
 
+    A jump table doubles its reach in each round: it leads from a node to its ancestor 1, 2, 4, ... steps up.  What a node
+    sees at distances from one power of two to the next is what the node at the end of its jump has seen so far, so every
+    row of the result is made once, in a number of rounds that is logarithmic in the longest chain.  A parent outside the
+    table ends a chain.  Where a chain runs into a cycle, each ancestor is listed once, at its smallest distance.  Null
+    nodes have no row; repeated rows count once.
+    """
+    with scratch(nodes.sparkSession):
+        steps = materialize(nodes.filter(F.col(node).isNotNull()).select(F.col(node).alias("n"), F.col(parent).alias("to")).distinct(), "trace-steps")
+        seen = materialize(steps.select("n", F.col("n").alias("ancestor"), F.lit(0).cast("long").alias("depth")).distinct(), "trace")
+        most, jumps = seen.count(), [steps.filter("to is not null")]
+        while not jumps[-1].isEmpty() and 1 << (len(jumps) - 1) <= most:
+            ahead = jumps[-1].select(F.col("n").alias("to"), F.col("to").alias("next"))
+            jumps.append(materialize(jumps[-1].join(ahead, "to").select("n", F.col("next").alias("to")).distinct(), "trace-jump"))
+        endless = None if jumps[-1].isEmpty() else materialize(jumps[-1].select("n").distinct(), "trace-endless")
+        parts = [seen]
+        for k, jump in enumerate(jumps[:-1]):
+            sound = jump if endless is None else jump.join(endless, "n", "left_anti")
+            parts.append(materialize(_ahead(sound, reduce(DataFrame.union, parts), 1 << k), "trace"))
+        if endless is not None:
+            held = materialize(seen.join(endless, "n", "left_semi"), "trace")
+            n = 0
+            for k, jump in enumerate(jumps):
+                more = held.union(_ahead(jump.join(endless, "n", "left_semi"), held, 1 << k)).groupBy("n", "ancestor").agg(F.min("depth").alias("depth"))
+                before, held = n, materialize(more, "trace")
+                n = held.count()
+                if n == before:
+                    break
+            parts.append(held.filter("depth > 0"))
+        return materialize(reduce(DataFrame.union, parts).withColumnRenamed("n", node), "traced", outlives=True)
+
+
+def _ahead(jump: DataFrame, seen: DataFrame, by: int) -> DataFrame:
+    """What nodes see beyond a jump of ``by`` steps: all that its end sees, or the end alone if it is outside the table."""
+    beyond = seen.select(F.col("n").alias("to"), "ancestor", "depth")
+    return jump.join(beyond, "to", "left").select("n", F.coalesce("ancestor", "to").alias("ancestor"), (F.coalesce("depth", F.lit(0)) + by).alias("depth"))
