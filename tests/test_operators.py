@@ -356,10 +356,15 @@ def test_cosine_queries_are_met_in_blocks(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(60, 3))
     df = frame(spark, [(i, v.tolist()) for i, v in enumerate(x)], "k long, v array<double>").repartition(3)
-    out = similar.cosine_pairs(df, "k", "v", df.filter("k % 2 = 0"), block=7)
+    out = similar.cosine_pairs(df, "k", "v", df.filter("k % 2 = 0"), block=7, row_block=11)
     plan = out._jdf.queryExecution().executedPlan().toString()
-    assert "Broadcast" not in plan and "CartesianProduct" in plan
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
     n = x / np.linalg.norm(x, axis=1)[:, None]
     got = {(r.query, r.other): r.similarity for r in out.collect()}
     assert got.keys() == {(a, b) for a in range(0, 60, 2) for b in range(60) if a != b}
     assert all(abs(v - n[a] @ n[b]) < 1e-9 for (a, b), v in got.items())
+    high = {(r.query, r.other) for r in similar.cosine_pairs(df, "k", "v", df.filter("k % 2 = 0"), least=0.9).collect()}
+    assert high == {p for p, v in got.items() if v >= 0.9}
+    none = frame(spark, [(1, [0.0, 0.0]), (2, [1.0, 0.0]), (3, None)], "k long, v array<double>")
+    assert [tuple(r) for r in similar.cosine_pairs(none, "k", "v", none.filter("k <= 1")).collect()] == [(1, 2, None)]
+    assert similar.cosine_pairs(none, "k", "v", none.limit(0)).count() == 0
