@@ -170,19 +170,24 @@ def weighed(pdf):
     return select.Weighed.of(pdf, x.mean(axis=0), np.where(spread > 0, spread, 1))
 
 
+def kernel_of(x):
+    """Similarities by definition: a Gaussian of descriptors and a cosine of compositions, scaled by quality."""
+    e = np.exp(np.clip(x.quality, -2, 2))
+    one = lambda i, j: 0.6 * np.exp(-((x.bio[i] - x.bio[j]) ** 2).sum() / 8) + 0.4 * (x.mix[i] * x.mix[j]).sum()
+    return np.array([[e[i] * e[j] * (one(i, j) if i != j else 1) for j in range(len(e))] for i in range(len(e))])
+
+
 def test_kernel_is_positive_semidefinite():
     x = weighed(candidates(40))
-    s = select.kernel(x.bio, x.mix)
-    assert np.abs(s - s.T).max() < 1e-12 and np.linalg.eigvalsh(s).min() >= -1e-10
+    s = x.near(x)
+    assert np.abs(s - kernel_of(x)).max() < 1e-9 and np.linalg.eigvalsh(s).min() >= -1e-9
 
 
 def greedy(pdf, k, quota=(1, 60), required=(), most_cosine=1.1, most_indel=None):
     """The determinantal choice by determinants, a candidate at a time."""
     pdf = pdf.sort_values("sequence").reset_index(drop=True)
     x = weighed(pdf)
-    e = np.exp(np.clip(pdf["lcb_quality"].to_numpy(), -2, 2))
-    L = np.outer(e, e) * select.kernel(x.bio, x.mix)
-    L[np.diag_indices(len(pdf))] = e**2 + 1e-4
+    L = kernel_of(x) + 1e-4 * np.eye(len(pdf))
     log = lambda at: np.linalg.slogdet(L[np.ix_(at, at)])[1] if at else 0.0
     taken, cov = [], np.zeros(4)
     while len(taken) < k:
@@ -199,9 +204,10 @@ def greedy(pdf, k, quota=(1, 60), required=(), most_cosine=1.1, most_indel=None)
     return pdf.sequence.iloc[taken].tolist()
 
 
-@pytest.mark.parametrize("offered", [1, 32])
-def test_portfolio_against_determinants(spark, monkeypatch, offered):
-    monkeypatch.setattr(select, "OFFERED", offered)
+@pytest.mark.parametrize("front", [2, 9, 1024])
+def test_portfolio_against_determinants(spark, monkeypatch, front):
+    monkeypatch.setattr(select, "FRONT", front)
+    monkeypatch.setattr(select, "AT_ONCE", 3)
     pdf = candidates(40)
     limits = {"most_cosine": 0.75, "most_indel": 0.5}
     out = select.select_portfolio(spark.createDataFrame(pdf).repartition(4), 8, 4, quota=(1, 3), required=["ar", "vae"], **limits).orderBy("portfolio_rank").toPandas()
@@ -210,6 +216,15 @@ def test_portfolio_against_determinants(spark, monkeypatch, offered):
     assert out.sequence.tolist() == greedy(pdf, 6, (2, 60), ("dif",))
 
 
+def test_few_rows_are_scored_again(spark, monkeypatch):
+    monkeypatch.setattr(select, "FRONT", 40)
+    report = []
+    pdf = candidates(400)
+    out = select.select_portfolio(spark.createDataFrame(pdf), 12, 6, most_cosine=1.1, most_indel=None, report=report).orderBy("portfolio_rank").toPandas()
+    assert out.sequence.tolist() == greedy(pdf, 12)
+    assert len(report) == 12 and sum(r["by_tasks"] + r["by_driver"] for r in report) < 12 * 400 / 3
+
+
 def test_portfolio(spark):
     df = spark.createDataFrame(candidates())
     out = select.select_portfolio(df, 8, 4, quota=(1, 3), required=["ar", "vae", "evo", "dif"]).toPandas()
