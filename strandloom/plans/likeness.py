@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions import sequence, similarity
-from strandloom.operators import aggregate, graph, similar
+from strandloom.operators import aggregate, forest, graph, select, similar
 from strandloom.plans.registry import query
 from strandloom.storage import table
 
@@ -127,6 +127,17 @@ def similarity_clusters(spark, sf_dir):
     return graph.similarity_clusters(sentences(spark, sf_dir), "k", "s", _LEVELS).select("k", "cluster_id", "threshold", "cluster_size")
 
 
+@query(f"{_WITH_CLUSTERS} SELECT threshold, count(*) AS nodes, count(*) - count(DISTINCT cluster_id) AS forest_edges FROM clustered GROUP BY threshold")
+def linkage_forest(spark, sf_dir):
+    """Edges of one spanning forest at or above each threshold: nodes less clusters."""
+    rows = sentences(spark, sf_dir)
+    first = rows.groupBy("s").agg(F.min("k").alias("b"))
+    copies = rows.select(F.col("k").alias("a"), "s").join(first, "s").filter("a <> b").select("a", "b", F.lit(1.0).alias("similarity"))
+    edges = forest.spanning_forest(similar.similar_pairs(rows, "k", "s", min(_LEVELS)).unionByName(copies))
+    by = edges.select("similarity", F.explode(F.array(*map(F.lit, _LEVELS))).alias("threshold")).groupBy("threshold").agg(F.count_if(F.col("similarity") >= F.col("threshold")).alias("forest_edges"))
+    return rows.agg(F.count(F.lit(1)).alias("nodes")).join(F.broadcast(by))  # three rows
+
+
 def _at_80(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.similarity_clusters(sentences(spark, sf_dir), "k", "s", (0.8,))
 
@@ -209,6 +220,65 @@ def local_alignments(spark, sf_dir):
     return pairs.select("a", "b", F.round(similarity.local_similarity(F.col("x"), F.col("y")), 6).alias("similarity"))
 
 
+def _aligned(name: str, pairs: str) -> str:
+    """Local similarities of text pairs ``x, y``, a character of the left text at a time; gaps to the right cost one each."""
+    return f"""{name}_r(x, y, i, row, best) AS (
+        SELECT x, y, 0, list_transform(range(length(y) + 1), lambda j: 0), 0 FROM {pairs}
+        UNION ALL
+        SELECT x, y, i + 1, new, greatest(best, list_max(new)) FROM (
+            SELECT x, y, i, best, list_transform(range(1, length(y) + 2), lambda j: list_max(list_transform(range(1, j + 1), lambda k: greatest(0, up[k]) - (j - k)))) AS new FROM (
+                SELECT *, list_transform(range(1, length(y) + 2), lambda k: greatest(0, row[k] - 1, CASE WHEN k > 1 THEN row[k - 1] + CASE WHEN substring(x,
+                    i + 1, 1) = substring(y, (k - 1)::BIGINT, 1) THEN 1 ELSE -1 END ELSE 0 END)) AS up
+                FROM {name}_r WHERE i < length(x)))),
+    {name} AS (SELECT x, y, max(best) / greatest(length(x), length(y), 1)::DOUBLE AS similarity FROM {name}_r GROUP BY x, y)"""
+
+
+def _sides(most: float) -> str:
+    """Texts of the part that is not reference, the reference's, and pairs of both whose lengths allow a similarity over ``most``."""
+    return f"""own AS (SELECT DISTINCT s FROM sent WHERE item_id % 4 <> 0 AND s <> ''), ref AS (SELECT DISTINCT s FROM sent WHERE item_id % 4 = 0 AND s <> ''),
+    met AS MATERIALIZED (SELECT own.s AS x, ref.s AS y FROM own JOIN ref ON least(length(own.s), length(ref.s)) > {most} * greatest(length(own.s), length(ref.s)))"""
+
+
+#: Sentences are made up, so few are alike: at this level some are, at the usual 0.6 hardly any.
+_ALIKE = 0.3
+
+
+@query(f"""WITH RECURSIVE {SENTENCES}, {_sides(_ALIKE)}, {_aligned('near', 'met')}
+    SELECT k, s FROM sent WHERE item_id % 4 <> 0 AND s NOT IN (SELECT x FROM near WHERE similarity > {_ALIKE})""")
+def local_screen(spark, sf_dir):
+    """Sentences without a local similarity over 0.3 to any reference."""
+    rows, ref = _split(spark, sf_dir)
+    return similar.local_screen(rows, ref, "s", "s", _ALIKE).select("k", "s")
+
+
+@query(f"""WITH RECURSIVE {SENTENCES}, {_sides(_ALIKE)}, {_aligned('near', 'met')} SELECT x, y, round(similarity, 6) AS similarity FROM near WHERE similarity > {_ALIKE}""")
+def local_pairs(spark, sf_dir):
+    """Pairs of a sentence and a reference with a local similarity over 0.3."""
+    rows, ref = _split(spark, sf_dir)
+    return similar.local_pairs(rows, ref, "s", "s", _ALIKE).select(F.col("a_s").alias("x"), F.col("b_s").alias("y"), F.round("similarity", 6).alias("similarity"))
+
+
+#: Greedy choice: the next text in order of potency that is not over 0.25 alike to any taken before it.
+_GREEDY = f"""{_nearest(_BAND).removeprefix('WITH ').replace(SENTENCES + ', ', '')}, {_sides(_ALIKE)}, {_aligned('near', 'met')},
+    pool AS (SELECT DISTINCT s, -length(s) AS score FROM own WHERE s NOT IN (SELECT x FROM near WHERE similarity > {_ALIKE}) AND s NOT IN (SELECT s FROM m WHERE sim > 0.8)),
+    q AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY score, s) AS i FROM pool),
+    duo AS MATERIALIZED (SELECT a.s AS x, b.s AS y FROM q a JOIN q b ON b.i < a.i WHERE least(length(a.s), length(b.s)) > 0.25 * greatest(length(a.s), length(b.s))),
+    {_aligned('alike', 'duo')}, clash AS MATERIALIZED (SELECT a.i AS i, b.i AS j FROM alike JOIN q a ON a.s = x JOIN q b ON b.s = y WHERE similarity > 0.25),
+    g(i, taken) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL
+        SELECT i + 1, CASE WHEN len(taken) < 8 AND NOT list_has_any(taken, (SELECT coalesce(list(j), []) FROM clash WHERE clash.i = g.i + 1)) THEN list_append(taken, i + 1) ELSE taken END
+        FROM g WHERE i < (SELECT count(*) FROM q)),
+    last AS (SELECT taken FROM g ORDER BY i DESC LIMIT 1)"""
+
+
+@query(f"""WITH RECURSIVE {SENTENCES}, {_GREEDY} SELECT q.s AS sequence, score, list_position(taken, q.i)::INTEGER AS rank FROM last, q WHERE list_contains(taken, q.i)""")
+def potency_choice(spark, sf_dir):
+    """Eight sentences, the longest first, that no reference is near to, by Indel ratio or local similarity, no two alike."""
+    rows, ref = _split(spark, sf_dir)
+    pool = rows.filter("s <> ''").select(F.col("s").alias("sequence")).distinct().withColumn("score", -F.length("sequence"))
+    known = ref.select(F.col("s").alias("sequence"))
+    return select.potent_and_diverse(pool, known, known, 8, "score", most_known=_ALIKE, most=0.25)
+
+
 _VECTORS = "embedding::DOUBLE[]"
 _COSINE = "list_dot_product(e, f) / (sqrt(list_dot_product(e, e)) * sqrt(list_dot_product(f, f)))"
 
