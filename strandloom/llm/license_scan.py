@@ -120,6 +120,8 @@ PLAIN = frozenset("a all an and any are as at be by for from had has he in is it
 BLANK = r"\n(?:[\x20\x09\x0B-\x0D]*\n)+"
 #: Share of a statement's bigrams that has to be in the paragraph.
 CONFIRM = 0.8
+#: Share of named examples, of those kept apart, that have to be right, and the probabilities tried for it.
+PRECISION, LEVELS = 0.98, (0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 0.99)
 SEED, VARIANTS, STEPS, RATE, PENALTY = 5, 14, 200, 4.0, 2e-4
 
 
@@ -179,6 +181,14 @@ def _examples(rng: np.random.Generator, n: int) -> list[tuple[str, str]]:
     return out
 
 
+def calibrated(probability: np.ndarray, right: np.ndarray) -> float:
+    """The least probability at which ``PRECISION`` of the named examples are right; an error where there is none."""
+    for t in LEVELS:
+        if (probability >= t).any() and right[probability >= t].mean() >= PRECISION:
+            return t
+    raise ValueError(f"at no level are {PRECISION:.0%} of the named examples right")
+
+
 @cache
 def train(seed: int = SEED) -> Model:
     """Fits weights by proximal gradient descent, then temperature and least probability on variations kept apart.  Once a process."""
@@ -215,7 +225,7 @@ def train(seed: int = SEED) -> Model:
     p = s / s.sum(axis=1, keepdims=True)
     top, right = p.max(axis=1), p.argmax(axis=1) == y
     named = p.argmax(axis=1) != classes.index(UNKNOWN)
-    least = next((t for t in (0.3, 0.4, 0.5, 0.6, 0.7, 0.8) if right[named & (top >= t)].mean() >= 0.99), 0.9)
+    least = calibrated(top[named], right[named])
     return Model(classes, vocabulary, w, b, best[1], least)
 
 
@@ -228,7 +238,9 @@ def paragraphs(docs: DataFrame, id_col: str = "doc_id", text: str = "text", mode
     bigram of the vocabulary and for each such line of a paragraph of several lines.
 
     Paragraphs stand between blank lines and are numbered from zero.  ``family`` is the most probable, of equal ones the
-    first by name; ``sure`` holds all confirmed families with their probabilities.
+    first by name; ``sure`` holds all confirmed families with their probabilities.  The most probable one is predicted at
+    ``least``, and confirmed by ``CONFIRM`` of a statement; any other, since a line may name two licences, is predicted where
+    it has that share against the unknown class, and confirmed by a whole statement.  What is not predicted is never confirmed.
     """
     model = model or train()
     live = [i for i in range(len(model.vocabulary)) if model.weights[i].any()]
@@ -258,7 +270,10 @@ def paragraphs(docs: DataFrame, id_col: str = "doc_id", text: str = "text", mode
     def verdict(z: Column) -> Column:
         named = (z["_best"]["family"] != UNKNOWN) & (z["_best"]["probability"] >= model.least)
         top = lambda x: named & (x["family"] == z["_best"]["family"])
-        holds = lambda x: F.size(F.array_intersect(x["two"], z["_held"]["two"])) >= F.when(top(x), CONFIRM).otherwise(1.0) * F.size(x["two"])
+        odds = lambda f: F.element_at(z["_e"], F.array_position(_array(model.classes), f).cast("int"))
+        predicted = lambda x: odds(x["family"]) >= model.least * (odds(x["family"]) + odds(F.lit(UNKNOWN)))
+        held = lambda x: F.size(F.array_intersect(x["two"], z["_held"]["two"]))
+        holds = lambda x: (top(x) & (held(x) >= CONFIRM * F.size(x["two"]))) | (predicted(x) & (held(x) == F.size(x["two"])))
         mine = F.filter(statements, lambda x: holds(x) & ~F.arrays_overlap(x["unless"], z["_held"]["near"]))
         share = lambda f: F.element_at(z["_e"], F.array_position(_array(model.classes), f).cast("int")) / z["_sum"]
         sure = F.transform(F.array_distinct(F.transform(mine, lambda x: x["family"])), lambda f: F.struct(share(f).alias("p"), f.alias("f")))
@@ -275,7 +290,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", model: Mod
     ``families`` are those of confirmed paragraphs, sorted; ``family`` is the most probable of them, of equally probable
     ones the last by name; it is ``unknown`` if no paragraph is confirmed, and ``none`` if no paragraph holds a bigram of
     the vocabulary.  ``n_paragraphs`` counts those that hold one; ``where`` are the confirmed paragraphs' numbers.  Null
-    and empty texts have none.  Repeated rows come out repeated; other columns are not read; an empty table gives an empty
+    and empty texts have none; a very long text is cut into its paragraphs inside its row.  Repeated rows come out repeated; other columns are not read; an empty table gives an empty
     result.
     """
     found = paragraphs(docs, id_col, text, model)
@@ -290,24 +305,3 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", model: Mod
         top["p"].alias("probability"), F.size(places("found")).cast("long").alias("n_paragraphs"), F.size(places("_sure")).cast("long").alias("n_confirmed"),
         places("_sure").alias("where"),
     )
-
-
-def plain_scan(text: str | None, model: Model) -> tuple[list[str], list[int]]:
-    """Families and places of a text, paragraph by paragraph and line by line: for tests."""
-    families, where = set(), []
-    for at, part in enumerate(re.split(BLANK, text or "")):
-        near = set(grams(part))
-        for unit in [part, *(part.split("\n") if "\n" in part else [])]:
-            held = set(grams(unit))
-            if not held & set(model.vocabulary):
-                continue
-            p = model.probabilities(unit)
-            best = model.classes[int(p.argmax())] if p.max() >= model.least else UNKNOWN
-            for family, statements in TEMPLATES.items():
-                for t in statements:
-                    mine = grams(t)
-                    enough = sum(g in held for g in mine) >= (CONFIRM if family == best else 1.0) * len(mine)
-                    if enough and not near & set(SHARED.get(t, ())):
-                        families.add(family)
-                        where.append(at)
-    return sorted(families), sorted(set(where))

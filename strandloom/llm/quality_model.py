@@ -6,7 +6,8 @@ labels alone, weighs the passages; the weighted sum of their representations is
 one passage can be told by it.
 
 Fitting takes at most ``sample`` labelled documents of each class (a parameter, ``SAMPLE``), those with the smallest
-hashes, with every passage of each.  Scoring reads every word of every document, in one pass without a shuffle.
+hashes, and of each up to ``passages`` of its passages (a parameter, ``PASSAGES``; 20,000 words), evenly from all of the
+text.  Scoring reads every word of every document, in one pass without a shuffle.
 """
 
 from __future__ import annotations
@@ -23,8 +24,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 PASSAGE = 64
-#: Labelled documents of each class that the model is fitted on.
-SAMPLE = 1500
+#: Labelled documents of each class that the model is fitted on, and passages of each, so what the driver holds is bounded.
+SAMPLE, PASSAGES = 1500, 320
 #: Hash buckets of words.
 BUCKETS = 32
 THRESHOLD = 0.3
@@ -152,10 +153,16 @@ def held_out(id_col: Column, of: int = HELD_OUT) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % of == 0, F.lit(True))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> Model:
-    """The model of labelled documents that are not held out: ``sample`` of each class, with all their passages.
+def evenly(bag: np.ndarray, most: int) -> np.ndarray:
+    """At most ``most`` rows, evenly from the first to the last."""
+    return bag if len(bag) <= most else bag[np.arange(most) * len(bag) // most]
 
-    Documents with labels of both kinds are left out.  Of rows that repeat an identifier one text is learned from.
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE, passages: int = PASSAGES) -> Model:
+    """The model of labelled documents that are not held out: ``sample`` of each class, ``passages`` of each evenly from its text.
+
+    Documents with labels of both kinds are left out.  Of rows that repeat an identifier one text is learned from.  The
+    driver holds ``2 * sample * passages`` rows of features at most, however long the texts are.
     """
     marks = labels.select(F.col(id_col).alias("_id"), F.col(label).cast("int").alias("_y")).filter(F.col("_y").isin(0, 1) & ~held_out(F.col("_id")))
     marks = marks.groupBy("_id").agg(F.min("_y").alias("_y"), F.max("_y").alias("_top")).filter("_y = _top").select("_id", "_y")
@@ -168,7 +175,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [encode(x.as_py() or "").tobytes() for x in batch.column(2)]
+            rows = [evenly(encode(x.as_py() or ""), passages).tobytes() for x in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.binary())], ["_id", "_y", "bag"])
 
     known = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text")).join(chosen, "_id").select("_id", "_y", "_text")
@@ -216,7 +223,8 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: s
 
     Only texts go into a score.  Null and empty texts are one passage without words and are scored as such.  Labels that
     are null or neither 0 nor 1 are not used; without labels of both classes every document gets the smoothed share of
-    label 1.  Repeated rows are scored alike; an empty table gives an empty result.
+    label 1.  Repeated rows are scored alike, and so are ties: equal texts have equal scores.  A very long text is scored
+    whole; only fitting bounds the passages of a text.  An empty table gives an empty result.
     """
     model = train(docs, labels, id_col, text, label)
     out = score(docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text")), model, "_id", "_text")

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.llm.common import materialize, word_count
+from strandloom.operators.curate import running_sums
 
 #: Weights of the sources in code point order of their names, null last, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -43,6 +44,8 @@ SEED = 20240
 MAX_SOURCES = 1_000_000
 #: The driver grows the tree to so many nodes, or until they hold so many counts.
 TOP, TOP_COUNTS = 64, 4_000_000
+#: Partitions that shards are dealt to at most: beyond, one holds several shards, one after the other.
+MOST_PARTS = 65_536
 #: A task grows so many shards at least: starting one costs more than a small subtree.
 SHARDS_A_TASK = 1024
 
@@ -201,9 +204,12 @@ def plan(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: float = MOST
     known = materialize(spark.createDataFrame(held, "_at long, _name string, _blocks long, source_size long, target double, _passes int, _rest double"), "mix-sources")
     sized = sizes.alias("a").join(known.alias("s"), _same("a", "s", "_name")).select("_id", "size", "_at", _block(seed).alias("_block"), _key(seed).alias("_key"))
     by_block = sized.groupBy("_at", "_block").agg(F.sum("size").alias("words"))
-    # One window row a block.
-    w = Window.partitionBy("_at").orderBy(F.xxhash64(F.lit(seed + 1), "_block"), "_block")
-    placed = by_block.withColumn("_place", (F.row_number().over(w) - 1).cast("long")).withColumn("_left", F.col("words") - F.sum("words").over(w))
+    # A large source has up to a hundred million blocks: places and totals run over range partitions, not over a source.
+    by_block = by_block.withColumns({"_order": F.struct("_at", F.xxhash64(F.lit(seed + 1), "_block").alias("h"), "_block"), "_one": F.lit(1)})
+    ranged = running_sums(by_block, F.col("_order"), {"_sum": "words", "_row": "_one"})
+    first = ranged.groupBy("_at").agg(F.min(F.col("_sum") - F.col("words")).alias("_words_before"), F.min(F.col("_row") - 1).alias("_rows_before"))  # one row a source
+    placed = ranged.join(first, "_at").withColumn("_place", (F.col("_row") - 1 - F.col("_rows_before")).cast("long"))
+    placed = placed.withColumn("_left", F.col("words") - (F.col("_sum") - F.col("_words_before")))
     placed = placed.join(known.select("_at", "_passes", "_rest"), "_at").select("_at", "_block", "words", "_place", "_passes", (F.col("_rest") + F.col("_left")).alias("_left"))
     placed = materialize(placed, "mix-blocks")
     # The remainder ends inside one block a source: documents in seeded order until half of the next is over the mark.
@@ -243,7 +249,8 @@ def _dealt(docs: DataFrame, planned: Plan, shards: int | None, seed: int) -> Dat
     placed = docs.join(names, F.col("_name").eqNullSafe(F.col("_of"))).withColumn("_block", _block(seed))
     rows = placed.join(draws, ["_at", "_block"]).filter((F.col("_pass") < F.col("_passes")) | _extra(_key(seed)))
     rows = rows.select(*docs.columns, "_shard", F.xxhash64(F.lit(seed + 3), "_id", "_pass").alias("_order"))
-    return rows.repartitionById(shards, F.col("_shard").cast("int")).sortWithinPartitions("_shard", "_order")
+    parts = min(shards, MOST_PARTS)
+    return rows.repartitionById(parts, (F.col("_shard") % parts).cast("int")).sortWithinPartitions("_shard", "_order")
 
 
 def mixture(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", shards: int | None = None, seed: int = SEED, **how) -> DataFrame:

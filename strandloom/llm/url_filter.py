@@ -26,8 +26,8 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -114,6 +114,26 @@ def _hashes(key: Column) -> Column:
     return F.struct(F.xxhash64(key).alias("a"), F.xxhash64(F.lit("second"), key).alias("b"))
 
 
+def listed_hashes(keys: Sequence[str]) -> np.ndarray:
+    """The two hashes of each distinct key, as :func:`_hashes` makes them, sorted."""
+    second = xxhash.xxh64_intdigest(b"second", 42)
+    out = np.empty((len(keys), 2), dtype=np.uint64)
+    for i, seed in enumerate((42, second)):
+        out[:, i] = np.fromiter((xxhash.xxh64_intdigest(k.encode(), seed) for k in keys), dtype=np.uint64, count=len(keys))
+    out = out[np.lexsort((out[:, 1], out[:, 0]))]
+    return out[np.append(True, (out[1:] != out[:-1]).any(axis=1))] if len(out) else out
+
+
+def among(keys: np.ndarray, listed: np.ndarray) -> np.ndarray:
+    """Which keys are in a sorted list of distinct ones."""
+    low, high = (np.searchsorted(listed[:, 0], keys[:, 0], side=x) for x in ("left", "right"))
+    found = np.zeros(len(keys), dtype=bool)
+    for step in range(int((high - low).max(initial=0))):  # more than once only where first hashes are equal
+        open_ = np.flatnonzero(low + step < high)
+        found[open_] |= listed[low[open_] + step, 1] == keys[open_, 1]
+    return found
+
+
 def _pairs(a, b) -> np.ndarray:
     return np.stack([np.asarray(a, dtype=np.int64).view(np.uint64), np.asarray(b, dtype=np.int64).view(np.uint64)], axis=1)
 
@@ -143,9 +163,7 @@ def build(universe: DataFrame, lists: Sequence[Sequence[str]]) -> list[Cascade]:
     spark = universe.sparkSession
     if any(len(x) > MAX_LISTED for x in lists):
         raise ValueError(f"more than {MAX_LISTED} listed keys")
-    named = [(i, x) for i, keys in enumerate(lists) for x in keys]
-    found = spark.createDataFrame(named, "of int, key string").select("of", _hashes(F.col("key")).alias("h")).select("of", "h.*").toPandas() if named else pd.DataFrame({"of": [], "a": [], "b": []})
-    inside = [_pairs(part["a"], part["b"]) for part in (found[found["of"] == i] for i in range(len(lists)))]
+    inside = [listed_hashes(keys) for keys in lists]
     size = universe.agg(F.approx_count_distinct("key")).first()[0]
     rate = lambda n: min(0.5, max(1e-9, n / (math.sqrt(2) * max(1, size - n))))
     first = [Bloom.of(keys, rate(len(keys)), 1) for keys in inside]
@@ -163,9 +181,8 @@ def build(universe: DataFrame, lists: Sequence[Sequence[str]]) -> list[Cascade]:
     out = []
     for i, keys in enumerate(inside):
         part = passed[passed["of"] == i]
-        every, own = _pairs(part["a"], part["b"]), {tuple(x) for x in keys.tolist()}
-        wrong = np.array([tuple(x) not in own for x in every.tolist()], dtype=bool)
-        out.append(finish(keys, first[i], every[wrong]))
+        every = _pairs(part["a"], part["b"])
+        out.append(finish(keys, first[i], every[~among(every, keys)]))
     return out
 
 

@@ -319,3 +319,18 @@ def test_many_rules_against_brute_force(spark):
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
     for r in url_filter.judge(pages, rules=rules, blocked=("b.z.test",)).collect():
         assert (r.host, r.path, r.rule, r.verdict) == decide(urls[r.page_id], rules, ("b.z.test",))
+
+
+def test_listed_hashes_are_sparks(spark):
+    keys = ["a", "", "net/es/", "ünï", "a"]
+    got = spark.createDataFrame([(k,) for k in set(keys)], "k string").select(url_filter._hashes(F.col("k")).alias("h")).select("h.*").collect()
+    want = url_filter._pairs([r.a for r in got], [r.b for r in got])
+    assert sorted(map(tuple, want.tolist())) == list(map(tuple, url_filter.listed_hashes(keys).tolist()))
+    assert url_filter.listed_hashes([]).shape == (0, 2)
+
+
+def test_membership_of_equal_first_hashes():
+    listed = np.array([[1, 2], [1, 5], [3, 1]], dtype=np.uint64)
+    keys = np.array([[1, 5], [1, 2], [1, 3], [3, 1], [2, 2], [9, 9]], dtype=np.uint64)
+    assert url_filter.among(keys, listed).tolist() == [True, True, False, True, False, False]
+    assert not url_filter.among(keys, listed[:0]).any()

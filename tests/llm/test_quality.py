@@ -210,16 +210,20 @@ def test_rules_against_numpy(spark):
     assert np.mean(good) > 0.98 and np.mean(bad) < 0.15
 
 
-def test_few_small_files_are_dealt_over_the_cores(spark, tmp_path, monkeypatch):
+def test_tables_are_dealt_anew_only_where_the_session_asks(spark, tmp_path):
     from strandloom.llm import common
 
-    monkeypatch.setattr(common, "SMALL", 1)
-    cores = spark.sparkContext.defaultParallelism
-    rows = spark.range(1000).selectExpr("id as doc_id", "cast(id as string) as text")
-    rows.coalesce(1).write.parquet(str(tmp_path / "one.parquet"))
-    rows.repartition(2 * cores).write.parquet(str(tmp_path / "many.parquet"))
-    exchanges = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange RoundRobin")
-    one = common.read(spark, str(tmp_path), "one", "doc_id", "text")
-    assert exchanges(one) == 1 and one.count() == 1000 and exchanges(common.read(spark, str(tmp_path), "many", "doc_id")) == 0
-    monkeypatch.setattr(common, "SPLIT", 10)  # a file of many splits is read as it is
-    assert exchanges(common.read(spark, str(tmp_path), "one", "doc_id")) == 0
+    spark.range(1000).selectExpr("id as doc_id", "cast(id as string) as text").coalesce(1).write.parquet(str(tmp_path / "one.parquet"))
+    exchanges = lambda: common.read(spark, str(tmp_path), "one", "doc_id", "text")._jdf.queryExecution().executedPlan().toString().count("Exchange RoundRobin")
+    assert exchanges() == 0
+    spark.conf.set(common.DEAL, "6")
+    try:
+        assert exchanges() == 1 and common.read(spark, str(tmp_path), "one", "doc_id").rdd.getNumPartitions() == 6
+    finally:
+        spark.conf.unset(common.DEAL)
+
+
+def test_long_texts_give_a_bounded_number_of_passages():
+    bag = np.arange(1000, dtype=np.float32).reshape(-1, 1)
+    some = quality_model.evenly(bag, 320)
+    assert len(some) == 320 and some[0] == 0 and some[-1] > 990 and (np.diff(some[:, 0]) > 0).all() and quality_model.evenly(bag, 1000) is bag

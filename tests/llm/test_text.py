@@ -201,6 +201,58 @@ def test_whole_notices_are_confirmed(spark, licences):
     assert not others
 
 
+def plain_scan(text, model):
+    """Families and places of a text, paragraph by paragraph and line by line."""
+    plain = set("a all an and any are as at be by for from had has he in is it its may no not of on or see she that the this to was were with you".split())
+    at = {g: i for i, g in enumerate(model.vocabulary)}
+
+    def bigrams(t):
+        ws = "".join(c if c in "abcdefghijklmnopqrstuvwxyz0123456789" else " " for c in t.lower()).split()
+        return {f"{a} {b}" for a, b in zip(ws, ws[1:]) if not {a, b} <= plain}  # noqa: B905
+
+    paragraphs, lines = [[]], (text or "").split("\n")
+    for i, line in enumerate(lines):
+        if line.strip(" \t\x0b\x0c\r") or i in (0, len(lines) - 1):
+            paragraphs[-1].append(line)
+        elif paragraphs[-1] or len(paragraphs) == 1:
+            paragraphs.append([])
+    families, where = set(), set()
+    for n, part in enumerate(paragraphs):
+        near = bigrams("\n".join(part))
+        for unit in ["\n".join(part), *(part if len(part) > 1 else [])]:
+            known = [g for g in bigrams(unit) if g in at]
+            if not known:
+                continue
+            z = np.exp((model.bias + sum(model.weights[at[g]] for g in known)) / model.temperature)
+            odds = dict(zip(model.classes, z, strict=True))
+            best = max(sorted(odds), key=odds.get)
+            for family, statements in license_scan.TEMPLATES.items():
+                for t in statements:
+                    mine = bigrams(t)
+                    share = len(mine & set(known)) / len(mine)
+                    leads = family == best and odds[best] / sum(odds.values()) >= model.least and share >= license_scan.CONFIRM
+                    beside = odds[family] / (odds[family] + odds[license_scan.UNKNOWN]) >= model.least and share == 1
+                    if (leads or beside) and not near & set(license_scan.SHARED.get(t, ())):
+                        families.add(family)
+                        where.add(n)
+    return sorted(families), sorted(where)
+
+
+def test_the_level_reaches_its_precision_or_there_is_none():
+    p, right = np.array([0.35, 0.45, 0.55, 0.65, 0.75, 0.85]), np.array([False, True, False, True, True, True])
+    assert license_scan.calibrated(p, right) == 0.6
+    with pytest.raises(ValueError, match="no level"):
+        license_scan.calibrated(p, np.zeros(6, dtype=bool))
+
+
+def test_what_is_not_predicted_is_not_confirmed(spark, licences):
+    import dataclasses
+
+    deaf = dataclasses.replace(licences, bias=np.where(np.array(licences.classes) == license_scan.UNKNOWN, 500.0, 0.0))
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(notices())], "doc_id long, text string")
+    assert {r.family for r in license_scan.scan(docs, model=deaf).collect()} == {license_scan.UNKNOWN}
+
+
 def test_scan_equals_the_plain_one(spark, licences):
     rng = random.Random(8)
     statements = [t for ts in license_scan.TEMPLATES.values() for t in ts]
@@ -211,7 +263,7 @@ def test_scan_equals_the_plain_one(spark, licences):
             ws[rng.randrange(len(ws))] = rng.choice(["blah", "\n", "\n\n", "License", "ü", "(c)"])
         texts.append(" ".join(ws))
     got = {r.doc_id: (list(r.families), list(r.where)) for r in license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model=licences).collect()}
-    assert got == {i: license_scan.plain_scan(t, licences) for i, t in enumerate(texts)}
+    assert got == {i: plain_scan(t, licences) for i, t in enumerate(texts)}
     assert sum(bool(f) for f, _ in got.values()) > 30 and sum(not f for f, _ in got.values()) > 10
 
 
