@@ -58,16 +58,22 @@ def net_charge(s: Column, ph: float = PH) -> Column:
 
 
 def isoelectric_point(s: Column, steps: int = 50) -> Column:
-    """Where the rounded charge changes its sign, by bisection of 0 to 14."""
+    """Where the rounded charge changes its sign, by bisection of 0 to 14: one power a step."""
     names = (*POSITIVE, *NEGATIVE)
 
-    def search(counts: Column) -> Column:
-        held = {r: counts[r] for r in names}
+    def charge(counts: Column, protons: Column) -> Column:
+        plus = [(1.0, N_TERM), *[(counts[r], p) for r, p in POSITIVE.items()]]
+        minus = [(1.0, C_TERM), *[(counts[r], p) for r, p in NEGATIVE.items()]]
+        total = sum((n / (1 + protons * 10.0**-p) for n, p in plus), F.lit(0.0)) - sum((n / (1 + 10.0**p / protons) for n, p in minus), F.lit(0.0))
+        return F.round(total, 4)
 
+    def search(counts: Column) -> Column:
         def step(acc: Column, _: Column) -> Column:
-            mid = (acc["lo"] + acc["hi"]) / 2
-            up = _charge(held, mid) > 0
-            return F.struct(F.when(up, mid).otherwise(acc["lo"]).alias("lo"), F.when(up, acc["hi"]).otherwise(mid).alias("hi"))
+            def half(mid: Column) -> Column:
+                return let(F.struct(mid.alias("mid"), (let(F.pow(F.lit(10.0), mid), lambda x: charge(counts, x)) > 0).alias("up")), lambda m: F.struct(
+                    F.when(m["up"], m["mid"]).otherwise(acc["lo"]).alias("lo"), F.when(m["up"], acc["hi"]).otherwise(m["mid"]).alias("hi")))
+
+            return half((acc["lo"] + acc["hi"]) / 2)
 
         start = F.struct(F.lit(0.0).alias("lo"), F.lit(14.0).alias("hi"))
         return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step, lambda acc: F.round((acc["lo"] + acc["hi"]) / 2, 4))
@@ -80,19 +86,29 @@ def _scale_array(s: Column, scale: Mapping[str, float]) -> Column:
     return F.transform(F.filter(F.split(s, ""), lambda c: c != ""), lambda c: F.get(values, F.instr(F.lit(RESIDUES), c) - 1))
 
 
+#: 100 degrees a residue: the direction repeats after 18.
+PERIOD = 18
+
+
 def hydrophobic_moment(s: Column, window: int = WINDOW) -> Column:
-    """The largest moment of a window, with 100 degrees a residue; a shorter sequence is one window."""
-    cos, sin = (F.array(*[F.lit(f(TURN * i)) for i in range(window)]) for f in (math.cos, math.sin))
+    """The largest moment of a window, with 100 degrees a residue; a shorter sequence is one window.
+
+    A moment's size does not depend on where the angle starts, so the window's sums run on from residue to residue: one
+    comes in, one goes out, which is linear in the length whatever the window.
+    """
+    cos, sin = (F.array(*[F.lit(f(TURN * i)) for i in range(PERIOD)]) for f in (math.cos, math.sin))
 
     def over(h: Column) -> Column:
         n = F.least(F.size(h), F.lit(window))
 
-        def at(start: Column) -> Column:
-            part = F.slice(h, start, n)
-            side = lambda wave: F.aggregate(F.zip_with(part, F.slice(wave, F.lit(1), n), lambda x, w: x * w), F.lit(0.0), lambda a, x: a + x)
-            return F.hypot(side(cos), side(sin)) / n
+        def step(acc: Column, i: Column) -> Column:
+            gone = i - n
+            term = lambda wave: F.get(h, i) * F.get(wave, i % PERIOD) - F.when(gone >= 0, F.get(h, gone) * F.get(wave, gone % PERIOD)).otherwise(0.0)
+            moved = F.struct((acc["x"] + term(cos)).alias("x"), (acc["y"] + term(sin)).alias("y"), acc["most"].alias("most"))
+            return let(moved, lambda m: F.struct(m["x"].alias("x"), m["y"].alias("y"), F.when(i >= n - 1, F.greatest(m["most"], m["x"] * m["x"] + m["y"] * m["y"])).otherwise(0.0).alias("most")))
 
-        return F.array_max(F.transform(F.sequence(F.lit(1), F.size(h) - n + 1), at))
+        start = F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("most"))
+        return F.aggregate(F.sequence(F.lit(0), F.size(h) - 1), start, step, lambda acc: F.sqrt(acc["most"]) / n)
 
     return _valid(s, F.round(let(_scale_array(s, CONSENSUS), over), 6))
 
