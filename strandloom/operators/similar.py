@@ -238,6 +238,18 @@ def local_screen(df: DataFrame, known: DataFrame, sequence: str, known_sequence:
     return df.join(close, own_key(sequence) == own_key("a_s"), "left_anti")
 
 
+def edit_distances(queries: DataFrame, rows: DataFrame, sequence: str, salts: int = SALTS) -> DataFrame:
+    """``x, y, distance``: the edit distance of each distinct stated text to every other distinct one; null texts have none.
+
+    Every query meets every row, which is what is asked for, in parts: rows are dealt over ``salts`` parts by hash, and a query
+    has a copy in each.
+    """
+    text = lambda df, name: df.select(F.col(sequence).alias(name)).filter(F.col(name).isNotNull()).distinct()
+    left = text(queries, "x").withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    right = text(rows, "y").withColumn("_part", F.pmod(F.xxhash64("y"), F.lit(salts)).cast("int"))
+    return left.join(right, (left["_part"] == right["_part"]) & (F.col("x") != F.col("y"))).select("x", "y", F.levenshtein("x", "y").alias("distance"))
+
+
 #: Query rows that a task of ``cosine_pairs`` meets at a time, and rows that it meets them with.
 QUERY_BLOCK, ROW_BLOCK = 1_000, 4_000
 

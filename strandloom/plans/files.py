@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import io
-import json
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.plans.registry import query
+from strandloom.plans.registry import GOOD, SEQ, canonical_records, query
 from strandloom.sources import fasta, sinks, text, xlsx
 from strandloom.storage import new_path, table
 
@@ -47,16 +46,20 @@ def csv_foreign_encoding(spark, sf_dir):
     return text.read_csv(spark, path).select("id", "note")
 
 
-@query("""SELECT 'cp1252' AS encoding, 1::BIGINT AS files, string_agg('µ' || r_name, chr(10) ORDER BY r_regionkey) AS text FROM region UNION ALL
-        SELECT 'utf-8-sig', 1, string_agg('µ' || r_name, chr(10) ORDER BY r_regionkey) FROM region""")
+_SUPPLIERS = "string_agg('µ' || s_name || ' ' || s_acctbal::VARCHAR, chr(10) ORDER BY s_suppkey)"
+
+
+@query(f"""SELECT 'cp1252' AS encoding, 1::BIGINT AS files, sha256({_SUPPLIERS}) AS sha256, length({_SUPPLIERS}) AS chars FROM supplier UNION ALL
+        SELECT 'utf-8-sig', 1, sha256({_SUPPLIERS}), length({_SUPPLIERS}) FROM supplier""")
 def decoded_files(spark, sf_dir):
-    """Files decoded by the first encoding that fits."""
+    """Files of all suppliers, decoded by the first encoding that fits."""
     path = new_path(spark, "decoded")
-    names = [r[0] for r in table(spark, sf_dir, "region").orderBy("r_regionkey").select("r_name").collect()]  # the fixed table of regions
-    whole = "\n".join("µ" + n for n in names)
+    line = F.concat(F.lit("µ"), "s_name", F.lit(" "), F.col("s_acctbal").cast("string")).alias("line")
+    whole = "\n".join(r[0] for r in table(spark, sf_dir, "supplier").orderBy("s_suppkey").select(line).toLocalIterator())  # the files are made here
     _put(spark, f"{path}/a.txt", whole.encode("cp1252"))
     _put(spark, f"{path}/b.txt", whole.encode("utf-8-sig"))
-    return text.read_decoded(spark, path).groupBy("encoding").agg(F.count(F.lit(1)).alias("files"), F.max("text").alias("text"))
+    found = text.read_decoded(spark, path).groupBy("encoding").agg(F.count(F.lit(1)).alias("files"), F.max("text").alias("text"))
+    return found.select("encoding", "files", F.sha2("text", 256).alias("sha256"), F.length("text").cast("long").alias("chars"))
 
 
 @query("SELECT least(7, count(*)) AS rows, 2::BIGINT AS columns FROM nation")
@@ -114,14 +117,14 @@ def fasta_faults(spark, sf_dir):
     return lost.join(F.broadcast(fasta.read_fasta(spark, path).select("header", "sequence")))  # one file, one record
 
 
-@query("SELECT r_regionkey::VARCHAR AS first, '' AS middle, r_name AS last, r_regionkey::BIGINT AS record_ord FROM region")
+@query("SELECT s_suppkey::VARCHAR AS first, '' AS middle, s_name AS last, row_number() OVER (ORDER BY s_suppkey) - 1 AS record_ord FROM supplier")
 def xlsx_records(spark, sf_dir):
-    """A workbook with a blank column, from the fixed table of regions."""
+    """A workbook of all suppliers with a blank column."""
     path = new_path(spark, "xlsx")
-    rows = table(spark, sf_dir, "region").orderBy("r_regionkey").collect()  # the fixed table of regions
+    rows = table(spark, sf_dir, "supplier").orderBy("s_suppkey").select("s_suppkey", "s_name").toLocalIterator()  # the workbook is made here
     cell = lambda ref, value: f'<c r="{ref}" t="inlineStr"><is><t>{value}</t></is></c>'
     lines = [f'<row r="1">{cell("A1", "first")}{cell("B1", "middle")}{cell("C1", "last")}</row>']
-    lines += [f'<row r="{i + 2}">{cell(f"A{i + 2}", r["r_regionkey"])}{cell(f"C{i + 2}", r["r_name"])}</row>' for i, r in enumerate(rows)]
+    lines += [f'<row r="{i + 2}">{cell(f"A{i + 2}", r["s_suppkey"])}{cell(f"C{i + 2}", r["s_name"])}</row>' for i, r in enumerate(rows)]
     held = io.BytesIO()
     with zipfile.ZipFile(held, "w") as book:
         sheet = f'<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>{"".join(lines)}</sheetData></worksheet>'
@@ -139,59 +142,78 @@ def parquet_round_trip(spark, sf_dir):
     return spark.read.parquet(path).groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("quantity"))
 
 
-@query("SELECT r_name AS name, r_regionkey::BIGINT AS files FROM region")
+@query("SELECT p_brand AS name, count(*) AS files, sum(p_retailprice)::DOUBLE AS bytes FROM part GROUP BY p_brand")
 def manifest_read(spark, sf_dir):
-    """A JSON manifest."""
+    """A manifest that is one JSON document: parts by brand."""
     path = new_path(spark, "manifest")
-    rows = [{"name": r["r_name"], "files": r["r_regionkey"]} for r in table(spark, sf_dir, "region").collect()]  # the fixed table of regions
-    _put(spark, f"{path}/m.json", json.dumps(rows).encode())
-    return text.read_manifest(spark, f"{path}/m.json").select("name", "files")
+    by = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("name")).agg(F.count(F.lit(1)).alias("files"), F.sum("p_retailprice").alias("bytes"))
+    by.agg(F.to_json(F.collect_list(F.struct("name", "files", "bytes"))).alias("value")).write.text(path)  # one row a brand
+    return text.read_manifest(spark, path).select("name", "files", "bytes")
+
+
+#: A file for each size of part, with the names of its parts; every part is in one of them.
+_FILES = """f AS (SELECT p_size AS i, 'size-' || p_size AS path, sum(strlen(p_name) + 1)::BIGINT AS bytes, sha256(string_agg(p_name || chr(10), '' ORDER BY p_partkey)) AS sha256
+        FROM part GROUP BY p_size)"""
 
 
 def _pinned(spark: SparkSession, sf_dir: str, path: str) -> DataFrame:
-    """A file for each region, and its name, bytes and digest."""
-    for r in table(spark, sf_dir, "region").collect():  # the fixed table of regions
-        _put(spark, f"{path}/{r['r_regionkey']}.txt", r["r_name"].encode())
-    files = text.checksums(spark, path)
-    return files.withColumn("path", F.element_at(F.split("path", "/"), -1))
+    """``i, path, bytes, sha256`` of a file for each size of part, which tasks write."""
+    rows = table(spark, sf_dir, "part").repartition("p_size").sortWithinPartitions("p_size", "p_partkey")
+    rows.select("p_size", F.col("p_name").alias("value")).write.mode("append").partitionBy("p_size").text(path)
+    return _named(text.checksums(spark, path).filter(F.col("path").contains("p_size=")))
 
 
-@query("""SELECT r_regionkey || '.txt' AS path, length(r_name)::BIGINT AS bytes, sha256(r_name) AS sha256,
-    CASE r_regionkey WHEN 0 THEN 'changed' WHEN 1 THEN 'unexpected' ELSE 'ok' END AS problem FROM region UNION ALL SELECT 'gone.txt', NULL, NULL, 'missing'""")
+def _named(files: DataFrame) -> DataFrame:
+    i = F.regexp_extract("path", "p_size=([0-9]+)/", 1).cast("int")
+    return files.select(i.alias("i"), F.concat(F.lit("size-"), i).alias("path"), "bytes", "sha256")
+
+
+@query(f"""WITH {_FILES} SELECT path, bytes, sha256, CASE WHEN i % 7 = 0 THEN 'changed' WHEN i % 7 = 1 THEN 'unexpected' ELSE 'ok' END AS problem FROM f
+    UNION ALL SELECT 'gone-' || i, NULL, NULL, 'missing' FROM f WHERE i % 7 = 2""")
 def pinned_sources(spark, sf_dir):
-    """Checksums of files against a pinned manifest with one file changed, one unknown and one gone."""
+    """Checksums of files against a pinned manifest with some files changed, some unknown and some gone."""
     found = _pinned(spark, sf_dir, new_path(spark, "pinned"))
-    pinned = found.filter("path <> '1.txt'").withColumn("sha256", F.when(F.col("path") == "0.txt", "other").otherwise(F.col("sha256")))
-    pinned = pinned.unionByName(spark.createDataFrame([("gone.txt", 1, "x")], "path string, bytes long, sha256 string"))
-    bad = text.verify_checksums(found, pinned)
+    pinned = found.filter("i % 7 <> 1").select("path", "bytes", F.when(F.col("i") % 7 == 0, "other").otherwise(F.col("sha256")).alias("sha256"))
+    pinned = pinned.unionByName(found.filter("i % 7 = 2").select(F.concat(F.lit("gone-"), "i").alias("path"), "bytes", "sha256"))
+    bad = text.verify_checksums(found.select("path", "bytes", "sha256"), pinned)
     return found.join(bad, "path", "full").select("path", "bytes", "sha256", F.coalesce("problem", F.lit("ok")).alias("problem"))
 
 
-@query("""SELECT r_regionkey || '.txt' AS path, 'https://example.org/' || r_regionkey AS url, CASE r_regionkey WHEN 0 THEN 'fetch again' ELSE 'keep' END AS action FROM region
-    UNION ALL SELECT 'new.txt', 'https://example.org/new', 'fetch' UNION ALL SELECT '../up.txt', 'https://example.org/up', 'refuse'""")
+@query(f"""WITH {_FILES} SELECT path, 'https://example.org/' || path AS url, CASE WHEN i % 7 = 0 THEN 'fetch again' ELSE 'keep' END AS action FROM f
+    UNION ALL SELECT 'new/' || path, 'https://example.org/new', 'fetch' FROM f WHERE i % 5 = 1 UNION ALL SELECT '../' || path, 'https://example.org/up', 'refuse' FROM f WHERE i % 5 = 2""")
 def fetch_plan(spark, sf_dir):
     """What is left to fetch of a pinned source."""
     found = _pinned(spark, sf_dir, new_path(spark, "pinned"))
-    url = F.concat(F.lit("https://example.org/"), F.split("path", r"\.")[0])
-    pinned = found.select("path", url.alias("url"), F.when(F.col("path") == "0.txt", "other").otherwise(F.col("sha256")).alias("sha256"))
-    more = spark.createDataFrame([("new.txt", "https://example.org/new", "x"), ("../up.txt", "https://example.org/up", "x")], "path string, url string, sha256 string")
-    return text.fetch_plan(pinned.unionByName(more), found)
+    sha = F.when(F.col("i") % 7 == 0, "other").otherwise(F.col("sha256"))
+    pinned = found.select("path", F.concat(F.lit("https://example.org/"), "path").alias("url"), sha.alias("sha256"))
+    more = lambda rest, at, name: found.filter(f"i % 5 = {rest}").select(F.concat(F.lit(at), "path").alias("path"), F.lit(f"https://example.org/{name}").alias("url"), "sha256")
+    return text.fetch_plan(pinned.unionByName(more(1, "new/", "new")).unionByName(more(2, "../", "up")), found)
+
+
+#: Each file is made from the one before it; some records are of another content, some parents are gone or not recorded.
+_LINKS = """f AS (SELECT p_size AS i, 'size-' || p_size AS path, sha256(string_agg(p_name || chr(10), '' ORDER BY p_partkey)) AS sha256 FROM part GROUP BY p_size),
+    l AS (SELECT i, CASE WHEN i % 11 = 5 THEN 'lost-' || i WHEN i % 11 = 6 THEN '../' || path ELSE path END AS path, CASE WHEN i % 7 = 3 THEN 'other' ELSE sha256 END AS sha256,
+            CASE WHEN i % 4 > 0 THEN 'size-' || (i - 1) END AS parent, CASE WHEN i % 9 = 2 THEN 'other' ELSE (SELECT x.sha256 FROM f x WHERE x.i = f.i - 1) END AS parent_sha256
+          FROM f WHERE i % 13 <> 1)"""
 
 
-@query("""SELECT * FROM (VALUES ('1.txt', 'changed'), ('3.txt', 'parent changed'), ('4.txt', 'parent without a record'), ('../x', 'unsafe path'),
-        ('../x', 'missing'), ('9.txt', 'missing'), ('9.txt', 'parent missing'), ('9.txt', 'parent without a record')) AS t(path, problem)""")
+@query(f"""WITH {_LINKS}, j AS (SELECT l.*, a.sha256 AS have, b.path AS up, b.sha256 AS up_sha, l.parent IN (SELECT path FROM l) AS recorded FROM l LEFT JOIN f a ON a.path = l.path LEFT JOIN f b ON b.path = l.parent)
+    SELECT path, 'unsafe path' AS problem FROM j WHERE starts_with(path, '../') UNION ALL SELECT path, 'missing' FROM j WHERE have IS NULL
+    UNION ALL SELECT path, 'changed' FROM j WHERE have IS NOT NULL AND have <> sha256 UNION ALL SELECT path, 'parent missing' FROM j WHERE parent IS NOT NULL AND up IS NULL
+    UNION ALL SELECT path, 'parent changed' FROM j WHERE up IS NOT NULL AND up_sha IS DISTINCT FROM parent_sha256 UNION ALL SELECT path, 'parent without a record' FROM j WHERE parent IS NOT NULL AND NOT recorded""")
 def manifest_chain(spark, sf_dir):
     """A chain of recorded artefacts: some changed, some lost, some made from what nobody recorded."""
     found = _pinned(spark, sf_dir, new_path(spark, "chain"))
-    sha = {r["path"]: r["sha256"] for r in found.collect()}  # the fixed table of regions
-    links = [
-        ("0.txt", sha["0.txt"], None, None), ("1.txt", "other", "0.txt", sha["0.txt"]), ("3.txt", sha["3.txt"], "0.txt", "other"),
-        ("4.txt", sha["4.txt"], "2.txt", sha["2.txt"]), ("../x", "y", None, None), ("9.txt", "z", "8.txt", "w"),
-    ]
-    return text.verify_chain(found, spark.createDataFrame(links, "path string, sha256 string, parent string, parent_sha256 string"))
+    i, before = F.col("i"), found.select((F.col("i") + 1).alias("i"), F.col("sha256").alias("before"))
+    links = found.filter("i % 13 <> 1").join(before, "i", "left").select(
+        F.when(i % 11 == 5, F.concat(F.lit("lost-"), i)).when(i % 11 == 6, F.concat(F.lit("../"), "path")).otherwise(F.col("path")).alias("path"),
+        F.when(i % 7 == 3, "other").otherwise(F.col("sha256")).alias("sha256"), F.when(i % 4 > 0, F.concat(F.lit("size-"), i - 1)).alias("parent"),
+        F.when(i % 9 == 2, "other").otherwise(F.col("before")).alias("parent_sha256"),
+    )
+    return text.verify_chain(found, links)
 
 
-@query("SELECT r_regionkey || '.txt' AS path, length(r_name)::BIGINT AS bytes, sha256(r_name) AS sha256, 'pinned' AS source FROM region")
+@query(f"WITH {_FILES} SELECT path, bytes, sha256, 'pinned' AS source FROM f")
 def source_manifest(spark, sf_dir):
     """Files beside what a catalog says of their folder; moved to their place in one step, with a checksum file."""
     staged, final = new_path(spark, "staged"), new_path(spark, "final")
@@ -199,11 +221,13 @@ def source_manifest(spark, sf_dir):
     sinks.publish(spark, staged, final)
     sums = new_path(spark, "sums")
     sinks.write_checksums(spark, final, sums)
-    listed = spark.read.text(sums).select(F.split("value", "  ")[0].alias("listed"), F.element_at(F.split("value", "/"), -1).alias("name"))
-    catalog = spark.createDataFrame([(final.rsplit("/", 1)[-1], "pinned")], "folder string, source string")
-    files = sinks.source_manifest(text.checksums(spark, final), catalog)
-    both = files.withColumn("name", F.element_at(F.split("path", "/"), -1)).join(listed, "name")
-    return both.filter("listed = sha256").select(F.col("name").alias("path"), "bytes", "sha256", "source")
+    listed = spark.read.text(sums).select(F.split("value", "  ")[0].alias("listed"), F.regexp_extract("value", "p_size=([0-9]+)/", 1).cast("int").alias("i"))
+    files = text.checksums(spark, final).filter(F.col("path").contains("p_size="))
+    folder = F.element_at(F.split("path", "/"), -2)
+    catalog = files.select(folder.alias("folder"), F.lit("pinned").alias("source")).distinct()
+    known = sinks.source_manifest(files, catalog)
+    both = known.withColumn("i", F.regexp_extract("path", "p_size=([0-9]+)/", 1).cast("int")).join(listed, "i")
+    return both.filter("listed = sha256").select(F.concat(F.lit("size-"), "i").alias("path"), "bytes", "sha256", "source")
 
 
 @query("""SELECT source_database, count(*) AS record_count, max(malformed)::BIGINT AS malformed_count FROM (
@@ -235,12 +259,18 @@ def run_report(spark, sf_dir):
     return spark.createDataFrame([(seen.get["rows"], seen.get["high"], chart.count("<rect"), len(markdown.splitlines()))], "rows long, high long, bars long, lines long")
 
 
-@query("""SELECT 'sound' AS file, 0::BIGINT AS broken UNION ALL SELECT 'faulty', 3""")
+@query(f"""WITH {SEQ}, r AS (SELECT s FROM seq WHERE {GOOD})
+    SELECT 'faulty' AS file, 'library_repeats' AS rule, count(*) AS violations FROM (SELECT s FROM r GROUP BY s HAVING count(*) > 1) HAVING count(*) > 0
+    UNION ALL SELECT 'faulty', 'library_length', count(*) FROM r WHERE length(s) NOT BETWEEN 8 AND 50 HAVING count(*) > 0""")
 def validator(spark, sf_dir):
-    """The command line's checks of two files: one sound, one with a stray line, a repeat and a bad alphabet."""
+    """What the command line's checks find in two files: all records of residues, and the valid ones without repeats."""
     from strandloom.validate import violations
 
-    path = new_path(spark, "validated")
-    _put(spark, f"{path}/a.fa", b">a\nACDEFGHI\n>b\nKKKKKKKK\n")
-    _put(spark, f"{path}/b.fa", b"stray\n>a\nACDEFGHI\n>b\nACDEFGHI\n>c\nBBBBBBBBB\n")
-    return spark.createDataFrame([("sound", len(violations(spark, f"{path}/a.fa"))), ("faulty", len(violations(spark, f"{path}/b.fa")))], "file string, broken long")
+    rows = canonical_records(spark, sf_dir).select("rec_id", F.col("rec_id").cast("string").alias("header"), F.col("s").alias("sequence"))
+    sound = rows.filter(F.length("sequence").between(8, 50)).groupBy("sequence").agg(F.min("rec_id").alias("rec_id"), F.min("header").alias("header"))
+    found = []
+    for name, part in (("faulty", rows), ("sound", sound)):
+        path = new_path(spark, "validated")
+        fasta.write_fasta(part, path, "rec_id")
+        found += [(name, rule, n) for rule, n in violations(spark, path).items()]
+    return spark.createDataFrame(found, "file string, rule string, violations long")

@@ -200,6 +200,15 @@ def edit_distances(spark, sf_dir):
     return a.join(b, F.col("a") < F.col("b")).select("a", "b", F.levenshtein("x", "y").alias("distance"))
 
 
+@query(f"""WITH {SENTENCES}, t AS (SELECT DISTINCT strip_accents(s) AS t, item_id FROM sent)
+    SELECT x, y, distance FROM (SELECT DISTINCT a.t AS x, b.t AS y, levenshtein(a.t, b.t)::INTEGER AS distance FROM t a JOIN t b ON a.t <> b.t WHERE a.item_id % 20 = 0)""")
+def sentence_distances(spark, sf_dir):
+    """Edit distances of the sentences of every twentieth item to all others; accents go, since not every engine counts them as characters."""
+    plain = F.translate("s", "ÀÂÄÇÈÉÊËÎÏÔÖÙÛÜŸÁÍÓÚÑ", "AAACEEEEIIOOUUUYAIOUN")
+    rows = sentences(spark, sf_dir).select(plain.alias("t"), "item_id")
+    return similar.edit_distances(rows.filter("item_id % 20 = 0"), rows, "t")
+
+
 #: Local alignment: rows of the score table, a character of the left text at a time; gaps to the right cost one each.
 _LOCAL = """n AS (SELECT a.n_nationkey AS a, b.n_nationkey AS b, a.n_name AS x, b.n_name AS y FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey),
     r(a, b, x, y, i, row) AS (

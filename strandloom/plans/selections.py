@@ -50,8 +50,17 @@ def lcb_quality(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", quality.alias("quality"))
 
 
-@query()
+@query("""WITH RECURSIVE m AS (SELECT avg(p_size) AS a, stddev_pop(p_size) AS b, avg(p_retailprice) AS c, stddev_pop(p_retailprice) AS d FROM part),
+    z AS (SELECT p_partkey AS k, (p_size - a) / b AS x, (p_retailprice - c) / d AS y FROM part, m),
+    s(i, k, x, y, near, c, cx, cy) AS (
+        SELECT 1, k, x, y, 'inf'::DOUBLE, first_value(k) OVER o, first_value(x) OVER o, first_value(y) OVER o FROM z WINDOW o AS (ORDER BY k)
+        UNION ALL
+        SELECT i + 1, k, x, y, near, first_value(k) OVER o, first_value(x) OVER o, first_value(y) OVER o FROM (
+            SELECT i, k, x, y, least(near, round(sqrt(pow(x - cx, 2) + pow(y - cy, 2)), 12)) AS near FROM s WHERE i < 100 AND k <> c)
+        WINDOW o AS (ORDER BY near DESC, k DESC))
+    SELECT DISTINCT c AS p_partkey, i::INTEGER AS rank FROM s""")
 def farthest_points(spark, sf_dir):
+    """A hundred parts by max-min distance."""
     p = table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("double").alias("p_size"), "p_retailprice")
     return select.farthest_points(p, "p_partkey", ["p_size", "p_retailprice"], 100)
 
@@ -168,12 +177,14 @@ def perplexity_scores(spark, sf_dir):
     return out.withColumn("perplexity", F.round("perplexity", 4))
 
 
-@query("""WITH t AS (SELECT unnest([0, 1225, 2625]) AS start, unnest([1225, 1400, 875]) AS n, unnest([0.85::DOUBLE, 1.0::DOUBLE, 1.15::DOUBLE]) AS temperature),
-        b AS (SELECT *, unnest(range(0, n, 64)) AS i FROM t)
-    SELECT (start + i)::INTEGER AS first_attempt, least(64, n - i)::INTEGER AS attempts, temperature, 0.9::DOUBLE AS top_p, (start + i + 42)::INTEGER AS batch_seed FROM b""")
+@query("""WITH t AS (SELECT p_size, count(*) AS n, 0.8::DOUBLE + p_size / 100.0::DOUBLE AS temperature FROM part GROUP BY p_size),
+        c AS (SELECT *, sum(n) OVER (ORDER BY p_size) - n AS start FROM t), b AS (SELECT *, unnest(range(0, n, 16)) AS i FROM c)
+    SELECT (start + i)::INTEGER AS first_attempt, least(16, n - i)::INTEGER AS attempts, round(temperature, 4) AS temperature, 0.9::DOUBLE AS top_p, (start + i + 42)::INTEGER AS batch_seed FROM b""")
 def sampling_schedule(spark, sf_dir):
-    """Batches of the first sampling run with their temperatures and seeds: plain data, no table is read."""
-    return models.sampling_schedule(spark)
+    """Batches of a sampler with their temperatures and seeds; a tier for each size of part, an attempt for each part."""
+    tiers = table(spark, sf_dir, "part").groupBy("p_size").agg(F.count(F.lit(1)).alias("n")).orderBy("p_size").collect()  # one row a size
+    out = models.sampling_schedule(spark, [(r["n"], 0.8 + r["p_size"] / 100.0) for r in tiers], batch=16)
+    return out.withColumn("temperature", F.round("temperature", 4))
 
 
 # Verification --------------------------------------------------------------------------------------------------------

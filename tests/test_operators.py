@@ -307,7 +307,10 @@ def test_farthest_points(spark):
         chosen.append(at)
         near = np.minimum(near, np.linalg.norm(z - z[at], axis=1))
     df = frame(spark, [(i, *map(float, v)) for i, v in enumerate(x)], "k long, x double, y double").repartition(3)
-    assert [r.k for r in select.farthest_points(df, "k", ["x", "y"], 15, 4).orderBy("rank").collect()] == chosen
+    for front in (1, 4, 1024):
+        report = []
+        assert [r.k for r in select.farthest_points(df, "k", ["x", "y"], 15, front, report).orderBy("rank").collect()] == chosen
+        assert (report[0] == 0) == (front == 1024) and report[0] <= 15
 
 
 def test_diverse_greedy_against_a_loop(spark):
