@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from strandloom.functions import sequence, similarity
 from strandloom.operators import aggregate, forest, graph, select, similar
-from strandloom.plans.registry import query
+from strandloom.plans.registry import numbered, query
 from strandloom.storage import table
 
 
@@ -18,7 +18,7 @@ def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``k, item_id, s``: the sentences of each benchmark text."""
     piece = F.split(F.replace(F.coalesce("text", F.lit("")), F.lit("ß"), F.lit("sz")), r"[.!?\n]+")
     rows = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(piece).alias("pos", "piece"))
-    return rows.select((F.col("item_id") * 1000 + F.col("pos")).alias("k"), "item_id", sequence.norm(F.col("piece")).alias("s"))
+    return rows.select(numbered("item_id", F.col("pos"), 1000).alias("k"), "item_id", sequence.norm(F.col("piece")).alias("s"))
 
 
 SENTENCES = r"""b AS (SELECT item_id, unnest(range(len(x))) AS pos, unnest(x) AS piece FROM (SELECT item_id,
@@ -43,7 +43,7 @@ def _fold(word: int) -> str:
 _STEP = "[" + ", ".join(f"(({_fold(w)} | (v[{w + 1}] & ~m[{w + 1}])) & {_FULL})::BIGINT" for w in range(_WORDS)) + "]"
 #: Distinct sentences with their smallest key, the masks of their characters, and their own characters.
 DISTINCT = f"""d AS MATERIALIZED (
-        SELECT s, min(k) AS k, length(s) AS n, {_TOPS} AS tops, map_from_entries(list_transform(list_distinct(string_split(s, '')), lambda c: (c,
+        SELECT s, min(k) AS k, CASE WHEN length(s) > {_BITS * _WORDS} THEN error('a sentence is longer than the words of this SQL')::BIGINT ELSE length(s) END AS n, {_TOPS} AS tops, map_from_entries(list_transform(list_distinct(string_split(s, '')), lambda c: (c,
             {_MASK}))) AS masks, string_split(s, '') AS chars
         FROM sent GROUP BY s)"""
 #: Indel ratio of a and b.  A character without a place has no mask and changes nothing.
@@ -332,7 +332,7 @@ _CHAIN = """e AS (SELECT conv_id, turn, conv_id * 1000 + turn AS node,
 def _chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of a conversation as a chain of parents; what follows a lost turn has no parent in the table."""
     w = Window.partitionBy("conv_id").orderBy("turn")
-    node = lambda t: F.col("conv_id") * 1000 + t
+    node = lambda t: F.when(t.isNotNull(), numbered("conv_id", t, 1000))
     return table(spark, sf_dir, "conversations").select("conv_id", node(F.col("turn")).alias("node"), node(F.lag("turn").over(w)).alias("parent"))
 
 

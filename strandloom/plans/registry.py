@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.functions import biophysics, sequence
@@ -32,26 +32,35 @@ def query(sql: str | None = None):
     return add
 
 
-#: What each application has written of ``derived``, by input folder.
-_written: dict[tuple[str, str], DataFrame] = {}
+#: What each application has written of ``derived``, by input folder, and from which files.
+_written: dict[tuple[str, str], tuple[tuple[str, ...], DataFrame]] = {}
+#: Records of a document: its number times this, plus a place, names one.
+MOST_RECORDS = 1_000_000
+
+
+def numbered(owner: str, place: Column, most: int) -> Column:
+    """One number for an owner and a place below ``most``; an error beyond, since two rows would have one."""
+    at = F.when(place < most, place).otherwise(F.raise_error(F.lit(f"more than {most} places in one {owner}")).cast("int"))
+    return F.col(owner) * most + at
 
 
 def derived(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``rec_id, doc_id, pos, lang, source, raw, meta, s``: a record for each sentence of each document.
 
     ``raw`` is the record's text, ``meta`` its free-text description, ``s`` the normal form of ``raw``.  Written once a
-    session, since some fifty queries read it.
+    session and set of input files, since some fifty queries read it.
     """
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _written or not _there(spark, _written[key]):
+    key, docs = (spark.sparkContext.applicationId, sf_dir), table(spark, sf_dir, "documents")
+    files = tuple(sorted(docs.inputFiles()))
+    if key not in _written or _written[key][0] != files or not _there(spark, _written[key][1]):
         piece = F.split(F.replace(F.coalesce("text", F.lit("")), F.lit("ß"), F.lit("sz")), r"[.!?\n]+")
-        rows = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.posexplode(piece).alias("pos", "piece"))
+        rows = docs.select("doc_id", "lang", "source", F.posexplode(piece).alias("pos", "piece"))
         kept = F.upper(F.regexp_replace("piece", "[^AC-IK-NP-TVWYac-ik-np-tvwy]", ""))
         raw = F.when((F.col("doc_id") + F.col("pos")) % 2 == 0, F.col("piece")).otherwise(kept)
         meta = F.when(F.col("pos") % 13 == 0, "C-terminal amidation").when(F.col("pos") % 13 == 1, "PEGylated (AMD)").when(F.col("pos") % 13 == 2, "").otherwise(F.col("source"))
-        rows = rows.select((F.col("doc_id") * 1_000_000 + F.col("pos")).alias("rec_id"), "doc_id", "pos", "lang", "source", raw.alias("raw"), meta.alias("meta"))
-        _written[key] = materialize(rows.withColumn("s", sequence.norm(F.col("raw"))).repartition(spark.sparkContext.defaultParallelism, "rec_id"), "derived")
-    return _written[key]
+        rows = rows.select(numbered("doc_id", F.col("pos"), MOST_RECORDS).alias("rec_id"), "doc_id", "pos", "lang", "source", raw.alias("raw"), meta.alias("meta"))
+        _written[key] = files, materialize(rows.withColumn("s", sequence.norm(F.col("raw"))).repartition("rec_id"), "derived")
+    return _written[key][1]
 
 
 def _there(spark: SparkSession, df: DataFrame) -> bool:
