@@ -189,6 +189,25 @@ def grouped_folds(spark, sf_dir):
     return out.join(F.broadcast(folds.agg(F.count_distinct("fold").alias("folds"))))
 
 
+#: The same rule a group at a time: the largest first, each to the fold where squared shares of labels grow least, the first one on ties.
+_FOLDS = """g AS (SELECT source, count(*) FILTER (quality = 0) AS a, count(*) FILTER (quality = 1) AS b FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL GROUP BY source),
+    t AS (SELECT sum(a)::HUGEINT AS ta, sum(b)::HUGEINT AS tb FROM g), q AS (SELECT *, row_number() OVER (ORDER BY a + b DESC, a, b, sha256('42' || source), source) AS i FROM g),
+    r(i, source, fold, n, ha, hb) AS (
+        SELECT 0::BIGINT, '', -1::BIGINT, 0::BIGINT, [0, 0, 0, 0, 0]::HUGEINT[], [0, 0, 0, 0, 0]::HUGEINT[]
+        UNION ALL
+        SELECT i, source, f - 1, a + b, list_transform(range(1, 6), lambda k: ha[k] + CASE WHEN k = f THEN a ELSE 0 END), list_transform(range(1, 6), lambda k: hb[k] + CASE WHEN k = f THEN b ELSE 0 END)
+        FROM (SELECT *, list_position(c, list_min(c))::BIGINT AS f FROM (
+            SELECT q.i, q.source, q.a, q.b, r.ha, r.hb, list_transform(range(1, 6), lambda k: (2 * r.ha[k] + q.a) * q.a * tb * tb + (2 * r.hb[k] + q.b) * q.b * ta * ta) AS c
+            FROM r JOIN q ON q.i = r.i + 1, t)))"""
+
+
+@query(f"WITH RECURSIVE {_FOLDS} SELECT source, fold::INTEGER AS fold, n FROM r WHERE i > 0")
+def fold_assignment(spark, sf_dir):
+    """The fold and the rows of each source of labelled documents."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", "source").join(table(spark, sf_dir, "labels").filter("quality is not null"), "doc_id")
+    return graph.grouped_folds(rows, "source", "quality").groupBy("source", "fold").agg(F.count(F.lit(1)).alias("n"))
+
+
 # Kernels -------------------------------------------------------------------------------------------------------------
 
 
