@@ -174,7 +174,11 @@ def _shared(docs: DataFrame, path: str, pattern: str):
 
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """``id_col`` and ``ids`` (array of long) of each row.  Null text counts as empty and has no ids."""
+    """``id_col`` and ``ids`` (array of long) of each row.  Null text counts as empty and has no ids.
+
+    Repeated rows come out repeated; a very long text is encoded whole; other columns are not read and may have any name;
+    an empty table gives an empty result.
+    """
     held, kind = _shared(docs, path, pattern), dict(docs.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,7 +193,11 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
 
 
 def decode(coded: DataFrame, path: str, pattern: str, id_col: str = "doc_id", ids: str = "ids") -> DataFrame:
-    """``id_col`` and ``bytes`` of each row of ids.  Null ids give no bytes; an id outside the vocabulary fails."""
+    """``id_col`` and ``bytes`` of each row of ids.  Null ids give no bytes; an id outside the vocabulary fails.
+
+    Repeated rows come out repeated; a very long list is decoded whole; other columns are not read and may have any name;
+    an empty table gives an empty result.
+    """
     held, kind = _shared(coded, path, pattern), dict(coded.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -111,8 +111,9 @@ def format_turns(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", rol
 
     A conversation's formatted text is its ``rendered`` values in order, by turn, then role, then text.  The loss mask
     covers ``rendered`` from ``loss_start`` to ``loss_end``: the body of an assistant turn, nothing of any other, whose
-    ends are both 0.  Null role or text counts as empty.  Repeated rows are turns of their own; other columns are not
-    read; an empty table gives an empty result.
+    ends are both 0.  Null role or text counts as empty.  Repeated rows are turns of their own, and turns with one number, role
+    and text are equal, so their order does not matter.  A very long text is one turn, rendered whole.  Other columns are
+    not read and may have any name; an empty table gives an empty result.
     """
     kinds = dict(rows.dtypes)
 

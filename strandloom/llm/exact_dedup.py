@@ -68,8 +68,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sal
     Texts are equal when identical after lower-casing A-Z; null counts as empty, so null and empty texts are one
     group.  Of equal texts the row with the largest identifier stays; null identifiers come before all others.  Rows
     that repeat both identifier and text come out repeated, each counts in ``group_size``, and all of them are kept if
-    theirs is the largest identifier.  Other columns of ``docs`` are not read and may have any name.  An empty table
-    gives an empty result.
+    theirs is the largest identifier.  A very long text is compared whole; a task holds a few of them.  Other columns of
+    ``docs`` are not read and may have any name.  An empty table gives an empty result.
     """
     ids = digests(docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text")), "_text", norm=False).select("_id", "_sha")
     best = winners(docs, id_col, text, salts)
@@ -83,8 +83,8 @@ def surviving(docs: DataFrame, id_col: str = "doc_id", text: str = "text", salts
 
     Texts are equal as in :func:`exact_dedup`: null and empty texts are one group, of which one row stays, with its text
     as it was.  Null identifiers come before all others.  Of rows that share identifier and text that with the largest
-    hash of its columns stays, so repeated rows leave one.  Columns may have any names and types.  An empty table gives
-    an empty result.
+    hash of its columns stays, so repeated rows leave one.  A very long text is shuffled and compared whole.  Columns may
+    have any names and types.  An empty table gives an empty result.
     """
     names = docs.columns
     plain = docs.toDF(*[f"_c{i}" for i in range(len(names))])

@@ -133,8 +133,10 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str
     character classes, a null language being one of its own; languages without a list of common words are not compared
     by words.  Histograms of fewer than ``GUARD_CHARS`` characters or ``GUARD_WORDS`` words are not compared, nor are
     those of a language of which no document passes the base rule.  Null text counts as empty and fails the base rule.
-    Windows are equal when their words are.  Repeated rows come out repeated; other columns are not read; an empty table
-    gives an empty result.
+    Windows are equal when their words are.  A reference is the mean of what passes the base rule, so where most of a
+    language is junk that passes it, the junk is the reference and good documents are the distant ones.  A very long text
+    is counted whole, in its row.  Repeated rows come out repeated; other columns are not read; an empty table gives an
+    empty result.
     """
     counted = materialize(counts(docs, id_col, text, lang), "quality-counts")
     known = materialize(references(counted), "quality-references")  # one row a language: Spark knows its size

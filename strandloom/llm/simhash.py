@@ -150,7 +150,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     Fingerprints that differ in 3 bits or fewer are linked; ``component_id`` is the smallest identifier reachable by
     links, the document itself included.  Documents without words have fingerprint zero and are linked like others.
     Null text counts as empty; null identifiers are never the smallest unless a component has no other, then the
-    component is null.  Repeated rows come out repeated, other columns are not read, an empty table gives an empty result.
+    component is null.  A very long text is hashed shingle by shingle, whole.  Repeated rows come out repeated, other
+    columns are not read, an empty table gives an empty result.
     """
     rows = materialize(fingerprints(docs, id_col, text), "fingerprints")
     final = _components(materialize(rows.groupBy("fp").agg(F.min("_id").alias("first")), "fingerprint-set"), blocks)

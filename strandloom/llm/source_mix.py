@@ -259,7 +259,7 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source:
     ``size`` is its number of words (null text: 0), ``target`` its source's share, ``taken`` the words of it that the
     mix takes, each repeat counted, never over ``most`` times its size.  The mix is made for it: rows are dealt to their
     shards with their texts and shuffled there, and ``taken`` counts what arrives.  A null source is a source, the last
-    in order.  Documents without words or draws take nothing.  Rows that repeat an identifier are taken together.
+    in order.  Documents without words or draws take nothing; a very long one is dealt whole.  Rows that repeat an identifier are taken together.
     Columns that are not named are not read.  An empty table gives an empty result.  The same rows, weights and seed give
     the same answer.
     """

@@ -44,7 +44,7 @@ RULES = (
 #: Hosts that are blocked with their subdomains where no rule fits.
 BLOCKED_HOSTS = tuple(f"{name}.example.{end}" for name in ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm") for end in ("com", "net", "org"))
 #: Listed keys that one filter may hold; the driver builds the levels.
-MAX_LISTED = 20_000_000
+MAX_LISTED = 10_000_000
 
 _M = np.uint64
 

@@ -1,13 +1,16 @@
 """The pipeline's stages against plain versions of what they decide."""
 
 import glob
+import hashlib
 import os
 
 import duckdb
+import numpy as np
 import pytest
+import tiktoken
 
 import corpus_pipeline
-from strandloom.llm import quality_model, queries, simhash
+from strandloom.llm import byte_bpe, quality_model, queries, simhash
 from test_mix_and_urls import brute_mix, counted
 from test_quality import plain_score
 
@@ -56,12 +59,20 @@ def test_stages(spark):
     assert mix.columns == docs.columns and counted(mix.collect()) == want
 
     coded = stage["byte bpe"](spark, mix, HERE)
-    assert coded.count() == mix.count() and coded.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    assert coded.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    sha = lambda raw: hashlib.sha256(raw).hexdigest()
+    ranks = byte_bpe.load_ranks(queries.RANKS)
+    library = tiktoken.Encoding("own", pat_str=queries.PATTERN, mergeable_ranks={b: i for i, b in enumerate(ranks)}, special_tokens={})
+    want = []
+    for r in mix.collect():
+        ids = library.encode_ordinary(r.text)
+        want.append((r.doc_id, len(ids), sha(np.array(ids, dtype="<u4").tobytes()), sha(r.text.encode())))
+    assert sorted(map(tuple, coded.collect())) == sorted(want)
 
 
 def test_run_and_names(spark):
     assert corpus_pipeline.run(spark, HERE).count() > 0
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
@@ -69,9 +80,11 @@ def test_queries_equal_their_sql(spark, name):
     duck = duckdb.connect()
     for path in glob.glob(f"{HERE}/*.parquet"):
         duck.execute(f"CREATE VIEW {os.path.basename(path)[:-8]} AS SELECT * FROM '{path}'")
-    got = queries.QUERIES[name](spark, HERE).toPandas()
-    want = duck.execute(queries.ORACLE_SQL[name]).df()
+    got = queries.QUERIES[name](spark, HERE)
+    cursor = duck.execute(queries.ORACLE_SQL[name])
+    names = [d[0] for d in cursor.description]
     columns = sorted(got.columns)
-    assert columns == sorted(want.columns)
-    text = lambda df: sorted("|".join("null" if v is None or v != v else repr(round(float(v), 4)) if isinstance(v, float) else str(v) for v in row) for row in df[columns].astype(object).itertuples(index=False))
-    assert text(got) == text(want)
+    assert columns == sorted(names)
+    atom = lambda v: "null" if v is None or v != v else repr(round(v, 4)) if isinstance(v, float) else str(v)
+    text = lambda rows: sorted("|".join(atom(r[c]) for c in columns) for r in rows)
+    assert text(r.asDict() for r in got.collect()) == text(dict(zip(names, r, strict=True)) for r in cursor.fetchall())
