@@ -96,6 +96,49 @@ def test_xlsx(spark, tmp_path):
     assert spark.read.format("xlsx").load(str(tmp_path / "a.xlsx")).first()["record"] == want
 
 
+def long_workbook(path, rows, sheets=1):
+    """Sheets of ``rows`` rows, some of whose strings are shared."""
+    main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as book:
+        book.writestr("xl/sharedStrings.xml", f'<sst xmlns="{main}"><si><t>n</t></si><si><r><t>te</t></r><r><t>xt</t></r></si><si><t>odd</t></si><si><t>even</t></si></sst>')
+        for k in range(sheets):
+            with book.open(f"xl/worksheets/sheet{k + 1}.xml", "w") as file:
+                file.write(f'<worksheet xmlns="{main}"><sheetData><row r="1"><c r="A1" t="s"><v>0</v></c><c r="B1" t="s"><v>1</v></c></row>'.encode())
+                for i in range(rows):
+                    file.write(f'<row r="{i + 2}"><c r="A{i + 2}"><v>{i}</v></c><c r="B{i + 2}" t="s"><v>{3 - i % 2}</v></c></row>'.encode())
+                file.write(b"</sheetData></worksheet>")
+
+
+def test_long_sheets_are_pulled_row_by_row(tmp_path):
+    import tracemalloc
+
+    path = tmp_path / "long.xlsx"
+    long_workbook(path, 200_000)
+    tracemalloc.start()
+    with open(path, "rb") as file:
+        n = sum(1 for _, _, r in xlsx.rows_of(file) if r["text"] == "even")
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 100_000 and peak < 3_000_000
+
+
+def test_parts_columns_and_sheets(spark, tmp_path):
+    path = str(tmp_path / "two.xlsx")
+    long_workbook(path, 3000, 2)
+    want = {(f"xl/worksheets/sheet{k + 1}.xml", k * 3000 + i, str(i), ("even", "odd")[i % 2]) for k in (0, 1) for i in range(3000)}
+    rows = lambda df: [(r.sheet, r.record_ord, r.record["n"], r.record.get("text")) for r in df.collect()]
+    for parts in (1, 3):
+        got = rows(xlsx.read_xlsx(spark, path, parts))
+        assert len(got) == 6000 and set(got) == want
+    xlsx.register(spark)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        got = rows(spark.read.format("xlsx").option("parts", 2).option("columns", "n").option("pushdown", "true").load(path).filter("sheet = 'xl/worksheets/sheet2.xml'"))
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+    assert set(got) == {(s, i, n, None) for s, i, n, _ in want if s.endswith("2.xml")}
+
+
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([(1, "x", ["b", "a"])], "b int, a string, c array<string>")
     assert sinks.ordered_columns(df).columns == ["a", "b", "c"] and sinks.ordered_columns(df, ["z", "a"]).first()["z"] is None
