@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -226,11 +227,25 @@ def history(df: DataFrame, generation: str, fitness: str, family: str) -> DataFr
     return df.groupBy(generation).agg(F.round(F.avg(fitness), 4).alias("mean_fitness"), F.round(F.max(fitness), 4).alias("max_fitness"), F.count_distinct(family).alias("active_families"))
 
 
+def _log_factorial(n: Column) -> Column:
+    """ln(n!): a table below 16, Stirling's series from there on, whose error is below 1e-13."""
+    small = F.array(*[F.lit(math.lgamma(i + 1)) for i in range(16)])
+    x = F.greatest(n, F.lit(16)).cast("double")
+    series = (1 / (12 * x)) * (1 - (1 / (x * x)) * (1 / 30.0 - (1 / (x * x)) * (1 / 105.0 - 1 / (140.0 * x * x))))
+    return F.when(n < 16, F.get(small, n.cast("int"))).otherwise((x + 0.5) * F.ln(x) - x + 0.5 * math.log(2 * math.pi) + series)
+
+
 def hypergeometric_tail(df: DataFrame, population: str, hits: str, draws: str, least: str) -> DataFrame:
-    """``df`` with P(X >= least) for draws without replacement, from log binomials."""
-    lf = lambda n: F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), n)), F.lit(0.0), lambda a, i: a + F.ln(i.cast("double")))
-    log_choose = lambda n, k: lf(n) - lf(k) - lf(n - k)
-    n, k, d = F.col(population), F.col(hits), F.col(draws)
-    lo, hi = F.greatest(F.col(least), d + k - n, F.lit(0)), F.least(k, d)
-    total = F.aggregate(F.sequence(lo, hi), F.lit(0.0), lambda a, x: a + F.exp(log_choose(k, x) + log_choose(n - k, d - x) - log_choose(n, d)))
+    """``df`` with P(X >= least) for draws without replacement: the first term from log binomials, each other from the one before it."""
+    log_choose = lambda n, k: _log_factorial(n) - _log_factorial(k) - _log_factorial(n - k)
+    n, k, d = (F.col(c).cast("long") for c in (population, hits, draws))
+    lo, hi = F.greatest(F.col(least).cast("long"), d + k - n, F.lit(0)), F.least(k, d)
+
+    def step(acc: Column, x: Column) -> Column:
+        ratio = (k - x).cast("double") * (d - x) / ((x + 1).cast("double") * (n - k - d + x + 1))
+        return F.struct((acc["sum"] + F.exp(acc["log"])).alias("sum"), F.when(x < hi, acc["log"] + F.ln(ratio)).otherwise(0.0).alias("log"))
+
+    first = log_choose(k, lo) + log_choose(n - k, d - lo) - log_choose(n, d)
+    start = F.struct(F.lit(0.0).alias("sum"), F.when(lo <= hi, first).otherwise(0.0).alias("log"))
+    total = F.aggregate(F.sequence(lo, F.greatest(lo, hi)), start, step, lambda acc: acc["sum"])
     return df.withColumn("tail_probability", F.round(F.when(lo <= hi, total).otherwise(0.0), 6))

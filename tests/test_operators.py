@@ -1,5 +1,7 @@
 """Operators on small tables."""
 
+import math
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -370,6 +372,18 @@ def test_draws_match_hypergeometric(spark):
     assert abs(p - want) < 4 * (want * (1 - want) / 20000) ** 0.5 + 1e-4
 
 
+def test_hypergeometric_tail_of_large_draws(spark):
+    """A loop over log factorials for each term would take 10^9 steps for the last row."""
+    rows = [(100, 25, 40, 10), (5000, 40, 3000, 35), (20000, 8000, 6000, 2400), (10, 0, 0, 1), (10, 3, 9, 2)]
+    got = aggregate.hypergeometric_tail(frame(spark, rows, "n int, k int, d int, x int"), "n", "k", "d", "x").collect()
+
+    def want(n, k, d, least):
+        return sum(math.comb(k, x) * math.comb(n - k, d - x) for x in range(max(least, d + k - n, 0), min(k, d) + 1)) * 10**9 // math.comb(n, d) / 10**9
+
+    for r in got:
+        assert abs(r["tail_probability"] - want(r["n"], r["k"], r["d"], r["x"])) < 1e-6
+
+
 def test_cosine_queries_are_met_in_blocks(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(60, 3))
