@@ -14,7 +14,8 @@ Everything that grows with the corpus is a partitioned table:
   over the buckets; at most four times as many contexts as buckets can be that frequent.
 
 A block asks each bucket for the bigrams it holds, every one once, however often it occurs, so what is shuffled are
-sorted, packed lists of distinct bigrams and the counts that come back.  Its tokens are then scored where they are.
+sorted, packed lists of distinct bigrams and the counts that come back.  Its tokens are then scored where they are.  A
+bucket's lists are compressed bytes until a task reads them, one row after the other.
 """
 
 from __future__ import annotations
@@ -37,8 +38,8 @@ from strandloom.storage import scratch
 DISCOUNTED = 5
 #: Bytes of text of a block; one longer text is a block of its own.
 BLOCK_BYTES = 10 << 20
-#: Tokens a bucket while there are at most ``MANY`` buckets, and beyond that.
-BUCKET, LARGE_BUCKET, MANY = 1 << 20, 1 << 24, 512
+#: Tokens a bucket while there are at most ``MANY`` buckets, and the most there are beyond that.
+BUCKET, LARGE_BUCKET, MANY = 1 << 19, 1 << 21, 1 << 11
 #: Remainder of crc32(identifier) by FOLDS that is kept away from training.
 FOLDS, HELD_OUT = 5, 1
 #: The end of a text, as a word: no word holds a line break.
@@ -244,6 +245,13 @@ def _keys(tokens: np.ndarray, ends: np.ndarray, uni: Unigrams, base: int) -> tup
     return before * base + np.where(tokens < 0, uni.unknown, tokens), before >= 0
 
 
+def _by_bucket(bucket: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The buckets that occur, and the places of each, rising."""
+    order = np.argsort(bucket, kind="stable")
+    found, first = np.unique(bucket[order], return_index=True)
+    return found, np.split(order, first[1:])[: len(found)]
+
+
 def _asked(rows: DataFrame, uni: Unigrams, layout: Layout, training: bool) -> DataFrame:
     """``bucket, block, keys, counts``: the distinct bigrams of each block, by bucket; of training texts, with counts, or of all."""
 
@@ -255,14 +263,9 @@ def _asked(rows: DataFrame, uni: Unigrams, layout: Layout, training: bool) -> Da
                 if training:
                     use &= np.repeat(~held.values.to_numpy(zero_copy_only=False), np.diff(ends, prepend=0))
                 keys, counts = np.unique(keys[use], return_counts=True)
-                bucket = layout.bucket(keys, uni.start)
-                order = np.argsort(bucket, kind="stable")
-                found, first = np.unique(bucket[order], return_index=True)
-                for b, part in zip(found, np.split(order, first[1:])[: len(found)], strict=True):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([b], pa.int64()), pa.array([at.as_py()], pa.int64()), pa.array([pack_rising(keys[part])], pa.binary()), pa.array([pack(counts[part]) if training else None], pa.binary())],
-                        ["bucket", "block", "keys", "counts"],
-                    )
+                found, parts = _by_bucket(layout.bucket(keys, uni.start))
+                packed = [pa.array([pack_rising(keys[x]) for x in parts], pa.binary()), pa.array([pack(counts[x]) if training else None for x in parts], pa.binary())]
+                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array([at.as_py()] * len(found), pa.int64()), *packed], ["bucket", "block", "keys", "counts"])
 
     return rows.select("block", "ends", "held", "tokens").mapInArrow(run, "bucket long, block long, keys binary, counts binary")
 
@@ -277,25 +280,23 @@ def fit(blocks: DataFrame, rows: DataFrame, words: DataFrame, uni: Unigrams) ->
         raise ValueError("more than three billion words: a bigram is no 64-bit number")
 
     def count(table: pa.Table) -> pa.Table:
-        keys = np.concatenate([unpack_rising(x) for x in table["keys"].to_pylist()])
+        keys = np.concatenate([unpack_rising(x.as_py()) for x in table["keys"]])
         keys, at = np.unique(keys, return_inverse=True)
         counts = np.zeros(len(keys), dtype=np.int64)
-        np.add.at(counts, at, np.concatenate([unpack(x) for x in table["counts"].to_pylist()]))
+        np.add.at(counts, at, np.concatenate([unpack(x.as_py()) for x in table["counts"]]))
         few = np.bincount(np.minimum(counts, DISCOUNTED + 2), minlength=DISCOUNTED + 3)[1 : DISCOUNTED + 2]
-        contexts, sizes = np.unique(keys // layout.base, return_counts=True)
-        columns = [_one(contexts, pa.int64()), _one(np.cumsum(sizes), pa.int64()), _one(keys % layout.base, pa.int64()), _one(counts, pa.int64()), _one(few, pa.int64())]
-        return pa.table([table["bucket"].slice(0, 1), *columns], ["bucket", "contexts", "ends", "words", "counts", "few"])
+        return pa.table([table["bucket"].slice(0, 1), pa.array([pack_rising(keys)], pa.binary()), pa.array([pack(counts)], pa.binary()), _one(few, pa.int64())], ["bucket", "keys", "counts", "few"])
 
-    schema = "bucket long, contexts array<long>, ends array<long>, words array<long>, counts array<long>, few array<long>"
-    counted = materialize(_asked(rows, uni, layout, True).groupBy("bucket").applyInArrow(count, schema), "lm-counts")
+    counted = materialize(_asked(rows, uni, layout, True).groupBy("bucket").applyInArrow(count, "bucket long, keys binary, counts binary, few array<long>"), "lm-counts", large_rows=True)
     few = counted.select(*[F.sum(F.get("few", F.lit(r))).alias(f"n{r}") for r in range(DISCOUNTED + 1)]).first()
     factors = _factors([x or 0 for x in few])
-    weighed = materialize(counted.mapInArrow(_weigh(uni, layout, factors), f"{schema}, backoff array<double>, totals array<long>, sums array<double>, lower array<double>, freed array<boolean>"), "lm-bigrams")
-    spread = weighed.select(F.inline(F.arrays_zip("contexts", "sums", "lower", "freed"))).filter((F.col("contexts") < layout.hot) | (F.col("contexts") == uni.start))
+    schema = "bucket long, keys binary, counts binary, backoff binary, totals binary, contexts array<long>, sums array<double>, lower array<double>, freed array<boolean>"
+    weighed = materialize(counted.drop("few").mapInArrow(_weigh(uni, layout, factors), schema), "lm-bigrams", large_rows=True)
+    spread = weighed.select(F.inline(F.arrays_zip("contexts", "sums", "lower", "freed")))
     sums = spread.groupBy("contexts").agg(F.sum("sums").alias("s"), F.sum("lower").alias("l"), F.bool_or("freed").alias("f")).orderBy("contexts").collect()  # at most 4 a bucket
     at = np.array([r["contexts"] for r in sums], dtype=np.int64)
     weights, totals = _weights(uni.count(at), *(np.array([r[c] for r in sums], dtype=k) for c, k in (("s", float), ("l", float), ("f", bool))))
-    return Model(words, weighed.select("bucket", "contexts", "ends", "words", "counts", "backoff", "totals"), uni, layout, factors, (at, weights, totals))
+    return Model(words, weighed.select("bucket", "keys", "counts", "backoff", "totals"), uni, layout, factors, (at, weights, totals))
 
 
 def _weights(counts: np.ndarray, sums: np.ndarray, lower: np.ndarray, freed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -306,18 +307,22 @@ def _weights(counts: np.ndarray, sums: np.ndarray, lower: np.ndarray, freed: np.
 
 
 def _weigh(uni: Unigrams, layout: Layout, factors: np.ndarray):
+    """Adds to each bucket the weights and totals of its contexts, and the sums of those that are spread over all buckets."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                contexts, ends, words, counts = (batch.column(c)[i].values.to_numpy() for c in ("contexts", "ends", "words", "counts"))
-                starts = ends - np.diff(ends, prepend=0)
+                keys, counts = unpack_rising(batch["keys"][i].as_py()), unpack(batch["counts"][i].as_py())
+                contexts, starts = np.unique(keys // layout.base, return_index=True)
                 sums = np.add.reduceat(counts * factors[np.minimum(counts, DISCOUNTED + 1)], starts)
-                lower = np.add.reduceat(uni.probability(words), starts)
+                lower = np.add.reduceat(uni.probability(keys % layout.base), starts)
                 freed = np.logical_or.reduceat(counts <= DISCOUNTED, starts)
                 weights, totals = _weights(uni.count(contexts), sums, lower, freed)
-                weights[layout.spread(contexts, uni.start)] = np.nan  # known when all buckets are added up
-                more = [_one(weights, pa.float64()), _one(totals, pa.int64()), _one(sums, pa.float64()), _one(lower, pa.float64()), _one(freed, pa.bool_())]
-                yield pa.RecordBatch.from_arrays([*batch.slice(i, 1).columns, *more], [*batch.schema.names, "backoff", "totals", "sums", "lower", "freed"])
+                spread = layout.spread(contexts, uni.start)
+                weights[spread] = np.nan  # known when all buckets are added up
+                packed = [pa.array([pack(x)], pa.binary()) for x in (weights, totals)]
+                lists = [_one(x[spread], kind) for x, kind in ((contexts, pa.int64()), (sums, pa.float64()), (lower, pa.float64()), (freed, pa.bool_()))]
+                yield pa.RecordBatch.from_arrays([*batch.slice(i, 1).columns, *packed, *lists], [*batch.schema.names, "backoff", "totals", "contexts", "sums", "lower", "freed"])
 
     return run
 
@@ -329,12 +334,12 @@ def _answers(rows: DataFrame, model: Model) -> DataFrame:
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if left.num_rows:
-            contexts, ends, words, counts, backoff, totals = (left[c][0].values.to_numpy() for c in ("contexts", "ends", "words", "counts", "backoff", "totals"))
-            known = np.repeat(contexts, np.diff(ends, prepend=0)) * base + words
+            known, counts, backoff, totals = (f(left[c][0].as_py()) for c, f in (("keys", unpack_rising), ("counts", unpack), ("backoff", lambda x: unpack(x, np.float64)), ("totals", unpack)))
+            contexts = np.unique(known // base)
             more = totals > uni.count(contexts)
         out = []
-        for raw in right["keys"].to_pylist():
-            keys = unpack_rising(raw)
+        for raw in right["keys"]:
+            keys = unpack_rising(raw.as_py())
             if not left.num_rows:
                 out.append((pack(np.zeros(len(keys), dtype=np.int64)), pack(np.ones(len(keys)))))
                 continue
@@ -358,11 +363,12 @@ def evaluate(rows: DataFrame, model: Model) -> DataFrame:
 
     def longer(keys: np.ndarray, answers: pa.Table) -> np.ndarray:
         """Of distinct bigrams, by rising number."""
-        bucket, counts, backoff = layout.bucket(keys, uni.start), np.zeros(len(keys), dtype=np.int64), np.ones(len(keys))
-        for b, c, w in zip(*(answers[x].to_pylist() for x in ("bucket", "counts", "backoff")), strict=True):
-            at = np.flatnonzero(bucket == b)
-            counts[at] = unpack(c)
-            backoff[at[counts[at] == 0]] = unpack(w, np.float64)
+        places = dict(zip(*_by_bucket(layout.bucket(keys, uni.start)), strict=True))
+        counts, backoff = np.zeros(len(keys), dtype=np.int64), np.ones(len(keys))
+        for b, c, w in zip(*(answers[x] for x in ("bucket", "counts", "backoff")), strict=True):
+            at = places[b.as_py()]
+            counts[at] = unpack(c.as_py())
+            backoff[at[counts[at] == 0]] = unpack(w.as_py(), np.float64)
         contexts = keys // layout.base
         totals = uni.count(contexts) + (counts < 0)
         if len(hot):
@@ -402,11 +408,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFr
     """
     with scratch(docs.sparkSession):
         with scratch(docs.sparkSession):
-            blocks = materialize(encode(docs, id_col, text), "lm-blocks")
+            blocks = materialize(encode(docs, id_col, text), "lm-blocks", large_rows=True)
             words, uni = vocabulary(blocks)
-            rows = materialize(numbered(blocks, words), "lm-numbered", outlives=True)
+            rows = materialize(numbered(blocks, words), "lm-numbered", outlives=True, large_rows=True)
             sizes = blocks.select("ends")
             model = fit(sizes, rows, words, uni)
-            model = replace(model, bigrams=materialize(model.bigrams, "lm-model", outlives=True))
+            model = replace(model, bigrams=materialize(model.bigrams, "lm-model", outlives=True, large_rows=True))
         out = materialize(evaluate(rows, model), "lm-scores", outlives=True)
     return out.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(uni.tokens).cast("long").alias("train_tokens"), "base_score", "score")

@@ -160,3 +160,20 @@ def test_query_equals_the_plain_model(spark):
     agree(got, plainly(rows))
     held = [r for r in got.collect() if r.held_out]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)  # better than single words on what it has not seen
+
+
+def test_tables_of_large_rows_are_packed_and_written_in_small_groups(spark):
+    """A bucket's bigrams are compressed bytes for the JVM, and a writer holds some 16 MB, not a hundred rows."""
+    import pyarrow.parquet as pq
+    from pyspark.sql import functions as F
+
+    from strandloom.storage import materialize
+
+    docs = spark.createDataFrame([(i, f"a b c{i % 7} d") for i in range(40)], "doc_id long, text string")
+    blocks = materialize(backoff_lm.encode(docs), "t")
+    words, uni = backoff_lm.vocabulary(blocks)
+    model = backoff_lm.fit(blocks.select("ends"), backoff_lm.numbered(blocks, words), words, uni)
+    assert {t for c, t in model.bigrams.dtypes if c != "bucket"} == {"binary"}
+    noise = spark.range(0, 12, 1, 1).select(F.unhex(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(64_000)), lambda i: F.sha2((F.col("id") * 64_000 + i).cast("string"), 512)), "")).alias("x"))
+    (path,) = materialize(noise, "t", large_rows=True).inputFiles()
+    assert pq.ParquetFile(path.removeprefix("file://")).num_row_groups > 1
