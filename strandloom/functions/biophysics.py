@@ -1,6 +1,7 @@
 """Biophysical descriptors of canonical sequences, as Column expressions; null for any other text.
 
-All but the moment, the isoelectric point and the instability index are linear in residue counts.
+All but the moment, the isoelectric point and the instability index are linear in residue counts.  Sums over residues are
+computed in Arrow batches (:mod:`strandloom.functions.batches`), everything else by expressions.
 """
 
 from __future__ import annotations
@@ -11,7 +12,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from strandloom.functions.sequence import RESIDUES, canonical, let, residue_count, residue_fractions
+from strandloom.functions import batches
+from strandloom.functions.sequence import RESIDUES, canonical, residue_count, residue_fractions
 
 # Published scales by residue.  Fixed values.
 #: Average masses of residues (IUPAC).
@@ -26,15 +28,7 @@ TRANSFER = dict(A=-1.81, C=-1.28, D=8.72, E=6.81, F=-2.98, G=-0.94, H=4.66, I=-4
 #: Acid constants: the chain's ends, and side chains by sign.
 N_TERM, C_TERM = 9.69, 2.34
 POSITIVE, NEGATIVE = dict(K=10.5, R=12.4, H=6.0), dict(D=3.86, E=4.25, C=8.33, Y=10.07)
-PH, WINDOW, TURN = 7.4, 11, math.radians(100)
-
-
-def _linear(s: Column, scale: Mapping[str, float]) -> Column:
-    out = F.lit(0.0)
-    for residue, value in scale.items():
-        if value:
-            out = out + residue_count(s, residue) * F.lit(float(value))
-    return out
+PH, WINDOW = 7.4, 11
 
 
 def _valid(s: Column, value: Column) -> Column:
@@ -42,84 +36,34 @@ def _valid(s: Column, value: Column) -> Column:
 
 
 def molecular_weight(s: Column) -> Column:
-    return _valid(s, F.round(_linear(s, MASS) + WATER, 4))
-
-
-def _charge(counts: dict[str, Column], ph: Column) -> Column:
-    up, down = lambda p: 1 / (1 + F.pow(F.lit(10.0), ph - p)), lambda p: 1 / (1 + F.pow(F.lit(10.0), p - ph))
-    plus = up(N_TERM) + sum((counts[r] * up(p) for r, p in POSITIVE.items()), F.lit(0.0))
-    minus = down(C_TERM) + sum((counts[r] * down(p) for r, p in NEGATIVE.items()), F.lit(0.0))
-    return F.round(plus - minus, 4)
+    return _valid(s, F.round(batches.linear(s, MASS) + WATER, 4))
 
 
 def net_charge(s: Column, ph: float = PH) -> Column:
     """Henderson-Hasselbalch charge, at pH 7.4 unless told otherwise."""
-    return _valid(s, _charge({r: residue_count(s, r) for r in (*POSITIVE, *NEGATIVE)}, F.lit(float(ph))))
+    up, down = lambda p: 1 / (1 + 10.0 ** (ph - p)), lambda p: 1 / (1 + 10.0 ** (p - ph))
+    plus = up(N_TERM) + batches.linear(s, {r: up(p) for r, p in POSITIVE.items()})
+    minus = down(C_TERM) + batches.linear(s, {r: down(p) for r, p in NEGATIVE.items()})
+    return _valid(s, F.round(plus - minus, 4))
 
 
 def isoelectric_point(s: Column, steps: int = 50) -> Column:
-    """Where the rounded charge changes its sign, by bisection of 0 to 14: one power a step."""
-    names = (*POSITIVE, *NEGATIVE)
-
-    def charge(counts: Column, protons: Column) -> Column:
-        plus = [(1.0, N_TERM), *[(counts[r], p) for r, p in POSITIVE.items()]]
-        minus = [(1.0, C_TERM), *[(counts[r], p) for r, p in NEGATIVE.items()]]
-        total = sum((n / (1 + protons * 10.0**-p) for n, p in plus), F.lit(0.0)) - sum((n / (1 + 10.0**p / protons) for n, p in minus), F.lit(0.0))
-        return F.round(total, 4)
-
-    def search(counts: Column) -> Column:
-        def step(acc: Column, _: Column) -> Column:
-            def half(mid: Column) -> Column:
-                return let(F.struct(mid.alias("mid"), (let(F.pow(F.lit(10.0), mid), lambda x: charge(counts, x)) > 0).alias("up")), lambda m: F.struct(
-                    F.when(m["up"], m["mid"]).otherwise(acc["lo"]).alias("lo"), F.when(m["up"], acc["hi"]).otherwise(m["mid"]).alias("hi")))
-
-            return half((acc["lo"] + acc["hi"]) / 2)
-
-        start = F.struct(F.lit(0.0).alias("lo"), F.lit(14.0).alias("hi"))
-        return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step, lambda acc: F.round((acc["lo"] + acc["hi"]) / 2, 4))
-
-    return _valid(s, let(F.struct(*[residue_count(s, r).alias(r) for r in names]), search))
-
-
-def _scale_array(s: Column, scale: Mapping[str, float]) -> Column:
-    values = F.array(*[F.lit(float(scale[r])) for r in RESIDUES])
-    return F.transform(F.filter(F.split(s, ""), lambda c: c != ""), lambda c: F.get(values, F.instr(F.lit(RESIDUES), c) - 1))
-
-
-#: 100 degrees a residue: the direction repeats after 18.
-PERIOD = 18
+    """Where the charge, rounded to four digits, falls to zero, by bisection of 0 to 14: one power a step."""
+    return _valid(s, F.round(batches.root(s, (N_TERM, C_TERM), POSITIVE, NEGATIVE, 0.0, 14.0, 0.00005, steps), 4))
 
 
 def hydrophobic_moment(s: Column, window: int = WINDOW) -> Column:
-    """The largest moment of a window, with 100 degrees a residue; a shorter sequence is one window.
-
-    A moment's size does not depend on where the angle starts, so the window's sums run on from residue to residue: one
-    comes in, one goes out, which is linear in the length whatever the window.
-    """
-    cos, sin = (F.array(*[F.lit(f(TURN * i)) for i in range(PERIOD)]) for f in (math.cos, math.sin))
-
-    def over(h: Column) -> Column:
-        n = F.least(F.size(h), F.lit(window))
-
-        def step(acc: Column, i: Column) -> Column:
-            gone = i - n
-            term = lambda wave: F.get(h, i) * F.get(wave, i % PERIOD) - F.when(gone >= 0, F.get(h, gone) * F.get(wave, gone % PERIOD)).otherwise(0.0)
-            moved = F.struct((acc["x"] + term(cos)).alias("x"), (acc["y"] + term(sin)).alias("y"), acc["most"].alias("most"))
-            return let(moved, lambda m: F.struct(m["x"].alias("x"), m["y"].alias("y"), F.when(i >= n - 1, F.greatest(m["most"], m["x"] * m["x"] + m["y"] * m["y"])).otherwise(0.0).alias("most")))
-
-        start = F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("most"))
-        return F.aggregate(F.sequence(F.lit(0), F.size(h) - 1), start, step, lambda acc: F.sqrt(acc["most"]) / n)
-
-    return _valid(s, F.round(let(_scale_array(s, CONSENSUS), over), 6))
+    """The largest moment of a window, with 100 degrees a residue; a shorter sequence is one window."""
+    return _valid(s, F.round(batches.moment(s, CONSENSUS, 100.0, window), 6))
 
 
 def boman_index(s: Column) -> Column:
-    return _valid(s, F.round(_linear(s, TRANSFER) / F.length(s), 2))
+    return _valid(s, F.round(batches.linear(s, TRANSFER) / F.length(s), 2))
 
 
 def gravy(s: Column) -> Column:
     """Mean hydropathy."""
-    return _valid(s, F.round(_linear(s, HYDROPATHY) / F.length(s), 6))
+    return _valid(s, F.round(batches.linear(s, HYDROPATHY) / F.length(s), 6))
 
 
 def instability_index(s: Column, weights: Mapping[str, float], default: float = 1.0) -> Column:
@@ -127,10 +71,8 @@ def instability_index(s: Column, weights: Mapping[str, float], default: float =
 
     ``weights`` is the pair table as a parameter, for instance read from a file; pairs that it lacks weigh ``default``.
     """
-    table = F.array(*[F.lit(float(weights.get(a + b, default))) for a in RESIDUES for b in RESIDUES])
-    spot = lambda i: F.instr(F.lit(RESIDUES), F.substring(s, i, F.lit(1))) - 1
-    total = F.when(F.length(s) > 1, F.aggregate(F.sequence(F.lit(1), F.length(s) - 1), F.lit(0.0), lambda acc, i: acc + F.get(table, spot(i) * 20 + spot(i + 1)))).otherwise(0.0)
-    return _valid(s, F.round(10 * total / F.length(s), 6))
+    table = [float(weights.get(a + b, default)) for a in RESIDUES for b in RESIDUES]
+    return _valid(s, F.round(10 * batches.pairs(s, table) / F.length(s), 6))
 
 
 def descriptors(s: Column, weights: Mapping[str, float] | None = None) -> Column:

@@ -7,8 +7,10 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from strandloom.functions import batches
+
 #: The twenty canonical residues.
-RESIDUES = "ACDEFGHIKLMNPQRSTVWY"
+RESIDUES = batches.RESIDUES
 SHORTEST, LONGEST = 8, 50
 #: Words in free text that tell of a modified sequence.  Fixed values.
 MODIFIED = ("amidat", "acetyl", "lipid", "glycosyl", "peg", "cycl", "stapl", "dendr", "noncanonical", "peptidomimetic", "terminal mod", "disulfide")
@@ -126,8 +128,7 @@ def composition(s: Column) -> Column:
 
 def residue_fractions(s: Column) -> Column:
     """Twenty fractions in the order of :data:`RESIDUES`."""
-    n = F.greatest(F.length(s), F.lit(1))
-    return F.array(*[residue_count(s, r) / n for r in RESIDUES])
+    return F.when(s.isNull(), F.array_repeat(F.lit(None).cast("double"), len(RESIDUES))).otherwise(batches.fractions(s))
 
 
 def feasibility_reason(s: Column) -> Column:

@@ -164,3 +164,19 @@ def test_tokens_headers_reasons(spark):
     assert one(spark, sequence.rule_errors(F.lit("ACDEFGH"))) == ["below minimum length"]
     assert one(spark, sequence.rule_errors(F.lit("A" * 51), F.lit(True))) == ["above maximum length", "exact reference match"]
     assert one(spark, sequence.detailed_reason(F.lit("ACDEFGH"))) == "too_short_7"
+
+
+def test_sums_over_residues_run_in_batches(spark):
+    """No expression steps from residue to residue, long sequences are linear, and other characters count in shares only."""
+    rows = [("AKRKLVW" * 30_000,), ("",), (None,), ("AKX",), ("ÄAK",), ("W",)]
+    df = spark.createDataFrame(rows, "s string")
+    s = F.col("s")
+    weights = {"AK": 3.0}
+    out = df.select(biophysics.feature_vector(s, weights).alias("x"), biophysics.descriptors(s, weights).alias("d"), sequence.residue_fractions(s).alias("r"))
+    assert "lambda" not in out._jdf.queryExecution().executedPlan().toString()
+    long, empty, null, wrong, wide, one_ = out.collect()
+    assert long["d"]["instability_index"] == pytest.approx(10 * (30_000 * 3 + 6 * 30_000 - 1) / 210_000, abs=1e-6)
+    assert long["d"]["eisenberg_hydrophobic_moment"] > 0.3 and long["r"][0] == pytest.approx(1 / 7)
+    assert empty["r"] == [0.0] * 20 and null["r"] == [None] * 20
+    assert all(r["d"][c] is None for r in (empty, null, wrong, wide) for c in ("net_charge_ph7", "isoelectric_point", "eisenberg_hydrophobic_moment", "instability_index"))
+    assert wide["r"][0] == pytest.approx(1 / 3) and one_["d"]["instability_index"] == 0.0
