@@ -39,3 +39,17 @@ def test_query(spark, duck, name):
     assert sorted(names) == sorted(df.columns)
     columns = sorted(names)
     assert canonical([r.asDict() for r in df.collect()], columns) == canonical([dict(zip(names, r, strict=True)) for r in cursor.fetchall()], columns)
+
+
+def test_records_hold_their_normal_form_once(spark):
+    """Only where it is not the raw text is the normal form written, and no record is shuffled: documents are, before they are cut."""
+    from pyspark.sql import functions as F
+
+    from strandloom.functions import sequence
+    from strandloom.plans import registry
+
+    rows = registry.derived(spark, "/root/testdata/sf0.001")
+    held = spark.read.parquet(*rows.inputFiles())
+    assert held.filter("s = raw").isEmpty() and not held.filter("s is null").isEmpty()
+    assert rows.filter(~F.col("s").eqNullSafe(sequence.norm(F.col("raw")))).isEmpty()
+    assert rows.count() == held.count() == rows.select("rec_id").distinct().count()
