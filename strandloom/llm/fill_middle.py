@@ -14,7 +14,9 @@ import re
 from collections.abc import Iterator
 from itertools import islice
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +25,8 @@ PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
 #: Of a hundred texts, how many are transformed, and how many of those begin with the suffix.
 RATE, SUFFIX_FIRST = 90, 20
 SEED = "1:"
+#: Bytes of text whose outputs a task holds at once.
+PART_BYTES = 4 << 20
 
 
 def count_units(text: str) -> int:
@@ -47,6 +51,15 @@ def draws(id_col: str, seed: str = SEED) -> list[Column]:
     return [F.conv(F.substring(digest, 8 * i + 1, 8), 16, 10).cast("long") for i in range(4)]
 
 
+def parts_of(batch: pa.RecordBatch, most: int = PART_BYTES) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of at most so many bytes of its second column; a longer text is a slice of its own."""
+    ends, start = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)), 0
+    while start < len(ends):
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + most, side="right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 def fill_middle(docs: DataFrame, id_col: str = "doc_id", text: str = "text", rate: int = RATE, suffix_first: int = SUFFIX_FIRST, seed: str = SEED) -> DataFrame:
     """One row for each row of ``docs``: ``id_col, n`` (units), ``form, prefix_chars, middle_chars, output``; nothing is shuffled.
 
@@ -61,7 +74,7 @@ def fill_middle(docs: DataFrame, id_col: str = "doc_id", text: str = "text", rat
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts_of(whole)):
             ids, texts, forms, first, second = batch.columns
             counts, heads, middles, outputs = [], [], [], []
             for held, shape, a, b in zip(texts, forms.to_pylist(), first.to_pylist(), second.to_pylist(), strict=True):

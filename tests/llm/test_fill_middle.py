@@ -78,3 +78,12 @@ def test_query_equals_its_sql(spark):
     want = duck.sql(queries.ORACLE_SQL["op11_fill_middle"])
     got = queries.QUERIES["op11_fill_middle"](spark, HERE).select(*want.columns)
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(want.fetchall(), key=repr)
+
+
+def test_outputs_are_held_for_some_megabytes_of_text():
+    import pyarrow as pa
+
+    texts = ["a" * 10, None, "b" * 300, "", "c" * 40, "d" * 70]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(texts)], ["i", "t"])
+    parts = list(fill_middle.parts_of(batch, 100))
+    assert [p.column(1).to_pylist() for p in parts] == [["a" * 10, None], ["b" * 300], ["", "c" * 40], ["d" * 70]] and not list(fill_middle.parts_of(batch.slice(0, 0)))
