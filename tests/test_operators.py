@@ -227,6 +227,16 @@ def test_few_rows_are_scored_again(spark, monkeypatch):
     assert len(report) == 12 and sum(r["by_tasks"] + r["by_driver"] for r in report) < 12 * 400 / 3
 
 
+def test_portfolio_rarely_writes_its_pool(spark, monkeypatch):
+    """A front that no longer leads is read anew; bounds are written only where that is not enough."""
+    monkeypatch.setattr(select, "FRONT", 40)
+    written, real = [], select.materialize
+    monkeypatch.setattr(select, "materialize", lambda df, label, **more: written.append(label) or real(df, label, **more))
+    pdf = candidates(400)
+    out = select.select_portfolio(spark.createDataFrame(pdf), 12, 6, most_cosine=1.1, most_indel=None).orderBy("portfolio_rank").toPandas()
+    assert out.sequence.tolist() == greedy(pdf, 12) and written.count("pool") == 1 and written.count("bounds") <= 3, written
+
+
 def test_portfolio(spark):
     df = spark.createDataFrame(candidates())
     out = select.select_portfolio(df, 8, 4, quota=(1, 3), required=["ar", "vae", "evo", "dif"]).toPandas()
