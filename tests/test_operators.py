@@ -333,6 +333,17 @@ def test_copies_of_a_point_are_one(spark):
     assert got == [0, 392, 393, 394, 391, 390, 384] and report == [0]
 
 
+def test_cosine_pairs_leave_their_tasks_rounded(spark):
+    """Rounding and a row's pair with itself are the task's work on a whole block, not an expression's on each pair."""
+    df = frame(spark, [(i, [float(i % 5), float(i % 3), 1.0]) for i in range(30)], "k long, v array<double>")
+    out = similar.cosine_pairs(df, "k", "v", df.filter("k % 4 = 0"), block=3, row_block=7, digits=4)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.splitlines()[0].startswith("MapInArrow")
+    rows, x = out.collect(), np.array([[i % 5, i % 3, 1.0] for i in range(30)])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    assert len(rows) == 8 * 29 and all(r.query != r.other and r.similarity == pytest.approx(x[r.query] @ x[r.other], abs=5.1e-5) and r.similarity == round(r.similarity, 4) for r in rows)
+
+
 def test_diverse_greedy_against_a_loop(spark):
     from strandloom.functions.similarity import local_score
 
