@@ -8,17 +8,22 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.functions.assay import perplexity
 from strandloom.operators.aggregate import metrics
 from strandloom.operators.curate import own_key
+from strandloom.storage import materialize, new_path
 
 
 def train_forest(df: DataFrame, features: str, label: str, trees: int = 50, depth: int = 12, balanced: bool = False, seed: int = 42) -> RandomForestClassificationModel:
-    """A random forest on an array column; ``balanced`` weighs classes inversely to their counts."""
-    rows = df.select(array_to_vector(F.col(features).cast("array<double>")).alias("features"), F.col(label).cast("double").alias("label"))
+    """A random forest on an array column; ``balanced`` weighs classes inversely to their counts.
+
+    Features and labels are written first: fitting reads its rows once for each of classes, sizes, splits and bags.
+    """
+    held = materialize(df.select(F.col(features).cast("array<double>").alias("features"), F.col(label).cast("double").alias("label")), "instances")
+    rows = held.withColumn("features", array_to_vector("features"))
     forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed)
     if balanced:
         counts = {r[0]: r[1] for r in rows.groupBy("label").count().collect()}
@@ -53,6 +58,25 @@ def _tree(tree) -> dict[str, np.ndarray]:
     return {k: np.array(v) for k, v in (("feature", feature), ("threshold", threshold), ("left", left), ("right", right), ("share", share))}
 
 
+def _trees(model: RandomForestClassificationModel, spark: SparkSession) -> list[dict[str, np.ndarray]]:
+    """What :func:`_tree` gives of each tree, from the saved model: one read, not some calls to the JVM for each node."""
+    path = new_path(spark, "forest")
+    model.write().save(path)
+    node = F.col("nodeData")
+    cut = node["split"]
+    rows = spark.read.parquet(f"{path}/data").select(
+        "treeID", node["id"].alias("id"), cut["featureIndex"].alias("feature"), F.get(cut["leftCategoriesOrThreshold"], F.lit(0)).alias("threshold"),
+        node["leftChild"].alias("left"), node["rightChild"].alias("right"), node["impurityStats"].alias("stats"),
+    ).toPandas().sort_values(["treeID", "id"])
+    out = []
+    for _, t in rows.groupby("treeID"):
+        leaf, stats = (t["left"] < 0).to_numpy(), np.array(t["stats"].tolist(), dtype=float)
+        total = stats.sum(axis=1)
+        inner = lambda c, other: np.where(leaf, other, t[c].to_numpy())  # noqa: B023, E731
+        out.append({"feature": inner("feature", -1), "threshold": inner("threshold", 0.0), "left": inner("left", 0), "right": inner("right", 0), "share": np.divide(stats[:, 1], total, out=np.zeros(len(t)), where=total > 0)})
+    return out
+
+
 def tree_shares(trees: Sequence[dict[str, np.ndarray]], x: np.ndarray) -> np.ndarray:
     """Class-1 share of each row in each tree: (rows, trees)."""
     out = np.empty((len(x), len(trees)))
@@ -71,7 +95,7 @@ def forest_spread(df: DataFrame, model: RandomForestClassificationModel, feature
 
     The trees are broadcast: their size is that of the model.
     """
-    held = df.sparkSession.sparkContext.broadcast([_tree(t) for t in model.trees])
+    held = df.sparkSession.sparkContext.broadcast(_trees(model, df.sparkSession))
 
     @F.pandas_udf("mean double, std double")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

@@ -291,6 +291,30 @@ def test_forest_spread_matches_trees(spark):
     assert parts.count() == 120 and score.first()["roc_auc"] > 0.7
 
 
+def test_forest_makes_its_features_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<double>")
+    def features(k):
+        made.add(1)
+        return [float(k % 7), float(k % 5)]
+
+    rows = spark.range(60).select("id", features("id").alias("x"), (F.col("id") % 7 > 3).cast("int").alias("y"))
+    model = models.train_forest(rows, "x", "y", trees=3, depth=3, balanced=True)
+    assert made.value == 60 and len(model.trees) == 3
+
+
+def test_forest_is_read_at_once(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    df = frame(spark, [(i, [float(v) for v in rng.random(3)], int(rng.random() > 0.5)) for i in range(90)], "k long, x array<double>, y int")
+    model = models.train_forest(df, "x", "y", trees=5, depth=5)
+    one = [models._tree(t) for t in model.trees]
+    for a, b in zip(one, models._trees(model, spark), strict=True):
+        assert all(np.array_equal(a[c], b[c]) for c in a)
+    monkeypatch.setattr(models, "_tree", None)  # no node is asked for by itself
+    assert models.forest_spread(df, model, "x").count() == 90
+
+
 def test_scorer_interface(spark):
     df = frame(spark, [(1, "ACDK"), (2, "KKRR")], "k long, s string")
     assert models.score_in_batches(df, "k", "s", models.stub_panel(2), "mic_0 double, mic_1 double", 1).count() == 2
