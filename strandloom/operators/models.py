@@ -6,104 +6,53 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
-from pyspark.ml.functions import array_to_vector
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.functions.assay import perplexity
 from strandloom.operators.aggregate import metrics
 from strandloom.operators.curate import own_key
-from strandloom.storage import materialize, new_path
+from strandloom.operators.trees import Forest, fit, matrix, paths, walk
+from strandloom.storage import materialize
 
 
-def train_forest(df: DataFrame, features: str, label: str, trees: int = 50, depth: int = 12, balanced: bool = False, seed: int = 42) -> RandomForestClassificationModel:
+def train_forest(df: DataFrame, features: str, label: str, trees: int = 50, depth: int = 12, balanced: bool = False, seed: int = 42) -> Forest:
     """A random forest on an array column; ``balanced`` weighs classes inversely to their counts.
 
-    Features and labels are written first: fitting reads its rows once for each of classes, sizes, splits and bags.
+    Features and labels are written first, since they are read once for each of classes, cuts and bins.
     """
     held = materialize(df.select(F.col(features).cast("array<double>").alias("features"), F.col(label).cast("double").alias("label")), "instances")
-    rows = held.withColumn("features", array_to_vector("features"))
-    forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed)
-    if balanced:
-        counts = {r[0]: r[1] for r in rows.groupBy("label").count().collect()}
-        total = sum(counts.values())
-        weight = None
-        for y, n in counts.items():
-            w = total / (len(counts) * n)
-            weight = F.when(F.col("label") == y, w) if weight is None else weight.when(F.col("label") == y, w)
-        rows, forest = rows.withColumn("weight", weight.otherwise(1.0)), forest.setWeightCol("weight")
-    return forest.fit(rows)
-
-
-def _tree(tree) -> dict[str, np.ndarray]:
+    return fit(held, trees, depth, balanced, seed)
+
+
+def _tree(tree: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     """A tree as arrays: feature (-1 in a leaf), threshold, children, and the share of class 1."""
-    feature, threshold, left, right, share = [], [], [], [], []
-
-    def walk(node) -> int:
-        at = len(feature)
-        for column in (feature, threshold, left, right, share):
-            column.append(0)
-        stats = list(node.impurityStats().stats())
-        share[at] = stats[1] / sum(stats) if sum(stats) else 0.0
-        if node.subtreeDepth() == 0:
-            feature[at] = -1
-            return at
-        split = node.split()
-        feature[at], threshold[at] = split.featureIndex(), split.threshold()
-        left[at], right[at] = walk(node.leftChild()), walk(node.rightChild())
-        return at
-
-    walk(tree._call_java("rootNode"))
-    return {k: np.array(v) for k, v in (("feature", feature), ("threshold", threshold), ("left", left), ("right", right), ("share", share))}
-
-
-def _trees(model: RandomForestClassificationModel, spark: SparkSession) -> list[dict[str, np.ndarray]]:
-    """What :func:`_tree` gives of each tree, from the saved model: one read, not some calls to the JVM for each node."""
-    path = new_path(spark, "forest")
-    model.write().save(path)
-    node = F.col("nodeData")
-    cut = node["split"]
-    rows = spark.read.parquet(f"{path}/data").select(
-        "treeID", node["id"].alias("id"), cut["featureIndex"].alias("feature"), F.get(cut["leftCategoriesOrThreshold"], F.lit(0)).alias("threshold"),
-        node["leftChild"].alias("left"), node["rightChild"].alias("right"), node["impurityStats"].alias("stats"),
-    ).toPandas().sort_values(["treeID", "id"])
-    out = []
-    for _, t in rows.groupby("treeID"):
-        leaf, stats = (t["left"] < 0).to_numpy(), np.array(t["stats"].tolist(), dtype=float)
-        total = stats.sum(axis=1)
-        inner = lambda c, other: np.where(leaf, other, t[c].to_numpy())  # noqa: B023, E731
-        out.append({"feature": inner("feature", -1), "threshold": inner("threshold", 0.0), "left": inner("left", 0), "right": inner("right", 0), "share": np.divide(stats[:, 1], total, out=np.zeros(len(t)), where=total > 0)})
-    return out
+    return tree
+
+
+def _trees(model: Forest, spark: SparkSession) -> list[dict[str, np.ndarray]]:
+    """What :func:`_tree` gives of each tree."""
+    return model.trees
 
 
 def tree_shares(trees: Sequence[dict[str, np.ndarray]], x: np.ndarray) -> np.ndarray:
     """Class-1 share of each row in each tree: (rows, trees)."""
-    out = np.empty((len(x), len(trees)))
-    for k, t in enumerate(trees):
-        at = np.zeros(len(x), dtype=np.int64)
-        while (inner := t["feature"][at] >= 0).any():
-            f = np.where(inner, t["feature"][at], 0)
-            go = np.where(x[np.arange(len(x)), f] <= t["threshold"][at], t["left"][at], t["right"][at])
-            at = np.where(inner, go, at)
-        out[:, k] = t["share"][at]
-    return out
-
-
-def forest_spread(df: DataFrame, model: RandomForestClassificationModel, features: str, mean: str = "pred_amp_probability", std: str = "uncertainty_amp_std") -> DataFrame:
+    return walk(paths(trees), x)
+
+
+def forest_spread(df: DataFrame, model: Forest, features: str, mean: str = "pred_amp_probability", std: str = "uncertainty_amp_std") -> DataFrame:
     """``df`` with mean and population deviation, over trees, of the class-1 share, rounded to four digits.
 
     The trees are broadcast: their size is that of the model.
     """
-    held = df.sparkSession.sparkContext.broadcast(_trees(model, df.sparkSession))
+    held = df.sparkSession.sparkContext.broadcast(paths(_trees(model, df.sparkSession)))
 
-    @F.pandas_udf("mean double, std double")
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            shares = tree_shares(held.value, np.stack(part.to_numpy())) if len(part) else np.zeros((0, 1))
-            yield pd.DataFrame({"mean": shares.mean(axis=1).round(4), "std": shares.std(axis=1).round(4)})
+    def run(rows: pa.Array) -> pa.Array:
+        shares = walk(held.value, matrix(rows)) if len(rows) else np.zeros((0, 1))
+        return pa.StructArray.from_arrays([pa.array(shares.mean(axis=1).round(4)), pa.array(shares.std(axis=1).round(4))], ["mean", "std"])
 
-    scored = df.withColumn("_s", run(F.col(features).cast("array<double>")))
+    scored = df.withColumn("_s", F.arrow_udf(run, "mean double, std double")(F.col(features).cast("array<double>")))
     return scored.withColumn(mean, F.col("_s.mean")).withColumn(std, F.col("_s.std")).drop("_s")
 
 
