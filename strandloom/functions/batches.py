@@ -1,6 +1,6 @@
 """Sums over the residues of many sequences at once, in Arrow batches: what expressions would compute residue by residue.
 
-Each function returns a Column of unrounded doubles, null where the text is null, empty or holds anything but residues.
+Each function of sequences returns a Column of unrounded doubles, null where the text is null, empty or holds anything but residues.
 """
 
 from __future__ import annotations
@@ -10,9 +10,10 @@ from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType
+from pyspark.sql.types import ArrayType, DoubleType, StringType
 
 RESIDUES = "ACDEFGHIKLMNPQRSTVWY"
 #: Codes of bytes that are no residues: those that begin a character, and those inside one.
@@ -20,22 +21,32 @@ _OTHER, _INSIDE = 254, 255
 _CODES = np.full(256, _OTHER, dtype=np.uint8)
 _CODES[0x80:0xC0] = _INSIDE
 _CODES[np.frombuffer(RESIDUES.encode(), dtype=np.uint8)] = np.arange(len(RESIDUES))
+#: Letters of residues, of either case, as upper-case ones; zero for all else.
+_LETTERS = np.zeros(256, dtype=np.uint8)
+for _text in (RESIDUES, RESIDUES.lower()):
+    _LETTERS[np.frombuffer(_text.encode(), dtype=np.uint8)] = np.frombuffer(RESIDUES.encode(), dtype=np.uint8)
 #: Characters that are looked at at once; a longer sequence is looked at alone.
 PART = 1 << 18
 
 
-def _parts(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The codes of the bytes of some texts, and the lengths of these texts in bytes; null counts as empty."""
+def _pieces(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The bytes of some texts, and the lengths of these texts in bytes; null counts as empty."""
     texts = texts.cast(pa.large_string()).fill_null("")
     _, ends, raw = texts.buffers()
     at = np.frombuffer(ends, dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
     data, i = np.frombuffer(raw or b"", dtype=np.uint8), 0
     while i < len(texts):
         j = max(i + 1, int(np.searchsorted(at, at[i] + PART, side="right")) - 1)
-        yield _CODES[data[at[i] : at[j]]], np.diff(at[i : j + 1])
+        yield data[at[i] : at[j]], np.diff(at[i : j + 1])
         i = j
 
 
+def _parts(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The codes of the bytes of some texts, and the lengths of these texts in bytes; null counts as empty."""
+    for data, sizes in _pieces(texts):
+        yield _CODES[data], sizes
+
+
 def _counts(codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Of each residue a row: how often it occurs in each text."""
     cells = np.repeat(np.arange(len(sizes)) * len(RESIDUES), sizes)
@@ -61,6 +72,24 @@ def _of_residues(f: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Callable[
     return F.arrow_udf(run, DoubleType())
 
 
+def residues_only(s: Column) -> Column:
+    """The residue letters of a text, of either case, as upper-case ones; null stays null."""
+
+    def run(texts: pa.Array) -> pa.Array:
+        letters, lengths = [np.zeros(0, dtype=np.uint8)], [np.zeros(1, dtype=np.int64)]
+        for data, sizes in _pieces(texts):
+            upper = _LETTERS[data]
+            kept = upper > 0
+            before, ends = np.concatenate([[0], np.cumsum(kept)]), np.cumsum(sizes)
+            letters.append(upper[kept])
+            lengths.append(before[ends] - before[ends - sizes])
+        ends = np.cumsum(np.concatenate(lengths)).astype(np.int32)
+        out = pa.Array.from_buffers(pa.string(), len(texts), [None, pa.py_buffer(ends), pa.py_buffer(np.concatenate(letters))])
+        return pc.if_else(texts.is_valid(), out, pa.scalar(None, pa.string()))
+
+    return F.arrow_udf(run, StringType())(s)
+
+
 def fractions(s: Column) -> Column:
     """Of each residue its share of the characters of a text, whatever else it holds, as an array; zeros if it is empty."""
 

@@ -8,6 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from strandloom.functions import batches
 from strandloom.operators import models, trees
 
 
@@ -127,3 +128,11 @@ def test_what_no_forest_is_fitted_on(spark):
         models.train_forest(spark.createDataFrame([], "x array<double>, y int"), "x", "y")
     with pytest.raises(Exception, match="without nulls"):
         models.train_forest(spark.createDataFrame([([1.0, None], 1)], "x array<double>, y int"), "x", "y")
+
+
+def test_records_are_cut_by_bytes(spark):
+    """As the expression that it stands for, whatever the text."""
+    texts = ["aBcé ß\x01K", "", None, "😀Yy", "zzzz", "BJOUXZ", "acdefghiklmnpqrstvwyACDEFGHIKLMNPQRSTVWY", "ſKé", "x" * 300000 + "W"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1)
+    want = F.upper(F.regexp_replace("t", "[^AC-IK-NP-TVWYac-ik-np-tvwy]", ""))
+    assert rows.select(batches.residues_only(F.col("t")).alias("got"), want.alias("want")).filter("not got <=> want").count() == 0
