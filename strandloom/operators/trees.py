@@ -201,22 +201,32 @@ def best_cuts(counts: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.n
     return np.where(good, feature, -1), cut, np.where(good[:, None], left[node, feature, cut], whole[:, 0, 0]), np.where(good[:, None], right[node, feature, cut], 0)
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """Lowest bytes first, then the next ones: those that are nothing lie together, which a shuffle compresses."""
+    return values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
+
+
+def _of_planes(raw: np.ndarray, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
+
+
 def _written(counts: np.ndarray) -> tuple[int, bytes]:
-    """Counts as bytes: all of them in two or eight each, or places and counts where most are nothing."""
+    """Counts as bytes: all of them in two or eight each, or gaps between places and counts where most are nothing."""
     flat = np.ascontiguousarray(counts).reshape(-1)
     there = np.flatnonzero(flat)
-    if len(there) * 12 < len(flat) * 2:
-        return 0, there.astype(np.uint32).tobytes() + flat[there].astype(np.int64).tobytes()
+    if len(there) * 8 < len(flat):
+        return 0, _planes(np.diff(there, prepend=0).astype(np.uint32)) + _planes(flat[there].astype(np.int64))
     kind = np.uint16 if flat.max() < 1 << 16 else np.int64
-    return np.dtype(kind).itemsize, flat.astype(kind).tobytes()
+    return np.dtype(kind).itemsize, _planes(flat.astype(kind))
 
 
 def _add(out: np.ndarray, size: int, raw: bytes) -> None:
+    data = np.frombuffer(raw, dtype=np.uint8)
     if size:
-        out += np.frombuffer(raw, dtype=np.uint16 if size == 2 else np.int64)
+        out += _of_planes(data, np.uint16 if size == 2 else np.int64)
     else:
-        n = len(raw) // 12
-        out[np.frombuffer(raw, dtype=np.uint32, count=n)] += np.frombuffer(raw, dtype=np.int64, offset=4 * n)
+        n = len(data) // 12 * 4
+        out[np.cumsum(_of_planes(data[:n], np.uint32), dtype=np.int64)] += _of_planes(data[n:], np.int64)
 
 
 def _counter(held, width: int, trees: int, classes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

@@ -123,6 +123,16 @@ def test_rows_are_counted_in_pieces(monkeypatch):
         assert np.array_equal(got.reshape(want.shape), want)
 
 
+def test_counts_are_written_whole():
+    rng = np.random.default_rng(8)
+    for most, share, size in ((9, 0.02, 0), (2**40, 0.05, 0), (300, 0.9, 2), (2**40, 0.9, 8), (1, 0.0, 0)):
+        counts = np.where(rng.random((6, 2, 32, 2)) < share, rng.integers(1, most + 1, (6, 2, 32, 2)), 0)
+        kind, raw = trees._written(counts.astype(float))
+        out = np.ones(counts.size, dtype=np.int64)
+        trees._add(out, kind, raw)
+        assert kind == size and np.array_equal(out - 1, counts.reshape(-1))
+
+
 def test_what_no_forest_is_fitted_on(spark):
     with pytest.raises(ValueError, match="needs rows"):
         models.train_forest(spark.createDataFrame([], "x array<double>, y int"), "x", "y")
